@@ -16,15 +16,17 @@ _WIDTHS = (4, 8, 12, 16, 24, 32, 64)
 
 
 class MergeTable:
-    """``left``, ``right``: symbols of each merge in order of rank; ``made``: the symbols they make. Symbols lie below ``symbols``."""
+    """``left``, ``right``: symbols of each merge; ``rank``: its rank; ``made``: the symbol it makes. Symbols lie below ``symbols``.
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, made: np.ndarray, symbols: int):
+    Pairs may share a rank; then the leftmost goes first.
+    """
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, made: np.ndarray, symbols: int):
         self.symbols = symbols
         key = left.astype(np.int64) * symbols + right
         order = np.argsort(key, kind="stable")
-        self.keys, self.ranks, self.made = np.append(key[order], -1), np.append(order, _NONE).astype(np.int32), made.astype(np.int32)
-        self.keys[-1] = np.iinfo(np.int64).max
-        self.pairs: dict[int, int] | None = None
+        self.keys, self.ranks, self.made = np.append(key[order], np.iinfo(np.int64).max), np.append(rank[order], _NONE).astype(np.int32), made[order].astype(np.int32)
+        self.pairs: dict[int, tuple[int, int]] | None = None
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs; where a symbol is negative or the pair doesn't merge, a number above all ranks."""
@@ -75,9 +77,10 @@ class MergeTable:
                     break
             n = np.arange(len(rows))
             after = column > j[:, None]
+            made = self.made[np.searchsorted(self.keys, s[n, j].astype(np.int64) * self.symbols + s[n, j + 1])]
             s = np.take_along_axis(s, np.minimum(column + after, width - 1), axis=1)
             s[:, -1] = np.where(after[:, -1], -1, s[:, -1])
-            s[n, j] = self.made[best]
+            s[n, j] = made
             pair = column[:-1]
             later = pair > j[:, None]
             r = np.take_along_axis(r, np.minimum(pair + later, width - 2), axis=1)
@@ -92,21 +95,21 @@ class MergeTable:
 
     def _heap(self, s: list[int]) -> list[int]:
         if self.pairs is None:
-            self.pairs = dict(zip(self.keys[:-1].tolist(), self.ranks[:-1].tolist(), strict=True))
-        n, find, made, m = len(s), self.pairs.get, self.made.tolist(), self.symbols
+            self.pairs = dict(zip(self.keys[:-1].tolist(), zip(self.ranks[:-1].tolist(), self.made.tolist(), strict=True), strict=True))
+        n, find, m = len(s), self.pairs.get, self.symbols
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda = [(k, i, s[i], s[i + 1]) for i in range(n - 1) if s[i] >= 0 <= s[i + 1] and (k := find(s[i] * m + s[i + 1])) is not None]
+        agenda = [(k[0], i, k[1], s[i], s[i + 1]) for i in range(n - 1) if s[i] >= 0 <= s[i + 1] and (k := find(s[i] * m + s[i + 1])) is not None]
         heapq.heapify(agenda)
         while agenda:
-            k, i, a, b = heapq.heappop(agenda)
+            _, i, made, a, b = heapq.heappop(agenda)
             j = after[i]
             if s[i] != a or j < 0 or s[j] != b:
                 continue
-            s[i], s[j] = made[k], -9
+            s[i], s[j] = made, -9
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
                 if x >= 0 <= y and s[x] >= 0 <= s[y] and (k := find(s[x] * m + s[y])) is not None:
-                    heapq.heappush(agenda, (k, x, s[x], s[y]))
+                    heapq.heappush(agenda, (k[0], x, k[1], s[x], s[y]))
         return [x for x in s if x != -9]

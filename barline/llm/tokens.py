@@ -40,7 +40,7 @@ class WordIds:
         vocab = model["vocab"]
         merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
         ids = np.array([[vocab[a], vocab[b], vocab[a + b]] for a, b in merges], np.int32)
-        self.table = MergeTable(ids[:, 0], ids[:, 1], ids[:, 2], max(vocab.values()) + 1)
+        self.table = MergeTable(ids[:, 0], ids[:, 1], np.arange(len(ids)), ids[:, 2], max(vocab.values()) + 1)
         # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on, in order.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
