@@ -7,7 +7,8 @@ its rare tokens plus, for each class, its tokens but one outnumber those in whic
 then share an index key: else each token of the shorter prefix, but for one a class, would be missing in the other set.
 Which tokens count as frequent changes the work, not the result.
 
-Every set is compared with one other set of each key first. Links join sets to components; only keys that still span
+A bitmap of two to four bits for each token bounds how much two sets can share; pairs below the threshold by that bound
+never need their sets. Every set is compared with one other set of each key first. Links join sets to components; only keys that still span
 several components get the remaining comparisons. All comparisons are exact, on whole sets.
 """
 
@@ -70,6 +71,22 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
     return np.concatenate(keys)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bitmap of a set's tokens, of 2 to 4 bits for each, 64 at least."""
+    size = max(64, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    bits = np.zeros(size, bool)
+    bits[(tokens % np.uint64(size)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def shared_at_most(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
+    """A bound of how many tokens sets with these bitmaps and sizes share: a bit that only one has is a token that only one has."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(b.reshape(-1, size), axis=0) for b in (x, y))
+    return min(n_x - int(np.bitwise_count(x & ~y).sum()), n_y - int(np.bitwise_count(y & ~x).sum()))
+
+
 class _Seen:
     """Sets that a task has met, within bounds; forgetting one costs repeated work only."""
 
@@ -93,7 +110,7 @@ def _in_order(batches: Iterator[pa.RecordBatch]):
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, set_id; and counts of tokens that a task meets often: token, met.
+    """One row per document: doc_id, n_shingles, set_id, sketch; and counts of tokens that a task meets often: token, met.
 
     Rows of the second kind have a null set_id; they hold every token met twice or more in a run of gathered sets.
     """
@@ -105,24 +122,25 @@ def shingled(docs: DataFrame) -> DataFrame:
             token, met = np.unique(np.concatenate(gathered), return_counts=True) if gathered else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             token, met = token[met > 1], met[met > 1]
             n = len(token)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(token.view(np.int64)), pa.array(met)], names)
+            return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary()), pa.array(token.view(np.int64)), pa.array(met)], names)
 
         for batch, tokens, at in _in_order(batches):
-            ids = []
+            ids, sketches = [], []
             for s, e in zip(at, at[1:], strict=False):
                 ids.append(set_id(tokens[s:e]))
+                sketches.append(sketch(tokens[s:e]))
                 if e - s and not seen(ids[-1]):
                     gathered.append(tokens[s:e])
                     size += e - s
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(ids, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
             if size > GATHERED:
                 yield counts()
                 gathered, size = [], 0
         yield counts()
 
-    names = ["doc_id", "n_shingles", "set_id", "token", "met"]
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id bigint, token bigint, met bigint")
+    names = ["doc_id", "n_shingles", "set_id", "sketch", "token", "met"]
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id bigint, sketch binary, token bigint, met bigint")
 
 
 def _frequent_tokens(rows: DataFrame) -> np.ndarray:
@@ -277,7 +295,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
         raise ValueError("size classes and prefixes are made for a likeness of 0.8 or more")
     rows = kept(shingled(docs))
     told = rows.where("set_id is not null").select("doc_id", "n_shingles", "set_id")
-    nodes = told.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    nodes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
     nodes = kept(nodes)
     frequent = _frequent_tokens(rows)
     keys = nodes.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
@@ -285,11 +303,19 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
 
     size = nodes.select("set_id", "n")
 
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("s_a", "n_a", "s_b", "n_b"))
+            fits = [100 * (m := shared_at_most(x, n, y, k)) >= percent * (n + k - m) for x, n, y, k in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
     def fitting(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of sizes that can be alike enough."""
+        """Distinct pairs whose sizes and bitmaps allow them to be alike enough."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(size.withColumnsRenamed({"set_id": "a", "n": "n_a"}), "a").join(size.withColumnsRenamed({"set_id": "b", "n": "n_b"}), "b")
-        return pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
+        for c in "ab":
+            pairs = pairs.join(nodes.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")), c)
+        pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        return pairs.mapInArrow(bounded, "a bigint, b bigint")
 
     first = kept(fitting(postings.select(F.col("hub").alias("a"), F.col("set_id").alias("b"))))
     links = kept(_linked(docs, nodes, first, percent))
@@ -302,8 +328,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     rest = kept(own.join(open_, "key").join(size, "set_id"))
     x, y = (rest.select("key", F.col("set_id").alias(s), F.col("component").alias(f"c_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
     across = x.join(y, "key").where((F.col("c_a") < F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    across = kept(across)
+    across = kept(fitting(across).join(first, ["a", "b"], "left_anti"))
     if not across.isEmpty():
         label = kept(components(links.unionByName(kept(_linked(docs, nodes, across, percent)))))
 

@@ -70,6 +70,7 @@ def test_index_keys_meet_for_every_linked_pair():
         drop, add = int(rng.integers(0, n // 6 + 2)), int(rng.integers(0, n // 6 + 2))
         y = np.unique(np.concatenate([rng.permutation(x)[drop:], rng.choice(pool, add)]))
         both = len(np.intersect1d(x, y))
+        assert both <= jaccard.shared_at_most(jaccard.sketch(x), len(x), jaccard.sketch(y), len(y))
         if 100 * both >= 80 * (len(x) + len(y) - both) and not np.array_equal(x, y):
             flags = [np.array([t in often for t in z.tolist()], bool) for z in (x, y)]
             assert len(np.intersect1d(jaccard.index_keys(x, flags[0], 80), jaccard.index_keys(y, flags[1], 80)))
