@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barline.llm import fingerprints, jaccard, oracles, packing, pieces, secrets
+from barline.llm import fingerprints, jaccard, oracles, packing, pieces, secrets, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +41,14 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_winnowing": op8_winnowing,
@@ -50,4 +56,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": oracles.SECRET_SCAN,
+    "op4_exact_top_k": oracles.EXACT_TOP_K,
 }
