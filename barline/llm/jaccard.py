@@ -26,10 +26,12 @@ from barline.llm.common import kept, slices
 from barline.llm.components import components
 from barline.llm.shingles import mixed, set_id, shingle_sets
 
-#: A token is frequent from so many counted sets on; the threshold doubles until the frequent tokens are no more than MOST.
-FREQUENT, MOST = 64, 1 << 20
+#: A token is frequent from so many sets on, as a sketch of ROWS rows of MOST counters at most counts them; counters in a segment.
+FREQUENT, ROWS, MOST, SEGMENT = 64, 3, 1 << 21, 1 << 14
 #: Postings that a task gathers before it sends them on, postings in a group, and known sets that a task remembers.
 GATHERED, GROUP, SEEN = 2_000_000, 250_000, 1_000_000
+#: Rounds in which the sets of a key that spans components meet another hub.
+HUB_ROUNDS = 3
 #: Size classes: sets whose likeness is at least 0.8 lie in one class or in neighbours.
 _RATIO = math.log(1.26)
 _TEXT_BYTES = 4 << 20
@@ -109,21 +111,39 @@ def _in_order(batches: Iterator[pa.RecordBatch]):
             yield batch, tokens, at.tolist()
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, set_id, sketch; and counts of tokens that a task meets often: token, met.
+class Sketch:
+    """Counts of hashed tokens in ROWS rows of ``width`` counters, a power of two; adding sketches adds their counts."""
 
-    Rows of the second kind have a null set_id; they hold every token met twice or more in a run of gathered sets.
-    """
+    def __init__(self, width: int, counts: np.ndarray | None = None):
+        self.width = width
+        self.counts = np.zeros(ROWS * width, np.int64) if counts is None else counts
+        self.met = int(self.counts[:width].sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, gathered, size = _Seen(), [], 0
+    def places(self, tokens: np.ndarray) -> list[np.ndarray]:
+        return [((tokens >> np.uint64(20 * r)) % np.uint64(self.width)).astype(np.int64) + r * self.width for r in range(ROWS)]
+
+    def add(self, tokens: np.ndarray) -> None:
+        for at in self.places(tokens):
+            self.counts += np.bincount(at, minlength=len(self.counts))
+
+    def frequent(self, tokens: np.ndarray) -> np.ndarray:
+        """Which tokens were met FREQUENT times or more, as far as the least of their counters, less what others add to it, tells."""
+        noise = self.met / self.width
+        least = noise + max(FREQUENT, 6 * noise**0.5)
+        found = np.ones(len(tokens), bool)
+        for at in self.places(tokens):
+            found &= self.counts[at] >= least
+        return found
 
-        def counts():
-            token, met = np.unique(np.concatenate(gathered), return_counts=True) if gathered else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            token, met = token[met > 1], met[met > 1]
-            n = len(token)
-            return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary()), pa.array(token.view(np.int64)), pa.array(met)], names)
 
+def shingled(docs: DataFrame, width: int) -> DataFrame:
+    """One row per document: doc_id, n_shingles, set_id, sketch; and each task's counts of tokens: segment, counts.
+
+    Rows of the second kind have a segment number. Sets that a task meets again are counted once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, counted, gathered, size = _Seen(), Sketch(width), [], 0
         for batch, tokens, at in _in_order(batches):
             ids, sketches = [], []
             for s, e in zip(at, at[1:], strict=False):
@@ -133,40 +153,47 @@ def shingled(docs: DataFrame) -> DataFrame:
                     gathered.append(tokens[s:e])
                     size += e - s
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
             if size > GATHERED:
-                yield counts()
+                counted.add(np.concatenate(gathered))
                 gathered, size = [], 0
-        yield counts()
+        if gathered:
+            counted.add(np.concatenate(gathered))
+        if counted.counts.any():
+            cut = [counted.counts[i : i + SEGMENT].astype("<u4").tobytes() for i in range(0, len(counted.counts), SEGMENT)]
+            n = len(cut)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(cut, pa.binary())], names)
 
-    names = ["doc_id", "n_shingles", "set_id", "sketch", "token", "met"]
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id bigint, sketch binary, token bigint, met bigint")
+    names = ["doc_id", "n_shingles", "set_id", "sketch", "segment", "counts"]
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id bigint, sketch binary, segment int, counts binary")
 
 
-def _frequent_tokens(rows: DataFrame) -> np.ndarray:
-    """At most MOST tokens, ascending: those with the greatest counts over all documents."""
-    counted = kept(rows.where("token is not null").groupBy("token").agg(F.sum("met").alias("met")).where(F.col("met") >= FREQUENT))
-    steps = {r["step"]: r["count"] for r in counted.groupBy(F.floor(F.log2(F.col("met") / FREQUENT)).alias("step")).count().collect()}
-    least, total = 0, 0
-    for step in sorted(steps, reverse=True):
-        total += steps[step]
-        least = step
-        if total > MOST:
-            least = step + 1
-            break
-    found = counted.where(F.floor(F.log2(F.col("met") / FREQUENT)) >= least).select("token").toArrow()["token"].to_numpy()
-    return np.sort(found.view(np.uint64) if len(found) else np.zeros(0, np.uint64))
+def _width(docs: DataFrame) -> int:
+    """Counters in a row of the sketch: about one for 256 tokens, within fixed bounds."""
+    chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    return min(MOST, max(1 << 14, 1 << int(chars / 6 / 256).bit_length()))
 
 
-def _postings(docs: DataFrame, frequent: np.ndarray, groups: int, percent: int) -> DataFrame:
+def _summed(rows: DataFrame, width: int) -> Sketch:
+    """The sketch of all tasks; it has a fixed size, whatever the number of documents."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in table.column("counts"))
+        return pa.table({"segment": table.column("segment").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    counts = np.zeros(ROWS * width, np.int64)
+    for r in rows.where("segment is not null").select("segment", "counts").groupBy("segment").applyInArrow(add, "segment int, counts binary").collect():
+        counts[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(r["counts"], np.int64)
+    return Sketch(width, counts)
+
+
+def _postings(docs: DataFrame, counted: Sketch, groups: int, percent: int) -> DataFrame:
     """(key, hub, set_id): every set but one of each index key that several sets have, with one of the others as the hub.
 
     A task gives its own sets of a key a local hub and sends only that one on, so a key that a third of all sets have
     meets in its group with one row from each run of gathered sets.
     """
-    bits = np.zeros(1 << 22, bool)
-    bits[(frequent >> np.uint64(42)).astype(np.int64)] = True
-    held = docs.sparkSession.sparkContext.broadcast((frequent, bits))
+    held = docs.sparkSession.sparkContext.broadcast(counted)
 
     def send(gathered) -> pa.RecordBatch:
         key = np.concatenate([k for k, _ in gathered]) if gathered else np.zeros(0, np.uint64)
@@ -186,14 +213,9 @@ def _postings(docs: DataFrame, frequent: np.ndarray, groups: int, percent: int)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(table, [pa.int32(), pa.int32(), *[pa.binary()] * 3], strict=True)], ["grp", "mark", "a", "b", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, bits = held.value
-        seen, gathered, size = _Seen(), [], 0
+        counted, seen, gathered, size = held.value, _Seen(), [], 0
         for _, tokens, at in _in_order(batches):
-            often = bits[(tokens >> np.uint64(42)).astype(np.int64)]
-            maybe = np.flatnonzero(often)
-            if len(maybe):
-                place = np.minimum(np.searchsorted(frequent, tokens[maybe]), len(frequent) - 1)
-                often[maybe] = frequent[place] == tokens[maybe]
+            often = counted.frequent(tokens)
             for s, e in zip(at, at[1:], strict=False):
                 own = set_id(tokens[s:e])
                 if e - s and not seen(own):
@@ -283,6 +305,13 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -
     return left.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _spanning(postings: DataFrame, label: DataFrame) -> DataFrame:
+    """``postings`` (key, set_id, ...) of keys whose sets lie in several components, with each set's component."""
+    own = postings.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    open_ = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return kept(own.join(open_, "key"))
+
+
 def jaccard_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """Per document of ``docs`` (doc_id, text): n_shingles, and component_id, the smallest doc_id reachable by links.
 
@@ -293,13 +322,14 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """
     if percent < 80:
         raise ValueError("size classes and prefixes are made for a likeness of 0.8 or more")
-    rows = kept(shingled(docs))
+    width = _width(docs)
+    rows = kept(shingled(docs, width))
     told = rows.where("set_id is not null").select("doc_id", "n_shingles", "set_id")
     nodes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
     nodes = kept(nodes)
-    frequent = _frequent_tokens(rows)
+    counted = _summed(rows, width)
     keys = nodes.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
-    postings = kept(_postings(docs, frequent, 1 + keys // GROUP, percent))
+    postings = kept(_postings(docs, counted, 1 + keys // GROUP, percent))
 
     size = nodes.select("set_id", "n")
 
@@ -317,18 +347,26 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
         pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         return pairs.mapInArrow(bounded, "a bigint, b bigint")
 
-    first = kept(fitting(postings.select(F.col("hub").alias("a"), F.col("set_id").alias("b"))))
-    links = kept(_linked(docs, nodes, first, percent))
+    compared = kept(fitting(postings.select(F.col("hub").alias("a"), F.col("set_id").alias("b"))))
+    links = kept(_linked(docs, nodes, compared, percent))
     label = kept(components(links))
 
-    # Keys that still span components: all their pairs across components, but for those compared already.
-    own = postings.select("key", F.explode(F.array("hub", "set_id")).alias("set_id")).distinct()
-    own = own.join(label, "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
-    open_ = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = kept(own.join(open_, "key").join(size, "set_id"))
+    # Keys that still span components: their sets, with one other set of the key as the hub, a new one in each round.
+    own = postings.select("key", F.explode(F.array("hub", "set_id")).alias("set_id")).distinct().join(size, "set_id")
+    rest = _spanning(own, label)
+    for n in range(HUB_ROUNDS):
+        hub = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(n)), "set_id", "component")).alias("h")).select("key", "h.set_id", "h.component")
+        pairs = rest.join(hub.withColumnsRenamed({"set_id": "hub", "component": "c"}), "key").where("component <> c").select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
+        pairs = kept(fitting(pairs).join(compared, ["a", "b"], "left_anti"))
+        compared = compared.unionByName(pairs)
+        links = links.unionByName(kept(_linked(docs, nodes, pairs, percent)))
+        label = kept(components(links))
+        rest = _spanning(rest.drop("component"), label)
+
+    # What is left: all pairs of a key across components.
     x, y = (rest.select("key", F.col("set_id").alias(s), F.col("component").alias(f"c_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
     across = x.join(y, "key").where((F.col("c_a") < F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    across = kept(fitting(across).join(first, ["a", "b"], "left_anti"))
+    across = kept(fitting(across).join(compared, ["a", "b"], "left_anti"))
     if not across.isEmpty():
         label = kept(components(links.unionByName(kept(_linked(docs, nodes, across, percent)))))
 

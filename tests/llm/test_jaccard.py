@@ -52,6 +52,7 @@ def corpus(rng):
 @pytest.mark.parametrize("seed,frequent", [(1, 64), (2, 3), (3, 2)])
 def test_components_equal_those_of_all_pairs(docs, monkeypatch, seed, frequent):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "SEGMENT", 1 << 12)
     monkeypatch.setattr(jaccard, "GROUP", 500)
     rows = corpus(random.Random(seed))
     got = sorted(tuple(r) for r in jaccard_components(docs(rows).repartition(3)).collect())
