@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import chat, fingerprints, jaccard, language, oracles, packing, pieces, secrets, topk
+from barline.llm import chat, extraction, fingerprints, jaccard, language, oracles, packing, pieces, secrets, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows)).drop("valid")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_html_text": op3_html_text,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
