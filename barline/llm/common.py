@@ -25,9 +25,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The frame as a reliable checkpoint: its lineage is cut and its rows survive lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The frame, computed once and written to the shared folder: its lineage is cut and its rows survive lost executors."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "kept")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes frames that ``kept`` wrote, once nothing reads them any more."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parts(spark: SparkSession) -> int:

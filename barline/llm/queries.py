@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import chat, extraction, fingerprints, jaccard, language, oracles, packing, pieces, secrets, topk
+from barline.llm import chat, extraction, fingerprints, jaccard, language, oracles, packing, pieces, secrets, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_chat_format": op7_chat_format,
     "op8_winnowing": op8_winnowing,
+    "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
 }
 
@@ -76,4 +81,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": oracles.SECRET_SCAN,
     "op4_exact_top_k": oracles.EXACT_TOP_K,
     "op7_chat_format": oracles.CHAT_FORMAT,
+    "op9_warc": oracles.WARC,
 }
