@@ -8,8 +8,9 @@ then share an index key: else each token of the shorter prefix, but for one a cl
 Which tokens count as frequent changes the work, not the result.
 
 A bitmap of two to four bits for each token bounds how much two sets can share; pairs below the threshold by that bound
-never need their sets. Every set is compared with one other set of each key first. Links join sets to components; only keys that still span
-several components get the remaining comparisons. All comparisons are exact, on whole sets.
+never need their sets. Every set is compared with one other set of each key first, a hub. Links join sets to components;
+keys that still span several components then get all comparisons that remain, those with very many sets in blocks. All
+comparisons are exact, on whole sets.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import kept, slices
+from barline.llm.common import dropped, kept, slices
 from barline.llm.components import components
 from barline.llm.shingles import mixed, set_id, shingle_sets
 
@@ -30,10 +31,10 @@ from barline.llm.shingles import mixed, set_id, shingle_sets
 FREQUENT, ROWS, MOST, SEGMENT = 64, 3, 1 << 21, 1 << 14
 #: Postings that a task gathers before it sends them on, postings in a group, and known sets that a task remembers.
 GATHERED, GROUP, SEEN = 2_000_000, 250_000, 1_000_000
-#: Rounds in which the sets of a key that spans components meet another hub.
-HUB_ROUNDS = 3
 #: Size classes: sets whose likeness is at least 0.8 lie in one class or in neighbours.
 _RATIO = math.log(1.26)
+#: Sets from which on a key's pairs are compared in blocks, and sets in a block.
+CROWD, BLOCK = 128, 2048
 _TEXT_BYTES = 4 << 20
 
 
@@ -305,6 +306,53 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -
     return left.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _crowded(rest: DataFrame, nodes: DataFrame, crowds: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that share one of the ``crowds`` (key, low, blocks) and that bitmaps allow to be alike enough.
+
+    Keys with the same smallest set hold much the same sets, so they are compared together. Their sets are dealt into
+    blocks; each pair of blocks is compared by itself, and only pairs within the bound leave it, each once.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        sets, part, size, block = (table.column(c).to_numpy() for c in ("set_id", "component", "n", "i"))
+        keys = [np.asarray(x) for x in table.column("keys").to_pylist()]
+        number = np.unique(np.concatenate(keys), return_inverse=True)[1]
+        row = np.repeat(np.arange(len(sets)), [len(k) for k in keys])
+        bits = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
+        width = np.array([len(b) for b in bits])
+        has = np.zeros((len(sets), int(number.max()) + 1), np.float32)
+        has[row, number] = 1
+        out_a, out_b = [], []
+        for w in np.unique(width).tolist():
+            mine = np.flatnonzero(width == w)
+            x = np.stack([bits[i] for i in mine])
+            for v in [v for v in np.unique(width).tolist() if v >= w]:
+                other = np.flatnonzero(width == v)
+                y = np.bitwise_or.reduce(np.stack([bits[i] for i in other]).reshape(len(other), -1, w), axis=1)
+                meets = has[mine] @ has[other].T > 0
+                for k, i in enumerate(mine.tolist()):
+                    fits = meets[k] & (part[other] != part[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))
+                    fits &= (block[other] != block[i]) if lo != hi else True
+                    fits &= (other > i) if v == w else True
+                    j = np.flatnonzero(fits)
+                    if len(j):
+                        lack, extra = np.bitwise_count(x[k] & ~y[j]).sum(axis=1), np.bitwise_count(~x[k] & y[j]).sum(axis=1)
+                        both = np.minimum(size[i] - lack, size[other[j]] - extra)
+                        j = j[100 * both >= percent * (size[i] + size[other[j]] - both)]
+                        out_a.append(np.full(len(j), sets[i]))
+                        out_b.append(sets[other[j]])
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.table({"a": join(out_a), "b": join(out_b)})
+
+    own = rest.join(crowds, "key").withColumn("i", F.pmod(F.xxhash64("set_id"), "blocks"))
+    own = own.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    place = ["low", "blocks", "lo", "hi"]
+    own = own.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j")).groupBy(*place, "i", "set_id", "component", "n").agg(F.collect_set("key").alias("keys"))
+    own = own.join(nodes.select("set_id", "sketch"), "set_id")
+    return own.groupBy(*place).applyInArrow(compare, "a bigint, b bigint")
+
+
 def _spanning(postings: DataFrame, label: DataFrame) -> DataFrame:
     """``postings`` (key, set_id, ...) of keys whose sets lie in several components, with each set's component."""
     own = postings.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
@@ -351,25 +399,20 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     links = kept(_linked(docs, nodes, compared, percent))
     label = kept(components(links))
 
-    # Keys that still span components: their sets, with one other set of the key as the hub, a new one in each round.
     own = postings.select("key", F.explode(F.array("hub", "set_id")).alias("set_id")).distinct().join(size, "set_id")
     rest = _spanning(own, label)
-    for n in range(HUB_ROUNDS):
-        hub = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(n)), "set_id", "component")).alias("h")).select("key", "h.set_id", "h.component")
-        pairs = rest.join(hub.withColumnsRenamed({"set_id": "hub", "component": "c"}), "key").where("component <> c").select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
-        pairs = kept(fitting(pairs).join(compared, ["a", "b"], "left_anti"))
-        compared = compared.unionByName(pairs)
-        links = links.unionByName(kept(_linked(docs, nodes, pairs, percent)))
-        label = kept(components(links))
-        rest = _spanning(rest.drop("component"), label)
-
-    # What is left: all pairs of a key across components.
-    x, y = (rest.select("key", F.col("set_id").alias(s), F.col("component").alias(f"c_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    across = x.join(y, "key").where((F.col("c_a") < F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    # Keys that still span components: all their pairs across components, but for those compared already.
+    crowds = rest.groupBy("key").agg(F.count("*").alias("many"), F.min("set_id").alias("low")).where(F.col("many") > CROWD)
+    crowds = kept(crowds.select("key", "low", (1 + F.floor(F.col("many") / BLOCK)).alias("blocks")))
+    few = rest.join(crowds, "key", "left_anti")
+    x, y = (few.select("key", F.col("set_id").alias(s), F.col("component").alias(f"c_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    across = x.join(y, "key").where((F.col("c_a") < F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b")
+    across = across.unionByName(_crowded(rest, nodes, crowds, percent))
     across = kept(fitting(across).join(compared, ["a", "b"], "left_anti"))
     if not across.isEmpty():
         label = kept(components(links.unionByName(kept(_linked(docs, nodes, across, percent)))))
 
+    dropped(postings, compared, links, rest, crowds, across)
     told = told.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     lowest = told.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = told.join(lowest, "component", "left")

@@ -1,12 +1,52 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: from raw documents to packed training sequences, one operator of ``barline.llm`` a stage.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their columns; the last returns pieces
+with their places in sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from barline.llm import jaccard, language, packing, secrets
+from barline.llm.common import kept
+from barline.llm.queries import vocabulary
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language a network trained on their own labels names; texts without a letter go."""
+    return language.keep_identified(docs, language.train_on(docs))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by a likeness of 0.8 or more, the one with the smallest id."""
+    return jaccard.drop_near_duplicates(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by the name of their kind."""
+    return secrets.redact_secrets(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("secret_scan", secret_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: SQL can state neither the trained network nor the packing; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The last stage's rows for the whole table ``documents``; every stage's output is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -49,9 +49,11 @@ def corpus(rng):
     return [(i, rng.choice([" ", "\n", "\t "]).join(t).title()) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, " \n"), (903, None)]
 
 
-@pytest.mark.parametrize("seed,frequent", [(1, 64), (2, 3), (3, 2)])
-def test_components_equal_those_of_all_pairs(docs, monkeypatch, seed, frequent):
+@pytest.mark.parametrize("seed,frequent,crowd,block", [(1, 64, 2, 4), (2, 3, 128, 2048), (3, 2, 1, 100)])
+def test_components_equal_those_of_all_pairs(docs, monkeypatch, seed, frequent, crowd, block):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "SEGMENT", 1 << 12)
     monkeypatch.setattr(jaccard, "GROUP", 500)
     rows = corpus(random.Random(seed))
