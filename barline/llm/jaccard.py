@@ -30,12 +30,12 @@ from barline.llm.shingles import mixed, set_id, shingle_sets
 #: A token is frequent from so many sets on, as a sketch of ROWS rows of MOST counters at most counts them; counters in a segment.
 FREQUENT, ROWS, MOST, SEGMENT = 64, 3, 1 << 21, 1 << 14
 #: Postings that a task gathers before it sends them on, postings in a group, and known sets that a task remembers.
-GATHERED, GROUP, SEEN = 2_000_000, 250_000, 1_000_000
+GATHERED, GROUP, SEEN = 500_000, 250_000, 1_000_000
 #: Size classes: sets whose likeness is at least 0.8 lie in one class or in neighbours.
 _RATIO = math.log(1.26)
 #: Sets from which on a key's pairs are compared in blocks, and sets in a block.
 CROWD, BLOCK = 128, 2048
-_TEXT_BYTES = 4 << 20
+_TEXT_BYTES = 2 << 20
 
 
 def _differ(n: int, percent: int) -> int:
