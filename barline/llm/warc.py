@@ -27,6 +27,7 @@ FILE_BYTES, REVISIT_BYTES = 64 << 20, 1000
 #: All records have one date, so that files don't depend on when they are written.
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 4
+_CHUNK = 1 << 13
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -49,31 +50,33 @@ def _record(kind: str, page_id: int | None, url: str | None, digest: str, payloa
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def choose_records(pages: DataFrame, *, least: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, html, digest, refers_to): of equal payloads of ``least`` bytes or more the largest page_id holds the payload, others refer to it.
+def payloads(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html, digest) of every row; null pages are empty."""
+    own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    return own.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
+
 
-    Null pages are empty. Repeated rows of the largest page_id all hold it. Rows without an id never hold a payload for
-    others; a digest that only they have is not revisited.
+def revisits(rows: DataFrame, *, least: int = REVISIT_BYTES) -> DataFrame:
+    """(page_id, digest, refers_to): of equal payloads of ``least`` bytes or more the largest page_id holds the payload, others refer to it.
+
+    Repeated rows of the largest page_id all hold it. Rows without an id never hold a payload for others; a digest that
+    only they have is not revisited. Only ids and digests meet in the join, so a page that very many rows repeat costs
+    no more than its rows.
     """
-    own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    own = own.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("long", F.octet_length("html") >= least)
-    holder = own.where("long").groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1 and holder is not null")
-    # Only ids and digests meet in the join; a page that half of all rows repeat is spread like any other.
-    refers = own.where("long").select("page_id", "digest").distinct().join(holder.select("digest", "holder"), "digest")
-    refers = refers.where(~F.col("page_id").eqNullSafe(F.col("holder"))).select("page_id", "digest", F.col("holder").alias("refers_to"))
-    id_ = F.coalesce("page_id", F.lit(-(1 << 63)))
-    joined = own.withColumn("_id", id_).join(refers.select(id_.alias("_id"), "digest", "refers_to"), ["_id", "digest"], "left")
-    return joined.select("page_id", "url", "html", "digest", "refers_to")
+    long = rows.where(F.octet_length("html") >= least).select("page_id", "digest")
+    holder = long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    return long.distinct().join(holder, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to")
 
 
 def _place(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_warc(records: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes ``records`` (as ``choose_records`` gives them) to files in ``folder``; returns the manifests: name, records, bytes, sha256.
+def write_warc(pages: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes a record for every row of ``pages`` (page_id, url, html) to files in ``folder``; returns the manifests: name, records, bytes, sha256.
 
-    Files are sorted by page_id and url, null ids last. A task writes under a temporary name of its own, renames a whole
+    Files are sorted by page_id, digest and url, null ids last. What a page refers to travels as a row before the page's
+    own, so payloads are shuffled once. A task writes under a temporary name of its own, renames a whole
     file and then writes its manifest in the same way.
     """
 
@@ -82,7 +85,7 @@ def write_warc(records: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES)
 
         task = TaskContext.get()
         fs, root = _place(folder)
-        shard, made, stream = task.partitionId(), [], None
+        shard, made, stream, told = task.partitionId(), [], None, (None, None, None)
 
         def put(name: str, data: bytes | None, temporary: str | None = None) -> None:
             if data is not None:
@@ -100,6 +103,10 @@ def write_warc(records: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES)
 
         for batch in batches:
             for page, url, html, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+                if html is None:
+                    told = page, digest, refers_to
+                    continue
+                refers_to = told[2] if told[:2] == (page, digest) else None
                 if stream is None:
                     name, size, count, sha = f"pages-{shard:05d}-{len(made):05d}.warc.gz", 0, 0, hashlib.sha256()
                     temporary = f"{root}/_tmp-{name}-{task.taskAttemptId()}"
@@ -118,16 +125,23 @@ def write_warc(records: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES)
 
     fs, root = _place(folder)
     fs.create_dir(root, recursive=True)
-    lined = records.repartitionByRange(parts(records.sparkSession), F.col("page_id").asc_nulls_last(), "digest", "url").sortWithinPartitions(F.col("page_id").asc_nulls_last(), "url", "digest")
+    rows = payloads(pages)
+    notes = revisits(rows).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
+    both = rows.withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(notes)
+    order = [F.col("page_id").asc_nulls_last(), F.col("digest")]
+    lined = both.repartitionByRange(parts(pages.sparkSession), *order).sortWithinPartitions(*order, F.col("html").isNotNull(), "url")
     return kept(lined.mapInArrow(run, "name string, records bigint, bytes bigint, sha256 string"))
 
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The headers and block of every record of a file of gzip members, each digest checked."""
-    while data:
-        z = zlib.decompressobj(31)
-        record = z.decompress(data) + z.flush()
-        data = z.unused_data
+    view, at = memoryview(data), 0
+    while at < len(data):
+        z, chunks = zlib.decompressobj(31), []
+        while not z.eof and at < len(data):
+            chunks.append(z.decompress(view[at : at + _CHUNK]))
+            at += len(view[at : at + _CHUNK]) - len(z.unused_data)
+        record = b"".join(chunks)
         head, _, rest = record.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         if version != "WARC/1.1":
@@ -179,5 +193,5 @@ def archive_pages(pages: DataFrame, *, file_bytes: int = FILE_BYTES) -> DataFram
     """The columns of op9: every row of ``pages`` (page_id, url, html) written to archives in the shared folder and read back."""
     spark = pages.sparkSession
     folder = shared_path(spark, "warc")
-    manifests = write_warc(choose_records(pages), folder, file_bytes=file_bytes)
+    manifests = write_warc(pages, folder, file_bytes=file_bytes)
     return read_warc(spark, folder, manifests).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -2,7 +2,7 @@ import gzip
 import hashlib
 
 from barline.llm.common import shared_path
-from barline.llm.warc import _place, archive_pages, choose_records, read_records, read_warc, write_warc
+from barline.llm.warc import _place, archive_pages, read_records, read_warc, write_warc
 
 LONG = "<p>" + "x" * 1200
 
@@ -27,7 +27,7 @@ def test_files_are_the_same_each_time_and_payloads_come_back(spark):
     seen = []
     for n in (3, 5):
         folder = shared_path(spark, "warc-test")
-        manifests = write_warc(choose_records(df.repartition(n)), folder, file_bytes=400)
+        manifests = write_warc(df.repartition(n), folder, file_bytes=400)
         fs, root = _place(folder)
         names = sorted(r["name"] for r in manifests.collect())
         files = sorted(x.base_name for x in fs.get_file_info(__import__("pyarrow").fs.FileSelector(root)))
