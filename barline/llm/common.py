@@ -11,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Workers are used again by later stages; with this pool, what a stage frees goes back to the system.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
     sc = spark.sparkContext

@@ -163,7 +163,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, capacity: int = 2048, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(vocabulary)
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 3 << 20):
                 rows = []
                 for doc, raw in zip(batch.column("doc_id").to_pylist(), ids.packed([x or "" for x in batch.column("text").to_pylist()]), strict=True):
                     raw += end
@@ -185,7 +185,8 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     pieces = kept(pieces)
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # one row per length at most
     plan = plan_packing(histogram, capacity)
-    salts = 1 + sum(histogram.values()) // GROUP_ROWS
+    n = sum(histogram.values())
+    salts = 1 + max(n // GROUP_ROWS, min(n // 500, 1000))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "_salt").count().select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
