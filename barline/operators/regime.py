@@ -18,8 +18,8 @@ WEIGHTS = {"trend": 0.30, "breadth": 0.30, "liquidity": 0.15, "risk": 0.15}
 def trend(index_bars: DataFrame) -> DataFrame:
     """Mean of four signs per index, averaged over the indexes of a session, times 100; an index needs 125 sessions."""
     m = {n: W.sma(n) for n in (20, 60, 120)}
-    own = index_bars.withColumns({f"m{n}": x for n, x in m.items()} | {"_k": F.row_number().over(W.BY)})
-    own = own.withColumn("_slope", c("m20") - F.lag("m20", 5).over(W.BY))
+    own = index_bars.withColumns({f"m{n}": x for n, x in m.items()} | {"_k": F.row_number().over(W.by())})
+    own = own.withColumn("_slope", c("m20") - F.lag("m20", 5).over(W.by()))
     signs = [F.signum(c("close") - c(f"m{n}")) for n in (20, 60, 120)] + [F.signum("_slope")]
     own = own.withColumn("_s", F.when(c("_k") >= 125, sum(signs[1:], signs[0]) / 4))
     return own.groupBy("trade_date").agg((F.avg("_s") * 100).alias("trend"))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from barline.functions.predicates import effective
 
-BY = Window.partitionBy("symbol").orderBy("trade_date")
+def by():
+    """Rows of a symbol in order of session; made when needed, as a window wants a session."""
+    return Window.partitionBy("symbol").orderBy("trade_date")
 
 
 def effective_bars(bars: DataFrame, as_of=None) -> DataFrame:
@@ -22,7 +24,7 @@ def effective_bars(bars: DataFrame, as_of=None) -> DataFrame:
 
 def full(n: int, value: Column, last: int = 0) -> Column:
     """``value`` (an aggregate) over the ``n`` rows that end ``last`` rows from here; null if there are fewer."""
-    w = BY.rowsBetween(last - n + 1, last)
+    w = by().rowsBetween(last - n + 1, last)
     return F.when(F.count(F.lit(1)).over(w) == n, value.over(w))
 
 
@@ -39,20 +41,20 @@ def volume_ratio(n: int = 5, x: str = "volume") -> Column:
 def rsi_simple(n: int = 14) -> Column:
     """Needs ``_d``, the change of the close: 50 when flat, 100 without a loss."""
     gain, loss = full(n, F.avg(F.greatest(F.col("_d"), F.lit(0.0)))), full(n, F.avg(F.greatest(-F.col("_d"), F.lit(0.0))))
-    complete = F.count("_d").over(BY.rowsBetween(1 - n, 0)) == n
+    complete = F.count("_d").over(by().rowsBetween(1 - n, 0)) == n
     return F.when(complete, F.when((gain == 0) & (loss == 0), 50.0).when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / loss)))
 
 
 def with_change(bars: DataFrame, x: str = "close") -> DataFrame:
-    return bars.withColumn("_d", F.col(x) - F.lag(x).over(BY))
+    return bars.withColumn("_d", F.col(x) - F.lag(x).over(by()))
 
 
 def crosses_above(a: Column, b: Column) -> Column:
-    return (F.lag(a).over(BY) <= F.lag(b).over(BY)) & (a > b)
+    return (F.lag(a).over(by()) <= F.lag(b).over(by())) & (a > b)
 
 
 def crosses_below(a: Column, b: Column) -> Column:
-    return (F.lag(a).over(BY) >= F.lag(b).over(BY)) & (a < b)
+    return (F.lag(a).over(by()) >= F.lag(b).over(by())) & (a < b)
 
 
 def new_high(n: int = 60, x: str = "close") -> Column:
@@ -64,7 +66,7 @@ def new_low(n: int = 60, x: str = "close") -> Column:
 
 
 def period_return(n: int, x: str = "close") -> Column:
-    return F.col(x) / F.lag(x, n).over(BY) - 1
+    return F.col(x) / F.lag(x, n).over(by()) - 1
 
 
 def daily_return() -> Column:
@@ -74,7 +76,7 @@ def daily_return() -> Column:
 
 def adjusted(x: str) -> Column:
     """Price times its factor over the factor of the symbol's last effective bar."""
-    whole = BY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return F.col(x) * F.col("adjust_factor") / F.last("adjust_factor").over(whole)
 
 
@@ -83,18 +85,18 @@ def with_adjusted(bars: DataFrame) -> DataFrame:
 
 
 def true_range(p: str = "") -> Column:
-    before = F.lag(f"{p}close").over(BY)
+    before = F.lag(f"{p}close").over(by())
     return F.when(before.isNotNull(), F.greatest(F.col(f"{p}high") - F.col(f"{p}low"), F.abs(F.col(f"{p}high") - before), F.abs(F.col(f"{p}low") - before)))
 
 
 def atr(bars: DataFrame, n: int = 14, p: str = "") -> DataFrame:
     own = bars.withColumn("_tr", true_range(p))
-    w = BY.rowsBetween(1 - n, 0)
+    w = by().rowsBetween(1 - n, 0)
     return own.withColumn("atr", F.when(F.count("_tr").over(w) == n, F.avg("_tr").over(w))).drop("_tr")
 
 
 def drawdown(x: str = "close") -> Column:
-    return F.col(x) / F.max(x).over(BY.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return F.col(x) / F.max(x).over(by().rowsBetween(Window.unboundedPreceding, 0)) - 1
 
 
 def worst_drawdown(n: int = 60, x: str = "close") -> Column:
@@ -106,7 +108,7 @@ def worst_drawdown(n: int = 60, x: str = "close") -> Column:
 
 
 def volatility(n: int = 20, x: str = "ret") -> Column:
-    w = BY.rowsBetween(1 - n, 0)
+    w = by().rowsBetween(1 - n, 0)
     return F.when(F.count(x).over(w) == n, F.stddev_pop(x).over(w))
 
 

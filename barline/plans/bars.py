@@ -75,7 +75,7 @@ windowed("w13_drawdown", lambda: {"drawdown": W.drawdown(), "worst60": W.worst_d
 _RET = f"SELECT *, close / lag(close) OVER ({OVER}) - 1 AS ret FROM eff"
 windowed("w14_volatility", lambda: {"vol": W.volatility(20)}, {"vol": f"CASE WHEN count(ret) OVER ({OVER} ROWS 19 PRECEDING) = 20 THEN stddev_pop(ret) OVER ({OVER} ROWS 19 PRECEDING) END"}, lambda b: b.withColumn("ret", W.period_return(1)), _RET)
 windowed("w15_bollinger", lambda: dict(zip(("mid", "upper", "lower"), W.bollinger(), strict=True)), {"mid": full_sql(20, "avg(close)"), "upper": f"{full_sql(20, 'avg(close)')} + 2 * {full_sql(20, 'stddev_pop(close)')}", "lower": f"{full_sql(20, 'avg(close)')} - 2 * {full_sql(20, 'stddev_pop(close)')}"})
-windowed("w16_zscore", lambda: {"z": W.zscore(20, "amount", W.BY)}, {"z": f"CASE WHEN count(*) OVER ({OVER} ROWS 19 PRECEDING) = 20 THEN CASE WHEN stddev_pop(amount) OVER ({OVER} ROWS 19 PRECEDING) > 0 THEN (amount - avg(amount) OVER ({OVER} ROWS 19 PRECEDING)) / stddev_pop(amount) OVER ({OVER} ROWS 19 PRECEDING) ELSE 0 END END"})
+windowed("w16_zscore", lambda: {"z": W.zscore(20, "amount", W.by())}, {"z": f"CASE WHEN count(*) OVER ({OVER} ROWS 19 PRECEDING) = 20 THEN CASE WHEN stddev_pop(amount) OVER ({OVER} ROWS 19 PRECEDING) > 0 THEN (amount - avg(amount) OVER ({OVER} ROWS 19 PRECEDING)) / stddev_pop(amount) OVER ({OVER} ROWS 19 PRECEDING) ELSE 0 END END"})
 windowed("w18_trend_quality", lambda: {"quality": W.ma_trend_quality()}, {"quality": f"list_avg(list_filter([CASE WHEN m20 IS NOT NULL THEN CASE WHEN close > m20 THEN 100 ELSE -100 END END, CASE WHEN m60 IS NOT NULL THEN CASE WHEN close > m60 THEN 100 ELSE -100 END END], lambda x: x IS NOT NULL))"}, None, f"SELECT *, {full_sql(20, 'avg(close)')} AS m20, {full_sql(60, 'avg(close)')} AS m60 FROM eff")
 
 _M = f"SELECT *, {full_sql(5, 'avg(close)')} AS a, {full_sql(20, 'avg(close)')} AS b FROM eff"
@@ -84,7 +84,7 @@ _M = f"SELECT *, {full_sql(5, 'avg(close)')} AS a, {full_sql(20, 'avg(close)')}
 @query("w7_crosses", f"WITH {EFF}, m AS ({_M}), c AS (SELECT *, lag(a) OVER ({OVER}) AS pa, lag(b) OVER ({OVER}) AS pb FROM m)\nSELECT symbol, trade_date, pa <= pb AND a > b AS above, pa >= pb AND a < b AS below FROM c WHERE pb IS NOT NULL")
 def w7_crosses(spark, d):
     own = W.effective_bars(table(spark, d, "bars")).withColumns({"a": W.sma(5), "b": W.sma(20)})
-    own = own.select("symbol", "trade_date", W.crosses_above(F.col("a"), F.col("b")).alias("above"), W.crosses_below(F.col("a"), F.col("b")).alias("below"), F.lag("b").over(W.BY).alias("_p"))
+    own = own.select("symbol", "trade_date", W.crosses_above(F.col("a"), F.col("b")).alias("above"), W.crosses_below(F.col("a"), F.col("b")).alias("below"), F.lag("b").over(W.by()).alias("_p"))
     return own.where("_p IS NOT NULL").drop("_p")
 
 
@@ -99,7 +99,7 @@ g AS (SELECT *, max(CASE WHEN changed THEN k END) OVER ({OVER} ROWS UNBOUNDED PR
 SELECT symbol, trade_date, CAST(least(k - st + 1, 20) * s AS DOUBLE) AS streak FROM g""")
 def w17_signed_streak(spark, d):
     own = W.effective_bars(table(spark, d, "bars")).withColumn("ret", W.period_return(1))
-    return W.with_streak(own, "ret", W.BY).select("symbol", "trade_date", "streak")
+    return W.with_streak(own, "ret", W.by()).select("symbol", "trade_date", "streak")
 
 
 
