@@ -94,3 +94,23 @@ def scope_board() -> Column:
 def expected_state(day: Column) -> Column:
     """Listing state of a member at a day; delisting counts from its day on."""
     return F.when(c("list_date").isNull(), "unknown").when(day < c("list_date"), "not_listed").when(day >= c("delist_date"), "delisted").otherwise("listed")
+
+
+def scope_mismatch() -> Column:
+    """Why a price row and its master row (``m_exchange``, ``m_board``) disagree; null where they agree."""
+    return F.when(c("m_exchange").isNull(), "no_master").when(c("exchange") != c("m_exchange"), "exchange").when(c("board") != c("m_board"), "board")
+
+
+def eligibility_reason(day: Column) -> Column:
+    """Why a security is out of the universe at a day; null if it is in."""
+    return F.when(c("list_date").isNull(), "unknown_listing").when(day < c("list_date"), "not_listed").when(day >= c("delist_date"), "delisted")
+
+
+def actionability_reasons(day: Column) -> Column:
+    """All reasons against acting on an eligible security: fresh listing, delisting near."""
+    return F.array_compact(F.array(F.when(F.datediff(day, c("list_date")) < 60, "new_listing"), F.when(F.datediff(c("delist_date"), day) < 60, "delisting")))
+
+
+def listed_main_board(day: Column, code: Column) -> Column:
+    """Inside the listing window, and on the main board by the code."""
+    return F.coalesce((c("list_date") <= day) & (c("delist_date").isNull() | (day < c("delist_date"))) & (board_of(code) == "main"), F.lit(False))

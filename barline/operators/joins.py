@@ -133,3 +133,16 @@ def conflicting_history(a: DataFrame, b: DataFrame, key: list[str], cols: list[s
 
 def orphan_members(members: DataFrame, master: DataFrame) -> DataFrame:
     return members.join(master, "security_id", "left_anti")
+
+
+def reconcile_ohlc(left: DataFrame, right: DataFrame, tolerance: str = "0.01") -> DataFrame:
+    """Per price of the common rows the largest decimal difference and how many exceed the tolerance; and rows on one side only."""
+    names = ("open", "high", "low", "close")
+    dec = lambda x: x.cast("decimal(20,6)")
+    a = left.select("symbol", "trade_date", *[dec(c(n)).alias(f"a_{n}") for n in names])
+    b = right.select("symbol", "trade_date", *[dec(c(n)).alias(f"b_{n}") for n in names])
+    own = a.join(b, ["symbol", "trade_date"], "full_outer")
+    both = c("a_close").isNotNull() & c("b_close").isNotNull()
+    gap = {n: F.abs(c(f"a_{n}") - c(f"b_{n}")) for n in names}
+    limit = F.lit(tolerance).cast("decimal(20,6)")
+    return own.agg(F.count_if(both).alias("common"), F.count_if(~both).alias("one_sided"), *[F.max(g).cast("double").alias(f"max_{n}") for n, g in gap.items()], *[F.count_if(g > limit).alias(f"off_{n}") for n, g in gap.items()])

@@ -172,3 +172,13 @@ def reliability_window(audits: DataFrame, n: int = 20) -> DataFrame:
     share = c("loaded") / c("requested")
     own = audits.withColumn("_s", share)
     return own.select("trade_date", F.avg((c("_s") >= 0.9).cast("double")).over(w).alias("on_time"), F.min("_s").over(w).alias("worst"))
+
+
+def session_quality(bars: DataFrame, other: DataFrame) -> DataFrame:
+    """Per session the first reason to reject a second source: missing symbols, symbols beyond, suspensions or factors that differ; null if it may be used."""
+    a = bars.select("symbol", "trade_date", c("is_suspended").alias("s1"), c("adjust_factor").alias("f1"), F.lit(1).alias("_a"))
+    b = other.select("symbol", "trade_date", c("is_suspended").alias("s2"), c("adjust_factor").alias("f2"), F.lit(1).alias("_b"))
+    own = a.join(b, ["symbol", "trade_date"], "full_outer").groupBy("trade_date").agg(
+        F.bool_or(c("_b").isNull()).alias("missing"), F.bool_or(c("_a").isNull()).alias("extra"), F.bool_or(c("s1") != c("s2")).alias("suspension"), F.bool_or(~c("f1").eqNullSafe(c("f2"))).alias("factor")
+    )
+    return own.select("trade_date", F.when(c("missing"), "missing").when(c("extra"), "extra").when(c("suspension"), "suspension").when(c("factor"), "factor").alias("reason"))

@@ -237,3 +237,28 @@ def s17_diff_manifests(spark, d):
     cols = ["symbol", "trade_date", "close", "volume"]
     out = Q.diff_manifests(Q.build_manifest(own, cols), Q.build_manifest(own.where("year(trade_date) < 2001"), cols))
     return out.select("only_left", F.col("only_right").cast("int").alias("only_right"), F.col("changed").cast("int").alias("changed"), "verdict")
+
+
+@query("j11_reconcile_ohlc", "WITH j AS (SELECT a.symbol AS x, b.symbol AS y, " + ", ".join(f"abs(CAST(a.{n} AS DECIMAL(20, 6)) - CAST(b.{n} AS DECIMAL(20, 6))) AS {n}" for n in ("open", "high", "low", "close")) + " FROM {bars} a FULL JOIN {bars_alt} b ON a.symbol = b.symbol AND a.trade_date = b.trade_date)\nSELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS common, count(*) FILTER (x IS NULL OR y IS NULL) AS one_sided, " + ", ".join(f"CAST(max({n}) AS DOUBLE) AS max_{n}, count(*) FILTER ({n} > 0.015) AS off_{n}" for n in ("open", "high", "low", "close")) + " FROM j")
+def j11_reconcile_ohlc(spark, d):
+    return J.reconcile_ohlc(table(spark, d, "bars"), table(spark, d, "bars_alt"), "0.015")
+
+
+@query("a47_session_quality", "WITH j AS (SELECT coalesce(a.trade_date, b.trade_date) AS trade_date, a.symbol AS x, b.symbol AS y, a.is_suspended <> b.is_suspended AS s, a.adjust_factor IS DISTINCT FROM b.adjust_factor AS f FROM {bars} a FULL JOIN {bars_alt} b ON a.symbol = b.symbol AND a.trade_date = b.trade_date)\nSELECT trade_date, CASE WHEN bool_or(y IS NULL) THEN 'missing' WHEN bool_or(x IS NULL) THEN 'extra' WHEN bool_or(s) THEN 'suspension' WHEN bool_or(f) THEN 'factor' END AS reason FROM j GROUP BY 1")
+def a47_session_quality(spark, d):
+    return Q.session_quality(table(spark, d, "bars"), table(spark, d, "bars_alt"))
+
+
+@query("p11_scope_mismatch", f"SELECT symbol, CASE WHEN s_suppkey IS NULL THEN 'no_master' WHEN exchange <> CASE WHEN s_suppkey % 2 = 0 THEN 'sh' ELSE 'sz' END THEN 'exchange' WHEN board <> CASE WHEN s_suppkey % 10 < 7 THEN 'main' ELSE 'chinext' END THEN 'board' END AS reason FROM {{bars}} LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 9 <> 0) ON symbol = s_suppkey WHERE trade_date = {D}")
+def p11_scope_mismatch(spark, d):
+    master = table(spark, d, "supplier").where("s_suppkey % 9 <> 0").select(F.col("s_suppkey").alias("symbol"), F.when(F.col("s_suppkey") % 2 == 0, "sh").otherwise("sz").alias("m_exchange"), F.when(F.col("s_suppkey") % 10 < 7, "main").otherwise("chinext").alias("m_board"))
+    return table(spark, d, "bars").where(F.col("trade_date") == DAYC()).join(master, "symbol", "left").select("symbol", B.P.scope_mismatch().alias("reason"))
+
+
+@query("p12_p16_eligibility", f"""WITH m AS (SELECT *, CASE security_id % 6 WHEN 0 THEN '600' WHEN 1 THEN '000' WHEN 2 THEN '300' WHEN 3 THEN '688' WHEN 4 THEN '900' ELSE '200' END AS code FROM {{memberships}} WHERE generation = 3)
+SELECT security_id, CASE WHEN DATE '1995-09-01' < list_date THEN 'not_listed' WHEN DATE '1995-09-01' >= delist_date THEN 'delisted' END AS reason, CASE WHEN DATE '1995-09-01' - list_date < 60 THEN 'new_listing' ELSE '' END AS against, list_date <= DATE '1995-09-01' AND (delist_date IS NULL OR DATE '1995-09-01' < delist_date) AND code IN ('600', '000') AS on_main FROM m""")
+def p12_p16_eligibility(spark, d):
+    day = F.lit("1995-09-01").cast("date")
+    code = F.element_at(F.array(*map(F.lit, ("600", "000", "300", "688", "900", "200"))), (F.col("security_id") % 6 + 1).cast("int"))
+    own = table(spark, d, "memberships").where("generation = 3")
+    return own.select("security_id", B.P.eligibility_reason(day).alias("reason"), F.array_join(B.P.actionability_reasons(day), ",").alias("against"), B.P.listed_main_board(day, code).alias("on_main"))
