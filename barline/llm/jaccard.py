@@ -7,7 +7,7 @@ its rare tokens plus, for each class, its tokens but one outnumber those in whic
 then share an index key: else each token of the shorter prefix, but for one a class, would be missing in the other set.
 Which tokens count as frequent changes the work, not the result.
 
-A bitmap of two to four bits for each token bounds how much two sets can share; pairs below the threshold by that bound
+A bitmap of four to eight bits for each token bounds how much two sets can share; pairs below the threshold by that bound
 never need their sets. Every set is compared with one other set of each key first, a hub. Links join sets to components;
 keys that still span several components then get all comparisons that remain, those with very many sets in blocks. All
 comparisons are exact, on whole sets.
@@ -34,7 +34,7 @@ GATHERED, GROUP, SEEN = 500_000, 250_000, 1_000_000
 #: Size classes: sets whose likeness is at least 0.8 lie in one class or in neighbours.
 _RATIO = math.log(1.26)
 #: Sets from which on a key's pairs are compared in blocks, and sets in a block.
-CROWD, BLOCK = 128, 2048
+CROWD, BLOCK = 16, 2048
 _TEXT_BYTES = 2 << 20
 
 
@@ -75,8 +75,8 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """A bitmap of a set's tokens, of 2 to 4 bits for each, 64 at least."""
-    size = max(64, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    """A bitmap of a set's tokens, of 4 to 8 bits for each, 64 at least."""
+    size = max(64, 1 << (4 * len(tokens) - 1).bit_length()) if len(tokens) else 64
     bits = np.zeros(size, bool)
     bits[(tokens % np.uint64(size)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -409,10 +409,10 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     across = x.join(y, "key").where((F.col("c_a") < F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b")
     across = across.unionByName(_crowded(rest, nodes, crowds, percent))
     across = kept(fitting(across).join(compared, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        label = kept(components(links.unionByName(kept(_linked(docs, nodes, across, percent)))))
+    more = kept(_linked(docs, nodes, across, percent))
+    label = kept(components(links.unionByName(more)))
 
-    dropped(postings, compared, links, rest, crowds, across)
+    dropped(postings, compared, links, rest, crowds, across, more)
     told = told.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     lowest = told.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = told.join(lowest, "component", "left")
