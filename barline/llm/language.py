@@ -24,6 +24,8 @@ LENGTH, SIZE, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 8
 #: Bounds of the training sample: labelled documents per language, languages, windows per document.
 PER_LANGUAGE, LANGUAGES, WINDOWS = 800, 64, 4
 STEPS, BATCH, RATE = 300, 128, 0.01
+#: Slots in which a language's sample is chosen first.
+SLOTS = 16
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -178,7 +180,9 @@ def training_windows(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
     own = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id")))
     known = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-    picked = own.join(F.broadcast(known), "lang").select("lang", "doc_id", F.xxhash64("text").alias("h"), F.row_number().over(order).alias("r")).where(F.col("r") <= PER_LANGUAGE)
+    slot = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))).orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
+    picked = own.join(F.broadcast(known), "lang").withColumn("s", F.row_number().over(slot)).where(F.col("s") <= PER_LANGUAGE)  # so that no task sees more than SLOTS * PER_LANGUAGE rows of a language
+    picked = picked.select("lang", "doc_id", F.xxhash64("text").alias("h"), F.row_number().over(order).alias("r")).where(F.col("r") <= PER_LANGUAGE)
     some = own.select("lang", "doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(picked.drop("r").distinct()), ["lang", "doc_id", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
