@@ -300,7 +300,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -
                 alike.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    wanted = kept(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
     sets = _sets_of(docs, nodes, wanted)
     left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a")
     return left.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
