@@ -33,6 +33,11 @@ def s4_last_trusted_sessions(spark, d):
     return SB.last_sessions(table(spark, d, "bars"), DAYC(), 10, usable_bar() & (F.col("symbol") % 20 == 3)).select("symbol", "trade_date")
 
 
+@query("s4_last_trusted_sessions_all", ORACLE_SQL["s4_last_trusted_sessions"].replace(" AND symbol % 20 = 3", ""))
+def s4_last_trusted_sessions_all(spark, d):
+    return SB.last_sessions(table(spark, d, "bars"), DAYC(), 10, usable_bar()).select("symbol", "trade_date")
+
+
 @query("s5_available_dates", "SELECT DISTINCT trade_date FROM {bars} WHERE source = 'a'")
 def s5_available_dates(spark, d):
     return SB.available_dates(table(spark, d, "bars"), "a")
@@ -49,6 +54,12 @@ def s8_present_points(spark, d):
     return SB.present_points(own, own.where("month(trade_date) = 3").select("trade_date").distinct(), own.where("symbol < 20").select("symbol").distinct())
 
 
+@query("s8_present_points_all", ORACLE_SQL["s8_present_points"].replace(" WHERE symbol < 20 AND month(trade_date) = 3", ""))
+def s8_present_points_all(spark, d):
+    own = table(spark, d, "bars")
+    return SB.present_points(own, own.select("trade_date").distinct(), own.select("symbol").distinct())
+
+
 _NUMBERS = ["open", "high", "low", "close", "preclose", "volume", "amount", "pct_change"]
 
 
@@ -82,6 +93,12 @@ def s21_load_memberships(spark, d):
     return SB.load_memberships(own.where("s_suppkey % 4 <> 0").select("code"), own.select("code", "sector"))[0].select("code", "sector", "record_id")
 
 
+@query("s21_load_memberships_all", ORACLE_SQL["s21_load_memberships"].replace(" WHERE s_suppkey % 4 <> 0", ""))
+def s21_load_memberships_all(spark, d):
+    own = table(spark, d, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), F.col("s_nationkey").alias("sector"))
+    return SB.load_memberships(own.select("code"), own)[0].select("code", "sector", "record_id")
+
+
 @query("t1_event_bars", "SELECT CAST(ts AS DATE) AS trade_date, user_id, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS amount FROM events GROUP BY ALL")
 def t1_event_bars(spark, d):
     return T.stream_bars(table(spark, d, "events"))

@@ -36,6 +36,13 @@ def j2_resolve_factors(spark, d):
     return J.resolve_factors(base, events, table(spark, d, "bars").where("year(trade_date) = 1998"))
 
 
+@query("j2_resolve_factors_all", ORACLE_SQL["j2_resolve_factors"].replace(" WHERE year(trade_date) = 1998", ""))
+def j2_resolve_factors_all(spark, d):
+    events = table(spark, d, "factors")
+    base = events.where("month(effective_date) in (1, 7)").select("symbol", F.col("effective_date").alias("snapshot_date"), F.col("back_factor").alias("factor"))
+    return J.resolve_factors(base, events, table(spark, d, "bars"))
+
+
 @query("j3_bootstrap_factors", f"SELECT s_suppkey AS symbol, coalesce(arg_max(back_factor, effective_date), 1.0) AS factor, count(back_factor) = 0 AS assumed FROM supplier LEFT JOIN {{factors}} ON s_suppkey = symbol AND effective_date <= {D} GROUP BY 1")
 def j3_bootstrap_factors(spark, d):
     return J.bootstrap_factors(table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol")), table(spark, d, "factors"), DAYC())

@@ -212,6 +212,12 @@ def j12_calendar_gaps(spark, d):
     return J.calendar_gaps(weeks, table(spark, d, "bars").where("symbol % 50 = 1"))
 
 
+@query("j12_calendar_gaps_all", ORACLE_SQL["j12_calendar_gaps"].replace(" WHERE symbol % 50 = 1", ""))
+def j12_calendar_gaps_all(spark, d):
+    weeks = spark.sql("SELECT explode(sequence(DATE '1995-01-02', DATE '2001-10-29', INTERVAL 7 DAYS)) AS trade_date, 'open' AS status")
+    return J.calendar_gaps(weeks, table(spark, d, "bars"))
+
+
 @query("j13_calendar_conflicts", f"WITH {CALENDAR}, o AS (SELECT DISTINCT trade_date, 'open' AS status FROM {{flows}})\nSELECT trade_date, coalesce(c.status, 'unknown') AS a, coalesce(o.status, 'unknown') AS b, CASE WHEN coalesce(c.status, 'unknown') = 'unknown' OR o.status IS NULL THEN 'unknown' ELSE 'conflict' END AS kind FROM cal c FULL JOIN o USING (trade_date) WHERE coalesce(c.status, 'unknown') <> coalesce(o.status, 'unknown')")
 def j13_calendar_conflicts(spark, d):
     observed = table(spark, d, "flows").select("trade_date", F.lit("open").alias("status")).distinct()
