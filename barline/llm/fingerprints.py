@@ -1,9 +1,10 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is cut into pieces of up to PIECE characters of its words (split at white space); every run of GRAM pieces has a
-hash, and of every WINDOW consecutive hashes the smallest is chosen, the rightmost of equals. A hash and its place are one
-number (hash above, distance of the place from the end of the range below), so the smallest number is the smallest hash at
-its rightmost place. Any run of WINDOW + GRAM - 1 pieces that two texts share holds a hash which both choose.
+White space is left out; a gram of GRAM characters starts at every character (code point) that is left and has a hash, and
+of every WINDOW consecutive hashes the smallest is chosen, the rightmost of equals. A hash and its place are one number
+(hash above, distance of the place from the end of the range below), so the smallest number is the smallest hash at its
+rightmost place. Any run of WINDOW + GRAM - 1 characters, white space not counted, that two texts share holds a hash which
+both choose, at whatever offsets it stands and in any script.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from barline.llm.common import parts
 
 #: Characters in a piece, pieces in a gram, grams in a window.
-PIECE, GRAM, WINDOW = 6, 4, 8
+PIECE, GRAM, WINDOW = 1, 24, 48
 _PLACES = 1 << 31
 #: Rows that are sorted together to find the next document.
 _RUN = 2000
@@ -22,7 +23,8 @@ _RUN = 2000
 
 def _grams(text: Column) -> Column:
     """Numbers of hash and place of every gram; a text of fewer pieces has one gram of all of them, one without pieces none."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0))
+    bare = F.regexp_replace(text, r"\s+", "")
+    pieces = F.when(bare != "", F.split(bare, "")).otherwise(F.array().cast("array<string>"))
 
     def number(p: Column, i: Column) -> Column:
         h = F.xxhash64(*[F.get(p, i + k) for k in range(GRAM)])
@@ -38,22 +40,22 @@ def _grams(text: Column) -> Column:
 def winnowed(text: Column) -> Column:
     """The chosen numbers of a text, in order of place; a null text counts as empty and has none."""
 
-    def smaller(g: Column, step: int) -> Column:
-        """Of each number and the one ``step`` places on, the smaller; where there is none, the number."""
-        return F.get(F.transform(F.array(g), lambda h: F.transform(h, lambda x, i: F.least(x, F.get(h, i + step)))), 0)
+    def smallest(g: Column, steps: list[int]) -> Column:
+        """Of each number and those ``steps`` places on, the smallest; places beyond the end do not count."""
+        return F.get(F.transform(F.array(g), lambda h: F.transform(h, lambda x, i: F.least(x, *[F.get(h, i + k) for k in steps]))), 0)
 
     g = _grams(F.coalesce(text, F.lit("")))
-    for step in _doubled(WINDOW):
-        g = smaller(g, step)
+    for steps in _grown(WINDOW):
+        g = smallest(g, steps)
     return F.get(F.transform(F.array(g), lambda m: F.array_distinct(F.slice(m, 1, F.greatest(F.size(m) - WINDOW + 1, F.least(F.size(m), F.lit(1)))))), 0)
 
 
-def _doubled(window: int) -> list[int]:
-    """Steps by which windows of one grow to ``window``: 1, 2, 4, ... and what is missing."""
+def _grown(window: int) -> list[list[int]]:
+    """Steps by which windows of one grow to ``window``: by up to four times, then by what is missing."""
     steps, size = [], 1
     while size < window:
-        steps.append(min(size, window - size))
-        size += steps[-1]
+        steps.append([min(k * size, window - size) for k in (1, 2, 3) if (k - 1) * size < window - size])
+        size += steps[-1][-1]
     return steps
 
 
