@@ -4,8 +4,8 @@ Every block element and link of a page is a node with its characters, tags, link
 density is its characters per tag, weighed by how few of them are links; the node whose children's densities sum highest
 is the article's subtree. The least density on the path from the body to it is the threshold: other subtrees join the
 text where the densities on the way reach it. Before that, elements that are no article by their kind (scripts, menus,
-forms, ...) or by their name (adverts, comments, ...) are set aside; a name does not count where its element holds most of
-the page in several elements of its own.
+forms, ...) or by their name (adverts, comments, ...) are set aside; a name, and a mark as hidden or a kind of an element
+that often wraps a page (form), does not count where its element holds most of the page in several elements of its own.
 """
 
 from __future__ import annotations
@@ -25,13 +25,16 @@ _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 
 _RAW = {"script", "style", "textarea", "title", "xmp", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _NEVER = {"head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "iframe", "object", "svg", "canvas", "dialog", "menu", "title", "figcaption", "audio", "video"}
+#: Elements that may hold the whole page: their kind and mark as hidden are guarded as names are.
+_WRAPS = {"html", "body", "main", "article", "form"}
 _HEADINGS = {f"h{i}" for i in range(1, 7)}
 #: An open element of the second kind ends where one of the first starts, unless one of the third lies between.
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -43,6 +46,15 @@ _SET_ASIDE = set(
 )
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an element is not shown: ``hidden``, ``aria-hidden`` true or the style ``display: none``."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _UNSEEN.search(value):
+            return True
+    return False
+
+
 class Page:
     """The nodes of a page in order of their start tags, and its text as (node, block, text)."""
 
@@ -54,8 +66,10 @@ class Page:
     def _open(self, tag: str, attributes: str, at: int) -> int:
         words = {w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")} if "=" in attributes else set()
         head = (tag == "header" or "header" in words) and not self._within(at, ("article", "main"))
-        never = tag in _NEVER or head and tag == "header" or bool(attributes and _HIDDEN.search(attributes))
-        named = tag not in ("body", "html", "main", "article") and (bool(words & _SET_ASIDE) or head)
+        hidden = bool(attributes) and _hidden(attributes)
+        guarded = tag in _WRAPS
+        never = tag in _NEVER and not guarded or head and tag == "header" or hidden and not guarded
+        named = tag not in ("body", "html", "main", "article") and (bool(words & _SET_ASIDE) or head) or guarded and (hidden or tag in _NEVER)
         self.parent.append(at)
         self.tag.append(tag)
         self.aside.append(never)

@@ -42,3 +42,16 @@ def test_rows_nulls_and_clashing_columns(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, "u", "", 0), (2, None, "", 0), (3, "u", "", 0), (3, "u", "", 0), (None, "u", "plain words", 11)], key=str)
     assert extract_text(df.limit(0)).collect() == []
+
+
+def test_words_like_hidden_hide_nothing_and_a_page_may_be_one_form():
+    for marks in ("class='overflow-hidden'", "style='overflow:hidden'", "aria-hidden='false'", "title='hidden gems'", "data-x='display:none'"):
+        for page in (f"<body {marks}>{NAV}<h1>Title</h1>{ARTICLE}</body>", f"<body>{NAV}<div {marks}><h1>Title</h1>{ARTICLE}</div></body>"):
+            assert main_text(page) == "Title\n" + EXPECTED, page[:60]
+    for page in (f"<body><form action='/'>{NAV}<div><h1>Title</h1>{ARTICLE}</div></form></body>", f"<body hidden>{NAV}<div><h1>Title</h1>{ARTICLE}</div></body>", f"<body style='color:red;display:none'>{NAV}<div><h1>Title</h1>{ARTICLE}</div></body>"):
+        assert main_text(page) == "Title\n" + EXPECTED, page[:60]
+
+
+def test_hidden_elements_are_left_out():
+    for marks in ("hidden", "HIDDEN=''", "aria-hidden=true", "aria-hidden = 'true'", "style='color:red; display : none'"):
+        assert main_text(f"<body>{NAV}<div><h1>Title</h1>{ARTICLE}</div><div {marks}>{ARTICLE}</div></body>") == "Title\n" + EXPECTED, marks
