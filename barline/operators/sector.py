@@ -42,20 +42,27 @@ def daily_returns(own: DataFrame) -> DataFrame:
     return own.groupingSets([["trade_date", "sector_id"], ["trade_date"]], "trade_date", "sector_id").agg(F.avg("ret1").alias("ret"), F.count("ret1").alias("members"))
 
 
-def metrics(own: DataFrame) -> DataFrame:
-    """The raw measures of each sector and date; a measure counts with two members at least."""
+def targets(members: DataFrame) -> DataFrame:
+    """How many members each sector has, whether they have bars or not."""
+    return members.groupBy("sector_id").agg(F.count_distinct("security_id").alias("target"))
+
+
+def metrics(own: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """The raw measures of each sector and date; a measure counts with two members at least and, with ``target`` (of targets()), 80 percent of them."""
     market = own.groupBy("trade_date").agg(*[F.avg(f"ret{n}").alias(f"_m{n}") for n in (5, 20, 60)])
     row = Window.partitionBy("trade_date", "sector_id").orderBy(c("amount").desc(), "symbol")
     own = own.withColumn("_n", F.row_number().over(row))
     share = lambda x: F.avg(x.cast("double"))
-    two = lambda x, n: F.when(F.count(n) >= 2, x)
+    own = own.join(F.broadcast(target), "sector_id", "left").withColumn("target", F.coalesce("target", F.lit(0))) if target is not None else own
+    covered = lambda n: (F.max("target") > 0) & (5 * F.count(n) >= 4 * F.max("target")) if target is not None else F.lit(True)
+    two = lambda x, n: F.when((F.count(n) >= 2) & covered(n), x)
     m = own.groupBy("trade_date", "sector_id").agg(
         F.count("*").alias("members"),
         *[two(F.avg(f"ret{n}"), f"ret{n}").alias(f"_s{n}") for n in (5, 20, 60)],
         two(share(c("ret1") > 0), "ret1").alias("advancing_share"),
         two(share(c("close") > c("ma20")), "ma20").alias("above20_share"),
         two(F.sum(F.when(c("before5").isNotNull(), c("amount"))) / F.sum("before5"), "before5").alias("turnover_ratio"),
-        F.when(F.count("*") >= 3, F.sum(F.when(c("_n") <= 3, c("amount"))) / F.sum("amount")).alias("top3_share"),
+        F.when((F.count("*") >= 3) & covered("*"), F.sum(F.when(c("_n") <= 3, c("amount"))) / F.sum("amount")).alias("top3_share"),
     )
     return m.join(market, "trade_date").select("trade_date", "sector_id", "members", *[(c(f"_s{n}") - c(f"_m{n}")).alias(f"excess{n}") for n in (5, 20, 60)], "advancing_share", "above20_share", "turnover_ratio", "top3_share")
 
@@ -75,17 +82,34 @@ def confidence(score_columns: dict[str, float], coverage: Column, cap: float = 1
     return F.least(sum((F.when(c(n).isNotNull(), F.lit(w)).otherwise(0.0) for n, w in score_columns.items()), F.lit(0.0)) * coverage, F.lit(cap))
 
 
-def leaders(own: DataFrame) -> DataFrame:
-    """Members of each sector and date by the weighted total of their scores, whether they qualify, and their confidence."""
+#: Tests that a leader must pass, on its scores.
+QUALIFIES = {"positive_total": lambda: c("total") > 0, "positive_return": lambda: c("ret20") > 0, "trend_not_negative": lambda: c("trend") >= 0, "positive_streak": lambda: c("streak") > 0}
+
+
+def leaders(own: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """Members of each sector and date by the weighted total of their scores, whether they qualify, and their confidence.
+
+    With ``target`` (of targets()) the confidence counts the share of the sector's members that have a bar, and ``passed``
+    and ``failed`` name the tests, sorted; a test without a value fails.
+    """
     by = Window.partitionBy("symbol").orderBy("trade_date")
     own = own.withColumn("trend", W.ma_trend_quality())
     mean = Window.partitionBy("trade_date", "sector_id")
     own = W.with_streak(own.withColumn("spread", c("ret1") - F.avg("ret1").over(mean)), "spread", by, "run")
+    coverage = F.lit(1.0)
+    if target is not None:
+        own = own.join(F.broadcast(target), "sector_id", "left")
+        coverage = F.least(F.coalesce(F.count("*").over(mean) / c("target"), F.lit(0.0)), F.lit(1.0))
+    own = own.withColumn("coverage", coverage)
     own = own.withColumns({"contribution": c("ret20") / F.count("*").over(mean), "deviation": F.abs(c("spread"))})
-    own = own.select("trade_date", "sector_id", "symbol", clamp(c("ret20") * 200).alias("ret20"), "trend", scaled_score(c("amount") / c("before5") - 1, 100).alias("activity"), (c("run") * 5).alias("streak"), "contribution", "deviation")
+    own = own.select("trade_date", "sector_id", "symbol", clamp(c("ret20") * 200).alias("ret20"), "trend", scaled_score(c("amount") / c("before5") - 1, 100).alias("activity"), (c("run") * 5).alias("streak"), "contribution", "deviation", "coverage")
     own = own.withColumn("total", weighted_total(LEADER_WEIGHTS))
-    own = own.withColumn("qualified", F.coalesce((c("total") > 0) & (c("ret20") > 0) & (c("trend") >= 0) & (c("streak") > 0), F.lit(False)))
-    own = own.withColumn("confidence", level(confidence(LEADER_WEIGHTS, F.lit(1.0))))
+    tests = {n: F.coalesce(t(), F.lit(False)) for n, t in QUALIFIES.items()}
+    own = own.withColumn("qualified", F.forall(F.array(*tests.values()), lambda x: x))
+    if target is not None:
+        own = own.withColumns({k: F.array_sort(F.array_compact(F.array(*[F.when(t == F.lit(k == "passed"), n) for n, t in tests.items()]))) for k in ("passed", "failed")})
+    own = own.withColumn("confidence", level(confidence(LEADER_WEIGHTS, c("coverage"))))
+    own = own if target is not None else own.drop("coverage")
     return rank_by(own, "total", "symbol", "trade_date", "sector_id")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from barline.fixtures import table
@@ -86,6 +88,31 @@ def a23_leader_ranking(spark, d):
     return rounded(S.leaders(members(spark, d)))
 
 
+_COVERED = re.sub(r"count\(([\w*]+)\) >= ([23]) THEN", r"count(\1) >= \2 AND 5 * count(\1) >= 4 * max(target) THEN", METRICS).replace(
+    "FROM nn GROUP BY", "FROM nn JOIN (SELECT sector_id, count(DISTINCT security_id) AS target FROM {memberships} WHERE generation = 3 GROUP BY 1) USING (sector_id) GROUP BY"
+)
+
+
+def targets(spark, d):
+    return S.targets(table(spark, d, "memberships").where("generation = 3"))
+
+
+@query("a20_covered_metrics", f"WITH {_COVERED}\nSELECT trade_date, sector_id, members, " + ", ".join(c6(n, n) for n in _NAMES) + " FROM mt")
+def a20_covered_metrics(spark, d):
+    return rounded(S.metrics(members(spark, d), targets(spark, d)))
+
+
+@query("a20_covered_ranking", f"WITH {RANKED.replace(METRICS, _COVERED)}\nSELECT trade_date, sector_id, members, total, CAST(row_number() OVER (PARTITION BY trade_date ORDER BY total DESC NULLS LAST, sector_id) AS INTEGER) AS rank FROM tt")
+def a20_covered_ranking(spark, d):
+    own = S.ranking(S.metrics(members(spark, d), targets(spark, d))).withColumn("total", r6("total"))
+    return S.rank_by(own, "total", "sector_id", "trade_date").select("trade_date", "sector_id", "members", "total", "rank")
+
+
+@query("a24_a25_covered_leaders", None)
+def a24_a25_covered_leaders(spark, d):
+    return rounded(S.leaders(members(spark, d), targets(spark, d)))
+
+
 @query("a22_sector_leadership", None)
 def a22_sector_leadership(spark, d):
     return rounded(S.leadership(S.leaders(members(spark, d))))

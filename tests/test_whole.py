@@ -44,3 +44,19 @@ def test_gaps_trusted_sessions_points_and_members_of_all_symbols(spark, market):
     assert rows(spark, "s4_last_trusted_sessions_all") == sorted([(b["symbol"], b["trade_date"]) for b in bars if b["trade_date"] in last], key=str)
     assert rows(spark, "s8_present_points_all") == sorted([(b["trade_date"], b["symbol"]) for b in bars], key=str)
     assert [x[0] for x in rows(spark, "s21_load_memberships_all")] == sorted(f"{s['s_suppkey']:06d}" for s in market["supplier"])
+
+
+def test_sector_measures_need_80_percent_of_the_members(spark):
+    from barline.operators import sector
+
+    day = dt.date(1998, 1, 5)
+    kind = "trade_date date, sector_id int, symbol bigint, close double, amount double, ret1 double, ret5 double, ret20 double, ret60 double, ma20 double, ma60 double, before5 double"
+    own = spark.createDataFrame([(day, k, s, 2.0, 10.0, 0.1, 0.1, 0.1, 0.1, 1.0, 1.0, 5.0) for k, n in ((1, 3), (2, 4)) for s in range(n)], kind)
+    target = sector.targets(spark.createDataFrame([(k, s) for k in (1, 2) for s in range(5)], "sector_id int, security_id bigint"))
+    got = {r.sector_id: r for r in sector.metrics(own, target).collect()}
+    assert [got[1][x] for x in ("excess5", "advancing_share", "turnover_ratio", "top3_share")] == [None] * 4
+    assert None not in tuple(got[2]) and got[2].advancing_share == 1
+    led = {(r.sector_id, r.symbol): r for r in sector.leaders(own, target).collect()}
+    assert led[1, 0].coverage == 0.6 and led[2, 0].coverage == 0.8
+    for r in led.values():
+        assert sorted(r.passed + r.failed) == sorted(sector.QUALIFIES) and r.qualified == (not r.failed)
