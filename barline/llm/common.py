@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,11 +17,20 @@ pa.set_memory_pool(pa.system_memory_pool())
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
+    """The shared folder of ``spark.checkpoint.dir``, or that set by ``setCheckpointDir``.
+
+    Where there is neither, a temporary folder is made if driver and tasks are one process (local tests); a cluster must
+    name a folder, as executors do not see each other's disks.
+    """
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-ckpt-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+    return named
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -65,6 +65,7 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x[fresh], np.concatenate([[0], np.cumsum(fresh)])[upto]
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """A 64-bit number of a set, as Spark's signed bigint."""
-    return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)
+def set_name(tokens: np.ndarray, seed: int) -> tuple[int, int]:
+    """128 bits of hash of a set as two of Spark's signed bigints: its number, and what tells sets with one number apart."""
+    x = xxhash.xxh3_128_intdigest(tokens.tobytes(), seed)
+    return (x & (1 << 64) - 1) - (1 << 63), (x >> 64) - (1 << 63)

@@ -90,7 +90,15 @@ def test_repeats_nulls_and_empties(docs):
     df = docs([(5, text), (5, text), (3, text.upper()), (None, text), (7, None), (8, "")])
     assert sorted((tuple(r) for r in jaccard_components(df).collect()), key=str) == sorted([(5, 6, 3), (5, 6, 3), (3, 6, 3), (None, 6, 3), (7, 0, 7), (8, 0, 8)], key=str)
     left = drop_near_duplicates(df)
-    assert sorted((r.doc_id for r in left.collect()), key=str) == [3, 7, 8, None] and left.schema == df.schema
+    assert sorted((r.doc_id for r in left.collect()), key=str) == [3, 7, 8] and left.schema == df.schema
     assert jaccard_components(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         jaccard_components(df, percent=50)
+
+
+def test_one_document_of_each_group_stays(docs):
+    text, other = "one two three four five six seven eight nine ten", "a b c d e f g"
+    df = docs([(5, text), (3, text.upper()), (3, text.upper()), (3, other), (3, text.title()), (9, other), (None, "x y"), (None, "x y"), (4, ""), (4, ""), (None, None)])
+    left = drop_near_duplicates(df.withColumnRenamed("id", "_id"))
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in left.collect()), key=str)
+    assert got == sorted([(3, text), (3, other), (None, "x y"), (4, ""), (4, ""), (None, "")], key=str)
