@@ -1,11 +1,16 @@
 """Best-fit packing of token pieces into fixed-length sequences by a configuration linear program.
 
 Only the histogram of piece lengths (at most one entry per length up to the capacity) comes to the driver. There the
-program "cover every length with as few filled patterns as possible" is solved by multiplicative weights: a knapsack
-dynamic program prices the best pattern at the current weights, the pattern is taken some number of times, and the weights
-of the lengths that it covers shrink. The fractional solution is rounded down, further priced patterns use up what is
-left, and the last few pieces of each length are placed best-fit, longest first. The plan, a few thousand runs of
-"pieces a..b of length l go to place o of sequences s..", has a size that depends on the capacity alone.
+program "cover every length by filled patterns, as few as possible" is solved by multiplicative weights. A length's weight,
+the dual, is its share of a sequence times an exponential of how far its coverage lags behind. In each round a knapsack
+dynamic program prices the best pattern at the weights; the pattern around every length that lags, if it is worth nearly
+as much, is taken so far that no length gets ahead of the next round. The amounts of all rounds are the fractional solution,
+and demand times weights over the best pattern's worth bounds from below what any packing needs.
+
+The amounts are rounded down, and what they leave, in patterns that still have room or in new ones, is placed best-fit,
+longest first. The program is solved again for what is left a few times; the solution with the fewest sequences is kept,
+plain best-fit decreasing being one of them. The plan, some thousand runs of "pieces a..b of length l go to place o of
+sequences s..", has a size that depends on the capacity alone.
 
 The pieces find their run by their rank among pieces of equal length. Ranks come from counts of (length, salt) groups, so
 that a length which holds a third of all pieces is numbered by many tasks.
@@ -26,29 +31,35 @@ from pyspark.sql import functions as F
 from barline.llm.common import kept, slices
 from barline.llm.tokens import word_ids
 
-#: Rounds of multiplicative weights, how strongly coverage lowers a length's weight, and how much long pieces count more.
-ROUNDS, RATE, BIAS = 6, 0.02, 0.5
-#: Pieces of a length left for the best-fit step, and rows in a numbering group.
-LEFT_OVER, GROUP_ROWS = 8, 50_000
+#: Rounds of multiplicative weights, how strongly lagging raises a weight, and how far below the best a pattern may be worth.
+ROUNDS, RATE, NEAR = 24, 3.0, 0.02
+#: How often the program is solved for what rounding left; rows in a numbering group.
+SOLVED, GROUP_ROWS = 2, 50_000
 
 
 # --- the plan, from a histogram -----------------------------------------------------------------------------------
 
 
-def _price(weight: np.ndarray, capacity: int) -> list[int]:
-    """For each room, the length that a best filling of it takes next, or 0; ``weight[l]`` is what a piece of length ``l`` is worth."""
-    best, pick = np.zeros(capacity + 1), [0] * (capacity + 1)
-    for c in range(1, capacity + 1):
-        values = weight[1 : c + 1] + best[c - 1 :: -1][:c]
-        i = int(values.argmax())
-        if values[i] > best[c - 1]:
-            best[c], pick[c] = values[i], i + 1
-        else:
-            best[c] = best[c - 1]
-    return pick
+Pattern = dict[int, int]
 
 
-def _filling(pick: list[int], first: int, capacity: int) -> dict[int, int]:
+def _price(weight: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """For each room what the best filling of it is worth, and the length that it takes next or 0; ``weight[l]`` is what a piece of length ``l`` is worth."""
+    best, pick = np.zeros(capacity + 1), [0] * (capacity + 1)
+    lengths = np.flatnonzero(weight > 0)
+    worth = weight[lengths]
+    for room, n in enumerate(np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()):
+        if room:
+            best[room] = best[room - 1]
+        if n:
+            values = worth[:n] + best[room - lengths[:n]]
+            i = int(values.argmax())
+            if values[i] > best[room] + 1e-12:
+                best[room], pick[room] = values[i], int(lengths[i])
+    return best, pick
+
+
+def _filling(pick: list[int], first: int, capacity: int) -> Pattern:
     """The pattern that holds ``first`` and the best filling of the rest."""
     pattern, room = {first: 1}, capacity - first
     while room > 0:
@@ -59,9 +70,67 @@ def _filling(pick: list[int], first: int, capacity: int) -> dict[int, int]:
     return pattern
 
 
+def fractional_patterns(demand: np.ndarray, capacity: int) -> tuple[list[tuple[Pattern, float]], float]:
+    """Patterns and how often each is taken, over no length's demand, and a lower bound of the sequences needed."""
+    wanted, share = demand > 0, np.arange(capacity + 1) / capacity
+    covered, amounts, bound = np.zeros(capacity + 1), {}, 0.0
+    for n in range(1, ROUNDS + 1):
+        due, most = n / ROUNDS, min(1.0, (n + 1) / ROUNDS)
+        weight = np.where(wanted, share * np.exp(RATE * (due - covered)), 0)
+        best, pick = _price(weight, capacity)
+        bound = max(bound, float(demand @ weight) / best[capacity])
+        for first in np.flatnonzero(wanted & (covered < due))[::-1].tolist():
+            near = weight[first] + best[capacity - first] >= (1 - NEAR) * best[capacity]
+            if covered[first] >= due or not near and n < ROUNDS:
+                continue
+            pattern = _filling(pick, first, capacity)
+            amount = min((most - covered[length]) * demand[length] / k for length, k in pattern.items())
+            if amount > 1e-9:
+                for length, k in pattern.items():
+                    covered[length] += amount * k / demand[length]
+                key = tuple(sorted(pattern.items()))
+                amounts[key] = amounts.get(key, 0.0) + amount
+    return [(dict(key), x) for key, x in amounts.items()], bound
+
+
+def best_fit(left: np.ndarray, capacity: int, taken: list[tuple[Pattern, int]]) -> list[tuple[Pattern, int]]:
+    """``taken`` (pattern, times) and the pieces in ``left``, longest first, each in the fullest sequence that has room for it.
+
+    Sequences filled alike are one entry, so the work depends on the number of lengths and patterns, not of pieces.
+    """
+    groups, rooms = [], []
+
+    def opened(pattern: Pattern, times: int, room: int) -> None:
+        if times:
+            bisect.insort(rooms, (room, len(groups)))
+            groups.append((pattern, times))
+
+    for pattern, times in taken:
+        opened(pattern, times, capacity - sum(length * k for length, k in pattern.items()))
+    for length in np.flatnonzero(left)[::-1].tolist():
+        n = int(left[length])
+        while n:
+            i = bisect.bisect_left(rooms, (length, -1))
+            room, at = rooms.pop(i) if i < len(rooms) else (capacity, None)
+            pattern, times = ({}, n) if at is None else groups[at]
+            if at is not None:
+                groups[at] = (pattern, 0)
+            each = room // length  # that many follow one another into one sequence
+            full = min(times, n // each)
+            opened(pattern | {length: pattern.get(length, 0) + each}, full, room - each * length)
+            n, times = n - full * each, times - full
+            if n and times:  # the last of this length
+                last = min(n, each)
+                opened(pattern | {length: pattern.get(length, 0) + last}, 1, room - last * length)
+                n, times = n - last, times - 1
+            if at is not None:
+                opened(pattern, times, room)
+    return [x for x in groups if x[1]]
+
+
 @dataclass
 class Plan:
-    """Runs, sorted by (length, first rank): ``times`` sequences from ``sequence`` on take the pieces at ``place``."""
+    """Runs, sorted by (length, first rank): ``times`` sequences from ``sequence`` on take the pieces at ``place``; no packing needs less than ``bound`` sequences."""
 
     length: np.ndarray
     rank: np.ndarray
@@ -69,6 +138,7 @@ class Plan:
     sequence: np.ndarray
     place: np.ndarray
     sequences: int
+    bound: float
 
     def locate(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of each piece, given its rank among the pieces of its length."""
@@ -82,61 +152,22 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> Plan:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    total, share = np.maximum(left, 1), np.arange(capacity + 1) / capacity
-    taken: list[tuple[dict[int, int], int]] = []
-
-    def take(pattern: dict[int, int], times: int) -> None:
-        for length, n in pattern.items():
-            left[length] -= n * times
-        taken.append((pattern, times))
-
-    if left[capacity]:
-        take({capacity: 1}, int(left[capacity]))
-    # A piece is worth a little more than its share of a sequence, so long pieces come first; its worth falls as its
-    # length gets covered. One dynamic program prices the best pattern around every length. In each round a length takes
-    # its share of what is left over the rounds to come, rounded down.
-    for n in range(ROUNDS):
-        weight = np.where(left > 0, share * (1 + BIAS * share) * np.exp(-RATE * (1 - left / total)), 0)
-        pick = _price(weight, capacity)
-        for first in np.flatnonzero(left > LEFT_OVER)[::-1].tolist():
-            pattern = _filling(pick, first, capacity)
-            times = min(int(left[length]) // k for length, k in pattern.items())
-            times = min(times, int(left[first]) // (ROUNDS - n))
-            if times > 0:
-                take(pattern, times)
-    # What the rounding left: around the longest length, the longest that still fit, as often as there are pieces for it.
-    for first in range(capacity, 0, -1):
-        while left[first] > LEFT_OVER:
-            pattern, room = {first: 1}, capacity - first
-            for length in np.flatnonzero(left[: room + 1])[::-1].tolist():
-                k = min(room // length, int(left[length]) - pattern.get(length, 0))
-                if k > 0:
-                    pattern[length] = pattern.get(length, 0) + k
-                    room -= k * length
-                if not room:
-                    break
-            take(pattern, min(int(left[length]) // k for length, k in pattern.items()))
-    # The last pieces, longest first, each into the fullest sequence that has room.
-    rooms: list[tuple[int, int]] = []
-    filled: list[dict[int, int]] = []
-    for i, (pattern, times) in enumerate(taken):  # sequences of their own with room are open, too
-        room = capacity - sum(length * k for length, k in pattern.items())
-        if times == 1 and room:
-            taken[i] = ({}, 0)
-            bisect.insort(rooms, (room, len(filled)))
-            filled.append(pattern)
-    for length in range(capacity, 0, -1):
-        for _ in range(int(left[length])):
-            i = bisect.bisect_left(rooms, (length, -1))
-            room, k = rooms.pop(i) if i < len(rooms) else (capacity, len(filled))
-            if k == len(filled):
-                filled.append({})
-            filled[k][length] = filled[k].get(length, 0) + 1
-            if room > length:
-                bisect.insort(rooms, (room - length, k))
-    taken = [x for x in taken if x[1]] + [(pattern, 1) for pattern in filled]
+    taken, bound = [], 0.0
+    best = best_fit(left, capacity, taken)
+    for _ in range(SOLVED if left.any() else 0):
+        amounts, low = fractional_patterns(left, capacity)
+        bound = bound or low
+        whole = [(pattern, int(x + 1e-6)) for pattern, x in amounts if int(x + 1e-6)]
+        for pattern, times in whole:
+            for length, k in pattern.items():
+                left[length] -= k * times
+        taken = taken + whole
+        packed = best_fit(left, capacity, taken)
+        best = min(best, packed, key=lambda x: sum(times for _, times in x))
+        if not whole or not left.any():
+            break
     rank, runs, sequence = np.zeros(capacity + 1, np.int64), [], 0
-    for pattern, times in taken:
+    for pattern, times in best:
         place = 0
         for length, n in pattern.items():
             runs.append((length, int(rank[length]), times, sequence, place))
@@ -144,7 +175,7 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> Plan:
             place += n * length
         sequence += times
     columns = np.array(sorted(runs), np.int64).reshape(-1, 5).T
-    return Plan(*columns, sequences=sequence)
+    return Plan(*columns, sequences=sequence, bound=bound)
 
 
 # --- operators ----------------------------------------------------------------------------------------------------

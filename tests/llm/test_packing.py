@@ -44,10 +44,28 @@ def test_plan_places_every_piece_once_and_close_to_best_fit():
         s, p, m = sequence[order], place[order], lengths[order]
         first = np.append(True, s[1:] != s[:-1])
         assert (p[first] == 0).all() and (p[~first] == (p + m)[:-1][~first[1:]]).all() and (p + m).max() <= 512
-        assert plan.sequences == first.sum() <= best_fit_decreasing(lengths.tolist(), 512) * 1.02 + 1
+        assert plan.sequences == first.sum() <= best_fit_decreasing(lengths.tolist(), 512)
     assert plan_packing({}, 512).sequences == 0
 
 
+def counted(lengths):
+    return dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+
+
+def test_plan_is_never_worse_than_best_fit_nor_below_its_bound():
+    rng = np.random.default_rng(6)
+    for lengths in (rng.integers(1, 513, 4000), rng.integers(125, 251, 4000), rng.integers(175, 350, 4000), np.append(rng.integers(1, 40, 2000), rng.integers(150, 513, 2000)), np.repeat([171, 100, 250, 50], [3000, 1000, 500, 700])):
+        plan = plan_packing(counted(lengths), 512)
+        assert max(plan.bound, lengths.sum() / 512) - 1e-6 <= plan.sequences <= best_fit_decreasing(lengths.tolist(), 512)
+
+
+def test_program_finds_the_perfect_packing_of_few_lengths():
+    n = 400  # 1100 + 474 + 474 and 900 + 900 + 248 are full; best-fit decreasing pairs 1100 with 900
+    plan = plan_packing({1100: n, 900: n, 474: 2 * n, 248: n // 2}, 2048)
+    assert plan.sequences == n + n // 2 and abs(plan.bound - plan.sequences) < 1e-6
+    assert best_fit_decreasing([1100] * n + [900] * n + [474] * 2 * n + [248] * (n // 2), 2048) > plan.sequences
+
+
 def test_documents_to_sequences(docs, spark):
     texts = [(1, None), (2, ""), (3, "word " * 5000), (4, "some text"), (4, "some text"), (5, "x " * 2047), (6, "x " * 2048)]
     rows = pack_documents(docs(texts), PATH, with_ids=True).collect()
