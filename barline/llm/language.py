@@ -21,8 +21,8 @@ from barline.llm.common import slices, utf8
 
 #: Bytes in a window, numbers per byte class, filter widths, filters of each width.
 LENGTH, SIZE, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 8
-#: Bounds of the training sample: labelled documents per language, languages, windows per document.
-PER_LANGUAGE, LANGUAGES, WINDOWS = 800, 64, 4
+#: Bounds of the training sample: labelled documents per language, windows per document.
+PER_LANGUAGE, WINDOWS = 800, 4
 STEPS, BATCH, RATE = 300, 128, 0.01
 #: Slots in which a language's sample is chosen first.
 SLOTS = 16
@@ -145,12 +145,12 @@ def predict(network: Network, column: pa.Array, tables=None) -> tuple[np.ndarray
     total = np.zeros((len(size), len(network.languages)))
     letters = np.zeros(len(size))
     bias = network.bias.astype(np.float32)
-    for i in range(0, len(of), 1024):
-        w = _windows(raw, start[i : i + 1024], at[of[i : i + 1024] + 1])
+    for i in range(0, len(of), 512):
+        w = _windows(raw, start[i : i + 512], at[of[i : i + 512] + 1])
         weight = (((w > 0) & (w < 27)) | (w >= 94)).sum(axis=1).astype(np.float64)
         chance = _softmax(_pooled(w, tables, bias) @ network.out + network.out_bias)
-        np.add.at(total, of[i : i + 1024], chance * weight[:, None])
-        np.add.at(letters, of[i : i + 1024], weight)
+        np.add.at(total, of[i : i + 512], chance * weight[:, None])
+        np.add.at(letters, of[i : i + 512], weight)
     chance = total / np.maximum(letters, 1)[:, None]
     best = chance.argmax(axis=1)
     score = np.minimum(chance[np.arange(len(size)), best], 1.0)
@@ -174,16 +174,16 @@ def _held_out(doc_id) -> F.Column:
 def training_windows(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
     """Windows of a bounded sample of labelled documents that aren't held out, and their languages.
 
-    At most PER_LANGUAGE documents of each of the LANGUAGES most frequent languages, the first by a hash, and at most
-    WINDOWS windows of each, spread evenly over the whole text.
+    At most PER_LANGUAGE documents of every language, the first by a hash, and at most WINDOWS windows of each, spread
+    evenly over the whole text. Rows that repeat language, doc_id and text count as one document.
     """
     own = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id")))
-    known = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-    slot = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))).orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-    picked = own.join(F.broadcast(known), "lang").withColumn("s", F.row_number().over(slot)).where(F.col("s") <= PER_LANGUAGE)  # so that no task sees more than SLOTS * PER_LANGUAGE rows of a language
-    picked = picked.select("lang", "doc_id", F.xxhash64("text").alias("h"), F.row_number().over(order).alias("r")).where(F.col("r") <= PER_LANGUAGE)
-    some = own.select("lang", "doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(picked.drop("r").distinct()), ["lang", "doc_id", "h"])
+    own = own.select("lang", "doc_id", "text", F.xxhash64("text").alias("h"))
+    order = [F.xxhash64("doc_id"), F.col("h")]
+    slot = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SLOTS))).orderBy(*order)  # so that no task sees more than SLOTS * PER_LANGUAGE rows of a language
+    picked = own.select("lang", "doc_id", "h").distinct().withColumn("s", F.row_number().over(slot)).where(F.col("s") <= PER_LANGUAGE)
+    picked = picked.select("lang", "doc_id", "h", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("r")).where(F.col("r") <= PER_LANGUAGE)
+    some = own.join(F.broadcast(picked.drop("r")), ["lang", "doc_id", "h"]).dropDuplicates(["lang", "doc_id", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -59,3 +59,12 @@ def test_every_window_of_a_long_text_counts():
     long = text("yy", rng, 30) + " " + text("zz", rng, 4000)
     best, _ = L.predict(net, pa.array([long, None, "123"]))
     assert net.languages[best[0]] == "zz" and best[1:].tolist() == [-1, -1]
+
+
+def test_every_language_is_learned_and_repeated_rows_count_once(spark):
+    rng = random.Random(3)
+    rows = [(i, f"l{i % 70}" + text("xx", rng, 3), f"l{i % 70}") for i in range(280)] + [(1000, "ka ti mo", "l0")] * 3000
+    windows, labels = L.training_windows(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(labels) == learned and len(learned) > 64
+    assert len(windows) == len(labels) < 300 * L.WINDOWS
