@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -12,8 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-# Workers are used again by later stages; with this pool, what a stage frees goes back to the system.
+# Workers are used again by later stages; what a stage frees goes back to the system.
 pa.set_memory_pool(pa.system_memory_pool())
+with contextlib.suppress(OSError, AttributeError):  # without glibc, its own ways hold
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD: arrays from 2 MB on are mapped for themselves, and it no longer grows
+    _libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

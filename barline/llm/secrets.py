@@ -319,7 +319,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, names[at_text], 4 << 20):
+            for batch in slices(whole, names[at_text], 2 << 20):
                 found = spans(*utf8(batch.column(at_text)), rules)
                 if any(found):
                     texts = batch.column(at_text).to_pylist()

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from barline.llm.merges import MergeTable
 
 #: Units a worker keeps; beyond it the table starts anew, which costs time only.
-KNOWN_UNITS = 300_000
+KNOWN_UNITS = 100_000
 #: Separators on which libraries differ.
 _ODD = b"\x1c\x1d\x1e\x1f"
 #: Latin-1 in lower case, with white space as a space.
