@@ -1,53 +1,76 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-White space is left out; a gram of GRAM characters starts at every character (code point) that is left and has a hash, and
-of every WINDOW consecutive hashes the smallest is chosen, the rightmost of equals. A hash and its place are one number
-(hash above, distance of the place from the end of the range below), so the smallest number is the smallest hash at its
-rightmost place. Any run of WINDOW + GRAM - 1 characters, white space not counted, that two texts share holds a hash which
-both choose, at whatever offsets it stands and in any script.
+White space is left out; a gram of GRAM characters starts at every character (code point) that is left and is hashed. Of
+every WINDOW consecutive hashes the smallest is chosen, the rightmost of equals: a hash and its place are one number (hash
+above, distance of the place from the end of the range below), so the smallest number is the smallest hash at its
+rightmost place. Chosen hashes are kept with their places, as place * 2^31 + hash. Any run of WINDOW + GRAM - 1
+characters, white space not counted, that two texts share holds a hash which both choose, at whatever offsets it stands
+and in any script.
+
+Hashes are made anew from each gram, not rolled on from the one before: among DataFrame functions a polynomial rolled by
+sums of shifted arrays took three times as long. Grams are cut from chunks of CHUNK characters that overlap, so
+that finding a gram's place is short.
+
+A text put together from the heads of two others needs no pass of its own: what they chose holds in it but for the windows
+near the seam and the end, and only those are made anew (``spliced``).
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.llm.common import parts
-
-#: Characters in a piece, pieces in a gram, grams in a window.
-PIECE, GRAM, WINDOW = 1, 24, 48
+#: Characters in a gram, grams in a window, characters in a chunk.
+GRAM, WINDOW, CHUNK = 24, 48, 32
 _PLACES = 1 << 31
-#: Rows that are sorted together to find the next document.
-_RUN = 2000
+#: Rows that are sorted together to find the next document, and most such runs.
+_RUN, _RUNS = 2000, 10_000
 
 
-def _grams(text: Column) -> Column:
-    """Numbers of hash and place of every gram; a text of fewer pieces has one gram of all of them, one without pieces none."""
-    bare = F.regexp_replace(text, r"\s+", "")
-    pieces = F.when(bare != "", F.split(bare, "")).otherwise(F.array().cast("array<string>"))
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    def number(p: Column, i: Column) -> Column:
-        h = F.xxhash64(*[F.get(p, i + k) for k in range(GRAM)])
-        return F.shiftrightunsigned(h, 33) * F.lit(_PLACES) + (F.lit(_PLACES - 1) - i)
 
-    def all_of(p: Column) -> Column:
-        last = F.greatest(F.size(p) - GRAM, F.lit(0))
-        return F.when(F.size(p) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: number(p, i))).otherwise(F.array().cast("array<bigint>"))
+def bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"\s+", "")
 
-    return F.get(F.transform(F.array(pieces), all_of), 0)
 
+def _grams(text: Column) -> Column:
+    """Numbers of hash and place of every gram of a text without white space; a text of fewer characters has one gram of all of them, an empty one none."""
+    hashed = lambda x: F.xxhash64(x).bitwiseAND(F.lit(_PLACES - 1 << 31))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{CHUNK + GRAM - 1}}})).{{1,{CHUNK}}}"))
 
-def winnowed(text: Column) -> Column:
-    """The chosen numbers of a text, in order of place; a null text counts as empty and has none."""
+    def of_chunk(x: Column, last: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.char_length(x) - (GRAM - 1))
+        grams = F.transform(starts, lambda i: hashed(F.substring(x, i, F.lit(GRAM))) + (last - i))
+        return F.when(F.char_length(x) >= GRAM, grams).otherwise(F.array().cast("array<bigint>"))
+
+    whole = F.flatten(F.transform(chunks, lambda x, k: _let(F.lit(_PLACES) - k * F.lit(CHUNK), lambda last: of_chunk(x, last))))
+    short = F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.array(hashed(text) + F.lit(_PLACES - 1)))
+    return F.when(F.char_length(text) < GRAM, short).otherwise(whole)
+
+
+def _chosen(text: Column) -> Column:
+    """The chosen hashes with their places of a text without white space."""
 
     def smallest(g: Column, steps: list[int]) -> Column:
         """Of each number and those ``steps`` places on, the smallest; places beyond the end do not count."""
-        return F.get(F.transform(F.array(g), lambda h: F.transform(h, lambda x, i: F.least(x, *[F.get(h, i + k) for k in steps]))), 0)
+        return _let(g, lambda h: F.transform(h, lambda x, i: F.least(x, *[F.get(h, i + k) for k in steps])))
 
-    g = _grams(F.coalesce(text, F.lit("")))
+    g = _grams(text)
     for steps in _grown(WINDOW):
         g = smallest(g, steps)
-    return F.get(F.transform(F.array(g), lambda m: F.array_distinct(F.slice(m, 1, F.greatest(F.size(m) - WINDOW + 1, F.least(F.size(m), F.lit(1)))))), 0)
+    least = _let(g, lambda m: F.array_distinct(F.slice(m, 1, F.greatest(F.size(m) - WINDOW + 1, F.least(F.size(m), F.lit(1))))))
+    place = lambda x: F.lit(_PLACES - 1) - x.bitwiseAND(F.lit(_PLACES - 1))
+    return F.transform(least, lambda x: place(x) * F.lit(_PLACES) + F.shiftright(x, 31))
+
+
+def winnowed(text: Column) -> Column:
+    """The chosen hashes with their places, in order of place; a null text counts as empty and has none."""
+    return _let(bare(F.coalesce(text, F.lit(""))), _chosen)
 
 
 def _grown(window: int) -> list[list[int]]:
@@ -59,14 +82,32 @@ def _grown(window: int) -> list[list[int]]:
     return steps
 
 
+def spliced(head: Column, w: Column, tail: Column, tail_w: Column) -> Column:
+    """What ``winnowed`` chooses in ``head`` followed by ``tail``, texts without white space.
+
+    ``w`` is what it chooses in a text that starts with ``head``, ``tail_w`` in one that starts with ``tail``. A choice
+    holds where all windows around it lie in the same part; the others are in reach of the seam or the end.
+    """
+    a, b = F.char_length(head), F.char_length(tail)
+    text, length = F.concat(head, tail), a + b
+    at = lambda place: F.greatest(place, F.lit(0)).cast("bigint") * F.lit(_PLACES)
+    seam = F.greatest(a - (GRAM - 1) - (2 * WINDOW - 1), F.lit(0))
+    end = F.greatest(length - (GRAM - 1) - (2 * WINDOW - 1), F.lit(0))
+    again = lambda start, size: F.transform(_chosen(F.substring(text, start + 1, size)), lambda x: x + at(start))
+    first = F.filter(w, lambda x: x < at(a - (GRAM - 1) - WINDOW + 1))
+    second = F.filter(tail_w, lambda x: (x >= at(F.lit(WINDOW - 1))) & (x < at(b - (GRAM - 1) - WINDOW + 1)))
+    second = F.transform(second, lambda x: x + at(a))
+    return F.sort_array(F.array_distinct(F.concat(first, again(seam, a + (2 * WINDOW - 2) + GRAM - seam), second, again(end, length))))
+
+
 def hashes_of(chosen: Column) -> Column:
-    """The distinct hashes of chosen numbers."""
-    return F.array_distinct(F.transform(chosen, lambda x: F.shiftrightunsigned(x, 31)))
+    """The distinct hashes of what was chosen."""
+    return F.array_distinct(F.transform(chosen, lambda x: x.bitwiseAND(F.lit(_PLACES - 1))))
 
 
 def told(chosen: Column) -> Column:
     """A fingerprint as text: ``hash@place`` in hexadecimal digits, comma-joined, in order of place."""
-    said = lambda x: F.concat(F.lower(F.hex(F.shiftrightunsigned(x, 31))), F.lit("@"), F.lower(F.hex(F.lit(_PLACES - 1) - x.bitwiseAND(F.lit(_PLACES - 1)))))
+    said = lambda x: F.concat(F.lower(F.hex(x.bitwiseAND(F.lit(_PLACES - 1)))), F.lit("@"), F.lower(F.hex(F.shiftright(x, 31))))
     return F.array_join(F.transform(chosen, said), ",")
 
 
@@ -84,24 +125,40 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return out.select(id_col, "n_chars", told(F.col("_w")).alias("fingerprint"), hashes_of(F.col("_w")).alias("hashes"))
 
 
+def _runs(docs: DataFrame) -> Column:
+    """Number of the run of each of ``docs`` (doc_id, text): runs follow one another by descending doc_id, null ones last.
+
+    Bounds are quantiles of doc_id, at most _RUNS, so that runs have about as many rows wherever ids lie. A doc_id that fills
+    several runs, and the null ones, are dealt to as many by a hash of the text.
+    """
+    told = docs.agg(F.count("doc_id").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    runs, none = (max(1, min(x // _RUN, _RUNS)) for x in (told["n"], told["none"]))
+    cuts = [k / runs for k in range(1, runs)]
+    bounds = (docs.agg(F.percentile_approx("doc_id", cuts, 10 * runs)).first()[0] if cuts else None) or []
+    several = {i: k for i, k in Counter(bounds).items() if k > 1}
+    numbers = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>") if xs else F.array().cast("array<bigint>")
+    block = 1 + int(len(bounds) ** 0.5)  # count the bounds below in two steps
+    coarse, fine = numbers(bounds[block - 1 :: block]), numbers(bounds)
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("doc_id")))
+    own = _let(below(coarse) * block, lambda k: k + below(F.slice(fine, k + 1, block)))
+    parts = F.element_at(F.map_from_arrays(numbers([*several]), numbers([*several.values()])), F.col("doc_id")) if several else F.lit(None)
+    deal = lambda k: F.pmod(F.xxhash64("text"), k.cast("bigint"))
+    # A doc_id that is a bound is the greatest of its run, so it goes ahead of the others there.
+    dealt = F.when(parts.isNull(), F.lit(2 * _RUNS - 1)).otherwise(deal(parts))
+    return F.when(F.col("doc_id").isNull(), F.lit((runs + 1) * 2 * _RUNS) + deal(F.lit(none))).otherwise((F.lit(runs) - own).cast("bigint") * (2 * _RUNS) + dealt)
+
+
 def next_documents(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, w; neither text nor w null) with ``next_text`` and ``next_w`` of the next row by descending doc_id; the last row's next is the first.
 
-    Rows of equal doc_id follow one another by text; null doc_ids come last. A doc_id range is dealt into runs of about
-    _RUN rows, each sorted by itself; a run's last row finds the first row of the next run that has rows.
+    Null doc_ids come last. Rows of equal doc_id follow one another by text, or, where they fill several runs of rows, by
+    a hash of the text, then the text. Each run is sorted by itself; its last row finds the first row of the next run.
     """
-    span = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    low, high = span["low"] or 0, span["high"] or 0
-    runs = max(1, span["n"] // _RUN)
-    place = (F.lit(high) - F.col("doc_id")).cast("double") * F.lit(runs / (high - low + 1))
-    run = F.coalesce(F.least(F.floor(place).cast("bigint"), F.lit(runs - 1)), F.lit(runs))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    w = Window.partitionBy("run").orderBy(*order)
-    lined = docs.withColumn("run", run)
+    lined = docs.withColumn("run", _runs(docs))
+    own = sorted(r["run"] for r in lined.select("run").distinct().collect())  # a few for each of _RUNS bounds at most
+    after = docs.sparkSession.createDataFrame(list(zip(own, own[1:] + own[:1], strict=True)), "run bigint, _then bigint")
+    w = Window.partitionBy("run").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
     lined = lined.select("*", *[F.lead(c).over(w).alias(f"_{c}") for c in ("text", "w")], F.lag(F.lit(1)).over(w).isNull().alias("_head"))
-    own = docs.select(run.alias("run")).distinct()
-    follow = Window.orderBy("run")  # a row for each run of _RUN documents
-    after = own.withColumn("_then", F.coalesce(F.lead("run").over(follow), F.min("run").over(Window.partitionBy(F.lit(1)))))
     heads = lined.where("_head").select(F.col("run").alias("_then"), F.col("text").alias("_t"), F.col("w").alias("_f"))
     out = lined.join(after.join(heads, "_then").drop("_then"), "run")
     last = F.col("_text").isNull()  # texts are not null here
@@ -111,22 +168,22 @@ def next_documents(docs: DataFrame) -> DataFrame:
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """The columns of op8 for ``docs`` (doc_id, text): fingerprints of each text and of its edited text, and how alike they are.
 
-    Null texts count as empty; the likeness of two texts without pieces is 1. Repeated rows are kept; other columns are
-    not read; an empty frame gives an empty one.
+    Null texts count as empty; the likeness of two texts without characters is 1. Repeated rows are kept; other columns
+    are not read; doc_ids may be any bigints or null; an empty frame gives an empty one.
     """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = next_documents(own.withColumn("w", winnowed(F.col("text"))))
     n = F.char_length("text")
-    cut = F.floor(n / 3).cast("int")
-    edited = F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 3) as int))"), F.expr("left(next_text, cast(floor(char_length(text) / 3) as int))"))
-    out = own.select("doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "w", hashes_of(F.col("w")).alias("h"), hashes_of(F.col("next_w")).alias("next_h"))
-    out = out.select("*", winnowed(F.col("edited")).alias("e"))
+    head = F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 3) as int))")
+    tail = F.expr("left(next_text, cast(floor(char_length(text) / 3) as int))")
+    out = own.select("doc_id", n.cast("bigint").alias("n_chars"), F.sha2(F.encode(F.concat(head, tail), "UTF-8"), 256).alias("edited_sha256"), bare(head).alias("head"), bare(tail).alias("tail"), "w", "next_w")
+    out = out.withColumn("e", spliced(F.col("head"), F.col("w"), F.col("tail"), F.col("next_w")))
     return out.select(
         "doc_id",
         "n_chars",
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        "edited_sha256",
         told(F.col("w")).alias("fingerprint"),
         told(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("h"), hashes_of(F.col("e"))).alias("near_edited"),
-        likeness(F.col("h"), F.col("next_h")).alias("near_next"),
+        likeness(hashes_of(F.col("w")), hashes_of(F.col("e"))).alias("near_edited"),
+        likeness(hashes_of(F.col("w")), hashes_of(F.col("next_w"))).alias("near_next"),
     )
