@@ -20,6 +20,8 @@ from barline.llm.common import kept, parts
 
 #: Rows of the sample; pivots chosen from it; vectors in a block; queries answered together.
 SAMPLE, PIVOTS, BLOCK, QUERIES = 4096, 32, 1024, 4096
+#: Below every score.
+_NONE = np.iinfo(np.int64).min
 
 
 def whole_vectors(table: DataFrame, *, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -38,6 +40,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def scores(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers held as doubles: in doubles while no sum can pass 2^53, then in bigints, then in
+    unbounded integers, of which one that is no bigint is an error."""
+    most = np.abs(q).max(initial=0) * np.abs(vectors).max(initial=0) * q.shape[1]
+    if most < 1 << 53:
+        return (q @ vectors.T).astype(np.int64)
+    q, vectors = q.astype(np.int64), vectors.astype(np.int64)
+    return q @ vectors.T if most < 1 << 62 else (q.astype(object) @ vectors.astype(object).T).astype(np.int64)
+
+
 def _spread_out(sample: np.ndarray, n: int) -> np.ndarray:
     """Up to ``n`` rows, each the farthest from those chosen before."""
     chosen, near = [0], ((sample - sample[0]) ** 2).sum(axis=1)
@@ -56,7 +68,7 @@ class Best:
     """The best (score, smaller id) of each query so far; starts at scores that k rows are known to reach."""
 
     def __init__(self, least: np.ndarray, k: int):
-        self.k, self.least = k, least.copy()
+        self.k, self.least = k, np.where(least == -np.inf, _NONE, least).astype(np.int64)
         self.query, self.ids, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
@@ -85,9 +97,9 @@ def expand(best: Best, q: np.ndarray, q_ids: np.ndarray, q_to_pivots: np.ndarray
         expanded += len(active)
         ids = np.frombuffer(blocks.column("ids")[b].as_buffer(), np.int64)
         vectors = np.frombuffer(blocks.column("vectors")[b].as_buffer(), np.float64).reshape(len(ids), -1)
-        score = q[active] @ vectors.T  # whole numbers below 2^53 are exact
+        score = scores(q[active], vectors)
         row, column = np.nonzero((score >= best.least[active][:, None]) & (ids != q_ids[active][:, None]))
-        best.add(active[row], ids[column], score[row, column].astype(np.int64))
+        best.add(active[row], ids[column], score[row, column])
     return expanded
 
 
@@ -126,7 +138,8 @@ def top_k(table: DataFrame, is_query, *, k: int = 10, scale: int = 1024, id_col:
 
     Ties go to the smaller vec_id; a row with the query's own id is no candidate; fewer candidates give fewer rows. A
     repeated candidate row counts each time; a repeated query row is answered once for each of its vectors. Rows that
-    ``whole_vectors`` leaves out take no part. Scores are exact up to 2^53.
+    ``whole_vectors`` leaves out take no part. Scores are exact; one beyond a bigint is an error. Each block of about QUERIES
+    queries is a job of its own, whose result is written before the next begins.
     """
     spark = table.sparkSession
     vectors = kept(whole_vectors(table, id_col=id_col, vector_col=vector_col, scale=scale))
@@ -141,14 +154,14 @@ def top_k(table: DataFrame, is_query, *, k: int = 10, scale: int = 1024, id_col:
     n = asked.count()
     blocks = 1 + n // QUERIES
     asked = kept(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))) if blocks > 1 else asked.withColumn("block", F.lit(0))
-    found = empty
+    found = []
     for b in range(blocks):  # each holds about QUERIES queries
         own = asked.where(F.col("block") == b).select("vec_id", "v").toArrow().combine_chunks().to_batches()
         if not own:
             continue
         q, q_ids = _matrix(own[0].column("v")), own[0].column("vec_id").to_numpy()
-        first = np.where(q_ids[:, None] == seen_ids, -np.inf, q @ seen.T)
-        least = np.sort(first, axis=1)[:, -k] if len(seen_ids) > k else np.full(len(q), -np.inf)
+        first = np.where(q_ids[:, None] == seen_ids, _NONE, scores(q, seen))
+        least = np.sort(first, axis=1)[:, -k] if len(seen_ids) > k else np.full(len(q), _NONE)
         held = spark.sparkContext.broadcast((q, q_ids, _distances(q, pivots), least))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -161,5 +174,6 @@ def top_k(table: DataFrame, is_query, *, k: int = 10, scale: int = 1024, id_col:
 
         some = index.mapInArrow(search, "q bigint, query_id bigint, vec_id bigint, score bigint")
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-        found = found.unionByName(some.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
-    return found
+        found.append(kept(some.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))._kept_at)
+        held.destroy()
+    return spark.read.schema(empty.schema).parquet(*found) if found else empty

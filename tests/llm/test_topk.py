@@ -53,3 +53,17 @@ def test_few_rows_repeats_and_nothing(spark):
     got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, kind), F.col("vec_id") % 100 == 0).collect())
     assert got == [(0, 1, 1, 1024 * 1024), (0, 2, 1, 1024 * 1024)]
     assert topk.top_k(spark.createDataFrame([], kind), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_large_components_give_exact_scores(spark):
+    rng = random.Random(9)
+    rows = [(i, [float(rng.randint(-(10**6), 10**6)) + rng.choice([0, 0.5, 1 / 1024]) for _ in range(3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0).collect()) == brute(rows, 10, 5)
+
+
+def test_scores_of_any_size():
+    q, v = np.array([[2.0**40, -3.0, 2.0**30]]), np.array([[2.0**12 + 1, 7.0, -(2.0**32)], [2.0**22, 5.0, 1.0]])
+    assert topk.scores(q, v).tolist() == [[int(sum(int(a) * int(b) for a, b in zip(q[0], y, strict=True))) for y in v]][0:1]
+    with pytest.raises(OverflowError):
+        topk.scores(np.array([[2.0**40]]), np.array([[2.0**40]]))
