@@ -102,13 +102,20 @@ def scope_mismatch() -> Column:
 
 
 def eligibility_reason(day: Column) -> Column:
-    """Why a security is out of the universe at a day; null if it is in."""
-    return F.when(c("list_date").isNull(), "unknown_listing").when(day < c("list_date"), "not_listed").when(day >= c("delist_date"), "delisted")
+    """First reason why a security (security_type, exchange, board, list_date, delist_date) is out of the universe at a day; null if it is in."""
+    return (
+        F.when(~c("security_type").eqNullSafe("stock"), "non_stock")
+        .when(~F.coalesce(c("exchange").isin("sh", "sz"), F.lit(False)), "unsupported_exchange")
+        .when(~F.coalesce(c("board").isin("main", "chinext", "star"), F.lit(False)), "unsupported_board")
+        .when(day < c("list_date"), "not_listed_yet")
+        .when(day >= c("delist_date"), "delisted")
+    )
 
 
-def actionability_reasons(day: Column) -> Column:
-    """All reasons against acting on an eligible security: fresh listing, delisting near."""
-    return F.array_compact(F.array(F.when(F.datediff(day, c("list_date")) < 60, "new_listing"), F.when(F.datediff(c("delist_date"), day) < 60, "delisting")))
+def actionability_reasons() -> Column:
+    """Reasons against acting on a security (is_tradable, price_available; null where its price is not audited)."""
+    price = F.when(~c("price_available"), "no_price").when(c("price_available").isNull(), "price_not_audited")
+    return F.array_compact(F.array(F.when(~c("is_tradable"), "suspended"), price))
 
 
 def listed_main_board(day: Column, code: Column) -> Column:

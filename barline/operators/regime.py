@@ -11,8 +11,12 @@ from barline.operators import windows as W
 from barline.operators.sector import weighted_total
 
 c = F.col
-#: Leadership has no input here, so its weight is never in use.
-WEIGHTS = {"trend": 0.30, "breadth": 0.30, "liquidity": 0.15, "risk": 0.15}
+#: Weights of the components. Leadership has no input here, so its weight is never in use.
+WEIGHTS = {"trend": 0.30, "breadth": 0.25, "liquidity": 0.15, "risk": 0.20, "leadership": 0.10}
+#: Totals from which on a state holds; its negative is the other end.
+STRATEGIC, TACTICAL = 25.0, 10.0
+#: Fixed values, for daily sessions: where volatility, drawdown and dispersion score 100 and -100.
+RISK_BOUNDS = ((0.01, 0.03), (0.05, 0.20), (0.015, 0.04))
 
 
 def trend(index_bars: DataFrame) -> DataFrame:
@@ -42,30 +46,31 @@ def liquidity(bars: DataFrame) -> DataFrame:
     return total.select("trade_date", scaled_score(c("t") / before - 1, 100).alias("liquidity"))
 
 
-def risk(bars: DataFrame, index_bars: DataFrame) -> DataFrame:
-    """Mean of three low-is-good scores: volatility and worst drawdown of the indexes, dispersion of the stocks."""
+def risk(bars: DataFrame, index_bars: DataFrame, bounds: tuple = RISK_BOUNDS) -> DataFrame:
+    """Mean of three low-is-good scores: volatility and worst drawdown of the indexes, dispersion of the stocks. Sessions of another length than a day want ``bounds`` of their own."""
     idx = index_bars.withColumn("ret", W.period_return(1)).withColumns({"vol": W.volatility(20), "dd": W.worst_drawdown(60)})
     idx = idx.groupBy("trade_date").agg(F.avg("vol").alias("vol"), F.min("dd").alias("dd"))
     own = bars.where(usable_for_regime()).withColumn("ret1", W.daily_return()).groupBy("trade_date").agg(F.when(F.count("ret1") >= 2, F.stddev_pop("ret1")).alias("disp"))
     m = idx.join(own, "trade_date", "full_outer")
-    scores = {"s1": low_is_good(c("vol"), 0.1, 0.5), "s2": low_is_good(-c("dd"), 0.1, 0.6), "s3": low_is_good(c("disp"), 0.2, 2.0)}
+    scores = {"s1": low_is_good(c("vol"), *bounds[0]), "s2": low_is_good(-c("dd"), *bounds[1]), "s3": low_is_good(c("disp"), *bounds[2])}
     scores = {n: F.when(x.isNotNull(), s) for (n, s), x in zip(scores.items(), (c("vol"), c("dd"), c("disp")), strict=True)}
     return m.withColumns(scores).select("trade_date", weighted_total(dict.fromkeys(scores, 1 / 3)).alias("risk"))
 
 
 def score(components: DataFrame) -> DataFrame:
-    """Renormalised total, and strategic and tactical states; thresholds are inclusive."""
-    own = components.withColumn("total", clamp(weighted_total(WEIGHTS)))
+    """Renormalised total, and strategic and tactical states; thresholds are inclusive. Without any component they are range and neutral."""
+    own = components if "leadership" in components.columns else components.withColumn("leadership", F.lit(None).cast("double"))
+    own = own.withColumn("total", clamp(weighted_total(WEIGHTS)))
     t = c("total")
-    strategic = F.when(t >= 40, "bull").when(t <= -40, "bear").when(t.isNotNull(), "range").otherwise("unknown")
-    tactical = F.when(t >= 20, "risk_on").when(t <= -20, "risk_off").when(t.isNotNull(), "neutral").otherwise("unknown")
+    strategic = F.when(t >= STRATEGIC, "bull").when(t <= -STRATEGIC, "bear").otherwise("range")
+    tactical = F.when(t >= TACTICAL, "risk_on").when(t <= -TACTICAL, "risk_off").otherwise("neutral")
     return own.withColumns({"strategic": strategic, "tactical": tactical, "confidence": F.lit(0.0)})
 
 
-def history(bars: DataFrame, index_bars: DataFrame) -> DataFrame:
+def history(bars: DataFrame, index_bars: DataFrame, bounds: tuple = RISK_BOUNDS) -> DataFrame:
     """The scored components of every session."""
-    own = breadth(bars).join(liquidity(bars), "trade_date", "full_outer").join(trend(index_bars), "trade_date", "full_outer").join(risk(bars, index_bars), "trade_date", "full_outer")
-    return score(own)
+    own = breadth(bars).join(liquidity(bars), "trade_date", "full_outer").join(trend(index_bars), "trade_date", "full_outer").join(risk(bars, index_bars, bounds), "trade_date", "full_outer")
+    return score(own).drop("leadership")
 
 
 def replay_audit(saved: DataFrame, again: DataFrame, value: str = "total") -> DataFrame:

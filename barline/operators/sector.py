@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.scalars import clamp, concentration_score, level, scaled_score, share_score
+from barline.functions.scalars import concentration_score, level, low_is_good, scaled_score, share_score
 from barline.operators import windows as W
 
 c = F.col
 
-#: Weights of a sector's scores.
-SECTOR_WEIGHTS = {"strength5": 0.15, "strength20": 0.25, "strength60": 0.15, "advancing": 0.15, "above20": 0.15, "turnover": 0.10, "concentration": 0.05}
-#: Weights of a stock's scores inside its sector.
-LEADER_WEIGHTS = {"ret20": 0.4, "trend": 0.3, "activity": 0.2, "streak": 0.1}
+#: Weights of a sector's scores.
+SECTOR_WEIGHTS = {
+    "relative_strength_5d": 0.08, "relative_strength_20d": 0.12, "relative_strength_60d": 0.12, "advancing_breadth": 0.08, "above_ma20_breadth": 0.08, "above_ma60_breadth": 0.08,
+    "turnover_change_5d": 0.04, "turnover_change_20d": 0.04, "turnover_concentration_top3": 0.04, "persistence_days": 0.08, "cross_section_dispersion": 0.04,
+    "leader_count": 0.05, "leader_diffusion": 0.10, "leader_persistence_days": 0.05,
+}
+#: Weights of a stock's scores inside its sector.
+LEADER_WEIGHTS = {
+    "tradability": 0.10, "relative_strength_5d": 0.10, "relative_strength_20d": 0.15, "relative_strength_60d": 0.15, "trading_activity_20d": 0.10, "trend_quality": 0.15,
+    "sector_contribution_20d": 0.10, "persistence_days": 0.10, "dispersion_consistency": 0.05,
+}
+#: Members and share of the target with which a measure counts; spread of returns that scores 100 and -100.
+MINIMUM_MEMBERS, MINIMUM_COVERAGE, DISPERSION = 2, 0.8, (0.015, 0.04)
+#: Most confidence in a sector's and in a stock's total.
+SECTOR_CAP, LEADER_CAP = 0.75, 0.5
 
 
 def rank_by(df: DataFrame, score: str, id_: str, *by: str, out: str = "rank") -> DataFrame:
@@ -33,7 +44,7 @@ def weighted_total(scores: dict[str, float]) -> Column:
 
 def member_bars(bars: DataFrame, members: DataFrame) -> DataFrame:
     """Effective bars of main-board members with everything that sector measures need, from one set of windows."""
-    own = W.effective_bars(bars).withColumns({"ret1": W.period_return(1), "ret5": W.period_return(5), "ret20": W.period_return(20), "ret60": W.period_return(60), "ma20": W.sma(20), "ma60": W.sma(60), "before5": W.full(5, F.avg("amount"), -1)})
+    own = W.effective_bars(bars).withColumns({"ret1": W.period_return(1), "ret5": W.period_return(5), "ret20": W.period_return(20), "ret60": W.period_return(60), "ma20": W.sma(20), "ma60": W.sma(60), "before5": W.full(5, F.avg("amount"), -1), "before20": W.full(20, F.avg("amount"), -1)})
     return own.join(members.select(c("security_id").alias("symbol"), "sector_id"), "symbol")
 
 
@@ -67,55 +78,84 @@ def metrics(own: DataFrame, target: DataFrame | None = None) -> DataFrame:
     return m.join(market, "trade_date").select("trade_date", "sector_id", "members", *[(c(f"_s{n}") - c(f"_m{n}")).alias(f"excess{n}") for n in (5, 20, 60)], "advancing_share", "above20_share", "turnover_ratio", "top3_share")
 
 
-def ranking(m: DataFrame) -> DataFrame:
-    """Scores of the measures, their weighted total, and the rank of each sector on each date."""
-    scored = m.select(
-        "trade_date", "sector_id", "members", *[scaled_score(c(f"excess{n}"), 1000).alias(f"strength{n}") for n in (5, 20, 60)], share_score(c("advancing_share")).alias("advancing"), share_score(c("above20_share")).alias("above20"),
-        scaled_score(c("turnover_ratio") - 1, 100).alias("turnover"), concentration_score(c("top3_share")).alias("concentration"),
-    )
-    scored = scored.withColumn("total", weighted_total(SECTOR_WEIGHTS))
-    return rank_by(scored, "total", "sector_id", "trade_date")
-
-
 def confidence(score_columns: dict[str, float], coverage: Column, cap: float = 1.0) -> Column:
-    """Weight of the scores that are there, times coverage, capped."""
-    return F.least(sum((F.when(c(n).isNotNull(), F.lit(w)).otherwise(0.0) for n, w in score_columns.items()), F.lit(0.0)) * coverage, F.lit(cap))
+    """Weight of the scores that are there, times coverage, times the cap, which it never passes; four decimals."""
+    weight = sum((F.when(c(n).isNotNull(), F.lit(w)).otherwise(0.0) for n, w in score_columns.items()), F.lit(0.0))
+    return F.round(F.least(weight * F.greatest(F.least(coverage, F.lit(1.0)), F.lit(0.0)) * cap, F.lit(cap)), 4)
 
 
-#: Tests that a leader must pass, on its scores.
-QUALIFIES = {"positive_total": lambda: c("total") > 0, "positive_return": lambda: c("ret20") > 0, "trend_not_negative": lambda: c("trend") >= 0, "positive_streak": lambda: c("streak") > 0}
+#: Tests that a leader must pass, on its measures.
+QUALIFIES = {
+    "positive_relative_strength_20d": lambda: c("excess20") > 0, "active_turnover_20d": lambda: c("activity") >= 1,
+    "positive_trend_quality": lambda: c("trend_quality") > 0, "positive_sector_contribution_20d": lambda: c("contribution") > 0,
+}
 
 
 def leaders(own: DataFrame, target: DataFrame | None = None) -> DataFrame:
-    """Members of each sector and date by the weighted total of their scores, whether they qualify, and their confidence.
+    """Members of each sector and date by the weighted total of their nine scores, the tests they pass and fail, and the confidence in the total.
 
-    With ``target`` (of targets()) the confidence counts the share of the sector's members that have a bar, and ``passed``
-    and ``failed`` name the tests, sorted; a test without a value fails.
+    The benchmark is the mean of all members of the date. A test without a value fails; ``passed`` and ``failed`` are sorted.
+    With ``target`` (of targets()) the confidence counts the share of the sector's members that have a bar.
     """
-    by = Window.partitionBy("symbol").orderBy("trade_date")
-    own = own.withColumn("trend", W.ma_trend_quality())
-    mean = Window.partitionBy("trade_date", "sector_id")
-    own = W.with_streak(own.withColumn("spread", c("ret1") - F.avg("ret1").over(mean)), "spread", by, "run")
+    by, day, mean = Window.partitionBy("symbol").orderBy("trade_date"), Window.partitionBy("trade_date"), Window.partitionBy("trade_date", "sector_id")
+    own = own if "before20" in own.columns else own.withColumn("before20", W.full(20, F.avg("amount"), -1))
+    own = own.withColumns({"trend_quality": W.ma_trend_quality(), "spread": c("ret1") - F.avg("ret1").over(mean), "contribution": c("ret20") / F.count("ret20").over(mean), "activity": F.when(c("before20") > 0, c("amount") / c("before20"))})
+    own = own.withColumns({f"excess{n}": c(f"ret{n}") - F.avg(f"ret{n}").over(day) for n in (5, 20, 60)})
+    own = W.with_streak(own, "spread", by, "persistence")
     coverage = F.lit(1.0)
     if target is not None:
         own = own.join(F.broadcast(target), "sector_id", "left")
         coverage = F.least(F.coalesce(F.count("*").over(mean) / c("target"), F.lit(0.0)), F.lit(1.0))
-    own = own.withColumn("coverage", coverage)
-    own = own.withColumns({"contribution": c("ret20") / F.count("*").over(mean), "deviation": F.abs(c("spread"))})
-    own = own.select("trade_date", "sector_id", "symbol", clamp(c("ret20") * 200).alias("ret20"), "trend", scaled_score(c("amount") / c("before5") - 1, 100).alias("activity"), (c("run") * 5).alias("streak"), "contribution", "deviation", "coverage")
-    own = own.withColumn("total", weighted_total(LEADER_WEIGHTS))
+    scores = {
+        "tradability": F.lit(100.0), **{f"relative_strength_{n}d": scaled_score(c(f"excess{n}"), 1000) for n in (5, 20, 60)}, "trading_activity_20d": scaled_score(c("activity") - 1, 100),
+        "sector_contribution_20d": scaled_score(c("contribution"), 1000), "persistence_days": scaled_score(c("persistence"), 5), "dispersion_consistency": low_is_good(F.abs("spread"), *DISPERSION),
+    }
+    own = own.withColumns({"coverage": coverage, "deviation": F.abs("spread")} | scores)
+    own = own.select("trade_date", "sector_id", "symbol", *LEADER_WEIGHTS, "excess20", "activity", "contribution", "persistence", "deviation", "coverage").withColumn("total", weighted_total(LEADER_WEIGHTS))
     tests = {n: F.coalesce(t(), F.lit(False)) for n, t in QUALIFIES.items()}
     own = own.withColumn("qualified", F.forall(F.array(*tests.values()), lambda x: x))
-    if target is not None:
-        own = own.withColumns({k: F.array_sort(F.array_compact(F.array(*[F.when(t == F.lit(k == "passed"), n) for n, t in tests.items()]))) for k in ("passed", "failed")})
-    own = own.withColumn("confidence", level(confidence(LEADER_WEIGHTS, c("coverage"))))
-    own = own if target is not None else own.drop("coverage")
+    own = own.withColumns({k: F.array_sort(F.array_compact(F.array(*[F.when(t == F.lit(k == "passed"), n) for n, t in tests.items()]))) for k in ("passed", "failed")})
+    own = own.withColumn("confidence_value", confidence(LEADER_WEIGHTS, c("coverage"), LEADER_CAP)).withColumn("confidence", level(c("confidence_value")))
     return rank_by(own, "total", "symbol", "trade_date", "sector_id")
 
 
 def leadership(ranked: DataFrame) -> DataFrame:
-    """Per sector and date: leaders that qualify, their share, and the mean streak of those."""
-    return ranked.groupBy("trade_date", "sector_id").agg(F.count_if("qualified").alias("leaders"), F.avg(c("qualified").cast("double")).alias("share"), F.avg(F.when(c("qualified"), c("streak"))).alias("streak"))
+    """Per sector and date: candidates, leaders that qualify, their share, and the mean streak of those."""
+    return ranked.groupBy("trade_date", "sector_id").agg(F.count("*").alias("candidates"), F.count_if("qualified").alias("leaders"), F.avg(c("qualified").cast("double")).alias("share"), F.avg(F.when(c("qualified"), c("persistence"))).alias("streak"))
+
+
+def ranking(own: DataFrame, target: DataFrame, *, minimum: float = MINIMUM_COVERAGE) -> DataFrame:
+    """Fourteen scores of each sector and date, their weighted total, whether the sector is eligible, and its rank.
+
+    A score counts with MINIMUM_MEMBERS members at least and the share ``minimum`` of the target. A sector with fewer priced
+    members, or with any score that does not count, is not eligible: it has reasons, no total, and ranks last.
+    """
+    led = leadership(leaders(own))
+    own = own if "before20" in own.columns else own.withColumn("before20", W.full(20, F.avg("amount"), -1))
+    market = own.groupBy("trade_date").agg(*[F.avg(f"ret{n}").alias(f"_m{n}") for n in (1, 5, 20, 60)])
+    row = Window.partitionBy("trade_date", "sector_id").orderBy(c("amount").desc(), "symbol")
+    share = lambda x: F.avg(x.cast("double"))
+    change = lambda n: F.sum(F.when(c(f"before{n}").isNotNull(), c("amount"))) / F.sum(f"before{n}") - 1
+    m = own.withColumn("_n", F.row_number().over(row)).groupBy("trade_date", "sector_id").agg(
+        F.count("*").alias("members"), *[F.avg(f"ret{n}").alias(f"_s{n}") for n in (1, 5, 20, 60)], *[F.count(x).alias(f"_c_{x}") for x in ("ret1", "ret5", "ret20", "ret60", "ma20", "ma60", "before5", "before20")],
+        share(c("ret1") > 0).alias("_adv"), *[share(c("close") > c(f"ma{n}")).alias(f"_above{n}") for n in (20, 60)], *[change(n).alias(f"_change{n}") for n in (5, 20)],
+        (F.sum(F.when(c("_n") <= 3, c("amount"))) / F.sum("amount")).alias("_top3"), F.when(F.count("ret1") >= 2, F.stddev_pop("ret1")).alias("_dispersion"),
+    )
+    m = m.join(market, "trade_date").join(led, ["trade_date", "sector_id"]).join(F.broadcast(target), "sector_id")
+    m = W.with_streak(m.withColumn("_spread", c("_s1") - c("_m1")), "_spread", Window.partitionBy("sector_id").orderBy("trade_date"), "_streak")
+    covered = lambda n: (c(n) >= MINIMUM_MEMBERS) & (c(n) / c("target") >= minimum)
+    scores = {
+        **{f"relative_strength_{n}d": (f"_c_ret{n}", scaled_score(c(f"_s{n}") - c(f"_m{n}"), 1000)) for n in (5, 20, 60)}, "advancing_breadth": ("_c_ret1", share_score(c("_adv"))),
+        **{f"above_ma{n}_breadth": (f"_c_ma{n}", share_score(c(f"_above{n}"))) for n in (20, 60)}, **{f"turnover_change_{n}d": (f"_c_before{n}", scaled_score(c(f"_change{n}"), 100)) for n in (5, 20)},
+        "turnover_concentration_top3": ("members", concentration_score(c("_top3"))), "persistence_days": ("_c_ret1", scaled_score(c("_streak"), 5)), "cross_section_dispersion": ("_c_ret1", low_is_good(c("_dispersion"), *DISPERSION)),
+        "leader_count": ("candidates", scaled_score(c("leaders") - 1, 50)), "leader_diffusion": ("candidates", share_score(c("share"))), "leader_persistence_days": ("candidates", scaled_score(c("streak"), 5)),
+    }
+    why = {"insufficient_priced_members": c("members") < MINIMUM_MEMBERS, "insufficient_comparable_member_coverage": c("members") / c("target") < minimum, "insufficient_horizon_member_coverage": ~F.forall(F.array(*[covered(n) for n, _ in scores.values()]), lambda x: x)}
+    reasons = F.array_sort(F.array_compact(F.array(*[F.when(x, n) for n, x in why.items()])))
+    m = m.select("trade_date", "sector_id", "members", "target", reasons.alias("reasons"), *[F.when(covered(n), x).alias(k) for k, (n, x) in scores.items()])
+    m = m.withColumns({"eligible": F.size("reasons") == 0, "confidence": confidence(SECTOR_WEIGHTS, c("members") / c("target"), SECTOR_CAP)})
+    m = m.withColumn("total", F.when(c("eligible"), weighted_total(SECTOR_WEIGHTS)))
+    return rank_by(m, "total", "sector_id", "trade_date")
 
 
 def dispersion(own: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def t1_event_bars(spark, d):
 
 @query("t4_alert_state", None)
 def t4_alert_state(spark, d):
-    states = F.array(*map(F.lit, ["triggered", "acknowledged", "resolved", "suppressed", "expired", "escalated"]))
+    states = F.array(*map(F.lit, ["eligible", "triggered", "acknowledged", "suppressed", "resolved", "error"]))
     own = table(spark, d, "events").select(F.col("user_id").alias("alert_id"), F.col("event_id").alias("seq"), F.element_at(states, (F.col("event_id") % 6 + 1).cast("int")).alias("to_state"))
     return T.alert_state(own)
 

@@ -262,10 +262,17 @@ def p11_scope_mismatch(spark, d):
     return table(spark, d, "bars").where(F.col("trade_date") == DAYC()).join(master, "symbol", "left").select("symbol", B.P.scope_mismatch().alias("reason"))
 
 
-@query("p12_p16_eligibility", f"""WITH m AS (SELECT *, CASE security_id % 6 WHEN 0 THEN '600' WHEN 1 THEN '000' WHEN 2 THEN '300' WHEN 3 THEN '688' WHEN 4 THEN '900' ELSE '200' END AS code FROM {{memberships}} WHERE generation = 3)
-SELECT security_id, CASE WHEN DATE '1995-09-01' < list_date THEN 'not_listed' WHEN DATE '1995-09-01' >= delist_date THEN 'delisted' END AS reason, CASE WHEN DATE '1995-09-01' - list_date < 60 THEN 'new_listing' ELSE '' END AS against, list_date <= DATE '1995-09-01' AND (delist_date IS NULL OR DATE '1995-09-01' < delist_date) AND code IN ('600', '000') AS on_main FROM m""")
+@query("p12_p16_eligibility", f"""WITH m AS (SELECT *, CASE security_id % 6 WHEN 0 THEN '600' WHEN 1 THEN '000' WHEN 2 THEN '300' WHEN 3 THEN '688' WHEN 4 THEN '900' ELSE '200' END AS code FROM {{memberships}} WHERE generation = 3),
+t AS (SELECT m.*, CASE WHEN security_id % 11 = 0 THEN 'etf' ELSE 'stock' END AS kind, b.symbol, b.is_suspended, b.quality_status FROM m LEFT JOIN {{bars}} b ON b.symbol = security_id AND b.trade_date = DATE '1995-09-04')
+SELECT security_id, CASE WHEN kind <> 'stock' THEN 'non_stock' WHEN code IN ('900', '200') THEN 'unsupported_board' WHEN DATE '1995-09-04' < list_date THEN 'not_listed_yet' WHEN DATE '1995-09-04' >= delist_date THEN 'delisted' END AS reason,
+array_to_string(list_filter([CASE WHEN is_suspended THEN 'suspended' END, CASE WHEN symbol IS NULL THEN 'no_price' WHEN quality_status <> 'ready' THEN 'price_not_audited' END], lambda x: x IS NOT NULL), ',') AS against,
+list_date <= DATE '1995-09-04' AND (delist_date IS NULL OR DATE '1995-09-04' < delist_date) AND code IN ('600', '000') AS on_main FROM t""")
 def p12_p16_eligibility(spark, d):
-    day = F.lit("1995-09-01").cast("date")
+    day = F.lit("1995-09-04").cast("date")
     code = F.element_at(F.array(*map(F.lit, ("600", "000", "300", "688", "900", "200"))), (F.col("security_id") % 6 + 1).cast("int"))
-    own = table(spark, d, "memberships").where("generation = 3")
-    return own.select("security_id", B.P.eligibility_reason(day).alias("reason"), F.array_join(B.P.actionability_reasons(day), ",").alias("against"), B.P.listed_main_board(day, code).alias("on_main"))
+    priced = table(spark, d, "bars").where(F.col("trade_date") == day).select(F.col("symbol").alias("security_id"), "is_suspended", "quality_status", F.lit(True).alias("has"))
+    own = table(spark, d, "memberships").where("generation = 3").join(priced, "security_id", "left").withColumns({
+        "security_type": F.when(F.col("security_id") % 11 == 0, "etf").otherwise("stock"), "exchange": B.P.exchange_of(code), "board": B.P.board_of(code), "is_tradable": ~F.coalesce("is_suspended", F.lit(False)),
+        "price_available": F.when(F.col("has").isNull(), False).when(F.col("quality_status") == "ready", True),
+    })
+    return own.select("security_id", B.P.eligibility_reason(day).alias("reason"), F.array_join(B.P.actionability_reasons(), ",").alias("against"), B.P.listed_main_board(day, code).alias("on_main"))

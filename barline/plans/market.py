@@ -21,7 +21,7 @@ QUERIES, ORACLE_SQL = B.QUERIES, B.ORACLE_SQL
 DAYC = lambda: F.lit(DAY).cast("date")
 D = f"DATE '{DAY}'"
 ret = lambda n: f"close / lag(close, {n}) OVER ({OVER}) - 1"
-MEMBERS = f"""{B.EFF}, mb AS (SELECT *, {ret(1)} AS ret1, {ret(5)} AS ret5, {ret(20)} AS ret20, {ret(60)} AS ret60, {full_sql(20, 'avg(close)')} AS ma20, {full_sql(60, 'avg(close)')} AS ma60, {full_sql(5, 'avg(amount)', -1)} AS before5 FROM eff),
+MEMBERS = f"""{B.EFF}, mb AS (SELECT *, {ret(1)} AS ret1, {ret(5)} AS ret5, {ret(20)} AS ret20, {ret(60)} AS ret60, {full_sql(20, 'avg(close)')} AS ma20, {full_sql(60, 'avg(close)')} AS ma60, {full_sql(5, 'avg(amount)', -1)} AS before5, {full_sql(20, 'avg(amount)', -1)} AS before20 FROM eff),
 own AS (SELECT mb.*, sector_id FROM mb JOIN {{memberships}} ON symbol = security_id WHERE generation = 3)"""
 
 
@@ -72,20 +72,73 @@ def total(weights: dict[str, float]) -> str:
     return f"CASE WHEN {used} > 0 THEN ({' + '.join(f'coalesce({n} * {w}, 0)' for n, w in weights.items())}) / CAST({used} AS DOUBLE) END"
 
 
-RANKED = f"""{METRICS}, sc AS (SELECT trade_date, sector_id, members, {clamped('(excess5 * 1000)')} AS strength5, {clamped('(excess20 * 1000)')} AS strength20, {clamped('(excess60 * 1000)')} AS strength60, {clamped('((advancing_share - 0.5) * 200)')} AS advancing,
-{clamped('((above20_share - 0.5) * 200)')} AS above20, {clamped('((turnover_ratio - 1) * 100)')} AS turnover, {clamped('((0.75 - top3_share) * 200)')} AS concentration FROM mt),
-tt AS (SELECT *, round({total(S.SECTOR_WEIGHTS)} + 1e-9, 6) AS total FROM sc)"""
+_LEADER = {"tradability": 0.10, "relative_strength_5d": 0.10, "relative_strength_20d": 0.15, "relative_strength_60d": 0.15, "trading_activity_20d": 0.10, "trend_quality": 0.15, "sector_contribution_20d": 0.10, "persistence_days": 0.10, "dispersion_consistency": 0.05}
+_SECTOR = {"relative_strength_5d": 0.08, "relative_strength_20d": 0.12, "relative_strength_60d": 0.12, "advancing_breadth": 0.08, "above_ma20_breadth": 0.08, "above_ma60_breadth": 0.08, "turnover_change_5d": 0.04, "turnover_change_20d": 0.04, "turnover_concentration_top3": 0.04, "persistence_days": 0.08, "cross_section_dispersion": 0.04, "leader_count": 0.05, "leader_diffusion": 0.10, "leader_persistence_days": 0.05}
+_GOOD = lambda x, a, b: f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= {a} THEN 100.0 WHEN {x} >= {b} THEN -100.0 ELSE 100 - 200 * ({x} - {a}) / CAST({b} - {a} AS DOUBLE) END"
 
 
-@query("a21_sector_ranking", f"WITH {RANKED}\nSELECT trade_date, sector_id, members, total, CAST(row_number() OVER (PARTITION BY trade_date ORDER BY total DESC NULLS LAST, sector_id) AS INTEGER) AS rank FROM tt")
+def streaks(name: str, source: str, by: str, x: str) -> str:
+    """Tables that add ``streak``, the signed and capped run of the sign of ``x``, to ``source``."""
+    w = f"PARTITION BY {by} ORDER BY trade_date"
+    return f"""{name}1 AS (SELECT *, sign({x}) AS sg, row_number() OVER ({w}) AS k FROM {source}), {name}2 AS (SELECT *, coalesce(sg, 9) <> coalesce(lag(sg) OVER ({w}), 9) AS changed FROM {name}1),
+{name}3 AS (SELECT *, max(CASE WHEN changed THEN k END) OVER ({w} ROWS UNBOUNDED PRECEDING) AS st FROM {name}2), {name} AS (SELECT *, CAST(least(k - st + 1, 20) * sg AS DOUBLE) AS streak FROM {name}3)"""
+
+
+LED = f"""{MEMBERS}, lw AS (SELECT *, ret5 - avg(ret5) OVER d AS excess5, ret20 - avg(ret20) OVER d AS excess20, ret60 - avg(ret60) OVER d AS excess60, ret1 - avg(ret1) OVER s AS spread, ret20 / count(ret20) OVER s AS contribution,
+CASE WHEN before20 > 0 THEN amount / before20 END AS activity FROM own WINDOW d AS (PARTITION BY trade_date), s AS (PARTITION BY trade_date, sector_id)),
+{streaks('lk', 'lw', 'symbol', 'spread')},
+ls AS (SELECT trade_date, sector_id, symbol, 100.0 AS tradability, {clamped('(excess5 * 1000)')} AS relative_strength_5d, {clamped('(excess20 * 1000)')} AS relative_strength_20d, {clamped('(excess60 * 1000)')} AS relative_strength_60d, {clamped('((activity - 1) * 100)')} AS trading_activity_20d,
+list_avg(list_filter([CASE WHEN ma20 IS NOT NULL THEN CASE WHEN close > ma20 THEN 100 ELSE -100 END END, CASE WHEN ma60 IS NOT NULL THEN CASE WHEN close > ma60 THEN 100 ELSE -100 END END], lambda x: x IS NOT NULL)) AS trend_quality,
+{clamped('(contribution * 1000)')} AS sector_contribution_20d, {clamped('(streak * 5)')} AS persistence_days, {_GOOD('abs(spread)', 0.015, 0.04)} AS dispersion_consistency, excess20, activity, contribution, streak AS persistence, abs(spread) AS deviation FROM lk),
+lt AS (SELECT *, round({total(_LEADER)} + 1e-9, 6) AS total, [excess20 > 0, activity >= 1, trend_quality > 0, contribution > 0] AS tests FROM ls),
+lq AS (SELECT *, list_count(list_filter(tests, lambda x: x)) = 4 AS qualified FROM lt),
+ld AS (SELECT trade_date, sector_id, count(*) AS candidates, count(*) FILTER (qualified) AS leaders, avg(CAST(qualified AS DOUBLE)) AS share, avg(CASE WHEN qualified THEN persistence END) AS lead FROM lq GROUP BY 1, 2)"""
+
+
+def ranked_sql(minimum: float) -> str:
+    change = lambda n: f"sum(CASE WHEN before{n} IS NOT NULL THEN amount END) / sum(before{n}) - 1 AS change{n}"
+    counts = ("ret1", "ret5", "ret20", "ret60", "ma20", "ma60", "before5", "before20")
+    scores = {
+        "relative_strength_5d": ("c_ret5", clamped("((s5 - m5) * 1000)")), "relative_strength_20d": ("c_ret20", clamped("((s20 - m20) * 1000)")), "relative_strength_60d": ("c_ret60", clamped("((s60 - m60) * 1000)")),
+        "advancing_breadth": ("c_ret1", clamped("((adv - 0.5) * 200)")), "above_ma20_breadth": ("c_ma20", clamped("((above20 - 0.5) * 200)")), "above_ma60_breadth": ("c_ma60", clamped("((above60 - 0.5) * 200)")),
+        "turnover_change_5d": ("c_before5", clamped("(change5 * 100)")), "turnover_change_20d": ("c_before20", clamped("(change20 * 100)")), "turnover_concentration_top3": ("members", clamped("((0.75 - top3) * 200)")),
+        "persistence_days": ("c_ret1", clamped("(streak * 5)")), "cross_section_dispersion": ("c_ret1", _GOOD("disp", 0.015, 0.04)), "leader_count": ("candidates", clamped("((leaders - 1) * 50)")),
+        "leader_diffusion": ("candidates", clamped("((share - 0.5) * 200)")), "leader_persistence_days": ("candidates", clamped("(lead * 5)")),
+    }
+    ok = lambda n: f"({n} >= 2 AND {n} / target >= CAST({minimum} AS DOUBLE))"
+    every = " AND ".join(ok(n) for n in dict.fromkeys(n for n, _ in scores.values()))
+    return f"""WITH {LED}, nn AS (SELECT *, row_number() OVER (PARTITION BY trade_date, sector_id ORDER BY amount DESC, symbol) AS n FROM own),
+sd AS (SELECT trade_date, sector_id, count(*) AS members, avg(ret1) AS s1, avg(ret5) AS s5, avg(ret20) AS s20, avg(ret60) AS s60, {', '.join(f'count({x}) AS c_{x}' for x in counts)}, avg(CAST(ret1 > 0 AS DOUBLE)) AS adv,
+avg(CAST(close > ma20 AS DOUBLE)) AS above20, avg(CAST(close > ma60 AS DOUBLE)) AS above60, {change(5)}, {change(20)}, sum(CASE WHEN n <= 3 THEN amount END) / sum(amount) AS top3, CASE WHEN count(ret1) >= 2 THEN stddev_pop(ret1) END AS disp FROM nn GROUP BY 1, 2),
+dm AS (SELECT trade_date, avg(ret1) AS m1, avg(ret5) AS m5, avg(ret20) AS m20, avg(ret60) AS m60 FROM own GROUP BY 1),
+tg AS (SELECT sector_id, count(DISTINCT security_id) AS target FROM {{memberships}} WHERE generation = 3 GROUP BY 1),
+sj AS (SELECT *, s1 - m1 AS sector_spread FROM sd JOIN dm USING (trade_date) JOIN ld USING (trade_date, sector_id) JOIN tg USING (sector_id)), {streaks('sk', 'sj', 'sector_id', 'sector_spread')},
+sc AS (SELECT trade_date, sector_id, members, target, {every} AS horizon, {', '.join(f'CASE WHEN {ok(n)} THEN {x} END AS {k}' for k, (n, x) in scores.items())} FROM sk),
+se AS (SELECT *, array_to_string(list_filter([CASE WHEN NOT {ok('members').split(' AND ')[1][:-1]} THEN 'insufficient_comparable_member_coverage' END, CASE WHEN NOT horizon THEN 'insufficient_horizon_member_coverage' END, CASE WHEN members < 2 THEN 'insufficient_priced_members' END], lambda x: x IS NOT NULL), ',') AS reasons FROM sc),
+st AS (SELECT *, CASE WHEN reasons = '' THEN round({total(_SECTOR)} + 1e-9, 6) END AS total FROM se)
+SELECT trade_date, sector_id, members, reasons, total, CAST(row_number() OVER (PARTITION BY trade_date ORDER BY total DESC NULLS LAST, sector_id) AS INTEGER) AS rank FROM st"""
+
+
+def _ranked(spark, d, **policy):
+    own = S.ranking(members(spark, d), targets(spark, d), **policy).withColumn("total", r6("total"))
+    own = S.rank_by(own, "total", "sector_id", "trade_date")
+    return own.select("trade_date", "sector_id", "members", F.array_join("reasons", ",").alias("reasons"), "total", "rank")
+
+
+@query("a21_sector_ranking", ranked_sql(0.8))
 def a21_sector_ranking(spark, d):
-    own = S.ranking(S.metrics(members(spark, d))).withColumn("total", r6("total"))
-    return S.rank_by(own, "total", "sector_id", "trade_date").select("trade_date", "sector_id", "members", "total", "rank")
+    return _ranked(spark, d)
+
+
+_TESTS = ("positive_relative_strength_20d", "active_turnover_20d", "positive_trend_quality", "positive_sector_contribution_20d")
+_NAMED = lambda keep: f"array_to_string(list_sort(list_filter([{', '.join(f'CASE WHEN coalesce(tests[{i}], false) = {keep} THEN {chr(39)}{n}{chr(39)} END' for i, n in enumerate(_TESTS, 1))}], lambda x: x IS NOT NULL)), ',')"
 
 
-@query("a23_leader_ranking", None)
+@query("a23_leader_ranking", f"WITH {LED}\nSELECT trade_date, sector_id, symbol, " + ", ".join(c6(n, n) for n in _LEADER) + f", total, qualified, {_NAMED('true')} AS passed, {_NAMED('false')} AS failed, CAST(row_number() OVER (PARTITION BY trade_date, sector_id ORDER BY total DESC NULLS LAST, symbol) AS INTEGER) AS rank FROM lq")
 def a23_leader_ranking(spark, d):
-    return rounded(S.leaders(members(spark, d)))
+    own = S.leaders(members(spark, d)).withColumn("total", r6("total"))
+    own = S.rank_by(own, "total", "symbol", "trade_date", "sector_id").withColumns({k: F.array_join(k, ",") for k in ("passed", "failed")})
+    return rounded(own.select("trade_date", "sector_id", "symbol", *_LEADER, "total", "qualified", "passed", "failed", "rank"), "total")
 
 
 _COVERED = re.sub(r"count\(([\w*]+)\) >= ([23]) THEN", r"count(\1) >= \2 AND 5 * count(\1) >= 4 * max(target) THEN", METRICS).replace(
@@ -102,10 +155,10 @@ def a20_covered_metrics(spark, d):
     return rounded(S.metrics(members(spark, d), targets(spark, d)))
 
 
-@query("a20_covered_ranking", f"WITH {RANKED.replace(METRICS, _COVERED)}\nSELECT trade_date, sector_id, members, total, CAST(row_number() OVER (PARTITION BY trade_date ORDER BY total DESC NULLS LAST, sector_id) AS INTEGER) AS rank FROM tt")
+@query("a20_covered_ranking", ranked_sql(0.5))
 def a20_covered_ranking(spark, d):
-    own = S.ranking(S.metrics(members(spark, d), targets(spark, d))).withColumn("total", r6("total"))
-    return S.rank_by(own, "total", "sector_id", "trade_date").select("trade_date", "sector_id", "members", "total", "rank")
+    """The fixture's weeks often lack members, so that half of them is asked for here."""
+    return _ranked(spark, d, minimum=0.5)
 
 
 @query("a24_a25_covered_leaders", None)
@@ -113,12 +166,12 @@ def a24_a25_covered_leaders(spark, d):
     return rounded(S.leaders(members(spark, d), targets(spark, d)))
 
 
-@query("a22_sector_leadership", None)
+@query("a22_sector_leadership", f"WITH {LED}\nSELECT trade_date, sector_id, candidates, leaders, {c6('share', 'share')}, {c6('lead', 'streak')} FROM ld")
 def a22_sector_leadership(spark, d):
     return rounded(S.leadership(S.leaders(members(spark, d))))
 
 
-@query("w19_w20_contribution_deviation", f"WITH {MEMBERS}\nSELECT trade_date, symbol, {c6('ret20 / count(*) OVER (PARTITION BY trade_date, sector_id)', 'contribution')}, {c6('abs(ret1 - avg(ret1) OVER (PARTITION BY trade_date, sector_id))', 'deviation')} FROM own")
+@query("w19_w20_contribution_deviation", f"WITH {MEMBERS}\nSELECT trade_date, symbol, {c6('ret20 / count(ret20) OVER (PARTITION BY trade_date, sector_id)', 'contribution')}, {c6('abs(ret1 - avg(ret1) OVER (PARTITION BY trade_date, sector_id))', 'deviation')} FROM own")
 def w19_w20_contribution_deviation(spark, d):
     return rounded(S.leaders(members(spark, d)).select("trade_date", "symbol", "contribution", "deviation"))
 
@@ -153,14 +206,22 @@ breadth AS (SELECT trade_date, {total(_Q)} AS breadth FROM b2)"""
 LIQUIDITY = f"""lt AS (SELECT trade_date, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS t FROM u GROUP BY 1),
 lb AS (SELECT trade_date, t, CASE WHEN count(*) OVER w = 5 THEN avg(t) OVER w END AS b FROM lt WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
 liquidity AS (SELECT trade_date, {clamped('((t / b - 1) * 100)')} AS liquidity FROM lb)"""
-_GOOD = lambda x, a, b: f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= {a} THEN 100.0 WHEN {x} >= {b} THEN -100.0 ELSE 100 - 200 * ({x} - {a}) / CAST({b} - {a} AS DOUBLE) END"
 RISK = f"""ir AS (SELECT *, {ret(1)} AS ret FROM {{index_bars}}),
 iv AS (SELECT *, CASE WHEN count(ret) OVER ({OVER} ROWS 19 PRECEDING) = 20 THEN stddev_pop(ret) OVER ({OVER} ROWS 19 PRECEDING) END AS vol, CASE WHEN count(*) OVER ({OVER} ROWS 59 PRECEDING) = 60 THEN list(close) OVER ({OVER} ROWS 59 PRECEDING) END AS cs FROM ir),
 ia AS (SELECT trade_date, avg(vol) AS vol, min(list_min(list_transform(range(1, 61), lambda i: cs[i] / list_max(cs[1:i]) - 1))) AS dd FROM iv GROUP BY 1),
 ud AS (SELECT trade_date, CASE WHEN count(r1) >= 2 THEN stddev_pop(r1) END AS disp FROM u GROUP BY 1),
-rs AS (SELECT trade_date, {_GOOD('vol', 0.1, 0.5)} AS s1, {_GOOD('(-dd)', 0.1, 0.6)} AS s2, {_GOOD('disp', 0.2, 2.0)} AS s3 FROM ia FULL JOIN ud USING (trade_date)),
+rs AS (SELECT trade_date, {_GOOD('vol', 0.01, 0.03)} AS s1, {_GOOD('(-dd)', 0.05, 0.20)} AS s2, {_GOOD('disp', 0.015, 0.04)} AS s3 FROM ia FULL JOIN ud USING (trade_date)),
 risk AS (SELECT trade_date, {total(_T)} AS risk FROM rs)"""
 
+#: The fixture's sessions are weeks, on which the bounds for days leave only 100 and -100.
+WEEKLY = ((0.1, 0.5), (0.1, 0.6), (0.2, 2.0))
+RISK_WEEKLY = re.sub(r"rs AS \(.*\n", lambda m: "rs AS (SELECT trade_date, " + f"{_GOOD('vol', 0.1, 0.5)} AS s1, {_GOOD('(-dd)', 0.1, 0.6)} AS s2, {_GOOD('disp', 0.2, 2.0)} AS s3 FROM ia FULL JOIN ud USING (trade_date)),\n", RISK)
+_REGIME = {"trend": 0.30, "breadth": 0.25, "liquidity": 0.15, "risk": 0.20}
+
+
+def regime_sql(risk: str) -> str:
+    return f"WITH {USABLE}, {TREND}, {BREADTH}, {LIQUIDITY}, {risk}, al AS (SELECT * FROM breadth FULL JOIN liquidity USING (trade_date) FULL JOIN trend USING (trade_date) FULL JOIN risk USING (trade_date)), sc AS (SELECT *, {total(_REGIME)} AS total FROM al)\nSELECT trade_date, {c6('trend', 'trend')}, {c6('breadth', 'breadth')}, {c6('liquidity', 'liquidity')}, {c6('risk', 'risk')}, {c6('total', 'total')}, CASE WHEN total >= 25 THEN 'bull' WHEN total <= -25 THEN 'bear' ELSE 'range' END AS strategic, CASE WHEN total >= 10 THEN 'risk_on' WHEN total <= -10 THEN 'risk_off' ELSE 'neutral' END AS tactical, 0.0::DOUBLE AS confidence FROM sc"
+
 
 @query("a26_regime_trend", f"WITH {TREND}\nSELECT trade_date, {c6('trend', 'trend')} FROM trend")
 def a26_regime_trend(spark, d):
@@ -182,11 +243,21 @@ def a29_regime_risk(spark, d):
     return rounded(R.risk(table(spark, d, "bars"), table(spark, d, "index_bars")))
 
 
-@query("a31_regime_history", f"WITH {USABLE}, {TREND}, {BREADTH}, {LIQUIDITY}, {RISK}, al AS (SELECT * FROM breadth FULL JOIN liquidity USING (trade_date) FULL JOIN trend USING (trade_date) FULL JOIN risk USING (trade_date)), sc AS (SELECT *, {total(R.WEIGHTS)} AS total FROM al)\nSELECT trade_date, {c6('trend', 'trend')}, {c6('breadth', 'breadth')}, {c6('liquidity', 'liquidity')}, {c6('risk', 'risk')}, {c6('total', 'total')}, CASE WHEN total >= 40 THEN 'bull' WHEN total <= -40 THEN 'bear' WHEN total IS NOT NULL THEN 'range' ELSE 'unknown' END AS strategic, CASE WHEN total >= 20 THEN 'risk_on' WHEN total <= -20 THEN 'risk_off' WHEN total IS NOT NULL THEN 'neutral' ELSE 'unknown' END AS tactical, 0.0::DOUBLE AS confidence FROM sc")
+@query("a31_regime_history", regime_sql(RISK))
 def a31_regime_history(spark, d):
     return rounded(R.history(table(spark, d, "bars"), table(spark, d, "index_bars")), "confidence")
 
 
+@query("a29_regime_risk_weekly", f"WITH {USABLE}, {RISK_WEEKLY}\nSELECT trade_date, {c6('risk', 'risk')} FROM risk")
+def a29_regime_risk_weekly(spark, d):
+    return rounded(R.risk(table(spark, d, "bars"), table(spark, d, "index_bars"), WEEKLY))
+
+
+@query("a31_regime_history_weekly", regime_sql(RISK_WEEKLY))
+def a31_regime_history_weekly(spark, d):
+    return rounded(R.history(table(spark, d, "bars"), table(spark, d, "index_bars"), WEEKLY), "confidence")
+
+
 @query("a32_replay_audit", "SELECT count(*) FILTER (year(trade_date) < 2001) AS same, 0 AS changed, count(*) FILTER (year(trade_date) >= 2001) AS unmatched FROM (SELECT DISTINCT trade_date FROM {index_bars})")
 def a32_replay_audit(spark, d):
     saved = R.trend(table(spark, d, "index_bars"))
@@ -274,10 +345,31 @@ def a36_portfolio_totals(spark, d):
     return own.withColumns({x: F.col(x).cast("double") for x in ("value", "cost", "profit")})
 
 
-@query("a37_portfolio_exposure", None)
+LATEST = "l AS (SELECT portfolio, cash, manual_nav FROM (SELECT *, row_number() OVER (PARTITION BY portfolio ORDER BY as_of DESC, revision DESC) AS rn FROM {ledger} WHERE recorded_on <= DATE '2002-01-01') WHERE rn = 1)"
+EXPOSURE = f"""{VALUED}, {LATEST}, g AS (SELECT portfolio, sum(value) AS gross_value, max(value) AS largest_value, bool_and(value IS NOT NULL) AS complete FROM v GROUP BY 1),
+e0 AS (SELECT l.portfolio, cash, manual_nav, coalesce(complete, true) AS complete, CASE WHEN coalesce(complete, true) THEN coalesce(gross_value, 0) END AS gross_value, CASE WHEN coalesce(complete, true) THEN coalesce(largest_value, 0) END AS largest_value FROM l LEFT JOIN g USING (portfolio)),
+e1 AS (SELECT *, coalesce(manual_nav, cash + gross_value) AS n FROM e0),
+ex AS (SELECT portfolio, CASE WHEN n > 0 THEN CAST(n AS DOUBLE) END AS nav, CASE WHEN n IS NULL OR n <= 0 THEN 'unavailable' WHEN manual_nav IS NOT NULL THEN 'manual_nav' ELSE 'derived_nav' END AS basis,
+CASE WHEN n > 0 THEN round_even(CAST(gross_value AS DOUBLE) / CAST(n AS DOUBLE), 6) END AS gross, CASE WHEN n > 0 THEN round_even(CAST(largest_value AS DOUBLE) / CAST(n AS DOUBLE), 6) END AS largest, complete FROM e1)"""
+
+
+def latest(spark, d):
+    return Q.latest_per_key(J.latest_revision(table(spark, d, "ledger"), F.lit("2002-01-01").cast("date")), ["portfolio"], ["as_of", "revision"])
+
+
+def exposures(spark, d):
+    return PF.exposure(valued(spark, d), latest(spark, d))
+
+
+def state(spark, d):
+    """The market's state of the day; here it always lacks a component and covers a part of the market."""
+    own = R.history(table(spark, d, "bars"), table(spark, d, "index_bars")).where(F.col("trade_date") == DAYC())
+    return own.withColumns({"degraded": F.lit(True), "full_scope": F.lit(False)})
+
+
+@query("a37_portfolio_exposure", f"WITH {EXPOSURE}\nSELECT portfolio, nav, basis, gross, largest, complete FROM ex")
 def a37_portfolio_exposure(spark, d):
-    last = Q.latest_per_key(J.latest_revision(table(spark, d, "ledger"), F.lit("2002-01-01").cast("date")), ["portfolio"], ["as_of", "revision"])
-    return PF.exposure(valued(spark, d), last)
+    return exposures(spark, d).withColumn("nav", F.col("nav").cast("double"))
 
 
 @query("a38_sector_concentration", None)
@@ -288,15 +380,22 @@ def a38_sector_concentration(spark, d):
 @query("a39_atr_budget", None)
 def a39_atr_budget(spark, d):
     own = W.atr(W.effective_bars(table(spark, d, "bars"), DAYC())).where(F.col("trade_date") == DAYC())
-    return rounded(PF.atr_budget(table(spark, d, "positions"), own, a37_portfolio_exposure(spark, d)))
+    return rounded(PF.atr_budget(table(spark, d, "positions"), own, exposures(spark, d)))
 
 
-@query("a40_guardrails", None)
+@query("a40_guardrails", f"WITH {EXPOSURE}\nSELECT portfolio, 'largest' AS measure, largest AS value, CASE WHEN largest IS NULL THEN 'unavailable' WHEN largest <= 0.20 THEN 'pass' ELSE 'breach' END AS state FROM ex")
 def a40_guardrails(spark, d):
-    return PF.guardrails(a37_portfolio_exposure(spark, d))
+    return PF.guardrails(exposures(spark, d))
 
 
 @query("a41_target_band", None)
 def a41_target_band(spark, d):
-    state = R.history(table(spark, d, "bars"), table(spark, d, "index_bars")).where(F.col("trade_date") == DAYC())
-    return PF.target_band(a37_portfolio_exposure(spark, d), state)
+    return PF.target_band(exposures(spark, d), state(spark, d))
+
+
+@query("a42_portfolio_risk", None)
+def a42_portfolio_risk(spark, d):
+    """The latest snapshot of every portfolio; its daily NAVs are the stated ones of the ledger."""
+    atr = W.atr(W.effective_bars(table(spark, d, "bars"), DAYC())).where(F.col("trade_date") == DAYC())
+    navs = J.latest_revision(table(spark, d, "ledger"), F.lit("2002-01-01").cast("date")).select("portfolio", "as_of", F.col("manual_nav").alias("nav"))
+    return PF.portfolio_risk(valued(spark, d), latest(spark, d), table(spark, d, "memberships").where("generation = 3"), atr, navs, state(spark, d))

@@ -44,10 +44,10 @@ def once_per_key(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
     return write
 
 
-#: Where an alert may go from each of its states.
+#: Where an alert may go from each of its states.
 MOVES = {
-    "new": ("triggered", "suppressed"), "triggered": ("acknowledged", "resolved", "expired"), "suppressed": ("triggered", "expired"), "acknowledged": ("resolved", "escalated"),
-    "escalated": ("resolved",), "resolved": (), "expired": (),
+    "pending": ("eligible", "suppressed", "error"), "eligible": ("triggered", "resolved", "suppressed", "error"), "triggered": ("acknowledged", "suppressed", "resolved"),
+    "acknowledged": ("suppressed", "resolved"), "suppressed": ("eligible",), "resolved": (), "error": (),
 }
 _MOVED = T.StructType([T.StructField("alert_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("to_state", T.StringType()), T.StructField("state", T.StringType()), T.StructField("accepted", T.BooleanType())])
 
@@ -62,15 +62,15 @@ def _moves(key, rows: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
 
 
 def alert_state(transitions: DataFrame) -> DataFrame:
-    """Each requested move of (alert_id, seq, to_state), whether the machine takes it, and the state after it. Alerts start as new.
+    """Each requested move of (alert_id, seq, to_state), whether the machine takes it, and the state after it. Alerts start as pending.
 
     On a stream the state is kept between batches and rows of a batch are put in order; on a table it is one pass.
     """
     if not transitions.isStreaming:
-        return transitions.groupBy("alert_id").applyInPandas(lambda key, rows: _moves(key[0], rows, "new")[0], _MOVED)
+        return transitions.groupBy("alert_id").applyInPandas(lambda key, rows: _moves(key[0], rows, "pending")[0], _MOVED)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else "new"
+        now = state.get[0] if state.exists else "pending"
         out, now = _moves(key[0], pd.concat(list(batches)), now)
         state.update((now,))
         yield out

@@ -167,6 +167,24 @@ def test_flow_windows_need_every_day(spark):
 
 
 def test_limits_pass_at_the_limit(spark):
-    df = spark.createDataFrame([(1, 1.0, 0.5), (2, None, 0.4)], "portfolio int, gross double, largest double")
+    df = spark.createDataFrame([(1, 0.2, 0.36, 0.06), (2, None, 0.35, 0.07)], "portfolio int, largest double, sector_largest double, atr_ratio double")
     got = {(r.portfolio, r.measure): r.state for r in portfolio.guardrails(df).collect()}
-    assert got == {(1, "gross"): "pass", (1, "largest"): "breach", (2, "gross"): "unavailable", (2, "largest"): "pass"}
+    assert got == {(1, "largest"): "pass", (1, "sector_largest"): "breach", (1, "atr_ratio"): "pass", (2, "largest"): "unavailable", (2, "sector_largest"): "pass", (2, "atr_ratio"): "breach"}
+
+
+def test_target_band_widens_with_each_doubt_and_needs_a_state(spark):
+    df = spark.createDataFrame([(1, 0.60), (2, 0.86), (3, None)], "portfolio int, gross double")
+    state = spark.createDataFrame([("bull", "risk_on", 0.9)], "strategic string, tactical string, confidence double")
+    got = {r.portfolio: r for r in portfolio.target_band(df, state).collect()}
+    assert (got[1].lower, got[1].upper, got[1].band_status) == (0.6, 0.85, "ready") and [got[k].within_band for k in (1, 2, 3)] == [True, False, None]
+    wide = portfolio.target_band(df, state.withColumn("confidence", F.lit(0.4))).where("portfolio = 2").first()
+    assert (wide.lower, wide.upper, wide.band_status, wide.within_band) == (0.5, 0.95, "degraded", True) and "low_regime_confidence_band_widened" in wide.reasons
+    none = portfolio.target_band(df, state.limit(0)).where("portfolio = 1").first()
+    assert none.band_status == "unavailable" and none.lower is None and none.reasons == ["market_regime_unavailable"]
+
+
+def test_drawdown_follows_the_peak_and_counts_unknown_days(spark):
+    df = spark.createDataFrame([(1, 1, 100.0), (1, 2, 120.0), (1, 3, None), (1, 4, 90.0), (1, 5, 108.0), (2, 1, 0.0)], "portfolio int, as_of int, nav double")
+    got = {r.portfolio: r for r in portfolio.drawdown(df).collect()}
+    assert (got[1].observations, got[1].unavailable) == (4, 1) and abs(got[1].max_drawdown + 0.25) < 1e-12 and abs(got[1].current_drawdown + 0.1) < 1e-12
+    assert got[2].observations == 0 and got[2].max_drawdown is None
