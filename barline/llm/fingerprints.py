@@ -88,16 +88,26 @@ def spliced(head: Column, w: Column, tail: Column, tail_w: Column) -> Column:
     ``w`` is what it chooses in a text that starts with ``head``, ``tail_w`` in one that starts with ``tail``. A choice
     holds where all windows around it lie in the same part; the others are in reach of the seam or the end.
     """
-    a, b = F.char_length(head), F.char_length(tail)
-    text, length = F.concat(head, tail), a + b
+    reach = (GRAM - 1) + (2 * WINDOW - 1)
     at = lambda place: F.greatest(place, F.lit(0)).cast("bigint") * F.lit(_PLACES)
-    seam = F.greatest(a - (GRAM - 1) - (2 * WINDOW - 1), F.lit(0))
-    end = F.greatest(length - (GRAM - 1) - (2 * WINDOW - 1), F.lit(0))
-    again = lambda start, size: F.transform(_chosen(F.substring(text, start + 1, size)), lambda x: x + at(start))
-    first = F.filter(w, lambda x: x < at(a - (GRAM - 1) - WINDOW + 1))
-    second = F.filter(tail_w, lambda x: (x >= at(F.lit(WINDOW - 1))) & (x < at(b - (GRAM - 1) - WINDOW + 1)))
-    second = F.transform(second, lambda x: x + at(a))
-    return F.sort_array(F.array_distinct(F.concat(first, again(seam, a + (2 * WINDOW - 2) + GRAM - seam), second, again(end, length))))
+
+    def cut(x: Column) -> Column:
+        """All that depends on the lengths, once: bounds of places, and the parts that are made anew with their starts."""
+        a, b = x["a"], x["b"]
+        seam, end = F.greatest(a - reach, F.lit(0)), F.greatest(a + b - reach, F.lit(0))
+        return F.struct(
+            at(a - (GRAM - 1) - WINDOW + 1).alias("first"), at(b - (GRAM - 1) - WINDOW + 1).alias("second"), at(a).alias("shift"), at(seam).alias("seam"), at(end).alias("end"),
+            F.substring(x["text"], seam + 1, a + (2 * WINDOW - 2) + GRAM - seam).alias("at_seam"), F.substring(x["text"], end + 1, a + b - end).alias("at_end"),
+        )
+
+    def join(x: Column) -> Column:
+        again = lambda part, start: F.transform(_let(part, _chosen), lambda y: y + start)
+        first = F.filter(w, lambda y: y < x["first"])
+        second = F.transform(F.filter(tail_w, lambda y: (y >= F.lit((WINDOW - 1) * _PLACES)) & (y < x["second"])), lambda y: y + x["shift"])
+        return F.sort_array(F.array_distinct(F.concat(first, again(x["at_seam"], x["seam"]), second, again(x["at_end"], x["end"]))))
+
+    lengths = F.struct(F.char_length(head).alias("a"), F.char_length(tail).alias("b"), F.concat(head, tail).alias("text"))
+    return _let(_let(lengths, cut), join)
 
 
 def hashes_of(chosen: Column) -> Column:
