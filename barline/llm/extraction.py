@@ -2,7 +2,7 @@
 
 Every block element and link of a page is a node with its characters, tags, link characters and link tags. A node's
 density is its characters per tag, weighed by how few of them are links; the node whose children's densities sum highest
-is the article's subtree. The least density on the path from the body to it is the threshold: other subtrees join the
+is the article's subtree. (One is added inside the logarithms of the density, which a page without links leaves undefined.) The least density on the path from the body to it is the threshold: other subtrees join the
 text where the densities on the way reach it. Before that, elements that are no article by their kind (scripts, menus,
 forms, ...) or by their name (adverts, comments, ...) are set aside; a name, and a mark as hidden or a kind of an element
 that often wraps a page (form), does not count where its element holds most of the page in several elements of its own.
@@ -32,7 +32,7 @@ _WORD = re.compile(r"[A-Za-z]+")
 _RAW = {"script", "style", "textarea", "title", "xmp", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-_NEVER = {"head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "iframe", "object", "svg", "canvas", "dialog", "menu", "title", "figcaption", "audio", "video"}
+_NEVER = {"head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "iframe", "object", "svg", "canvas", "dialog", "menu", "title", "audio", "video"}
 #: Elements that may hold the whole page: their kind and mark as hidden are guarded as names are.
 _WRAPS = {"html", "body", "main", "article", "form"}
 _HEADINGS = {f"h{i}" for i in range(1, 7)}
@@ -63,9 +63,10 @@ class Page:
         self.flow: list[tuple[int, int, str]] = []
         self._read(source)
 
-    def _open(self, tag: str, attributes: str, at: int) -> int:
+    def _open(self, tag: str, attributes: str, at: int, inside: bool) -> int:
+        """A new node below ``at``; ``inside`` tells whether an article or main element is open."""
         words = {w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")} if "=" in attributes else set()
-        head = (tag == "header" or "header" in words) and not self._within(at, ("article", "main"))
+        head = (tag == "header" or "header" in words) and not inside
         hidden = bool(attributes) and _hidden(attributes)
         guarded = tag in _WRAPS
         never = tag in _NEVER and not guarded or head and tag == "header" or hidden and not guarded
@@ -76,13 +77,6 @@ class Page:
         self.named.append(named)
         return len(self.tag) - 1
 
-    def _within(self, at: int, tags) -> bool:
-        while at >= 0:
-            if self.tag[at] in tags:
-                return True
-            at = self.parent[at]
-        return False
-
     def _read(self, source: str) -> None:
         at, block, upto = 0, 0, 0
         depth: dict[str, int] = {}  # open elements by name
@@ -106,7 +100,7 @@ class Page:
             if not tag:
                 continue
             closing, attributes = m[1] or m[4], m[3] or m[6] or ""
-            if m[5] and not source[: m.end()].endswith(">"):  # the page ends inside a tag
+            if m[5] and source[m.end() - 1] != ">":  # the page ends inside a tag
                 return
             if tag == "br" or tag in ("img", "wbr"):
                 self.flow.append((at, block, " " if tag == "br" else ""))
@@ -144,7 +138,7 @@ class Page:
                 continue
             if attributes.endswith("/") and tag in ("svg", "path", "use"):
                 continue
-            at = self._open(tag, attributes, at)
+            at = self._open(tag, attributes, at, bool(depth.get("article") or depth.get("main")))
             depth[tag] = depth.get(tag, 0) + 1
 
     def text(self) -> str:

@@ -55,3 +55,15 @@ def test_words_like_hidden_hide_nothing_and_a_page_may_be_one_form():
 def test_hidden_elements_are_left_out():
     for marks in ("hidden", "HIDDEN=''", "aria-hidden=true", "aria-hidden = 'true'", "style='color:red; display : none'"):
         assert main_text(f"<body>{NAV}<div><h1>Title</h1>{ARTICLE}</div><div {marks}>{ARTICLE}</div></body>") == "Title\n" + EXPECTED, marks
+
+
+def test_captions_stay_and_many_open_headers_are_quick():
+    import time
+
+    body = "".join(f"<p>Sentence {i} of the article, long enough to count as text.</p>" for i in range(6))
+    page = f"<html><body><nav><a href='/'>Home</a></nav><article>{body}<figure><figcaption>A view of the harbour.</figcaption></figure></article></body></html>"
+    assert "A view of the harbour." in main_text(page).split("\n")
+    start = time.perf_counter()
+    main_text("<body>" + "<header>" * 20000 + body)
+    main_text("<p " * 20000)
+    assert time.perf_counter() - start < 10
