@@ -25,25 +25,30 @@ _NONE = np.iinfo(np.int64).min
 
 
 def whole_vectors(table: DataFrame, *, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v): ``floor(scale * x)`` of each component as double. Rows without an id or with null, non-finite or no components are left out,
-    and so are vectors of another length than most have (the smaller of equally frequent lengths counts)."""
+    """(vec_id, v): ``floor(scale * x)`` of each component as double. Rows without an id or with null, non-finite or no components are left out.
+    Lengths may differ: a shorter vector counts as if zeros followed."""
     x = F.col("v")
     v = table.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & (F.size(x) > 0))
     v = v.where(~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
-    v = v.select("vec_id", F.transform(x, lambda e: F.floor(e * scale).cast("double")).alias("v"))
-    most = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.where(F.size("v") == (most["d"] if most else 0))
+    return v.select("vec_id", F.transform(x, lambda e: F.floor(e * scale).cast("double")).alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    """The vectors of a batch, the shorter ones followed by zeros."""
+    flat, n = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+    if not len(n) or n.min() == n.max():
+        return flat.reshape(len(n), n[0] if len(n) else 0)
+    out = np.zeros((len(n), n.max()))
+    out[np.arange(n.max()) < n[:, None]] = flat
+    return out
 
 
 def scores(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Exact inner products of rows of whole numbers held as doubles: in doubles while no sum can pass 2^53, then in bigints, then in
     unbounded integers, of which one that is no bigint is an error."""
-    most = np.abs(q).max(initial=0) * np.abs(vectors).max(initial=0) * q.shape[1]
+    d = min(q.shape[1], vectors.shape[1])  # behind it one of the two is zero
+    q, vectors = q[:, :d], vectors[:, :d]
+    most = np.abs(q).max(initial=0) * np.abs(vectors).max(initial=0) * d
     if most < 1 << 53:
         return (q @ vectors.T).astype(np.int64)
     q, vectors = q.astype(np.int64), vectors.astype(np.int64)
@@ -60,7 +65,8 @@ def _spread_out(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    square = (x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * x @ pivots.T
+    d = min(x.shape[1], pivots.shape[1])
+    square = (x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * x[:, :d] @ pivots[:, :d].T
     return np.sqrt(np.maximum(square, 0))
 
 

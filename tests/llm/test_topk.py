@@ -55,6 +55,15 @@ def test_few_rows_repeats_and_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], kind), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_shorter_vectors_count_as_if_zeros_followed(spark, monkeypatch):
+    for name, value in (("SAMPLE", 20), ("PIVOTS", 4), ("BLOCK", 8)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(rng.choice([1, 3, 3, 3, 9]))]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0).collect()) == brute([(i, v + [0.0] * (9 - len(v))) for i, v in rows], 10, 5)
+
+
 def test_large_components_give_exact_scores(spark):
     rng = random.Random(9)
     rows = [(i, [float(rng.randint(-(10**6), 10**6)) + rng.choice([0, 0.5, 1 / 1024]) for _ in range(3)]) for i in range(60)]
