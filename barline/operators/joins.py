@@ -27,10 +27,12 @@ def resolve_factors(baseline: DataFrame, events: DataFrame, sessions: DataFrame)
     ``kind``: exact (a baseline of that date), daily_event or daily_carry; null factor and kind without a baseline.
     """
     base = asof_join(sessions.select("symbol", "trade_date"), baseline.select("symbol", "snapshot_date", "factor"), "symbol", "trade_date", "snapshot_date", ["snapshot_date", "factor"])
-    e = events.select("symbol", c("effective_date").alias("_eff"), c("observed_on").alias("_obs"), c("back_factor").alias("_f"))
-    hit = (c("snapshot_date") < c("_eff")) & (c("_eff") <= c("trade_date")) & (c("_obs") <= c("trade_date"))
-    best = base.join(e, "symbol").where(hit).groupBy("symbol", "trade_date").agg(F.max(F.struct("_eff", "_obs", "_f")).alias("_e"))
-    own = base.join(best, ["symbol", "trade_date"], "left")
+    # An event counts from the later of its two dates on; of those that count by a session, the greatest is kept along.
+    e = events.where(c("symbol").isNotNull() & c("effective_date").isNotNull() & c("observed_on").isNotNull())
+    e = e.select("symbol", F.greatest("effective_date", "observed_on").alias("trade_date"), F.struct(c("effective_date").alias("_eff"), c("observed_on").alias("_obs"), c("back_factor").alias("_f")).alias("_e"), F.lit(0).alias("_side"))
+    both = base.withColumn("_side", F.lit(1)).unionByName(e, allowMissingColumns=True)
+    w = Window.partitionBy("symbol").orderBy("trade_date", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("_e", F.max("_e").over(w)).where("_side = 1").withColumn("_e", F.when(c("_e._eff") > c("snapshot_date"), c("_e")))
     kind = F.when(c("snapshot_date").isNull(), None).when(c("_e").isNotNull(), "daily_event").when(c("snapshot_date") == c("trade_date"), "exact").otherwise("daily_carry")
     return own.select("symbol", "trade_date", F.coalesce("_e._f", "factor").alias("factor"), kind.alias("kind"))
 

@@ -28,6 +28,11 @@ def query(name: str, sql: str | None):
     return add
 
 
+def renamed(name: str, of: str) -> None:
+    """Registers a query under another name, too."""
+    QUERIES[name], ORACLE_SQL[name] = QUERIES[of], ORACLE_SQL[of]
+
+
 def r6(x) -> F.Column:
     """Six places; the small shift keeps halves, which engines round either way, on one side."""
     return F.round((F.col(x) if isinstance(x, str) else x) + 1e-9, 6)
@@ -144,6 +149,17 @@ def w6_macd(spark, d):
     return own.select("symbol", "trade_date", *[r6(c).alias(c) for c in ("macd", "macd_signal", "macd_hist")])
 
 
+ORACLE_SQL["w6_macd"] = _with_recursive("""f AS (
+  SELECT symbol, k, avg(close) OVER (PARTITION BY symbol ORDER BY k ROWS 11 PRECEDING) AS a, avg(close) OVER (PARTITION BY symbol ORDER BY k ROWS 25 PRECEDING) AS b FROM eff QUALIFY k = 26
+  UNION ALL SELECT x.symbol, x.k, f.a + 2.0 / 13 * (x.close - f.a), f.b + 2.0 / 27 * (x.close - f.b) FROM f JOIN eff x ON x.symbol = f.symbol AND x.k = f.k + 1),
+g AS (SELECT symbol, k, a - b AS line FROM f),
+e AS (
+  SELECT symbol, k, avg(line) OVER (PARTITION BY symbol ORDER BY k ROWS 8 PRECEDING) AS v FROM g QUALIFY k = 34
+  UNION ALL SELECT g.symbol, g.k, e.v + 2.0 / 10 * (g.line - e.v) FROM e JOIN g ON g.symbol = e.symbol AND g.k = e.k + 1)
+SELECT eff.symbol, trade_date, round(CASE WHEN v IS NOT NULL THEN line END + 1e-9, 6) AS macd, round(v + 1e-9, 6) AS macd_signal, round(line - v + 1e-9, 6) AS macd_hist
+FROM eff LEFT JOIN g ON eff.symbol = g.symbol AND eff.k = g.k LEFT JOIN e ON eff.symbol = e.symbol AND eff.k = e.k""")
+
+
 _ACCEPT = f"""WITH {EFF}, m AS (SELECT *, {full_sql(5, 'avg(close)')} AS a, {full_sql(20, 'avg(close)')} AS b, volume / nullif({full_sql(5, 'avg(volume)', -1)}, 0) AS v FROM eff),
 c AS (SELECT *, lag(a) OVER ({OVER}) AS pa, lag(b) OVER ({OVER}) AS pb FROM m),
 o AS (SELECT symbol, trade_date, CASE WHEN v IS NULL OR pa IS NULL OR pb IS NULL OR a IS NULL OR b IS NULL THEN 'insufficient' WHEN v > 1 AND pa <= pb AND a > b THEN 'matched' ELSE 'not_matched' END AS outcome FROM c)

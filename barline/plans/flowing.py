@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from barline.fixtures import table
 from barline.functions.predicates import usable_bar
-from barline.operators import recursive
+from barline.operators import flows, recursive
 from barline.operators import windows as W
 from barline.plans import bars as B
 from barline.plans.bars import DAY, query, r6
 from barline.sources import bars as SB
+from barline.sources.shared import fresh_path
 from barline.streaming import streams as T
 
 QUERIES, ORACLE_SQL = B.QUERIES, B.ORACLE_SQL
@@ -28,14 +29,12 @@ def s3_last_sessions(spark, d):
     return SB.last_sessions(table(spark, d, "bars"), DAYC(), 10).select("symbol", "trade_date")
 
 
-@query("s4_last_trusted_sessions", f"SELECT symbol, trade_date FROM {{bars}} WHERE trade_date IN (SELECT DISTINCT trade_date FROM {{bars}} WHERE trade_date <= {D} AND is_trading AND quality_status = 'ready' AND adjust_factor IS NOT NULL AND board = 'main' AND symbol % 20 = 3 ORDER BY 1 DESC LIMIT 10)")
+@query("s4_last_trusted_sessions", f"SELECT symbol, trade_date FROM {{bars}} WHERE trade_date IN (SELECT DISTINCT trade_date FROM {{bars}} WHERE trade_date <= {D} AND is_trading AND quality_status = 'ready' AND adjust_factor IS NOT NULL AND board = 'main' ORDER BY 1 DESC LIMIT 10)")
 def s4_last_trusted_sessions(spark, d):
-    return SB.last_sessions(table(spark, d, "bars"), DAYC(), 10, usable_bar() & (F.col("symbol") % 20 == 3)).select("symbol", "trade_date")
+    return SB.last_sessions(table(spark, d, "bars"), DAYC(), 10, usable_bar()).select("symbol", "trade_date")
 
 
-@query("s4_last_trusted_sessions_all", ORACLE_SQL["s4_last_trusted_sessions"].replace(" AND symbol % 20 = 3", ""))
-def s4_last_trusted_sessions_all(spark, d):
-    return SB.last_sessions(table(spark, d, "bars"), DAYC(), 10, usable_bar()).select("symbol", "trade_date")
+B.renamed("s4_last_trusted_sessions_all", "s4_last_trusted_sessions")
 
 
 @query("s5_available_dates", "SELECT DISTINCT trade_date FROM {bars} WHERE source = 'a'")
@@ -48,16 +47,13 @@ def s7_session_rows(spark, d):
     return table(spark, d, "bars").where(F.col("trade_date") == DAYC()).select("symbol", "close", "volume", "pct_change")
 
 
-@query("s8_present_points", "SELECT DISTINCT trade_date, symbol FROM {bars} WHERE symbol < 20 AND month(trade_date) = 3")
+@query("s8_present_points", "SELECT DISTINCT trade_date, symbol FROM {bars}")
 def s8_present_points(spark, d):
     own = table(spark, d, "bars")
-    return SB.present_points(own, own.where("month(trade_date) = 3").select("trade_date").distinct(), own.where("symbol < 20").select("symbol").distinct())
+    return SB.present_points(own, own.select("trade_date").distinct(), own.select("symbol").distinct())
 
 
-@query("s8_present_points_all", ORACLE_SQL["s8_present_points"].replace(" WHERE symbol < 20 AND month(trade_date) = 3", ""))
-def s8_present_points_all(spark, d):
-    own = table(spark, d, "bars")
-    return SB.present_points(own, own.select("trade_date").distinct(), own.select("symbol").distinct())
+B.renamed("s8_present_points_all", "s8_present_points")
 
 
 _NUMBERS = ["open", "high", "low", "close", "preclose", "volume", "amount", "pct_change"]
@@ -87,31 +83,35 @@ def s20_industry_history(spark, d):
     return SB.load_industry_history(raw, DAYC())
 
 
-@query("s21_load_memberships", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, s_nationkey AS sector, 'member-' || substr(sha256(lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '|' || s_nationkey), 1, 24) AS record_id FROM supplier WHERE s_suppkey % 4 <> 0")
+@query("s21_load_memberships", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, s_nationkey AS sector, 'member-' || substr(sha256(lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '|' || s_nationkey), 1, 24) AS record_id FROM supplier")
 def s21_load_memberships(spark, d):
-    own = table(spark, d, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), F.col("s_nationkey").alias("sector"), "s_suppkey")
-    return SB.load_memberships(own.where("s_suppkey % 4 <> 0").select("code"), own.select("code", "sector"))[0].select("code", "sector", "record_id")
-
-
-@query("s21_load_memberships_all", ORACLE_SQL["s21_load_memberships"].replace(" WHERE s_suppkey % 4 <> 0", ""))
-def s21_load_memberships_all(spark, d):
     own = table(spark, d, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), F.col("s_nationkey").alias("sector"))
     return SB.load_memberships(own.select("code"), own)[0].select("code", "sector", "record_id")
 
 
+B.renamed("s21_load_memberships_all", "s21_load_memberships")
+
+
 @query("t1_event_bars", "SELECT CAST(ts AS DATE) AS trade_date, user_id, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS amount FROM events GROUP BY ALL")
 def t1_event_bars(spark, d):
     return T.stream_bars(table(spark, d, "events"))
 
 
-@query("t4_alert_state", None)
+_STATES = """WITH RECURSIVE e AS (SELECT user_id AS alert_id, event_id AS seq, ['eligible', 'triggered', 'acknowledged', 'suppressed', 'resolved', 'error'][event_id % 6 + 1] AS to_state, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+r AS (SELECT alert_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS seq, '' AS to_state, 'pending' AS state, false AS accepted FROM e WHERE k = 1
+UNION ALL SELECT e.alert_id, e.k, e.seq, e.to_state, CASE WHEN (r.state || '>' || e.to_state) IN ('pending>eligible', 'pending>suppressed', 'pending>error', 'eligible>triggered', 'eligible>resolved', 'eligible>suppressed', 'eligible>error', 'triggered>acknowledged', 'triggered>suppressed', 'triggered>resolved', 'acknowledged>suppressed', 'acknowledged>resolved', 'suppressed>eligible') THEN e.to_state ELSE r.state END,
+(r.state || '>' || e.to_state) IN ('pending>eligible', 'pending>suppressed', 'pending>error', 'eligible>triggered', 'eligible>resolved', 'eligible>suppressed', 'eligible>error', 'triggered>acknowledged', 'triggered>suppressed', 'triggered>resolved', 'acknowledged>suppressed', 'acknowledged>resolved', 'suppressed>eligible')
+FROM r JOIN e ON e.alert_id = r.alert_id AND e.k = r.k + 1)"""
+
+
+@query("t4_alert_state", f"{_STATES}\nSELECT alert_id, seq, to_state, state, accepted FROM r WHERE k > 0")
 def t4_alert_state(spark, d):
     states = F.array(*map(F.lit, ["eligible", "triggered", "acknowledged", "suppressed", "resolved", "error"]))
     own = table(spark, d, "events").select(F.col("user_id").alias("alert_id"), F.col("event_id").alias("seq"), F.element_at(states, (F.col("event_id") % 6 + 1).cast("int")).alias("to_state"))
     return T.alert_state(own)
 
 
-@query("a44_alert_summary", None)
+@query("a44_alert_summary", f"{_STATES}, l AS (SELECT arg_max(state, seq) AS state FROM r WHERE k > 0 GROUP BY alert_id)\nSELECT count(*) FILTER (state = 'triggered') AS open, array_to_string(list_sort(list_distinct(list(state))), ',') AS states, CASE WHEN count(*) FILTER (state = 'triggered') > 0 THEN 'attention' ELSE 'quiet' END AS overall FROM l")
 def a44_alert_summary(spark, d):
     return T.alert_summary(t4_alert_state(spark, d))
 
@@ -124,8 +124,7 @@ def _outcomes(spark, d):
 s AS (SELECT *, k - coalesce(max(CASE WHEN NOT failed THEN k END) OVER (PARTITION BY endpoint ORDER BY k), 0) AS failures FROM e)
 SELECT endpoint, event_id, failures, CASE WHEN failures >= 3 THEN 'open' ELSE 'closed' END AS state FROM s""")
 def t5_failure_state(spark, d):
-    own = T.failure_state(_outcomes(spark, d))
-    return own.join(_outcomes(spark, d), ["endpoint", "ts"]).select("endpoint", "event_id", "failures", "state")
+    return T.failure_state(_outcomes(spark, d)).select("endpoint", "event_id", "failures", "state")
 
 
 @query("u1_user_indicator", f"WITH {B.EFF}\nSELECT symbol, trade_date, round(CASE WHEN row_number() OVER ({B.OVER}) > 3 THEN close - lag(close, 3) OVER ({B.OVER}) END + 1e-9, 6) AS momentum FROM eff")
@@ -135,3 +134,94 @@ def u1_user_indicator(spark, d):
     recursive.register_indicator("momentum3", lambda x: (x - np.concatenate([np.full(min(3, len(x)), np.nan), x[:-3]]),), ("momentum",), 3)
     own = recursive.apply_indicators(W.effective_bars(table(spark, d, "bars")), ["momentum3"])
     return own.select("symbol", "trade_date", r6("momentum").alias("momentum"))
+
+
+# --- files and streams: written to the shared folder, then read back ---
+
+
+def _written(spark, d):
+    """The bars as partitioned files, and the folder."""
+    path = fresh_path(spark, "bars")
+    own = table(spark, d, "bars")
+    SB.write_bars(own, path)
+    return own.schema, path
+
+
+def _manifest(spark, d):
+    """Files of the bars up to the year 2000 in a manifest, which is all that a reader of it may see."""
+    schema, path = _written(spark, d)
+    SB.file_manifest(spark.read.schema(schema).parquet(path)).where("year(trade_date) <= 2000").write.json(f"{path}-manifest")
+    return schema, path, f"{path}-manifest"
+
+
+@query("s2_read_manifest_bars", "SELECT symbol, trade_date, source, close FROM {bars} WHERE year(trade_date) <= 2000")
+def s2_read_manifest_bars(spark, d):
+    schema, path, manifest = _manifest(spark, d)
+    return SB.read_manifest_bars(spark, manifest, schema, root=path).select("symbol", "trade_date", "source", "close")
+
+
+@query("s6_manifest_dates", "SELECT DISTINCT trade_date FROM {bars} WHERE year(trade_date) <= 2000")
+def s6_manifest_dates(spark, d):
+    return SB.manifest_dates(spark, _manifest(spark, d)[2])
+
+
+@query("s14_replace_partitions", "SELECT symbol, trade_date, close FROM {bars} WHERE year(trade_date) <> 1998\nUNION ALL SELECT symbol, trade_date, -close FROM {bars} WHERE year(trade_date) = 1998 AND NOT is_suspended")
+def s14_replace_partitions(spark, d):
+    schema, path = _written(spark, d)
+    SB.write_bars(table(spark, d, "bars").where("year(trade_date) = 1998 and not is_suspended").withColumn("close", -F.col("close")), path)
+    return spark.read.schema(schema).parquet(path).select("symbol", "trade_date", "close")
+
+
+@query("s15_write_bars", "SELECT symbol, trade_date, source, close, volume, CAST(year(trade_date) AS INTEGER) AS year, CAST(month(trade_date) AS INTEGER) AS month FROM {bars}")
+def s15_write_bars(spark, d):
+    return spark.read.parquet(_written(spark, d)[1]).select("symbol", "trade_date", "source", "close", "volume", "year", "month")
+
+
+@query("s19_load_flows", "SELECT trade_date, scope_name, CASE WHEN scope_name <> '2' THEN main_net END AS main_net FROM {flows} WHERE scope_name <> '1' AND trade_date <= DATE '2024-01-20'")
+def s19_load_flows(spark, d):
+    odd = F.when(F.col("scope_name") == "1", "Infinity").when(F.col("scope_name") == "2", "NaN").otherwise(F.col("main_net").cast("string"))
+    raw = table(spark, d, "flows").select(F.col("trade_date").cast("string").alias("trade_date"), "scope_name", odd.alias("main_net"))
+    return flows.load_flows(raw, DAYC("2024-01-20"), ["main_net"])[0]
+
+
+def _run(stream, path, each=None):
+    """One run of a stream over all files that are there."""
+    q = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-ckpt")
+    q = q.foreachBatch(each) if each else q.format("parquet").option("path", path).outputMode("append")
+    q.start().awaitTermination()
+
+
+def _stream_of(spark, own, path):
+    """Rows as a stream of files that hold each of them twice."""
+    own.unionByName(own).write.parquet(path)
+    return spark.readStream.schema(own.schema).parquet(path)
+
+
+@query("t2_stream_factors", "SELECT symbol, effective_date, back_factor FROM {factors}")
+def t2_stream_factors(spark, d):
+    path, own = fresh_path(spark, "factors"), table(spark, d, "factors").select("symbol", "effective_date", "back_factor")
+    _run(_stream_of(spark, own, f"{path}-in"), path, T.forward_factors(path, f"{path}-through"))
+    return spark.read.schema(own.schema).parquet(path)
+
+
+@query("t3_stream_alerts", "SELECT 'rise' AS rule, symbol, trade_date FROM {bars} WHERE pct_change > 5")
+def t3_stream_alerts(spark, d):
+    path = fresh_path(spark, "alerts")
+    own = table(spark, d, "bars").where("pct_change > 5").select(F.lit("rise").alias("rule"), "symbol", "trade_date", F.col("trade_date").cast("timestamp").alias("ts"))
+    alerts = T.stream_alerts(_stream_of(spark, own, f"{path}-in"))
+    _run(alerts, path)
+    return spark.read.schema(alerts.schema).parquet(path).select("rule", "symbol", "trade_date")
+
+
+@query("t6_on_new_session", "SELECT symbol, trade_date, close FROM {bars} WHERE pct_change > 5")
+def t6_on_new_session(spark, d):
+    path, own = fresh_path(spark, "sessions"), table(spark, d, "bars").select("symbol", "trade_date", "close", "pct_change")
+    own.write.parquet(f"{path}-in")
+    each = T.on_new_session({"rise": lambda x: x.where("pct_change > 5").select("symbol", "trade_date", "close")}, path, f"{path}-log")
+
+    def twice(batch, n):  # a batch that runs again does nothing
+        each(batch, n)
+        each(batch, n)
+
+    _run(spark.readStream.schema(own.schema).parquet(f"{path}-in"), path, twice)
+    return spark.read.schema("symbol bigint, trade_date date, close double").parquet(f"{path}/rise")

@@ -23,7 +23,7 @@ def j1_asof_join(spark, d):
     return J.asof_join(left, right, "symbol", "trade_date", "effective_date", ["effective_date", "back_factor"])
 
 
-_BASE = "base AS (SELECT symbol, effective_date AS snapshot_date, back_factor AS factor FROM {factors} WHERE month(effective_date) IN (1, 7)), s AS (SELECT DISTINCT symbol, trade_date FROM {bars} WHERE year(trade_date) = 1998)"
+_BASE = "base AS (SELECT symbol, effective_date AS snapshot_date, back_factor AS factor FROM {factors} WHERE month(effective_date) IN (1, 7)), s AS (SELECT DISTINCT symbol, trade_date FROM {bars})"
 
 
 @query("j2_resolve_factors", f"""WITH {_BASE},
@@ -33,14 +33,10 @@ SELECT a.symbol, a.trade_date, coalesce(ef, factor) AS factor, CASE WHEN snapsho
 def j2_resolve_factors(spark, d):
     events = table(spark, d, "factors")
     base = events.where("month(effective_date) in (1, 7)").select("symbol", F.col("effective_date").alias("snapshot_date"), F.col("back_factor").alias("factor"))
-    return J.resolve_factors(base, events, table(spark, d, "bars").where("year(trade_date) = 1998"))
+    return J.resolve_factors(base, events, table(spark, d, "bars"))
 
 
-@query("j2_resolve_factors_all", ORACLE_SQL["j2_resolve_factors"].replace(" WHERE year(trade_date) = 1998", ""))
-def j2_resolve_factors_all(spark, d):
-    events = table(spark, d, "factors")
-    base = events.where("month(effective_date) in (1, 7)").select("symbol", F.col("effective_date").alias("snapshot_date"), F.col("back_factor").alias("factor"))
-    return J.resolve_factors(base, events, table(spark, d, "bars"))
+B.renamed("j2_resolve_factors_all", "j2_resolve_factors")
 
 
 @query("j3_bootstrap_factors", f"SELECT s_suppkey AS symbol, coalesce(arg_max(back_factor, effective_date), 1.0) AS factor, count(back_factor) = 0 AS assumed FROM supplier LEFT JOIN {{factors}} ON s_suppkey = symbol AND effective_date <= {D} GROUP BY 1")

@@ -20,13 +20,17 @@ def read_bars(bars: DataFrame, start: Column, end: Column, symbols: list | None
     return own.where(c("source") == source) if source else own
 
 
-def read_manifest_bars(spark: SparkSession, manifest: str, schema: T.StructType, start: Column | None = None, end: Column | None = None) -> DataFrame:
-    """Only the files that a manifest names for the dates; never a glob. The list of paths is all that comes to the driver."""
+def read_manifest_bars(spark: SparkSession, manifest: str, schema: T.StructType, start: Column | None = None, end: Column | None = None, root: str | None = None) -> DataFrame:
+    """Only the files that a manifest names for the dates; never a glob. The list of paths is all that comes to the driver.
+
+    ``root`` is the folder of partitioned files, whose names give the columns of the partitions.
+    """
     files = spark.read.schema(MANIFEST).json(manifest)
     if start is not None:
         files = files.where(c("trade_date").between(start, end))
     paths = [r["path"] for r in files.select("path").distinct().orderBy("path").collect()]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    reader = spark.read.option("basePath", root) if root else spark.read
+    return reader.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def manifest_dates(spark: SparkSession, manifest: str) -> DataFrame:
@@ -46,8 +50,8 @@ def available_dates(bars: DataFrame, source: str) -> DataFrame:
 
 
 def present_points(bars: DataFrame, dates: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Which of the requested pairs exist; both requests are small lists."""
-    return dates.crossJoin(symbols).join(bars, ["trade_date", "symbol"], "left_semi")
+    """Which of the requested pairs exist, each once: the bars are filtered by both requests, no pair is made."""
+    return bars.select("trade_date", "symbol").join(dates, "trade_date", "left_semi").join(symbols, "symbol", "left_semi").select("trade_date", "symbol").distinct()
 
 
 def normalize_bars(raw: DataFrame, numbers: list[str]) -> DataFrame:
@@ -95,3 +99,8 @@ def latest_effective(history: DataFrame) -> DataFrame:
     """The last record of each code; ties go to the greater sector."""
     w = Window.partitionBy("code").orderBy(F.desc("effective_from"), F.desc("sector"))
     return history.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def file_manifest(bars: DataFrame) -> DataFrame:
+    """Rows of each file and session of frames read from files, as a manifest names them."""
+    return bars.groupBy(F.input_file_name().alias("path"), "trade_date", c("source").cast("string").alias("source")).agg(F.count("*").alias("row_count"))

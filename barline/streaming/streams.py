@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -64,10 +65,26 @@ def _moves(key, rows: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
 def alert_state(transitions: DataFrame) -> DataFrame:
     """Each requested move of (alert_id, seq, to_state), whether the machine takes it, and the state after it. Alerts start as pending.
 
-    On a stream the state is kept between batches and rows of a batch are put in order; on a table it is one pass.
+    On a stream the state is kept between batches and rows of a batch are put in order. On a table each partition is read in
+    order, a batch at a time, and holds one alert's state: an alert may have any number of rows. Moves to null are not taken.
     """
     if not transitions.isStreaming:
-        return transitions.groupBy("alert_id").applyInPandas(lambda key, rows: _moves(key[0], rows, "pending")[0], _MOVED)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, now = object(), ""
+            for b in batches:
+                states, taken = [], []
+                for key, to in zip(b.column("alert_id").to_pylist(), b.column("to_state").to_pylist(), strict=True):
+                    if key != last:
+                        last, now = key, "pending"
+                    ok = to in MOVES[now]
+                    now = to if ok else now
+                    states.append(now)
+                    taken.append(ok)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(states, pa.string()), pa.array(taken, pa.bool_())], _MOVED.names)
+
+        own = transitions.select(c("alert_id").cast("long").alias("alert_id"), c("seq").cast("long").alias("seq"), c("to_state").cast("string").alias("to_state"))
+        return own.repartition("alert_id").sortWithinPartitions("alert_id", "seq", "to_state").mapInArrow(run, _MOVED)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else "pending"
@@ -78,30 +95,35 @@ def alert_state(transitions: DataFrame) -> DataFrame:
     return transitions.groupBy("alert_id").applyInPandasWithState(step, _MOVED, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-_HEALTH = T.StructType([T.StructField("endpoint", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("failures", T.LongType()), T.StructField("state", T.StringType())])
+_HEALTH = T.StructType([T.StructField("endpoint", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("failures", T.LongType()), T.StructField("state", T.StringType())])
 
 
 def _health(key, rows: pd.DataFrame, now: tuple, least: int, cool: float) -> tuple[pd.DataFrame, tuple]:
     failures, opened = now
     out = []
-    for ts, failed in rows.sort_values(["ts", "event_id"])[["ts", "failed"]].itertuples(index=False):
+    for event, ts, failed in rows.sort_values(["ts", "event_id"])[["event_id", "ts", "failed"]].itertuples(index=False):
         at = ts.timestamp()
         failures = failures + 1 if failed else 0
         if not failed:
             opened = -1.0
         elif failures >= least and (opened < 0 or at - opened >= cool):  # opens, or its probe failed
             opened = at
-        out.append((key, ts, failures, "open" if opened >= 0 else "closed"))
+        out.append((key, event, ts, failures, "open" if opened >= 0 else "closed"))
     return pd.DataFrame(out, columns=[f.name for f in _HEALTH]), (failures, opened)
 
 
 def failure_state(outcomes: DataFrame, *, least: int = 3, cool: float = 900.0) -> DataFrame:
     """State of each endpoint after each of its outcomes (endpoint, event_id, ts, failed): open after ``least`` failures in a row, closed by a success.
 
-    An open endpoint is probed after ``cool`` seconds; a failed probe opens it anew.
+    An open endpoint is probed after ``cool`` seconds; a failed probe opens it anew. On a table the failures in a row are
+    those since the last success, by windows. An outcome that is null counts as a success.
     """
     if not outcomes.isStreaming:
-        return outcomes.groupBy("endpoint").applyInPandas(lambda key, rows: _health(key[0], rows, (0, -1.0), least, cool)[0], _HEALTH)
+        w = Window.partitionBy("endpoint").orderBy("ts", "event_id")
+        own = outcomes.select("endpoint", "event_id", "ts", F.coalesce("failed", F.lit(False)).alias("failed")).withColumn("_k", F.row_number().over(w))
+        since = F.max(F.when(~c("failed"), c("_k"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        own = own.withColumn("failures", (c("_k") - F.coalesce(since, F.lit(0))).cast("long"))
+        return own.select("endpoint", "event_id", "ts", "failures", F.when(c("failures") >= least, "open").otherwise("closed").alias("state"))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out, now = _health(key[0], pd.concat(list(batches)), state.get if state.exists else (0, -1.0), least, cool)

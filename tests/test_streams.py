@@ -41,6 +41,42 @@ def test_endpoint_opens_at_three_failures_and_closes_on_success(spark):
     assert [r.state for r in got] == ["closed", "closed", "open", "open", "closed", "closed"] and [r.failures for r in got] == [1, 2, 3, 4, 0, 1]
 
 
+def test_states_of_one_alert_with_many_rows_and_of_nulls(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # an alert goes on over batches
+    try:
+        cycle = ["eligible", "suppressed", None, "resolved"]
+        rows = [(a, s, cycle[s % 4]) for a in (1, None) for s in range(100)] + [(2, 0, "error"), (2, 0, "error")]
+        df = spark.createDataFrame([(*r, 0) for r in rows], "alert_id bigint, seq bigint, to_state string, state int")
+        got = sorted(map(tuple, T.alert_state(df).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected, now = [], {}
+    for a, s, to in rows:
+        ok = to in T.MOVES[now.get(a, "pending")]
+        now[a] = to if ok else now.get(a, "pending")
+        expected.append((a, s, to, now[a], ok))
+    assert got == sorted(expected, key=str)
+    assert T.alert_state(df.limit(0)).collect() == []
+
+
+def test_health_of_equal_times_nulls_and_nothing(spark):
+    at = dt.datetime(2024, 1, 1)
+    kind = "endpoint bigint, event_id bigint, ts timestamp, failed boolean, state int"
+    df = spark.createDataFrame([(e, i, at, f, 0) for e in (1, None) for i, f in enumerate([True, True, True, None, True])], kind)
+    got = [(r.endpoint, r.event_id, r.failures, r.state) for r in T.failure_state(df).collect()]
+    assert sorted(got, key=str) == sorted([(e, i, n, "open" if n == 3 else "closed") for e in (1, None) for i, n in enumerate([1, 2, 3, 0, 1])], key=str)
+    assert T.failure_state(df.limit(0)).collect() == []
+
+
+def test_endpoint_states_on_a_stream_equal_windows(spark, tmp_path):
+    rows = [(e, i, dt.datetime(2024, 1, 1, i), (i * e) % 5 != 0) for e in (1, 2, 3) for i in range(20)]
+    spark.createDataFrame(rows, "endpoint bigint, event_id bigint, ts timestamp, failed boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
+    table = spark.read.parquet(f"{tmp_path}/in")
+    run(T.failure_state(spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in")), tmp_path)
+    got, one = (sorted(tuple(r) for r in x.collect()) for x in (spark.read.parquet(f"{tmp_path}/out"), T.failure_state(table)))
+    assert got == one and {r[4] for r in one} == {"open", "closed"}
+
+
 def test_alerts_and_sessions_happen_once(spark, tmp_path):
     df = spark.createDataFrame([("r", 1, dt.date(2024, 1, 1), 5)] * 2, "rule string, symbol int, trade_date date, v int")
     sink = T.once_per_key(f"{tmp_path}/alerts", ["rule", "symbol", "trade_date"])
