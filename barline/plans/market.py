@@ -369,12 +369,18 @@ def a37_portfolio_exposure(spark, d):
     return exposures(spark, d).withColumn("nav", F.col("nav").cast("double"))
 
 
-@query("a38_sector_concentration", None)
+@query("a38_sector_concentration", f"""WITH {VALUED}, s AS (SELECT portfolio, sector_id, sum(value) AS x FROM v LEFT JOIN (SELECT security_id, sector_id FROM {{memberships}} WHERE generation = 3) ON symbol = security_id WHERE value IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT portfolio, sum(x) AS t, max(x) AS m FROM s GROUP BY 1)
+SELECT portfolio, sector_id, CAST(round(x, 2) AS DOUBLE) AS value, round_even(CAST(x AS DOUBLE) / CAST(t AS DOUBLE), 6) AS weight, x = m AS is_largest FROM s JOIN t USING (portfolio)""")
 def a38_sector_concentration(spark, d):
-    return PF.sector_concentration(valued(spark, d), table(spark, d, "memberships").where("generation = 3"))
+    own = PF.sector_concentration(valued(spark, d), table(spark, d, "memberships").where("generation = 3"))
+    return own.withColumn("value", F.col("value").cast("double"))
 
 
-@query("a39_atr_budget", None)
+@query("a39_atr_budget", f"""WITH {EXPOSURE}, {B.EFF}, tr AS (SELECT symbol, trade_date, CASE WHEN lag(close) OVER o IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)) END AS tr FROM eff WINDOW o AS ({B.OVER})),
+ranges AS (SELECT symbol, trade_date, CASE WHEN count(tr) OVER o = 14 THEN avg(tr) OVER o END AS atr FROM tr WINDOW o AS ({B.OVER} ROWS 13 PRECEDING)),
+risk AS (SELECT portfolio, sum(CAST(quantity AS DOUBLE) * atr) AS b, bool_and(atr IS NOT NULL) AS ok FROM {{positions}} p LEFT JOIN ranges r ON p.symbol = r.symbol AND r.trade_date = {D} GROUP BY 1)
+SELECT risk.portfolio, round(CASE WHEN ok AND nav > 0 THEN b / nav END + 1e-9, 6) AS budget FROM risk LEFT JOIN ex ON ex.portfolio = risk.portfolio""")
 def a39_atr_budget(spark, d):
     own = W.atr(W.effective_bars(table(spark, d, "bars"), DAYC())).where(F.col("trade_date") == DAYC())
     return rounded(PF.atr_budget(table(spark, d, "positions"), own, exposures(spark, d)))
