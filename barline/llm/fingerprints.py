@@ -7,9 +7,9 @@ rightmost place. Chosen hashes are kept with their places, as place * 2^31 + has
 characters, white space not counted, that two texts share holds a hash which both choose, at whatever offsets it stands
 and in any script.
 
-Hashes are made anew from each gram, not rolled on from the one before: among DataFrame functions a polynomial rolled by
-sums of shifted arrays took three times as long. Grams are cut from chunks of CHUNK characters that overlap, so
-that finding a gram's place is short.
+Hashes are rolled: a character's own hash is added to a polynomial of the characters before it in a block of GRAM
+characters; a gram's hash is the polynomial of the block that it starts in, less that of the characters ahead of it, rolled
+on over as many characters of the next block. A character costs the same whatever GRAM is, and no list grows beyond GRAM.
 
 A text put together from the heads of two others needs no pass of its own: what they chose holds in it but for the windows
 near the seam and the end, and only those are made anew (``spliced``).
@@ -22,9 +22,12 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters in a gram, grams in a window, characters in a chunk.
-GRAM, WINDOW, CHUNK = 24, 48, 32
+#: Characters in a gram, grams in a window.
+GRAM, WINDOW = 24, 48
 _PLACES = 1 << 31
+#: The polynomial's modulus and base, and the base to the power at which a character leaves a gram.
+_PRIME, _BASE = (1 << 31) - 1, 1_220_703_125
+_LEAVES = pow(_BASE, GRAM, _PRIME)
 #: Rows that are sorted together to find the next document, and most such runs.
 _RUN, _RUNS = 2000, 10_000
 
@@ -40,17 +43,29 @@ def bare(text: Column) -> Column:
 
 def _grams(text: Column) -> Column:
     """Numbers of hash and place of every gram of a text without white space; a text of fewer characters has one gram of all of them, an empty one none."""
-    hashed = lambda x: F.xxhash64(x).bitwiseAND(F.lit(_PLACES - 1 << 31))
-    chunks = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{CHUNK + GRAM - 1}}})).{{1,{CHUNK}}}"))
+    zero = F.array(F.lit(0).cast("bigint"))
+    rolled = lambda codes: F.aggregate(codes, zero, lambda q, x: F.array_append(q, (F.element_at(q, -1) * F.lit(_BASE) + x) % F.lit(_PRIME)))
+    powers = F.array(*[F.lit(pow(_BASE, k, _PRIME)).cast("bigint") for k in range(GRAM)])
+    told = lambda hash_, last: F.shiftleft(F.pmod(hash_, F.lit(_PRIME)), 31) + last
 
-    def of_chunk(x: Column, last: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.char_length(x) - (GRAM - 1))
-        grams = F.transform(starts, lambda i: hashed(F.substring(x, i, F.lit(GRAM))) + (last - i))
-        return F.when(F.char_length(x) >= GRAM, grams).otherwise(F.array().cast("array<bigint>"))
+    def of_block(own: Column, after: Column, k: Column) -> Column:
+        """Grams that start in a block: all of the block, less the characters ahead of the gram, and as many of the next block."""
 
-    whole = F.flatten(F.transform(chunks, lambda x, k: _let(F.lit(_PLACES) - k * F.lit(CHUNK), lambda last: of_chunk(x, last))))
-    short = F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.array(hashed(text) + F.lit(_PLACES - 1)))
-    return F.when(F.char_length(text) < GRAM, short).otherwise(whole)
+        def of(whole: Column, last: Column) -> Column:
+            return F.transform(F.slice(after, 1, GRAM), lambda x, i: told(whole * F.get(powers, i) - F.get(own, i) * F.lit(_LEAVES) + x, last - i))
+
+        return _let(F.element_at(own, -1), lambda whole: _let(F.lit(_PLACES - 1) - k * GRAM, lambda last: of(whole, last)))
+
+    def of_codes(codes: Column) -> Column:
+        n = F.size(codes)
+        heads = F.transform(F.sequence(F.lit(0), F.ceil(n / GRAM).cast("int") - 1), lambda k: rolled(F.slice(codes, k * GRAM + 1, GRAM)))
+        full = F.floor(n / GRAM).cast("int")
+        grams = _let(heads, lambda h: F.flatten(F.transform(F.slice(h, 1, full), lambda own, k: _let(F.coalesce(F.get(h, k + 1), zero), lambda after: of_block(own, after, k)))))
+        short = F.array(told(F.element_at(rolled(codes), -1), F.lit(_PLACES - 1)))
+        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < GRAM, short).otherwise(grams)
+
+    characters = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+    return _let(F.transform(characters, lambda x: F.hash(x).cast("bigint")), of_codes)
 
 
 def _chosen(text: Column) -> Column:

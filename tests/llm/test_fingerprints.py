@@ -4,17 +4,17 @@ import re
 from pyspark.sql import functions as F
 
 from barline.llm import fingerprints as FP
-from barline.llm.fingerprints import GRAM, WINDOW, edited_likeness, fingerprints
+from barline.llm.fingerprints import _BASE, _PRIME, GRAM, WINDOW, edited_likeness, fingerprints
 
 
 def places(text, spark):
-    """Places that winnowing must choose, with the hashes of Spark's own function."""
+    """Places that winnowing must choose, each gram's polynomial made anew from the hashes of its characters."""
     bare = re.sub(r"\s+", "", text or "")
     if not bare:
         return []
     grams = [bare[i : i + GRAM] for i in range(max(1, len(bare) - GRAM + 1))]
-    rows = spark.createDataFrame(list(enumerate(grams)), "i int, g string").selectExpr("i", "(xxhash64(g) >> 31) & 2147483647 AS h").collect()
-    hashes = [r.h for r in sorted(rows, key=lambda r: r.i)]
+    of = {r.x: r.h for r in spark.createDataFrame([(x,) for x in sorted(set(bare))], "x string").selectExpr("x", "hash(x) AS h").collect()}
+    hashes = [sum(of[x] * pow(_BASE, len(g) - 1 - k, _PRIME) for k, x in enumerate(g)) % _PRIME for g in grams]
     chosen = []
     for s in range(max(1, len(hashes) - WINDOW + 1)):
         window = hashes[s : s + WINDOW]
