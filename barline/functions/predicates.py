@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -66,10 +66,25 @@ def exchange_of(code: Column) -> Column:
     return F.when(code.rlike("^(60|68|90)"), "sh").when(code.rlike("^(00|30|20)"), "sz").otherwise("unknown")
 
 
-def board_of(code: Column) -> Column:
-    return (
-        F.when(code.startswith("68"), "star").when(code.startswith("30"), "chinext").when(code.rlike("^(60|00)"), "main").when(code.rlike("^(90|20)"), "b_share").otherwise("unknown")
-    )
+#: Boards by exchange and first three digits of a code.
+BOARDS = (
+    ("star", "sh", ("688", "689")),
+    ("chinext", "sz", ("300", "301")),
+    ("b_share", "sh", ("900",)),
+    ("b_share", "sz", ("200",)),
+    ("main", "sh", ("600", "601", "603", "605")),
+    ("main", "sz", ("000", "001", "002", "003")),
+)
+
+
+def board_of(code: Column, exchange: Column | None = None, security_type: Column | None = None) -> Column:
+    """Board of a six-digit code; the exchange follows from the code where it is not given, anything but a stock has its own."""
+    exchange = exchange_of(code) if exchange is None else exchange
+    board = F.when(exchange == "bj", "bse")
+    for name, at, heads in BOARDS:
+        board = board.when((exchange == at) & F.substring(code, 1, 3).isin(*heads), name)
+    board = board.otherwise("other")
+    return board if security_type is None else F.when(security_type == "index", "index").when(security_type == "stock", board).otherwise("other")
 
 
 def normalize_symbol(text: Column) -> Column:
@@ -87,6 +102,39 @@ def session_verdict() -> Column:
     )
 
 
+#: What may be wrong with a suspended row that is left out without being a breach, and the form of a symbol.
+SUSPENDED_ISSUES = ("missing_adjust_factor", "suspended_placeholder")
+SYMBOL = r"^(sh|sz)\.\d{6}$"
+
+
+def classify_session_rows(df: DataFrame) -> DataFrame:
+    """``df`` with ``verdict`` (eligible, excluded, contract) and ``reason``; contract breaks make a session unusable.
+
+    Of the rows that a symbol has in a session one is judged by itself, the others are duplicates. Indexes and
+    suspended rows are excluded if their quality is as it may be; ``quality_issues`` is an array, null counts as empty.
+    """
+    w = Window.partitionBy("trade_date", "symbol").orderBy("ingested_at", "source", "quality_status")
+    issues = F.array_sort(F.coalesce(c("quality_issues"), F.array().cast("array<string>")))
+    clean = c("quality_status").eqNullSafe("ready") & (F.size(issues) == 0)
+    suspended = c("is_suspended").eqNullSafe(True) & c("is_trading").eqNullSafe(False)
+    legal = clean | (c("quality_status").eqNullSafe("partial") & (issues == F.array(*map(F.lit, SUSPENDED_ISSUES))))
+    form = F.coalesce(c("symbol").rlike(SYMBOL) & (F.substring("symbol", 1, 2) == c("exchange")), F.lit(False))
+    reason = (
+        F.when(c("trade_date").isNull(), "contract:date")
+        .when(~form, "contract:symbol")
+        .when(c("_nth") > 1, "contract:duplicate")
+        .when(~F.coalesce(c("security_type").isin("stock", "index"), F.lit(False)), "contract:security_type")
+        .when(c("is_trading").isNull() | c("is_suspended").isNull(), "contract:flags")
+        .when((c("security_type") == "index") & clean, "excluded:security_type_index")
+        .when((c("security_type") == "stock") & suspended & legal, "excluded:canonical_nontrading")
+        .when(~clean, "contract:quality")
+        .when(~(c("is_trading") & ~c("is_suspended")), "contract:flags")
+        .otherwise("eligible:")
+    )
+    own = df.withColumn("_nth", F.row_number().over(w)).withColumn("_why", F.split(reason, ":"))
+    return own.withColumns({"verdict": c("_why")[0], "reason": F.nullif(c("_why")[1], F.lit(""))}).drop("_nth", "_why")
+
+
 def scope_board() -> Column:
     return F.when(c("security_type") != "stock", "index").when(c("board") == "main", F.concat(c("exchange"), F.lit("_main"))).otherwise(c("board"))
 

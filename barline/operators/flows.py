@@ -39,10 +39,31 @@ def flow_quality(flows: DataFrame, days: DataFrame) -> DataFrame:
     return own.select("scope_name", F.when(c("_bad"), "not_finite").when(c("_n") > c("_d"), "duplicate").when(c("_d") < c("_days"), "gap").alias("fault"))
 
 
+#: Shares of sessions with an inflow from which on, and up to which, a flow persists.
+PERSISTENT_IN, PERSISTENT_OUT = 0.65, 0.35
+
+
+def direction() -> Column:
+    """Persistent inflow, outflow or mixed; null until a full window."""
+    into, out = (c("sum20") > 0) & (c("positive") >= PERSISTENT_IN), (c("sum20") < 0) & (c("positive") <= PERSISTENT_OUT)
+    return F.when(c("sum20").isNotNull() & c("positive").isNotNull(), F.when(into, "persistent_reported_inflow").when(out, "persistent_reported_outflow").otherwise("mixed_reported_flow"))
+
+
 def flow_direction(metrics: DataFrame) -> DataFrame:
-    """Persistent inflow, outflow or mixed; unknown until a full window."""
-    way = F.when(c("sum20").isNull(), "unknown").when((c("sum20") > 0) & (c("positive") >= 0.6), "inflow").when((c("sum20") < 0) & (c("positive") <= 0.4), "outflow").otherwise("mixed")
-    return metrics.select("scope_name", "trade_date", way.alias("direction"))
+    return metrics.select("scope_name", "trade_date", direction().alias("direction"))
+
+
+def flow_report(metrics: DataFrame, stale: DataFrame, trusted: Column) -> DataFrame:
+    """Availability and direction of the last date of each scope: ready, stale or insufficient_history.
+
+    ``stale`` (scope_name, last, stale) comes from ``staleness``, ``trusted`` tells whether the source may be published.
+    A direction is published only where the window is full, no session is missing since and the source is trusted.
+    """
+    last = metrics.join(stale.withColumnRenamed("last", "trade_date"), ["scope_name", "trade_date"])
+    full = c("sum20").isNotNull() & c("positive").isNotNull()
+    ready = full & c("stale").eqNullSafe(F.lit(0)) & F.coalesce(trusted, F.lit(False))
+    state = F.when(ready, "ready").when(full & (c("stale") > 0), "stale").otherwise("insufficient_history")
+    return last.select("scope_name", "trade_date", "stale", state.alias("availability"), F.when(ready, direction()).alias("direction"))
 
 
 def expected_sessions(calendar: DataFrame, end: Column, n: int) -> DataFrame:

@@ -50,9 +50,12 @@ def pit_generation(generations: DataFrame, as_of: Column, known_at: Column) -> D
 
 
 def pit_records(rows: DataFrame, as_of: Column, known_at: Column) -> DataFrame:
-    """Rows of the visible generation that are listed at ``as_of``; open ends are null, delisting counts from its day on."""
+    """Rows of the visible generation in force at ``as_of`` on the latest snapshot date that has any; both ends count, null ones are open."""
     own = rows.join(F.broadcast(pit_generation(rows, as_of, known_at).select("generation")), "generation", "left_semi")
-    return own.where((c("list_date") <= as_of) & (c("delist_date").isNull() | (as_of < c("delist_date"))))
+    own = own.where((c("snapshot_date") <= as_of) & (c("observed_on") <= known_at))
+    own = own.where((c("list_date").isNull() | (c("list_date") <= as_of)) & (c("delist_date").isNull() | (as_of <= c("delist_date"))))
+    latest = own.agg(F.max("snapshot_date").alias("snapshot_date"))  # one row
+    return own.join(F.broadcast(latest), "snapshot_date", "left_semi")
 
 
 def interval_join(facts: DataFrame, dims: DataFrame) -> DataFrame:

@@ -73,8 +73,11 @@ def history(bars: DataFrame, index_bars: DataFrame, bounds: tuple = RISK_BOUNDS)
     return score(own).drop("leadership")
 
 
-def replay_audit(saved: DataFrame, again: DataFrame, value: str = "total") -> DataFrame:
-    """How many saved sessions a recomputation confirms, changes or lacks."""
+def replay_audit(saved: DataFrame, again: DataFrame, value: str = "total", latest_input: str | None = None) -> DataFrame:
+    """How many saved sessions a recomputation confirms, changes or lacks; with ``latest_input``, also how many saved ones read a later date than their own (``future``)."""
+    if latest_input:
+        late = saved.agg(F.count_if(c(latest_input) > c("trade_date")).alias("future"))
+        return replay_audit(saved, again, value).crossJoin(late)  # a row each
     a, b = saved.select("trade_date", c(value).alias("_a"), F.lit(1).alias("_x")), again.select("trade_date", c(value).alias("_b"), F.lit(1).alias("_y"))
     both = c("_x").isNotNull() & c("_y").isNotNull()
     return a.join(b, "trade_date", "full_outer").agg(F.count_if(both & c("_a").eqNullSafe(c("_b"))).alias("same"), F.count_if(both & ~c("_a").eqNullSafe(c("_b"))).alias("changed"), F.count_if(~both).alias("unmatched"))

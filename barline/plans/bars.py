@@ -255,6 +255,19 @@ def p10_normalize_symbol(spark, d):
     return own.select("id", P.normalize_symbol(raw).alias("symbol"))
 
 
+@query("p14_session_rows", """WITH b AS (SELECT trade_date, symbol, CASE WHEN symbol % 50 = 0 THEN 'index' ELSE 'stock' END AS kind, is_suspended, quality_status, symbol % 10 = 9 AS again FROM {bars}),
+n AS (SELECT *, 1 AS k FROM b UNION ALL SELECT *, 2 AS k FROM b WHERE again),
+w AS (SELECT symbol, CASE WHEN k = 2 THEN 'contract:duplicate' WHEN kind = 'index' AND quality_status = 'ready' THEN 'excluded:security_type_index' WHEN kind = 'stock' AND is_suspended THEN 'excluded:canonical_nontrading' WHEN quality_status <> 'ready' THEN 'contract:quality' ELSE 'eligible:' END AS why FROM n)
+SELECT symbol, split_part(why, ':', 1) AS verdict, nullif(split_part(why, ':', 2), '') AS reason, count(*) AS n FROM w GROUP BY ALL""")
+def p14_session_rows(spark, d):
+    """Every fiftieth symbol is an index, every tenth has each row twice; partial rows lack what a suspended row may lack."""
+    own = table(spark, d, "bars").withColumn("id", F.col("symbol"))
+    own = own.withColumns({"symbol": F.format_string("%s.%06d", "exchange", "symbol"), "security_type": F.when(F.col("id") % 50 == 0, "index").otherwise("stock")})
+    own = own.withColumn("quality_issues", F.when(F.col("quality_status") == "partial", F.array(F.lit("suspended_placeholder"), F.lit("missing_adjust_factor"))))
+    own = P.classify_session_rows(own.unionByName(own.where("id % 10 = 9")))
+    return own.groupBy(F.col("id").alias("symbol"), "verdict", "reason").agg(F.count("*").alias("n"))
+
+
 @query("p13_p14_classify_session_rows", f"SELECT symbol, exchange || '_main' = CASE WHEN board = 'main' THEN exchange || '_main' ELSE board END AS on_main, CASE WHEN board <> 'main' THEN 'excluded_board' WHEN is_suspended THEN 'excluded_suspended' WHEN adjust_factor IS NULL THEN 'contract_factor' WHEN quality_status <> 'ready' THEN 'contract_quality' ELSE 'eligible' END AS verdict, count(*) AS n FROM {{bars}} GROUP BY ALL")
 def p13_p14_classify_session_rows(spark, d):
     own = table(spark, d, "bars").select("symbol", P.scope_board().endswith("_main").alias("on_main"), P.session_verdict().alias("verdict"))

@@ -72,6 +72,72 @@ def s10_normalize_secondary(spark, d):
     return own.select("symbol", "trade_date", r6("volume").alias("volume"), r6("amount").alias("amount"), "code")
 
 
+_CODE = "CASE symbol % 4 WHEN 0 THEN 'sh.600' WHEN 1 THEN 'sz.300' WHEN 2 THEN 'sz.002' ELSE 'sh.688' END || lpad(CAST(symbol % 1000 AS VARCHAR), 3, '0')"
+
+
+@query("s9_provider_bars", f"""WITH b AS (SELECT *, symbol IN (7, 14, 21) AS idx FROM {{bars}}), o AS (SELECT b.*, f.back_factor AS f FROM b ASOF LEFT JOIN {{factors}} f ON b.symbol = f.symbol AND b.trade_date >= f.effective_date)
+SELECT symbol AS id, trade_date, {_CODE} AS symbol, CASE WHEN idx THEN 'index' ELSE 'stock' END AS security_type, CASE WHEN idx THEN 'index' ELSE ['main', 'chinext', 'main', 'star'][symbol % 4 + 1] END AS board, close, CASE WHEN is_suspended THEN 0 ELSE volume END AS volume,
+pct_change, CASE WHEN NOT idx THEN f END AS adjust_factor, is_suspended, CASE WHEN is_suspended THEN 'suspended_placeholder' WHEN NOT idx AND f IS NULL THEN 'missing_adjust_factor' ELSE '' END AS issues FROM o""")
+def s9_provider_bars(spark, d):
+    """Three symbols are indexes; a suspended row has no activity."""
+    code = F.expr(_CODE.replace("VARCHAR", "STRING"))
+    own = table(spark, d, "bars")
+    text = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
+    raw = own.select(
+        text("trade_date").alias("date"), F.upper(F.concat(code, F.lit("."), F.col("symbol").cast("string"))).alias("code"), F.lit("3").alias("adjustflag"), F.when(F.col("is_suspended"), "0").otherwise("1").alias("tradestatus"),
+        *[text(x).alias(x) for x in ("open", "high", "low", "close", "preclose")], *[F.when(F.col("is_suspended"), "").otherwise(text(x)).alias(x) for x in ("volume", "amount")], F.lit("").alias("turn"), text("pct_change").alias("pctChg"), F.lit("0").alias("isST"),
+    )
+    # The supplier's number follows the code, so that symbols stay apart at every size of the tables.
+    lower = F.lower(F.concat(code, F.lit("."), F.col("symbol").cast("string")))
+    factors = table(spark, d, "factors").withColumn("symbol", lower).select("symbol", "effective_date", "back_factor")
+    out = SB.provider_bars(raw, factors, ["sh.688007.7", "sz.002014.14", "sz.300021.21"])
+    return out.select(F.split_part("symbol", F.lit("."), F.lit(3)).cast("bigint").alias("id"), "trade_date", F.substring("symbol", 1, 9).alias("symbol"), "security_type", "board", "close", "volume", "pct_change", "adjust_factor", "is_suspended", F.array_join("quality_issues", ",").alias("issues"))
+
+
+@query("s10_secondary_status", """SELECT b.trade_date, b.symbol, CASE WHEN a.symbol IS NOT NULL AND (b.is_suspended OR b.symbol % 37 = 0) THEN 'contradiction' WHEN a.symbol IS NOT NULL THEN 'traded' WHEN b.symbol % 37 = 0 THEN 'not_listed' WHEN b.is_suspended THEN 'suspended' ELSE 'missing' END AS status
+FROM {bars} b LEFT JOIN {bars_alt} a ON b.symbol = a.symbol AND b.trade_date = a.trade_date""")
+def s10_secondary_status(spark, d):
+    own = table(spark, d, "bars")
+    universe = own.select("trade_date", "symbol", F.when(F.col("symbol") % 37 == 0, "D").alias("list_status"))
+    return SB.secondary_status(universe, table(spark, d, "bars_alt"), own.where("is_suspended"))
+
+
+@query("s10_factor_pairs", """WITH p AS (SELECT symbol, trade_date, adjust_factor AS f, lag(adjust_factor) OVER (PARTITION BY symbol ORDER BY trade_date) AS g FROM {bars})
+SELECT a.symbol, a.trade_date, f AS factor, g AS factor_previous, f IS NOT NULL AND g IS NOT NULL AS proven FROM {bars_alt} a LEFT JOIN p ON a.symbol = p.symbol AND a.trade_date = p.trade_date""")
+def s10_factor_pairs(spark, d):
+    from pyspark.sql import Window
+
+    before = F.lag("adjust_factor").over(Window.partitionBy("symbol").orderBy("trade_date"))
+    factors = table(spark, d, "bars").select("trade_date", "symbol", F.col("adjust_factor").alias("adj_factor"), before.alias("prev_adj_factor"))
+    return SB.factor_pairs(table(spark, d, "bars_alt").select("trade_date", "symbol"), factors)
+
+
+@query("s20_industry_known", f"SELECT DISTINCT lpad(CAST(security_id AS VARCHAR), 6, '0') AS code, sector_id AS sector, list_date AS effective_from FROM {{memberships}} WHERE list_date <= {D} AND observed_on <= {D}")
+def s20_industry_known(spark, d):
+    raw = table(spark, d, "memberships").select(F.col("security_id").cast("string").alias("code"), F.col("sector_id").alias("sector"), F.col("list_date").alias("effective_from"), F.col("observed_on").alias("updated_on"))
+    return SB.load_industry_history(raw, DAYC()).drop("updated_on").distinct()
+
+
+@query("s21_security_records", f"""WITH s AS (SELECT s_suppkey AS symbol, s_name, s_suppkey % 9 = 0 AS bare, CASE WHEN s_suppkey % 9 = 0 THEN '' WHEN s_suppkey % 10 = 0 THEN '2' ELSE '1' END AS type FROM supplier), t AS (SELECT *, {_CODE} || '.' || symbol AS code FROM s)
+SELECT 'security:1998-06-01:' || code AS record_id, s_name AS name, substr(code, 1, 2) AS exchange, CASE type WHEN '' THEN 'other' WHEN '2' THEN 'index' ELSE ['main', 'chinext', 'main', 'star'][symbol % 4 + 1] END AS board, symbol % 5 <> 0 AS is_tradable,
+CASE WHEN NOT bare THEN DATE '1990-01-01' + CAST(symbol % 100 AS INTEGER) END AS effective_from, sha256(concat_ws('|', code, s_name, CASE WHEN symbol % 5 <> 0 THEN '1' ELSE '0' END, CASE WHEN bare THEN '' ELSE CAST(DATE '1990-01-01' + CAST(symbol % 100 AS INTEGER) AS VARCHAR) END, '', type, CASE WHEN bare THEN '' ELSE '1' END)) AS lineage_hash FROM t""")
+def s21_security_records(spark, d):
+    """Every ninth security has no basic row, every tenth other one is an index."""
+    own = table(spark, d, "supplier").withColumn("symbol", F.col("s_suppkey"))
+    own = own.withColumn("code", F.expr(_CODE.replace("VARCHAR", "STRING") + " || '.' || symbol"))
+    listing = own.select("code", F.col("s_name").alias("name"), F.when(F.col("symbol") % 5 != 0, "1").otherwise("0").alias("trade_status"))
+    basic = own.where("symbol % 9 <> 0").select("code", F.when(F.col("symbol") % 10 == 0, "2").otherwise("1").alias("type"), F.expr("date_add(DATE '1990-01-01', CAST(symbol % 100 AS INT))").alias("list_date"), F.lit(None).cast("date").alias("delist_date"), F.lit("1").alias("status"))
+    return SB.security_records(listing, basic, DAYC()).select("record_id", "name", "exchange", "board", "is_tradable", "effective_from", "lineage_hash")
+
+
+@query("s21_component_records", "SELECT 'index:' || n_regionkey || ':' || (DATE '1998-01-01' + CAST(s_suppkey % 30 AS INTEGER)) || ':' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS record_id, CAST(n_regionkey AS VARCHAR) AS index_id, DATE '1998-01-01' + CAST(s_suppkey % 30 AS INTEGER) AS effective_from FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 13 <> 0")
+def s21_component_records(spark, d):
+    """Rows of every thirteenth member have no update date."""
+    own = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = own.select(F.col("n_regionkey").cast("string").alias("index_id"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("code"), F.expr("CASE WHEN s_suppkey % 13 <> 0 THEN date_add(DATE '1998-01-01', CAST(s_suppkey % 30 AS INT)) END").alias("updated_on"))
+    return SB.component_records(rows).select("record_id", "index_id", "effective_from")
+
+
 @query("s18_o3_latest_audits", "SELECT trade_date, requested, loaded FROM {audits} ORDER BY trade_date DESC, loaded DESC LIMIT 5")
 def s18_o3_latest_audits(spark, d):
     return SB.latest_audit(table(spark, d, "audits"), 5).select("trade_date", "requested", "loaded")

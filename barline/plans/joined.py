@@ -44,7 +44,7 @@ def j3_bootstrap_factors(spark, d):
     return J.bootstrap_factors(table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol")), table(spark, d, "factors"), DAYC())
 
 
-@query("j4_j5_pit_records", f"WITH g AS (SELECT generation FROM {{memberships}} WHERE promoted AND snapshot_date <= {D} AND observed_on <= {D} GROUP BY generation, snapshot_date, observed_on ORDER BY snapshot_date DESC, observed_on DESC, generation DESC LIMIT 1)\nSELECT generation, security_id, sector_id FROM {{memberships}} WHERE generation IN (FROM g) AND list_date <= {D} AND (delist_date IS NULL OR {D} < delist_date)")
+@query("j4_j5_pit_records", f"WITH g AS (SELECT generation FROM {{memberships}} WHERE promoted AND snapshot_date <= {D} AND observed_on <= {D} GROUP BY generation, snapshot_date, observed_on ORDER BY snapshot_date DESC, observed_on DESC, generation DESC LIMIT 1)\nSELECT generation, security_id, sector_id FROM {{memberships}} WHERE generation IN (FROM g) AND snapshot_date <= {D} AND observed_on <= {D} AND (list_date IS NULL OR list_date <= {D}) AND (delist_date IS NULL OR {D} <= delist_date)")
 def j4_j5_pit_records(spark, d):
     return J.pit_records(table(spark, d, "memberships"), DAYC(), DAYC()).select("generation", "security_id", "sector_id")
 

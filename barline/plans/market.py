@@ -265,6 +265,15 @@ def a32_replay_audit(spark, d):
     return R.replay_audit(saved, again, "trend").select("same", F.col("changed").cast("int").alias("changed"), "unmatched")
 
 
+@query("a32_replay_regime", f"""WITH {USABLE}, {BREADTH}, i AS (SELECT trade_date, breadth, trade_date + CAST(CASE WHEN month(trade_date) = 3 THEN 7 ELSE 0 END AS INTEGER) AS used FROM breadth)
+SELECT count(*) FILTER (year(trade_date) < 2001 AND month(trade_date) <> 6) AS same, count(*) FILTER (year(trade_date) < 2001 AND month(trade_date) = 6 AND breadth IS NOT NULL) AS changed, count(*) FILTER (year(trade_date) >= 2001) AS unmatched, count(*) FILTER (used > trade_date) AS future FROM i""")
+def a32_replay_regime(spark, d):
+    """Saved breadth of Junes was altered, that of Marches has read a week ahead, that of 2001 cannot be made again."""
+    own = R.breadth(table(spark, d, "bars"))
+    saved = own.withColumns({"breadth": F.col("breadth") + F.when(F.month("trade_date") == 6, 1000.0).otherwise(0.0), "used": F.date_add("trade_date", F.when(F.month("trade_date") == 3, 7).otherwise(0))})
+    return R.replay_audit(saved, own.where("year(trade_date) < 2001"), "breadth", "used")
+
+
 # --- flows ---
 
 _F20 = "PARTITION BY scope_name ORDER BY trade_date ROWS 19 PRECEDING"
@@ -285,7 +294,10 @@ def a34_flow_quality(spark, d):
     return FL.flow_quality(table(spark, d, "flows"), table(spark, d, "flows").select("trade_date"))
 
 
-@query("a35_flow_direction", f"WITH {FLOWS}\nSELECT scope_name, trade_date, CASE WHEN sum20 IS NULL THEN 'unknown' WHEN sum20 > 0 AND positive >= 0.6 THEN 'inflow' WHEN sum20 < 0 AND positive <= 0.4 THEN 'outflow' ELSE 'mixed' END AS direction FROM fm")
+WAY = "CASE WHEN sum20 IS NULL OR positive IS NULL THEN NULL WHEN sum20 > 0 AND positive >= 0.65 THEN 'persistent_reported_inflow' WHEN sum20 < 0 AND positive <= 0.35 THEN 'persistent_reported_outflow' ELSE 'mixed_reported_flow' END"
+
+
+@query("a35_flow_direction", f"WITH {FLOWS}\nSELECT scope_name, trade_date, {WAY} AS direction FROM fm")
 def a35_flow_direction(spark, d):
     return FL.flow_direction(FL.flow_metrics(table(spark, d, "flows")))
 
@@ -325,6 +337,41 @@ def w22_w23_staleness(spark, d):
     return FL.staleness(own, calendar(spark), F.lit("2024-01-30").cast("date"))
 
 
+_STALE = "st AS (SELECT scope_name, last, CASE WHEN NOT coalesce(bool_or(status = 'unknown'), false) THEN count(*) FILTER (status = 'open') END AS stale FROM (SELECT scope_name, max(trade_date) AS last FROM {flows} WHERE trade_date <= DATE '2024-01-24' OR scope_name <> '1' GROUP BY 1) LEFT JOIN cal ON trade_date > last AND trade_date <= DATE '2024-01-30' GROUP BY ALL)"
+
+
+@query("a35_flow_report", f"WITH {FLOWS}, {CALENDAR}, {_STALE}\nSELECT scope_name, trade_date, stale, CASE WHEN sum20 IS NOT NULL AND stale = 0 AND scope_name <> '3' THEN 'ready' WHEN sum20 IS NOT NULL AND stale > 0 THEN 'stale' ELSE 'insufficient_history' END AS availability, CASE WHEN stale = 0 AND scope_name <> '3' THEN {WAY} END AS direction FROM fm JOIN st USING (scope_name) WHERE trade_date = last")
+def a35_flow_report(spark, d):
+    """Scope 1 ends early, the source of scope 3 is not trusted."""
+    own = table(spark, d, "flows")
+    stale = FL.staleness(own.where("trade_date <= DATE '2024-01-24' or scope_name <> '1'"), calendar(spark), F.lit("2024-01-30").cast("date"))
+    return FL.flow_report(FL.flow_metrics(own), stale, F.col("scope_name") != "3")
+
+
+@query("f14_market_clock", """WITH own AS (SELECT event_id, CAST(ts AS TIMESTAMP) + INTERVAL 8 HOUR AS t FROM events), cal AS (SELECT CAST(d AS DATE) AS trade_date, CASE WHEN year(d) <> 2024 THEN 'unknown' WHEN d = DATE '2024-01-01' OR isodow(d) > 5 THEN 'closed' ELSE 'open' END AS status FROM range(DATE '2023-12-01', DATE '2025-01-11', INTERVAL 1 DAY) t(d)),
+p AS (SELECT trade_date, status, max(CASE WHEN status = 'open' THEN trade_date END) OVER w AS opened, max(CASE WHEN status = 'unknown' THEN trade_date END) OVER w AS lost FROM cal WINDOW w AS (ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+j AS (SELECT event_id, CAST(t AS TIME) AS clock, p.trade_date, status, CASE WHEN lost IS NULL OR opened > lost THEN opened END AS previous FROM own LEFT JOIN p ON CAST(t AS DATE) = p.trade_date)
+SELECT event_id, CASE WHEN status IS NULL OR status = 'unknown' THEN NULL WHEN status = 'open' AND clock >= TIME '16:00:00' THEN trade_date ELSE previous END AS expected,
+CASE WHEN status IS NULL OR status = 'unknown' THEN 'calendar_unavailable' WHEN status = 'closed' THEN 'closed' WHEN clock < TIME '09:30:00' THEN 'pre_market' WHEN clock < TIME '15:00:00' THEN 'market_open' ELSE 'after_close_waiting' END AS phase FROM j""")
+def f14_market_clock(spark, d):
+    from barline.sources.calendar import compose_calendar, market_clock
+
+    years = spark.sql("SELECT 2024 AS year, array(DATE '2024-01-01') AS closed")
+    own = table(spark, d, "events").select("event_id", (F.col("ts").cast("timestamp")).alias("ts"))
+    return market_clock(own, "ts", compose_calendar(years, years.limit(0), "2023-12-01", "2025-01-10")).select("event_id", "expected", "phase")
+
+
+@query("s11_compose_calendar", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)\nSELECT d AS trade_date, CASE WHEN year(d) > 1997 THEN 'unknown' WHEN isodow(d) > 5 OR (year(d) <> 1996 AND month(d) = 1 AND day(d) = 1) OR (year(d) = 1996 AND month(d) = 7 AND day(d) = 4) THEN 'closed' ELSE 'open' END AS status FROM d")
+def s11_compose_calendar(spark, d):
+    """Years up to 1997 are configured; a promoted 1996 replaces the bundled one. Days are those that have orders."""
+    from barline.sources.calendar import compose_calendar
+
+    days = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("trade_date")).distinct()
+    years = days.select(F.year("trade_date").alias("year")).distinct().where("year <= 1997").select("year", F.array(F.make_date("year", F.lit(1), F.lit(1))).alias("closed"))
+    promoted = years.where("year = 1996").select("year", F.array(F.make_date("year", F.lit(7), F.lit(4))).alias("closed"))
+    return days.join(compose_calendar(years, promoted, "1980-01-01", "2030-12-31"), "trade_date")
+
+
 # --- portfolios ---
 
 
