@@ -64,3 +64,71 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN holder END AS refers_to
 FROM m"""
+
+
+FILTER_AUDIT = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT s, min(doc_id) AS least FROM t GROUP BY s),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    concat(CASE WHEN len(w) < 50 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END,
+      CASE WHEN 100 * length(regexp_replace(s, '[^A-Z]', '', 'g')) > 5 * length(s) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(s, '[#$%&*|]') THEN 'D' ELSE '' END,
+      CASE WHEN t.doc_id > least THEN 'E' ELSE '' END) AS failed
+  FROM t JOIN m USING (s) LEFT JOIN l ON l.doc_id = t.doc_id),
+g AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, failed),
+x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.c || b.c || d.c || e.c || h.c AS filter_order FROM x a, x b, x d, x e, x h WHERE len(list_distinct([a.c, b.c, d.c, e.c, h.c])) = 5),
+st AS (SELECT filter_order, CAST(i AS INTEGER) AS step, filter_order[i] AS own, left(filter_order, i - 1) AS before FROM o, range(1, 6) r(i)),
+p AS (SELECT DISTINCT part FROM g),
+r AS (
+  SELECT p.part, filter_order, step, own, coalesce(n, 0) AS n, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, failed,
+    contains(failed, own) AS fails, len(translate(before, failed, '')) < len(before) AS gone
+  FROM p CROSS JOIN st JOIN g ON g.part = p.part),
+c AS (
+  SELECT part, filter_order, step, own, sum(n) FILTER (NOT fails AND NOT gone) AS kept, sum(n) FILTER (fails AND NOT gone) AS removed, sum(n) FILTER (fails AND gone) AS redundant,
+    sum(n) FILTER (failed = own) AS unique_fails, sum(good) FILTER (fails AND NOT gone) AS good_lost, sum(toxic) FILTER (fails AND NOT gone) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM c"""
+
+
+def _crc_steps() -> list[int]:
+    """What crc32 adds for each value of the low byte: eight shifts by the reversed polynomial."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+def _spelling_variants() -> str:
+    """Near words meet where they are equal with one sign replaced by a mark, or one of them without a sign is the other."""
+    byte = "CAST('0x' || substr(x, CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT)"
+    return rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM runs GROUP BY 1, 2),
+hexed AS (SELECT *, hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)) AS x FROM low),
+steps AS (SELECT {_crc_steps()}::BIGINT[] AS s),
+crc AS (
+  SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x) // 2 + 1), lambda i: {byte})),
+    lambda h, b: xor(h >> 8, s[1 + xor(h & 255, b)])), 4294967295::BIGINT) AS h
+  FROM hexed, steps),
+cut AS (SELECT c, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM crc),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+holes AS (SELECT word, n, i, left(word, i - 1) || '_' || substr(word, i + 1) AS marked, left(word, i - 1) || substr(word, i + 1) AS less FROM places),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM holes a JOIN holes b ON a.marked = b.marked AND a.word <> b.word
+  UNION SELECT less, h.word, h.n FROM holes h JOIN w ON w.word = less
+  UNION SELECT h.word, less, w.n FROM holes h JOIN w ON w.word = less),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM w LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root, 0 AS d FROM f UNION ALL SELECT up.word, f.form, d + 1 FROM up JOIN f ON f.word = root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, d) AS root FROM up GROUP BY word) USING (word)"""
+
+
+SPELLING_VARIANTS = _spelling_variants()
