@@ -1,12 +1,110 @@
-"""Indicators that carry state from row to row (W2, W4, W6, W21) and user calculators (U1), one symbol at a time."""
+"""Indicators that carry state from row to row (W2, W4, W6, W21) and user calculators.
+
+A recurrence y = a * y + b is a chain of affine maps, and maps compose in any grouping. So the values of all rows follow from
+running sums in blocks of a symbol's rows and the ends of the blocks before: windows over one shuffle, without a Python
+worker. User calculators see one symbol's closes at a time.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+class Recurrence(NamedTuple):
+    """y is ``seed`` at row ``start`` (from 0) of a symbol, ``keep`` * y + ``add`` at every later one, and null before; a null ``add`` adds nothing."""
+
+    keep: float
+    add: Column
+    seed: Column
+    start: int
+
+
+#: A block's powers stay below two to this one.
+POWERS = 800
+
+
+def _by():
+    return Window.partitionBy("symbol").orderBy("trade_date")
+
+
+def with_recurrences(bars: DataFrame, wanted: dict[str, Recurrence]) -> DataFrame:
+    """``bars`` with a column for each recurrence, all of them by the same two running windows.
+
+    In a block of a symbol's rows the maps up to row j compose to keep^j times the sum of each row's term over keep^i. A block
+    ends before those powers overflow, which is so far on that all before the block last ended weighs nothing in a double; so
+    a row needs the sum of its own block and the value at which the block before ended.
+    """
+    smallest = min((r.keep for r in wanted.values() if r.keep > 0), default=0.5)
+    rows = int(POWERS * math.log(2) / -math.log(smallest))
+    block, place = F.floor(F.col("_k") / rows), (F.col("_k") % rows).cast("double")
+    own = bars.withColumn("_k", F.row_number().over(_by()) - 1)
+    term = {n: F.when(F.col("_k") == r.start, r.seed).when(F.col("_k") > r.start, r.add).cast("double") for n, r in wanted.items()}
+    own = own.withColumns({"_block": block, "_j": place} | {f"_t_{n}": t * F.pow(F.lit(wanted[n].keep), -place) if wanted[n].keep > 0 else t for n, t in term.items()})
+    inside = Window.partitionBy("symbol", "_block").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    local = {n: F.sum(f"_t_{n}").over(inside) * F.pow(F.lit(r.keep), F.col("_j")) if r.keep > 0 else F.col(f"_t_{n}") for n, r in wanted.items()}
+    own = own.withColumns({f"_y_{n}": y for n, y in local.items()})
+    before = _by().rowsBetween(Window.unboundedPreceding, -1)
+    ended = {n: F.last(F.when(F.col("_j") == rows - 1, F.col(f"_y_{n}")), True).over(before) for n in wanted}
+    whole = {n: F.when(F.col("_k") >= r.start, F.coalesce(F.col(f"_y_{n}"), F.lit(0.0)) + r.keep * F.pow(F.lit(r.keep), F.col("_j")) * F.coalesce(ended[n], F.lit(0.0))) for n, r in wanted.items()}
+    return own.withColumns(whole).drop("_k", "_block", "_j", *[f"{p}{n}" for n in wanted for p in ("_t_", "_y_")])
+
+
+def _mean(x: str, n: int) -> Column:
+    """Mean of the ``n`` rows that end here."""
+    return F.avg(x).over(_by().rowsBetween(1 - n, 0))
+
+
+def ema_of(x: str, n: int, start: int | None = None) -> Recurrence:
+    """Seeded with the mean of ``n`` rows at row ``start`` (their last at the earliest), then alpha = 2 / (n + 1)."""
+    alpha = 2 / (n + 1)
+    return Recurrence(1 - alpha, alpha * F.col(x), _mean(x, n), n - 1 if start is None else start)
+
+
+def with_emas(bars: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    """``bars`` with columns name -> (field, n)."""
+    return with_recurrences(bars, {name: ema_of(x, n) for name, (x, n) in wanted.items()})
+
+
+def _with_changes(bars: DataFrame, x: str) -> DataFrame:
+    change = F.col(x) - F.lag(x).over(_by())
+    return bars.withColumns({"_up": F.greatest(change, F.lit(0.0)), "_down": F.greatest(-change, F.lit(0.0))})
+
+
+def _wilder(n: int) -> dict[str, Recurrence]:
+    return {y: Recurrence((n - 1) / n, F.col(s) / n, _mean(s, n), n) for y, s in (("_g", "_up"), ("_l", "_down"))}
+
+
+def _rsi(own: DataFrame, out: str) -> DataFrame:
+    total = F.col("_g") + F.col("_l")
+    return own.withColumn(out, F.when(total > 0, 100 * F.col("_g") / total).when(total == 0, 0.0)).drop("_up", "_down", "_g", "_l")
+
+
+def with_wilder(bars: DataFrame, x: str = "close", n: int = 14, out: str = "rsi14") -> DataFrame:
+    """Wilder's RSI, first value at row ``n``; 0 when flat."""
+    return _rsi(with_recurrences(_with_changes(bars, x), _wilder(n)), out)
+
+
+def _macd_means(x: str, fast: int, slow: int) -> dict[str, Recurrence]:
+    return {"_fast": ema_of(x, fast, slow - 1), "_slow": ema_of(x, slow)}
+
+
+def _macd(own: DataFrame, slow: int, signal: int) -> DataFrame:
+    own = own.withColumn("_line", F.col("_fast") - F.col("_slow"))
+    own = with_recurrences(own, {"macd_signal": ema_of("_line", signal, slow + signal - 2)})
+    line = F.when(F.col("macd_signal").isNotNull(), F.col("_line"))
+    return own.withColumns({"macd": line, "macd_hist": line - F.col("macd_signal")}).drop("_fast", "_slow", "_line")
+
+
+def with_macd(bars: DataFrame, x: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """``macd``, ``macd_signal`` and ``macd_hist``: both means start at row ``slow`` - 1; all are null before the signal starts."""
+    return _macd(with_recurrences(bars, _macd_means(x, fast, slow)), slow, signal)
 
 
 
@@ -82,8 +180,10 @@ def apply_indicators(bars: DataFrame, names: list[str], *, by: str = "symbol", o
 
 
 def indicator_panel(bars: DataFrame) -> DataFrame:
-    """Means over 5 to 250 sessions, MACD and RSI of every symbol and session."""
-    from barline.operators import windows as W  # needs a session, which workers don't have
+    """Means over 5 to 250 sessions, MACD and RSI of every symbol and session: one shuffle, one sort."""
+    from barline.operators import windows as W
 
-    means = bars.select("symbol", "trade_date", *[W.sma(n).alias(f"sma{n}") for n in (5, 10, 20, 60, 120, 250)])
-    return means.join(apply_indicators(bars, ["macd", "rsi14"]).drop("close"), ["symbol", "trade_date"])
+    own = _with_changes(bars.select("symbol", "trade_date", "close"), "close")
+    own = _rsi(_macd(with_recurrences(own, _macd_means("close", 12, 26) | _wilder(14)), 26, 9), "rsi14")
+    means = {f"sma{n}": W.sma(n) for n in (5, 10, 20, 60, 120, 250)}
+    return own.withColumns(means).select("symbol", "trade_date", *means, "macd", "macd_signal", "macd_hist", "rsi14")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barline.functions.scalars import concentration_score, level, low_is_good, scaled_score, share_score
 from barline.operators import windows as W
+from barline.sources.shared import written
 
 c = F.col
 
@@ -43,11 +44,86 @@ def weighted_total(scores: dict[str, float]) -> Column:
 
 
 def member_bars(bars: DataFrame, members: DataFrame) -> DataFrame:
-    """Effective bars of main-board members with everything that sector measures need, from one set of windows."""
-    own = W.effective_bars(bars).withColumns({"ret1": W.period_return(1), "ret5": W.period_return(5), "ret20": W.period_return(20), "ret60": W.period_return(60), "ma20": W.sma(20), "ma60": W.sma(60), "before5": W.full(5, F.avg("amount"), -1), "before20": W.full(20, F.avg("amount"), -1)})
+    """Effective bars of members with everything that sector measures need, from one set of windows.
+
+    Returns over 5 sessions and more, and means, are of prices adjusted point in time; ``ret1`` is that of the close over the
+    provider's previous close.
+    """
+    own = W.with_scaled(W.effective_bars(bars))
+    own = own.withColumns(
+        {"ret1": F.when(c("preclose") > 0, c("close") / c("preclose") - 1)}
+        | {f"ret{n}": W.period_return(n, "scaled_close") for n in (5, 20, 60)}
+        | {f"ma{n}": W.sma(n, "scaled_close") for n in (20, 60)}
+        | {f"before{n}": W.full(n, F.avg("amount"), -1) for n in (5, 20)}
+    )
     return own.join(members.select(c("security_id").alias("symbol"), "sector_id"), "symbol")
 
 
+#: Fixed value: sessions of the market that common sessions are looked for in.
+HORIZON = 80
+_WORD = 40
+
+
+def _common_sums(rows: DataFrame, taken: DataFrame, periods: tuple[int, ...]) -> DataFrame:
+    """Per date and sector of ``taken``, for each n: the comparable members' amount today (``_t<n>``) and on the n sessions before (``_b<n>``).
+
+    Each date asks for its sessions' amounts by explicit rows, n at most for a sector and date, which meet the members' rows by
+    sector and session; a member counts if it is comparable on the asking date.
+    """
+    whole = None
+    for n in periods:
+        asked = taken.where(c(f"_near{n}").isNotNull()).select("sector_id", "trade_date", "_o", F.explode(F.concat(F.array(F.lit(0)), f"_near{n}")).alias("_back"))
+        asked = asked.select("sector_id", c("trade_date").alias("day"), (c("_o") - c("_back")).alias("_o"), "_back")
+        today = rows.where(c("_sessions") > n).select("sector_id", c("trade_date").alias("day"), "symbol")
+        met = asked.join(rows.select("sector_id", "_o", "symbol", "amount"), ["sector_id", "_o"]).join(today, ["sector_id", "day", "symbol"], "left_semi")
+        one = met.groupBy(c("day").alias("trade_date"), "sector_id").agg(F.sum(F.when(c("_back") == 0, c("amount"))).alias(f"_t{n}"), F.sum(F.when(c("_back") > 0, c("amount"))).alias(f"_b{n}"))
+        whole = one if whole is None else whole.join(one, ["trade_date", "sector_id"], "full_outer")
+    return whole
+
+
+def turnover_changes(own: DataFrame, periods: tuple[int, ...] = (5, 20), horizon: int = HORIZON) -> DataFrame:
+    """Per date and sector, for each of ``periods``: ``comparable<n>``, its members with n + 1 sessions in the horizon, and ``turnover_change<n>``.
+
+    The change is that of the comparable members' total amount against the mean of their totals on the n sessions before
+    that all of them have; null where there are fewer such sessions or the mean is not positive. A member's sessions of the
+    horizon are bits of a few words, and the words of a sector's members are joined by AND.
+    """
+    one, words = F.lit(1).cast("bigint"), range(-(-(horizon - 1) // _WORD) + 1)
+    shifted = lambda off: F.call_function("shiftleft", one, off.cast("int"))
+    days = own.select("trade_date").distinct().withColumn("_o", F.row_number().over(Window.orderBy("trade_date")))  # a row for each session
+    rows = own.select("symbol", "trade_date", "sector_id", "amount").join(F.broadcast(days), "trade_date").withColumn("_q", F.floor(c("_o") / _WORD))
+    # Sessions are bits of words counted from the market's first session: the row's own word up to now, then the words before it.
+    by = Window.partitionBy("symbol", "sector_id").orderBy("_q")
+    rows = rows.withColumn("_w0", F.sum(shifted(c("_o") % _WORD)).over(Window.partitionBy("symbol", "sector_id", "_q").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({f"_w{w}": F.coalesce(F.max("_w0").over(by.rangeBetween(-w, -w)), F.lit(0).cast("bigint")) for w in words[1:]})
+    first = c("_o") - (horizon - 1)  # the horizon's first session
+    cut = lambda w: F.greatest(F.least(first - (c("_q") - w) * _WORD, F.lit(_WORD)), F.lit(0))  # noqa: E731  bits of word w before it
+    rows = rows.withColumns({f"_w{w}": F.when(cut(w) < _WORD, c(f"_w{w}").bitwiseAND(F.bitwise_not(shifted(cut(w)) - 1))).otherwise(0) for w in words})
+    rows = rows.withColumn("_sessions", sum((F.bit_count(f"_w{w}") for w in words[1:]), F.bit_count("_w0")))
+    counts = lambda n: c("_sessions") > n
+    common = rows.groupBy("trade_date", "sector_id", "_o", "_q").agg(
+        *[F.count_if(counts(n)).alias(f"comparable{n}") for n in periods],
+        *[F.bit_and(F.when(counts(n), c(f"_w{w}"))).alias(f"_c{n}_{w}") for n in periods for w in words],
+    )
+
+    def bits_of(off: Column, name: str) -> Column:
+        """The bit of the session ``off`` places before the row's, in the words ``name<w>``."""
+        o = c("_o") - off
+        which = c("_q") - F.floor(o / _WORD)
+        word = F.coalesce(*[F.when(which == w, c(f"{name}{w}")) for w in words])
+        return F.call_function("shiftright", word, (o % _WORD).cast("int")).bitwiseAND(one) == 1
+
+    def nearest(n: int) -> Column:
+        """Places before today of the ``n`` latest sessions that all have; null where there are fewer."""
+        found = F.slice(F.filter(F.sequence(F.lit(1), F.lit(horizon - 1)), lambda k: (k < c("_o")) & bits_of(k, f"_c{n}_")), 1, n)
+        return F.when(F.size(found) == n, found)
+
+    taken = common.select("trade_date", "sector_id", "_o", *[nearest(n).alias(f"_near{n}") for n in periods])
+    sums = _common_sums(rows.select("symbol", "sector_id", "trade_date", "_o", "amount", "_sessions"), taken, periods)
+    change = lambda n: F.when(c(f"_b{n}") > 0, c(f"_t{n}") / (c(f"_b{n}") / n) - 1).alias(f"turnover_change{n}")
+    return common.select("trade_date", "sector_id", *[f"comparable{n}" for n in periods]).join(sums, ["trade_date", "sector_id"], "left").select("trade_date", "sector_id", *[f"comparable{n}" for n in periods], *map(change, periods))
+
+
 def daily_returns(own: DataFrame) -> DataFrame:
     """Mean return per date and sector, and of the whole market (null sector)."""
     return own.groupingSets([["trade_date", "sector_id"], ["trade_date"]], "trade_date", "sector_id").agg(F.avg("ret1").alias("ret"), F.count("ret1").alias("members"))
@@ -61,21 +137,24 @@ def targets(members: DataFrame) -> DataFrame:
 def metrics(own: DataFrame, target: DataFrame | None = None) -> DataFrame:
     """The raw measures of each sector and date; a measure counts with two members at least and, with ``target`` (of targets()), 80 percent of them."""
     market = own.groupBy("trade_date").agg(*[F.avg(f"ret{n}").alias(f"_m{n}") for n in (5, 20, 60)])
+    turnover = turnover_changes(own, (5,))
     row = Window.partitionBy("trade_date", "sector_id").orderBy(c("amount").desc(), "symbol")
     own = own.withColumn("_n", F.row_number().over(row))
     share = lambda x: F.avg(x.cast("double"))
-    own = own.join(F.broadcast(target), "sector_id", "left").withColumn("target", F.coalesce("target", F.lit(0))) if target is not None else own
+    own = own.join(target, "sector_id", "left").withColumn("target", F.coalesce("target", F.lit(0))) if target is not None else own
     covered = lambda n: (F.max("target") > 0) & (5 * F.count(n) >= 4 * F.max("target")) if target is not None else F.lit(True)
     two = lambda x, n: F.when((F.count(n) >= 2) & covered(n), x)
     m = own.groupBy("trade_date", "sector_id").agg(
         F.count("*").alias("members"),
         *[two(F.avg(f"ret{n}"), f"ret{n}").alias(f"_s{n}") for n in (5, 20, 60)],
         two(share(c("ret1") > 0), "ret1").alias("advancing_share"),
-        two(share(c("close") > c("ma20")), "ma20").alias("above20_share"),
-        two(F.sum(F.when(c("before5").isNotNull(), c("amount"))) / F.sum("before5"), "before5").alias("turnover_ratio"),
+        two(share(c("scaled_close") > c("ma20")), "ma20").alias("above20_share"),
+        (F.max("target") if target is not None else F.lit(0)).alias("_target"),
         F.when((F.count("*") >= 3) & covered("*"), F.sum(F.when(c("_n") <= 3, c("amount"))) / F.sum("amount")).alias("top3_share"),
     )
-    return m.join(market, "trade_date").select("trade_date", "sector_id", "members", *[(c(f"_s{n}") - c(f"_m{n}")).alias(f"excess{n}") for n in (5, 20, 60)], "advancing_share", "above20_share", "turnover_ratio", "top3_share")
+    enough = (c("comparable5") >= 2) & ((c("_target") > 0) & (5 * c("comparable5") >= 4 * c("_target")) if target is not None else F.lit(True))
+    m = m.join(market, "trade_date").join(turnover, ["trade_date", "sector_id"], "left")
+    return m.select("trade_date", "sector_id", "members", *[(c(f"_s{n}") - c(f"_m{n}")).alias(f"excess{n}") for n in (5, 20, 60)], "advancing_share", "above20_share", F.when(enough, c("turnover_change5")).alias("turnover_change5"), "top3_share")
 
 
 def confidence(score_columns: dict[str, float], coverage: Column, cap: float = 1.0) -> Column:
@@ -97,14 +176,15 @@ def leaders(own: DataFrame, target: DataFrame | None = None) -> DataFrame:
     The benchmark is the mean of all members of the date. A test without a value fails; ``passed`` and ``failed`` are sorted.
     With ``target`` (of targets()) the confidence counts the share of the sector's members that have a bar.
     """
-    by, day, mean = Window.partitionBy("symbol").orderBy("trade_date"), Window.partitionBy("trade_date"), Window.partitionBy("trade_date", "sector_id")
+    by, mean = Window.partitionBy("symbol").orderBy("trade_date"), Window.partitionBy("trade_date", "sector_id")
+    market = own.groupBy("trade_date").agg(*[F.avg(f"ret{n}").alias(f"_m{n}") for n in (5, 20, 60)])  # a date's whole market never meets in one task
     own = own if "before20" in own.columns else own.withColumn("before20", W.full(20, F.avg("amount"), -1))
-    own = own.withColumns({"trend_quality": W.ma_trend_quality(), "spread": c("ret1") - F.avg("ret1").over(mean), "contribution": c("ret20") / F.count("ret20").over(mean), "activity": F.when(c("before20") > 0, c("amount") / c("before20"))})
-    own = own.withColumns({f"excess{n}": c(f"ret{n}") - F.avg(f"ret{n}").over(day) for n in (5, 20, 60)})
+    own = own.withColumns({"trend_quality": W.trend_quality(c("scaled_close"), c("ma20"), c("ma60")), "spread": c("ret1") - F.avg("ret1").over(mean), "contribution": c("ret20") / F.count("ret20").over(mean), "activity": F.when(c("before20") > 0, c("amount") / c("before20"))})
+    own = own.join(market, "trade_date").withColumns({f"excess{n}": c(f"ret{n}") - c(f"_m{n}") for n in (5, 20, 60)}).drop("_m5", "_m20", "_m60")
     own = W.with_streak(own, "spread", by, "persistence")
     coverage = F.lit(1.0)
     if target is not None:
-        own = own.join(F.broadcast(target), "sector_id", "left")
+        own = own.join(target, "sector_id", "left")
         coverage = F.least(F.coalesce(F.count("*").over(mean) / c("target"), F.lit(0.0)), F.lit(1.0))
     scores = {
         "tradability": F.lit(100.0), **{f"relative_strength_{n}d": scaled_score(c(f"excess{n}"), 1000) for n in (5, 20, 60)}, "trading_activity_20d": scaled_score(c("activity") - 1, 100),
@@ -130,23 +210,22 @@ def ranking(own: DataFrame, target: DataFrame, *, minimum: float = MINIMUM_COVER
     A score counts with MINIMUM_MEMBERS members at least and the share ``minimum`` of the target. A sector with fewer priced
     members, or with any score that does not count, is not eligible: it has reasons, no total, and ranks last.
     """
+    own = written(own.select("symbol", "trade_date", "sector_id", "amount", "scaled_close", "ret1", "ret5", "ret20", "ret60", "ma20", "ma60", "before20"))  # read four times
     led = leadership(leaders(own))
-    own = own if "before20" in own.columns else own.withColumn("before20", W.full(20, F.avg("amount"), -1))
     market = own.groupBy("trade_date").agg(*[F.avg(f"ret{n}").alias(f"_m{n}") for n in (1, 5, 20, 60)])
     row = Window.partitionBy("trade_date", "sector_id").orderBy(c("amount").desc(), "symbol")
     share = lambda x: F.avg(x.cast("double"))
-    change = lambda n: F.sum(F.when(c(f"before{n}").isNotNull(), c("amount"))) / F.sum(f"before{n}") - 1
     m = own.withColumn("_n", F.row_number().over(row)).groupBy("trade_date", "sector_id").agg(
-        F.count("*").alias("members"), *[F.avg(f"ret{n}").alias(f"_s{n}") for n in (1, 5, 20, 60)], *[F.count(x).alias(f"_c_{x}") for x in ("ret1", "ret5", "ret20", "ret60", "ma20", "ma60", "before5", "before20")],
-        share(c("ret1") > 0).alias("_adv"), *[share(c("close") > c(f"ma{n}")).alias(f"_above{n}") for n in (20, 60)], *[change(n).alias(f"_change{n}") for n in (5, 20)],
+        F.count("*").alias("members"), *[F.avg(f"ret{n}").alias(f"_s{n}") for n in (1, 5, 20, 60)], *[F.count(x).alias(f"_c_{x}") for x in ("ret1", "ret5", "ret20", "ret60", "ma20", "ma60")],
+        share(c("ret1") > 0).alias("_adv"), *[share(c("scaled_close") > c(f"ma{n}")).alias(f"_above{n}") for n in (20, 60)],
         (F.sum(F.when(c("_n") <= 3, c("amount"))) / F.sum("amount")).alias("_top3"), F.when(F.count("ret1") >= 2, F.stddev_pop("ret1")).alias("_dispersion"),
     )
-    m = m.join(market, "trade_date").join(led, ["trade_date", "sector_id"]).join(F.broadcast(target), "sector_id")
+    m = m.join(market, "trade_date").join(led, ["trade_date", "sector_id"]).join(turnover_changes(own), ["trade_date", "sector_id"]).join(target, "sector_id")
     m = W.with_streak(m.withColumn("_spread", c("_s1") - c("_m1")), "_spread", Window.partitionBy("sector_id").orderBy("trade_date"), "_streak")
     covered = lambda n: (c(n) >= MINIMUM_MEMBERS) & (c(n) / c("target") >= minimum)
     scores = {
         **{f"relative_strength_{n}d": (f"_c_ret{n}", scaled_score(c(f"_s{n}") - c(f"_m{n}"), 1000)) for n in (5, 20, 60)}, "advancing_breadth": ("_c_ret1", share_score(c("_adv"))),
-        **{f"above_ma{n}_breadth": (f"_c_ma{n}", share_score(c(f"_above{n}"))) for n in (20, 60)}, **{f"turnover_change_{n}d": (f"_c_before{n}", scaled_score(c(f"_change{n}"), 100)) for n in (5, 20)},
+        **{f"above_ma{n}_breadth": (f"_c_ma{n}", share_score(c(f"_above{n}"))) for n in (20, 60)}, **{f"turnover_change_{n}d": (f"comparable{n}", scaled_score(c(f"turnover_change{n}"), 100)) for n in (5, 20)},
         "turnover_concentration_top3": ("members", concentration_score(c("_top3"))), "persistence_days": ("_c_ret1", scaled_score(c("_streak"), 5)), "cross_section_dispersion": ("_c_ret1", low_is_good(c("_dispersion"), *DISPERSION)),
         "leader_count": ("candidates", scaled_score(c("leaders") - 1, 50)), "leader_diffusion": ("candidates", share_score(c("share"))), "leader_persistence_days": ("candidates", scaled_score(c("streak"), 5)),
     }

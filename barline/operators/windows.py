@@ -38,10 +38,10 @@ def volume_ratio(n: int = 5, x: str = "volume") -> Column:
     return F.when(before > 0, F.col(x) / before)
 
 
-def rsi_simple(n: int = 14) -> Column:
-    """Needs ``_d``, the change of the close: 50 when flat, 100 without a loss."""
-    gain, loss = full(n, F.avg(F.greatest(F.col("_d"), F.lit(0.0)))), full(n, F.avg(F.greatest(-F.col("_d"), F.lit(0.0))))
-    complete = F.count("_d").over(by().rowsBetween(1 - n, 0)) == n
+def rsi_simple(n: int = 14, d: str = "_d") -> Column:
+    """Needs the column ``d``, the change of a field: 50 when flat, 100 without a loss."""
+    gain, loss = full(n, F.avg(F.greatest(F.col(d), F.lit(0.0)))), full(n, F.avg(F.greatest(-F.col(d), F.lit(0.0))))
+    complete = F.count(d).over(by().rowsBetween(1 - n, 0)) == n
     return F.when(complete, F.when((gain == 0) & (loss == 0), 50.0).when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / loss)))
 
 
@@ -74,6 +74,28 @@ def daily_return() -> Column:
     return F.coalesce(F.col("pct_change") / 100, F.when(F.col("preclose") > 0, F.col("close") / F.col("preclose") - 1))
 
 
+#: Fields that an adjustment factor scales.
+PRICES = ("open", "high", "low", "close", "preclose")
+
+
+def scaled(x: str = "close") -> Column:
+    """A price times its row's cumulative factor, which puts all rows of a symbol on one scale; other fields as they are.
+
+    Ratios and comparisons of scaled prices are those of prices adjusted to any day, so one pass serves every day.
+    """
+    return F.when(F.col("adjust_factor") > 0, F.col(x) * F.col("adjust_factor")) if x in PRICES else F.col(x)
+
+
+def at_own_day(value: Column) -> Column:
+    """A value of scaled prices in the terms of its row's own day: rows before it count as adjusted to that day's factor."""
+    return F.when(F.col("adjust_factor") > 0, value / F.col("adjust_factor"))
+
+
+def with_scaled(bars: DataFrame) -> DataFrame:
+    """Bars with ``scaled_<price>`` for every price."""
+    return bars.withColumns({f"scaled_{x}": scaled(x) for x in PRICES})
+
+
 def adjusted(x: str) -> Column:
     """Price times its factor over the factor of the symbol's last effective bar."""
     whole = by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -84,15 +106,17 @@ def with_adjusted(bars: DataFrame) -> DataFrame:
     return bars.withColumns({f"adj_{x}": adjusted(x) for x in ("open", "high", "low", "close")})
 
 
-def true_range(p: str = "") -> Column:
+def true_range(p: str = "scaled_") -> Column:
     before = F.lag(f"{p}close").over(by())
     return F.when(before.isNotNull(), F.greatest(F.col(f"{p}high") - F.col(f"{p}low"), F.abs(F.col(f"{p}high") - before), F.abs(F.col(f"{p}low") - before)))
 
 
-def atr(bars: DataFrame, n: int = 14, p: str = "") -> DataFrame:
-    own = bars.withColumn("_tr", true_range(p))
+def atr(bars: DataFrame, n: int = 14) -> DataFrame:
+    """Mean of ``n`` true ranges on prices adjusted to each row's own day; null unless all ``n`` + 1 rows have a usable factor."""
+    own = with_scaled(bars).withColumn("_tr", true_range())
     w = by().rowsBetween(1 - n, 0)
-    return own.withColumn("atr", F.when(F.count("_tr").over(w) == n, F.avg("_tr").over(w))).drop("_tr")
+    mean = F.when(F.count("_tr").over(w) == n, F.avg("_tr").over(w))
+    return own.withColumn("atr", at_own_day(mean)).drop("_tr", *[f"scaled_{x}" for x in PRICES])
 
 
 def drawdown(x: str = "close") -> Column:
@@ -132,8 +156,12 @@ def with_streak(df: DataFrame, x: str, by, out: str = "streak", cap: int = 20) -
     return own.withColumn(out, F.least(F.col("_row") - F.col("_start") + 1, F.lit(cap)) * F.col("_sign")).drop("_row", "_sign", "_start")
 
 
-def ma_trend_quality() -> Column:
-    """Mean of +-100 for a close above its 20 and 60 mean, whichever exist."""
-    parts = [F.when(m.isNotNull(), F.when(F.col("close") > m, 100.0).otherwise(-100.0)) for m in (sma(20), sma(60))]
+def trend_quality(close: Column, *means: Column) -> Column:
+    """Mean of +-100 for a close above each of its means, of those that exist."""
+    parts = [F.when(m.isNotNull(), F.when(close > m, 100.0).otherwise(-100.0)) for m in means]
     n = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in parts), F.lit(0))
     return F.when(n > 0, sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)) / n)
+
+
+def ma_trend_quality(x: str = "close") -> Column:
+    return trend_quality(F.col(x), sma(20, x), sma(60, x))

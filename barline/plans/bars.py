@@ -12,7 +12,7 @@ from barline.operators import windows as W
 
 QUERIES, ORACLE_SQL = {}, {}
 DAY = "1998-06-01"
-EFF = "eff AS (SELECT * FROM {bars} WHERE NOT is_suspended AND adjust_factor IS NOT NULL AND quality_status = 'ready')"
+EFF = "eff AS (SELECT *, close * adjust_factor AS sc, high * adjust_factor AS sh, low * adjust_factor AS sl FROM {bars} WHERE NOT is_suspended AND adjust_factor IS NOT NULL AND quality_status = 'ready')"
 OVER = "PARTITION BY symbol ORDER BY trade_date"
 
 
@@ -69,11 +69,11 @@ windowed(
     W.with_change,
     _D,
 )
-windowed("w9_period_return", lambda: {f"ret{n}": W.period_return(n) for n in (5, 20, 60)}, {f"ret{n}": f"close / lag(close, {n}) OVER ({OVER}) - 1" for n in (5, 20, 60)})
+windowed("w9_period_return", lambda: {f"ret{n}": W.period_return(n, "scaled_close") for n in (5, 20, 60)}, {f"ret{n}": f"sc / lag(sc, {n}) OVER ({OVER}) - 1" for n in (5, 20, 60)}, W.with_scaled)
 windowed("w10_daily_return", lambda: {"ret": W.daily_return()}, {"ret": "coalesce(pct_change / 100, CASE WHEN preclose > 0 THEN close / preclose - 1 END)"})
 windowed("w11_adjusted_prices", lambda: {x: W.adjusted(x) for x in ("open", "high", "low", "close")}, {x: f"{x} * adjust_factor / last(adjust_factor) OVER ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)" for x in ("open", "high", "low", "close")})
-_TR = f"SELECT *, CASE WHEN lag(close) OVER ({OVER}) IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER ({OVER})), abs(low - lag(close) OVER ({OVER}))) END AS tr FROM eff"
-windowed("w12_atr", lambda: {"atr": "atr"}, {"atr": f"CASE WHEN count(tr) {_ROWS14} = 14 THEN avg(tr) {_ROWS14} END"}, W.atr, _TR)
+_TR = f"SELECT *, CASE WHEN lag(sc) OVER ({OVER}) IS NOT NULL THEN greatest(sh - sl, abs(sh - lag(sc) OVER ({OVER})), abs(sl - lag(sc) OVER ({OVER}))) END AS tr FROM eff"
+windowed("w12_atr", lambda: {"atr": "atr"}, {"atr": f"CASE WHEN count(tr) {_ROWS14} = 14 THEN avg(tr) {_ROWS14} END / adjust_factor"}, W.atr, _TR)
 windowed("w13_drawdown", lambda: {"drawdown": W.drawdown(), "worst60": W.worst_drawdown(60)}, {
     "drawdown": f"close / max(close) OVER ({OVER} ROWS UNBOUNDED PRECEDING) - 1",
     "worst60": f"CASE WHEN count(*) OVER ({OVER} ROWS 59 PRECEDING) = 60 THEN list_min(list_transform(range(1, 61), lambda i: (list(close) OVER ({OVER} ROWS 59 PRECEDING))[i] / list_max((list(close) OVER ({OVER} ROWS 59 PRECEDING))[1:i]) - 1)) END"})
@@ -115,16 +115,15 @@ def _with_recursive(body: str) -> str:
 
 
 def w2_ema(spark, d):
-    own = recursive.apply_indicators(W.effective_bars(table(spark, d, "bars")), ["ema12"])
+    own = recursive.with_emas(W.effective_bars(table(spark, d, "bars")), {"ema12": ("close", 12)})
     return own.select("symbol", "trade_date", r6("ema12").alias("ema12"))
 
 
 def w4_rsi_wilder(spark, d):
-    own = recursive.apply_indicators(W.effective_bars(table(spark, d, "bars")), ["rsi14"])
+    own = recursive.with_wilder(W.effective_bars(table(spark, d, "bars")))
     return own.select("symbol", "trade_date", r6("rsi14").alias("rsi14"))
 
 
-
 QUERIES |= {"w2_ema": w2_ema, "w4_rsi_wilder": w4_rsi_wilder}
 ORACLE_SQL["w2_ema"] = _with_recursive("""e AS (
   SELECT symbol, k, avg(close) OVER (PARTITION BY symbol ORDER BY k ROWS 11 PRECEDING) AS v FROM eff QUALIFY k = 12
@@ -145,7 +144,7 @@ def w21_indicator_panel(spark, d):
 
 @query("w6_macd", None)
 def w6_macd(spark, d):
-    own = recursive.apply_indicators(W.effective_bars(table(spark, d, "bars")), ["macd"])
+    own = recursive.with_macd(W.effective_bars(table(spark, d, "bars")))
     return own.select("symbol", "trade_date", *[r6(c).alias(c) for c in ("macd", "macd_signal", "macd_hist")])
 
 
@@ -160,7 +159,20 @@ SELECT eff.symbol, trade_date, round(CASE WHEN v IS NOT NULL THEN line END + 1e-
 FROM eff LEFT JOIN g ON eff.symbol = g.symbol AND eff.k = g.k LEFT JOIN e ON eff.symbol = e.symbol AND eff.k = e.k""")
 
 
-_ACCEPT = f"""WITH {EFF}, m AS (SELECT *, {full_sql(5, 'avg(close)')} AS a, {full_sql(20, 'avg(close)')} AS b, volume / nullif({full_sql(5, 'avg(volume)', -1)}, 0) AS v FROM eff),
+def _panel() -> str:
+    """The means beside the recursive parts of W4 and W6."""
+    parts = {}
+    for name, of in (("r", "w4_rsi_wilder"), ("m", "w6_macd")):
+        parts[name] = ORACLE_SQL[of].replace("WITH RECURSIVE ", "WITH RECURSIVE ", 1)
+    means = ", ".join(f"round({full_sql(n, 'avg(close)')} + 1e-9, 6) AS sma{n}" for n in (5, 10, 20, 60, 120, 250))
+    joined = f"WITH {EFF}, r AS ({parts['r']}), m AS ({parts['m']})\nSELECT eff.symbol, eff.trade_date, {means}, macd, macd_signal, macd_hist, rsi14 FROM eff JOIN r USING (symbol, trade_date) JOIN m USING (symbol, trade_date)"
+    return duckdb(joined.replace(f"OVER ({OVER} ", "OVER (PARTITION BY eff.symbol ORDER BY eff.trade_date "))
+
+
+ORACLE_SQL["w21_indicator_panel"] = _panel()
+
+
+_ACCEPT = f"""WITH {EFF}, m AS (SELECT *, {full_sql(5, 'avg(sc)')} AS a, {full_sql(20, 'avg(sc)')} AS b, volume / nullif({full_sql(5, 'avg(volume)', -1)}, 0) AS v FROM eff),
 c AS (SELECT *, lag(a) OVER ({OVER}) AS pa, lag(b) OVER ({OVER}) AS pb FROM m),
 o AS (SELECT symbol, trade_date, CASE WHEN v IS NULL OR pa IS NULL OR pb IS NULL OR a IS NULL OR b IS NULL THEN 'insufficient' WHEN v > 1 AND pa <= pb AND a > b THEN 'matched' ELSE 'not_matched' END AS outcome FROM c)
 """
@@ -184,7 +196,7 @@ def p18_signal_gate(spark, d):
     return rules.signal_gate(table(spark, d, "bars"), F.lit(DAY).cast("date"))
 
 
-@query("r4_scan_many", f"""WITH {EFF}, m AS (SELECT *, {full_sql(20, 'avg(close)')} AS b FROM eff)
+@query("r4_scan_many", f"""WITH {EFF}, m AS (SELECT *, {full_sql(20, 'avg(sc)')} / adjust_factor AS b FROM eff)
 SELECT 'above' AS rule, symbol, trade_date, CASE WHEN b IS NULL THEN 'insufficient' WHEN close > b THEN 'matched' ELSE 'not_matched' END AS outcome FROM m
 UNION ALL SELECT 'not_cheap' AS rule, symbol, trade_date, CASE WHEN NOT close < 1500 THEN 'matched' ELSE 'not_matched' END AS outcome FROM m""")
 def r4_scan_many(spark, d):

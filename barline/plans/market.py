@@ -21,7 +21,9 @@ QUERIES, ORACLE_SQL = B.QUERIES, B.ORACLE_SQL
 DAYC = lambda: F.lit(DAY).cast("date")
 D = f"DATE '{DAY}'"
 ret = lambda n: f"close / lag(close, {n}) OVER ({OVER}) - 1"
-MEMBERS = f"""{B.EFF}, mb AS (SELECT *, {ret(1)} AS ret1, {ret(5)} AS ret5, {ret(20)} AS ret20, {ret(60)} AS ret60, {full_sql(20, 'avg(close)')} AS ma20, {full_sql(60, 'avg(close)')} AS ma60, {full_sql(5, 'avg(amount)', -1)} AS before5, {full_sql(20, 'avg(amount)', -1)} AS before20 FROM eff),
+sret = lambda n: f"sc / lag(sc, {n}) OVER ({OVER}) - 1"
+MEMBERS = f"""{B.EFF}, mb AS (SELECT *, CASE WHEN preclose > 0 THEN close / preclose - 1 END AS ret1, {sret(5)} AS ret5, {sret(20)} AS ret20, {sret(60)} AS ret60,
+{full_sql(20, 'avg(sc)')} AS ma20, {full_sql(60, 'avg(sc)')} AS ma60, {full_sql(20, 'avg(amount)', -1)} AS before20 FROM eff),
 own AS (SELECT mb.*, sector_id FROM mb JOIN {{memberships}} ON symbol = security_id WHERE generation = 3)"""
 
 
@@ -48,14 +50,31 @@ def a18_dispersion(spark, d):
     return rounded(S.dispersion(members(spark, d)))
 
 
+
+
+def common_sql(*periods: int) -> str:
+    """``tc<n>``: the comparable members of each sector and date, and their turnover against the sessions that all of them have."""
+    parts = ["""od AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS o FROM (SELECT DISTINCT trade_date FROM own)),
+ob AS (SELECT symbol, sector_id, own.trade_date, o, amount FROM own JOIN od USING (trade_date)),
+hz AS (SELECT a.symbol, a.sector_id, a.trade_date, a.o, b.o AS past, b.amount, count(*) OVER (PARTITION BY a.symbol, a.sector_id, a.trade_date) AS sessions
+FROM ob a JOIN ob b ON a.symbol = b.symbol AND a.sector_id = b.sector_id AND b.o BETWEEN a.o - 79 AND a.o)"""]
+    for n in periods:
+        parts.append(f"""nm{n} AS (SELECT sector_id, trade_date, count(DISTINCT symbol) AS comparable FROM hz WHERE sessions > {n} GROUP BY 1, 2),
+ds{n} AS (SELECT sector_id, trade_date, o, past, sum(amount) AS t, count(*) AS k FROM hz WHERE sessions > {n} GROUP BY 1, 2, 3, 4),
+cm{n} AS (SELECT ds{n}.*, row_number() OVER (PARTITION BY sector_id, trade_date ORDER BY past DESC) AS i FROM ds{n} JOIN nm{n} USING (sector_id, trade_date) WHERE k = comparable),
+ch{n} AS (SELECT sector_id, trade_date, sum(t) FILTER (i = 1) / nullif(sum(t) FILTER (i > 1) / {n}, 0) - 1 AS change FROM cm{n} WHERE i <= {n + 1} GROUP BY 1, 2 HAVING count(*) = {n + 1}),
+tc{n} AS (SELECT sector_id, trade_date, comparable AS comparable{n}, change AS change{n} FROM nm{n} LEFT JOIN ch{n} USING (sector_id, trade_date))""")
+    return ",\n".join(parts)
+
+
 _TWO = lambda x, n: f"CASE WHEN count({n}) >= 2 THEN {x} END"
-METRICS = f"""{MEMBERS}, mk AS (SELECT trade_date, avg(ret5) AS m5, avg(ret20) AS m20, avg(ret60) AS m60 FROM own GROUP BY 1),
+METRICS = f"""{MEMBERS}, {common_sql(5)}, mk AS (SELECT trade_date, avg(ret5) AS m5, avg(ret20) AS m20, avg(ret60) AS m60 FROM own GROUP BY 1),
 nn AS (SELECT *, row_number() OVER (PARTITION BY trade_date, sector_id ORDER BY amount DESC, symbol) AS n FROM own),
 sm AS (SELECT trade_date, sector_id, count(*) AS members, {_TWO('avg(ret5)', 'ret5')} AS s5, {_TWO('avg(ret20)', 'ret20')} AS s20, {_TWO('avg(ret60)', 'ret60')} AS s60,
-{_TWO('avg(CAST(ret1 > 0 AS DOUBLE))', 'ret1')} AS advancing_share, {_TWO('avg(CAST(close > ma20 AS DOUBLE))', 'ma20')} AS above20_share,
-{_TWO('sum(CASE WHEN before5 IS NOT NULL THEN amount END) / sum(before5)', 'before5')} AS turnover_ratio, CASE WHEN count(*) >= 3 THEN sum(CASE WHEN n <= 3 THEN amount END) / sum(amount) END AS top3_share FROM nn GROUP BY 1, 2),
-mt AS (SELECT trade_date, sector_id, members, s5 - m5 AS excess5, s20 - m20 AS excess20, s60 - m60 AS excess60, advancing_share, above20_share, turnover_ratio, top3_share FROM sm JOIN mk USING (trade_date))"""
-_NAMES = ("excess5", "excess20", "excess60", "advancing_share", "above20_share", "turnover_ratio", "top3_share")
+{_TWO('avg(CAST(ret1 > 0 AS DOUBLE))', 'ret1')} AS advancing_share, {_TWO('avg(CAST(sc > ma20 AS DOUBLE))', 'ma20')} AS above20_share, CASE WHEN count(*) >= 3 THEN sum(CASE WHEN n <= 3 THEN amount END) / sum(amount) END AS top3_share, 1 AS target FROM nn GROUP BY 1, 2),
+mt AS (SELECT trade_date, sector_id, members, s5 - m5 AS excess5, s20 - m20 AS excess20, s60 - m60 AS excess60, advancing_share, above20_share, CASE WHEN comparable5 >= 2 THEN change5 END AS turnover_change5, top3_share
+FROM sm JOIN mk USING (trade_date) LEFT JOIN tc5 USING (sector_id, trade_date))"""
+_NAMES = ("excess5", "excess20", "excess60", "advancing_share", "above20_share", "turnover_change5", "top3_share")
 
 
 @query("a12_a15_sector_metrics", f"WITH {METRICS}\nSELECT trade_date, sector_id, members, " + ", ".join(c6(n, n) for n in _NAMES) + " FROM mt")
@@ -88,7 +107,7 @@ LED = f"""{MEMBERS}, lw AS (SELECT *, ret5 - avg(ret5) OVER d AS excess5, ret20
 CASE WHEN before20 > 0 THEN amount / before20 END AS activity FROM own WINDOW d AS (PARTITION BY trade_date), s AS (PARTITION BY trade_date, sector_id)),
 {streaks('lk', 'lw', 'symbol', 'spread')},
 ls AS (SELECT trade_date, sector_id, symbol, 100.0 AS tradability, {clamped('(excess5 * 1000)')} AS relative_strength_5d, {clamped('(excess20 * 1000)')} AS relative_strength_20d, {clamped('(excess60 * 1000)')} AS relative_strength_60d, {clamped('((activity - 1) * 100)')} AS trading_activity_20d,
-list_avg(list_filter([CASE WHEN ma20 IS NOT NULL THEN CASE WHEN close > ma20 THEN 100 ELSE -100 END END, CASE WHEN ma60 IS NOT NULL THEN CASE WHEN close > ma60 THEN 100 ELSE -100 END END], lambda x: x IS NOT NULL)) AS trend_quality,
+list_avg(list_filter([CASE WHEN ma20 IS NOT NULL THEN CASE WHEN sc > ma20 THEN 100 ELSE -100 END END, CASE WHEN ma60 IS NOT NULL THEN CASE WHEN sc > ma60 THEN 100 ELSE -100 END END], lambda x: x IS NOT NULL)) AS trend_quality,
 {clamped('(contribution * 1000)')} AS sector_contribution_20d, {clamped('(streak * 5)')} AS persistence_days, {_GOOD('abs(spread)', 0.015, 0.04)} AS dispersion_consistency, excess20, activity, contribution, streak AS persistence, abs(spread) AS deviation FROM lk),
 lt AS (SELECT *, round({total(_LEADER)} + 1e-9, 6) AS total, [excess20 > 0, activity >= 1, trend_quality > 0, contribution > 0] AS tests FROM ls),
 lq AS (SELECT *, list_count(list_filter(tests, lambda x: x)) = 4 AS qualified FROM lt),
@@ -96,23 +115,23 @@ ld AS (SELECT trade_date, sector_id, count(*) AS candidates, count(*) FILTER (qu
 
 
 def ranked_sql(minimum: float) -> str:
-    change = lambda n: f"sum(CASE WHEN before{n} IS NOT NULL THEN amount END) / sum(before{n}) - 1 AS change{n}"
-    counts = ("ret1", "ret5", "ret20", "ret60", "ma20", "ma60", "before5", "before20")
+    counts = ("ret1", "ret5", "ret20", "ret60", "ma20", "ma60")
     scores = {
         "relative_strength_5d": ("c_ret5", clamped("((s5 - m5) * 1000)")), "relative_strength_20d": ("c_ret20", clamped("((s20 - m20) * 1000)")), "relative_strength_60d": ("c_ret60", clamped("((s60 - m60) * 1000)")),
         "advancing_breadth": ("c_ret1", clamped("((adv - 0.5) * 200)")), "above_ma20_breadth": ("c_ma20", clamped("((above20 - 0.5) * 200)")), "above_ma60_breadth": ("c_ma60", clamped("((above60 - 0.5) * 200)")),
-        "turnover_change_5d": ("c_before5", clamped("(change5 * 100)")), "turnover_change_20d": ("c_before20", clamped("(change20 * 100)")), "turnover_concentration_top3": ("members", clamped("((0.75 - top3) * 200)")),
+        "turnover_change_5d": ("comparable5", clamped("(change5 * 100)")), "turnover_change_20d": ("comparable20", clamped("(change20 * 100)")), "turnover_concentration_top3": ("members", clamped("((0.75 - top3) * 200)")),
         "persistence_days": ("c_ret1", clamped("(streak * 5)")), "cross_section_dispersion": ("c_ret1", _GOOD("disp", 0.015, 0.04)), "leader_count": ("candidates", clamped("((leaders - 1) * 50)")),
         "leader_diffusion": ("candidates", clamped("((share - 0.5) * 200)")), "leader_persistence_days": ("candidates", clamped("(lead * 5)")),
     }
     ok = lambda n: f"({n} >= 2 AND {n} / target >= CAST({minimum} AS DOUBLE))"
     every = " AND ".join(ok(n) for n in dict.fromkeys(n for n, _ in scores.values()))
-    return f"""WITH {LED}, nn AS (SELECT *, row_number() OVER (PARTITION BY trade_date, sector_id ORDER BY amount DESC, symbol) AS n FROM own),
+    return f"""WITH {LED}, {common_sql(5, 20)}, nn AS (SELECT *, row_number() OVER (PARTITION BY trade_date, sector_id ORDER BY amount DESC, symbol) AS n FROM own),
 sd AS (SELECT trade_date, sector_id, count(*) AS members, avg(ret1) AS s1, avg(ret5) AS s5, avg(ret20) AS s20, avg(ret60) AS s60, {', '.join(f'count({x}) AS c_{x}' for x in counts)}, avg(CAST(ret1 > 0 AS DOUBLE)) AS adv,
-avg(CAST(close > ma20 AS DOUBLE)) AS above20, avg(CAST(close > ma60 AS DOUBLE)) AS above60, {change(5)}, {change(20)}, sum(CASE WHEN n <= 3 THEN amount END) / sum(amount) AS top3, CASE WHEN count(ret1) >= 2 THEN stddev_pop(ret1) END AS disp FROM nn GROUP BY 1, 2),
+avg(CAST(sc > ma20 AS DOUBLE)) AS above20, avg(CAST(sc > ma60 AS DOUBLE)) AS above60, sum(CASE WHEN n <= 3 THEN amount END) / sum(amount) AS top3, CASE WHEN count(ret1) >= 2 THEN stddev_pop(ret1) END AS disp FROM nn GROUP BY 1, 2),
 dm AS (SELECT trade_date, avg(ret1) AS m1, avg(ret5) AS m5, avg(ret20) AS m20, avg(ret60) AS m60 FROM own GROUP BY 1),
 tg AS (SELECT sector_id, count(DISTINCT security_id) AS target FROM {{memberships}} WHERE generation = 3 GROUP BY 1),
-sj AS (SELECT *, s1 - m1 AS sector_spread FROM sd JOIN dm USING (trade_date) JOIN ld USING (trade_date, sector_id) JOIN tg USING (sector_id)), {streaks('sk', 'sj', 'sector_id', 'sector_spread')},
+sj AS (SELECT * EXCLUDE (comparable5, comparable20), coalesce(comparable5, 0) AS comparable5, coalesce(comparable20, 0) AS comparable20, s1 - m1 AS sector_spread
+FROM sd JOIN dm USING (trade_date) JOIN ld USING (trade_date, sector_id) LEFT JOIN tc5 USING (trade_date, sector_id) LEFT JOIN tc20 USING (trade_date, sector_id) JOIN tg USING (sector_id)), {streaks('sk', 'sj', 'sector_id', 'sector_spread')},
 sc AS (SELECT trade_date, sector_id, members, target, {every} AS horizon, {', '.join(f'CASE WHEN {ok(n)} THEN {x} END AS {k}' for k, (n, x) in scores.items())} FROM sk),
 se AS (SELECT *, array_to_string(list_filter([CASE WHEN NOT {ok('members').split(' AND ')[1][:-1]} THEN 'insufficient_comparable_member_coverage' END, CASE WHEN NOT horizon THEN 'insufficient_horizon_member_coverage' END, CASE WHEN members < 2 THEN 'insufficient_priced_members' END], lambda x: x IS NOT NULL), ',') AS reasons FROM sc),
 st AS (SELECT *, CASE WHEN reasons = '' THEN round({total(_SECTOR)} + 1e-9, 6) END AS total FROM se)
@@ -141,7 +160,7 @@ def a23_leader_ranking(spark, d):
     return rounded(own.select("trade_date", "sector_id", "symbol", *_LEADER, "total", "qualified", "passed", "failed", "rank"), "total")
 
 
-_COVERED = re.sub(r"count\(([\w*]+)\) >= ([23]) THEN", r"count(\1) >= \2 AND 5 * count(\1) >= 4 * max(target) THEN", METRICS).replace(
+_COVERED = re.sub(r"count\(([\w*]+)\) >= ([23]) THEN", r"count(\1) >= \2 AND 5 * count(\1) >= 4 * max(target) THEN", METRICS).replace("1 AS target FROM nn", "max(target) AS target FROM nn").replace("comparable5 >= 2 THEN", "comparable5 >= 2 AND 5 * comparable5 >= 4 * target THEN").replace(
     "FROM nn GROUP BY", "FROM nn JOIN (SELECT sector_id, count(DISTINCT security_id) AS target FROM {memberships} WHERE generation = 3 GROUP BY 1) USING (sector_id) GROUP BY"
 )
 
@@ -193,14 +212,14 @@ def p15_expected_state(spark, d):
 
 # --- the market's state ---
 
-USABLE = "u AS (SELECT *, coalesce(pct_change / 100, CASE WHEN preclose > 0 THEN close / preclose - 1 END) AS r1 FROM {bars} WHERE is_trading AND quality_status = 'ready' AND close > 0 AND preclose > 0 AND adjust_factor IS NOT NULL AND amount >= 0)"
+USABLE = "u AS (SELECT *, close * adjust_factor AS sc, coalesce(pct_change / 100, CASE WHEN preclose > 0 THEN close / preclose - 1 END) AS r1 FROM {bars} WHERE is_trading AND quality_status = 'ready' AND close > 0 AND preclose > 0 AND adjust_factor IS NOT NULL AND amount >= 0)"
 _Q = dict.fromkeys(("s1", "s2", "s3", "s4"), 0.25)
 _T = dict.fromkeys(("s1", "s2", "s3"), 1 / 3)
 TREND = f"""im AS (SELECT *, {full_sql(20, 'avg(close)')} AS m20, {full_sql(60, 'avg(close)')} AS m60, {full_sql(120, 'avg(close)')} AS m120, row_number() OVER ({OVER}) AS k FROM {{index_bars}}),
 il AS (SELECT *, m20 - lag(m20, 5) OVER ({OVER}) AS slope FROM im),
 trend AS (SELECT trade_date, avg(CASE WHEN k >= 125 THEN (sign(close - m20) + sign(close - m60) + sign(close - m120) + sign(slope)) / 4.0 END) * 100 AS trend FROM il GROUP BY 1)"""
-BREADTH = f"""ub AS (SELECT *, {full_sql(20, 'avg(close)')} AS ma20, {full_sql(60, 'avg(close)')} AS ma60, close >= {full_sql(59, 'max(close)', -1)} AS hi, close <= {full_sql(59, 'min(close)', -1)} AS lo FROM u),
-b1 AS (SELECT trade_date, avg(CAST(r1 > 0 AS DOUBLE)) AS a, avg(CAST(close > ma20 AS DOUBLE)) AS b, avg(CAST(close > ma60 AS DOUBLE)) AS d, avg(CAST(hi AS DOUBLE)) - avg(CAST(lo AS DOUBLE)) AS e FROM ub GROUP BY 1),
+BREADTH = f"""ub AS (SELECT *, {full_sql(20, 'avg(sc)')} AS ma20, {full_sql(60, 'avg(sc)')} AS ma60, sc >= {full_sql(59, 'max(sc)', -1)} AS hi, sc <= {full_sql(59, 'min(sc)', -1)} AS lo FROM u),
+b1 AS (SELECT trade_date, avg(CAST(r1 > 0 AS DOUBLE)) AS a, avg(CAST(sc > ma20 AS DOUBLE)) AS b, avg(CAST(sc > ma60 AS DOUBLE)) AS d, avg(CAST(hi AS DOUBLE)) - avg(CAST(lo AS DOUBLE)) AS e FROM ub GROUP BY 1),
 b2 AS (SELECT trade_date, {clamped('((a - 0.5) * 200)')} AS s1, {clamped('((b - 0.5) * 200)')} AS s2, {clamped('((d - 0.5) * 200)')} AS s3, {clamped('(e * 500)')} AS s4 FROM b1),
 breadth AS (SELECT trade_date, {total(_Q)} AS breadth FROM b2)"""
 LIQUIDITY = f"""lt AS (SELECT trade_date, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS t FROM u GROUP BY 1),
@@ -424,8 +443,8 @@ def a38_sector_concentration(spark, d):
     return own.withColumn("value", F.col("value").cast("double"))
 
 
-@query("a39_atr_budget", f"""WITH {EXPOSURE}, {B.EFF}, tr AS (SELECT symbol, trade_date, CASE WHEN lag(close) OVER o IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)) END AS tr FROM eff WINDOW o AS ({B.OVER})),
-ranges AS (SELECT symbol, trade_date, CASE WHEN count(tr) OVER o = 14 THEN avg(tr) OVER o END AS atr FROM tr WINDOW o AS ({B.OVER} ROWS 13 PRECEDING)),
+@query("a39_atr_budget", f"""WITH {EXPOSURE}, {B.EFF}, tr AS (SELECT symbol, trade_date, adjust_factor, CASE WHEN lag(sc) OVER o IS NOT NULL THEN greatest(sh - sl, abs(sh - lag(sc) OVER o), abs(sl - lag(sc) OVER o)) END AS tr FROM eff WINDOW o AS ({B.OVER})),
+ranges AS (SELECT symbol, trade_date, CASE WHEN count(tr) OVER o = 14 THEN avg(tr) OVER o END / adjust_factor AS atr FROM tr WINDOW o AS ({B.OVER} ROWS 13 PRECEDING)),
 risk AS (SELECT portfolio, sum(CAST(quantity AS DOUBLE) * atr) AS b, bool_and(atr IS NOT NULL) AS ok FROM {{positions}} p LEFT JOIN ranges r ON p.symbol = r.symbol AND r.trade_date = {D} GROUP BY 1)
 SELECT risk.portfolio, round(CASE WHEN ok AND nav > 0 THEN b / nav END + 1e-9, 6) AS budget FROM risk LEFT JOIN ex ON ex.portfolio = risk.portfolio""")
 def a39_atr_budget(spark, d):
