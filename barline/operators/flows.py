@@ -19,24 +19,63 @@ def load_flows(raw: DataFrame, through: Column, numbers: list[str]) -> tuple[Dat
     return own.where(~bad & (c("trade_date") <= through)).withColumns(cast), own.where(bad)
 
 
-def flow_metrics(flows: DataFrame, n: int = 20) -> DataFrame:
-    """Per scope and date the sums of 1, 5 and 20 sessions, share of inflows, z-score and weight of large orders; null until the window is full."""
-    by = Window.partitionBy(*BY).orderBy("trade_date")
+def with_ordinals(flows: DataFrame, calendar: DataFrame) -> DataFrame:
+    """``flows`` of open sessions with ``_o``, the session's number in the calendar's open sessions; days without a status, closed and unknown days go."""
+    open_ = calendar.where("status = 'open'").select("trade_date").distinct().withColumn("_o", F.row_number().over(Window.orderBy("trade_date")))
+    return flows.join(F.broadcast(open_), "trade_date")  # a row a day
+
+
+def flow_metrics(flows: DataFrame, calendar: DataFrame, n: int = 20) -> DataFrame:
+    """Per scope and open session the sums of 1, 5 and ``n`` sessions, share of inflows, z-score, weight of large orders and continuity.
+
+    A window is full where the calendar's open sessions follow one another, whatever closed days lie between; until then its
+    measures are null. ``continuity`` is the share of the last ``n`` open sessions that are there, 0 until there are as many.
+    """
+    by = Window.partitionBy(*BY).orderBy("_o")
     x = c("main_net")
 
     def full(k: int, value: Column) -> Column:
         w = by.rowsBetween(1 - k, 0)
-        return F.when((F.count(F.lit(1)).over(w) == k) & (F.datediff(c("trade_date"), F.min("trade_date").over(w)) == k - 1), value.over(w))
+        return F.when((F.count(F.lit(1)).over(w) == k) & (c("_o") - F.min("_o").over(w) == k - 1), value.over(w))
 
     mean, dev = full(n, F.avg(x)), full(n, F.stddev_pop(x))
-    return flows.select("scope_name", "trade_date", x.alias("sum1"), full(5, F.sum(x)).alias("sum5"), full(n, F.sum(x)).alias("sum20"), full(n, F.avg((x > 0).cast("double"))).alias("positive"), F.when(dev > 0, (x - mean) / dev).when(dev == 0, 0.0).alias("z"), (full(n, F.sum(F.abs("super_net"))) / full(n, F.sum(F.abs(x)))).alias("large_share"))
-
-
-def flow_quality(flows: DataFrame, days: DataFrame) -> DataFrame:
-    """First blocking fault of each scope: a number that is not finite, a repeated date, a missing session."""
-    n = days.agg(F.count_distinct("trade_date").alias("_days"))
-    own = flows.groupBy("scope_name").agg(F.bool_or(c("main_net").isNull() | F.isnan("main_net")).alias("_bad"), F.count("*").alias("_n"), F.count_distinct("trade_date").alias("_d")).crossJoin(n)
-    return own.select("scope_name", F.when(c("_bad"), "not_finite").when(c("_n") > c("_d"), "duplicate").when(c("_d") < c("_days"), "gap").alias("fault"))
+    there = F.count(F.lit(1)).over(by.rangeBetween(1 - n, 0)) / n
+    return with_ordinals(flows, calendar).select(
+        "scope_name",
+        "trade_date",
+        x.alias("sum1"),
+        full(5, F.sum(x)).alias("sum5"),
+        full(n, F.sum(x)).alias("sum20"),
+        full(n, F.avg((x > 0).cast("double"))).alias("positive"),
+        F.when(dev > 0, (x - mean) / dev).when(dev == 0, 0.0).alias("z"),
+        (full(n, F.sum(F.abs("super_net"))) / full(n, F.sum(F.abs(x)))).alias("large_share"),
+        F.when(c("_o") >= n, there).otherwise(0.0).alias("continuity"),
+    )
+
+
+def flow_quality(flows: DataFrame, calendar: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """First blocking fault of each scope, null without one.
+
+    In this order: a number that is missing, NaN or infinite; a repeated date; more than one ``source``, where flows have that
+    column; a day that the calendar does not know; a closed day; with ``as_of``, an ``observed_on`` after it; an open
+    session missing between the scope's first and last.
+    """
+    has = lambda name: c(name) if name in flows.columns else F.lit(None)
+    late = has("observed_on") > as_of if as_of is not None else F.lit(False)
+    days = calendar.select("trade_date", "status").distinct()
+    days = days.withColumn("_o", F.count_if(c("status") == "open").over(Window.orderBy("trade_date")))
+    told = flows.join(F.broadcast(days), "trade_date", "left")  # a row a day
+    own = told.groupBy("scope_name").agg(
+        F.bool_or(c("main_net").isNull() | F.isnan("main_net") | (F.abs("main_net") == float("inf"))).alias("_bad"),
+        (F.count("*") > F.count_distinct("trade_date")).alias("_twice"),
+        (F.count_distinct(has("source")) > 1).alias("_mixed"),
+        F.bool_or(F.coalesce(c("status"), F.lit("unknown")) == "unknown").alias("_unknown"),
+        F.bool_or(c("status") == "closed").alias("_closed"),
+        F.bool_or(F.coalesce(late, F.lit(False))).alias("_late"),
+        (F.count_distinct("_o") < F.max("_o") - F.min("_o") + 1).alias("_gap"),
+    )
+    faults = {"_bad": "not_finite", "_twice": "duplicate", "_mixed": "mixed_source", "_unknown": "calendar_unverifiable", "_closed": "closed_session", "_late": "late_observation", "_gap": "gap"}
+    return own.select("scope_name", F.coalesce(*[F.when(c(k), name) for k, name in faults.items()]).alias("fault"))
 
 
 #: Shares of sessions with an inflow from which on, and up to which, a flow persists.

@@ -28,11 +28,6 @@ def query(name: str, sql: str | None):
     return add
 
 
-def renamed(name: str, of: str) -> None:
-    """Registers a query under another name, too."""
-    QUERIES[name], ORACLE_SQL[name] = QUERIES[of], ORACLE_SQL[of]
-
-
 def r6(x) -> F.Column:
     """Six places; the small shift keeps halves, which engines round either way, on one side."""
     return F.round((F.col(x) if isinstance(x, str) else x) + 1e-9, 6)

@@ -34,9 +34,6 @@ def s4_last_trusted_sessions(spark, d):
     return SB.last_sessions(table(spark, d, "bars"), DAYC(), 10, usable_bar()).select("symbol", "trade_date")
 
 
-B.renamed("s4_last_trusted_sessions_all", "s4_last_trusted_sessions")
-
-
 @query("s5_available_dates", "SELECT DISTINCT trade_date FROM {bars} WHERE source = 'a'")
 def s5_available_dates(spark, d):
     return SB.available_dates(table(spark, d, "bars"), "a")
@@ -53,9 +50,6 @@ def s8_present_points(spark, d):
     return SB.present_points(own, own.select("trade_date").distinct(), own.select("symbol").distinct())
 
 
-B.renamed("s8_present_points_all", "s8_present_points")
-
-
 _NUMBERS = ["open", "high", "low", "close", "preclose", "volume", "amount", "pct_change"]
 
 
@@ -155,9 +149,6 @@ def s21_load_memberships(spark, d):
     return SB.load_memberships(own.select("code"), own)[0].select("code", "sector", "record_id")
 
 
-B.renamed("s21_load_memberships_all", "s21_load_memberships")
-
-
 @query("t1_event_bars", "SELECT CAST(ts AS DATE) AS trade_date, user_id, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS amount FROM events GROUP BY ALL")
 def t1_event_bars(spark, d):
     return T.stream_bars(table(spark, d, "events"))

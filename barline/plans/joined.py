@@ -28,17 +28,16 @@ _BASE = "base AS (SELECT symbol, effective_date AS snapshot_date, back_factor AS
 
 @query("j2_resolve_factors", f"""WITH {_BASE},
 a AS (SELECT s.symbol, s.trade_date, b.snapshot_date, b.factor FROM s ASOF LEFT JOIN base b ON s.symbol = b.symbol AND s.trade_date >= b.snapshot_date),
-e AS (SELECT a.symbol, a.trade_date, arg_max(f.back_factor, struct_pack(x := f.effective_date, y := f.observed_on)) AS ef FROM a JOIN {{factors}} f ON a.symbol = f.symbol AND a.snapshot_date < f.effective_date AND f.effective_date <= a.trade_date AND f.observed_on <= a.trade_date GROUP BY ALL)
-SELECT a.symbol, a.trade_date, coalesce(ef, factor) AS factor, CASE WHEN snapshot_date IS NULL THEN NULL WHEN ef IS NOT NULL THEN 'daily_event' WHEN snapshot_date = a.trade_date THEN 'exact' ELSE 'daily_carry' END AS kind FROM a LEFT JOIN e ON a.symbol = e.symbol AND a.trade_date = e.trade_date""")
+g AS (SELECT symbol, greatest(effective_date, observed_on) AS since, max(struct_pack(eff := effective_date, obs := observed_on, f := back_factor)) AS e FROM {{factors}} WHERE effective_date IS NOT NULL AND observed_on IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT symbol, since, max(e) OVER (PARTITION BY symbol ORDER BY since) AS e FROM g),
+w AS (SELECT a.*, CASE WHEN e.eff > snapshot_date THEN e.f END AS ef FROM a ASOF LEFT JOIN m ON a.symbol = m.symbol AND a.trade_date >= m.since)
+SELECT symbol, trade_date, coalesce(ef, factor) AS factor, CASE WHEN snapshot_date IS NULL THEN NULL WHEN ef IS NOT NULL THEN 'daily_event' WHEN snapshot_date = trade_date THEN 'exact' ELSE 'daily_carry' END AS kind FROM w""")
 def j2_resolve_factors(spark, d):
     events = table(spark, d, "factors")
     base = events.where("month(effective_date) in (1, 7)").select("symbol", F.col("effective_date").alias("snapshot_date"), F.col("back_factor").alias("factor"))
     return J.resolve_factors(base, events, table(spark, d, "bars"))
 
 
-B.renamed("j2_resolve_factors_all", "j2_resolve_factors")
-
-
 @query("j3_bootstrap_factors", f"SELECT s_suppkey AS symbol, coalesce(arg_max(back_factor, effective_date), 1.0) AS factor, count(back_factor) = 0 AS assumed FROM supplier LEFT JOIN {{factors}} ON s_suppkey = symbol AND effective_date <= {D} GROUP BY 1")
 def j3_bootstrap_factors(spark, d):
     return J.bootstrap_factors(table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol")), table(spark, d, "factors"), DAYC())

@@ -295,22 +295,42 @@ def a32_replay_regime(spark, d):
 
 # --- flows ---
 
-_F20 = "PARTITION BY scope_name ORDER BY trade_date ROWS 19 PRECEDING"
-_OK = lambda k: f"count(*) OVER (PARTITION BY scope_name ORDER BY trade_date ROWS {k - 1} PRECEDING) = {k} AND trade_date - min(trade_date) OVER (PARTITION BY scope_name ORDER BY trade_date ROWS {k - 1} PRECEDING) = {k - 1}"
-FLOWS = f"""fm AS (SELECT scope_name, trade_date, main_net AS sum1, CASE WHEN {_OK(5)} THEN sum(main_net) OVER (PARTITION BY scope_name ORDER BY trade_date ROWS 4 PRECEDING) END AS sum5,
+CALENDAR = "cal AS (SELECT CAST(d AS DATE) AS trade_date, CASE WHEN d = DATE '2024-01-31' THEN 'unknown' WHEN d = DATE '2024-01-01' OR isodow(d) > 5 THEN 'closed' ELSE 'open' END AS status FROM range(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 1 DAY) t(d))"
+
+
+def calendar(spark):
+    from barline.sources.calendar import build_calendar
+
+    return build_calendar(spark, "2024-01-01", "2024-01-31", closed=["2024-01-01"], unknown=["2024-01-31"])
+
+
+_FO = "PARTITION BY scope_name ORDER BY o"
+_OK = lambda k: f"count(*) OVER ({_FO} ROWS {k - 1} PRECEDING) = {k} AND o - min(o) OVER ({_FO} ROWS {k - 1} PRECEDING) = {k - 1}"
+_F20 = f"{_FO} ROWS 19 PRECEDING"
+FLOWS = f"""{CALENDAR}, od AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS o FROM cal WHERE status = 'open'),
+fm AS (SELECT scope_name, trade_date, main_net AS sum1, CASE WHEN {_OK(5)} THEN sum(main_net) OVER ({_FO} ROWS 4 PRECEDING) END AS sum5,
 CASE WHEN {_OK(20)} THEN sum(main_net) OVER ({_F20}) END AS sum20, CASE WHEN {_OK(20)} THEN avg(CAST(main_net > 0 AS DOUBLE)) OVER ({_F20}) END AS positive,
 CASE WHEN {_OK(20)} THEN CASE WHEN stddev_pop(main_net) OVER ({_F20}) > 0 THEN (main_net - avg(main_net) OVER ({_F20})) / stddev_pop(main_net) OVER ({_F20}) ELSE 0 END END AS z,
-CASE WHEN {_OK(20)} THEN sum(abs(super_net)) OVER ({_F20}) / sum(abs(main_net)) OVER ({_F20}) END AS large_share FROM {{flows}})"""
+CASE WHEN {_OK(20)} THEN sum(abs(super_net)) OVER ({_F20}) / sum(abs(main_net)) OVER ({_F20}) END AS large_share,
+CASE WHEN o >= 20 THEN count(*) OVER ({_FO} RANGE 19 PRECEDING) / 20.0 ELSE 0 END::DOUBLE AS continuity FROM {{flows}} JOIN od USING (trade_date))"""
 
 
-@query("a33_flow_metrics", f"WITH {FLOWS}\nSELECT scope_name, trade_date, " + ", ".join(c6(n, n) for n in ("sum1", "sum5", "sum20", "positive", "z", "large_share")) + " FROM fm")
+@query("a33_flow_metrics", f"WITH {FLOWS}\nSELECT scope_name, trade_date, " + ", ".join(c6(n, n) for n in ("sum1", "sum5", "sum20", "positive", "z", "large_share", "continuity")) + " FROM fm")
 def a33_flow_metrics(spark, d):
-    return rounded(FL.flow_metrics(table(spark, d, "flows")))
+    return rounded(FL.flow_metrics(table(spark, d, "flows"), calendar(spark)))
+
+
+_MARKED = """q AS (SELECT scope_name, trade_date, main_net, CASE WHEN scope_name = '2' AND trade_date > DATE '2024-01-15' THEN 'b' ELSE 'a' END AS source, CASE WHEN scope_name = '4' THEN DATE '2024-02-20' ELSE trade_date END AS observed_on
+FROM {flows} WHERE trade_date < DATE '2024-01-31' AND (scope_name = '0' OR (weekday_of(trade_date) < 5 AND trade_date > DATE '2024-01-01' AND NOT (scope_name = '1' AND trade_date = DATE '2024-01-17'))))"""
 
 
-@query("a34_flow_quality", "SELECT scope_name, CASE WHEN bool_or(main_net IS NULL) THEN 'not_finite' WHEN count(*) > count(DISTINCT trade_date) THEN 'duplicate' WHEN count(DISTINCT trade_date) < (SELECT count(DISTINCT trade_date) FROM {flows}) THEN 'gap' END AS fault FROM {flows} GROUP BY 1")
+@query("a34_flow_quality", f"""WITH {CALENDAR}, {_MARKED.replace('weekday_of(trade_date) < 5', 'isodow(trade_date) < 6')}, od AS (SELECT *, count(*) FILTER (status = 'open') OVER (ORDER BY trade_date) AS o FROM cal)
+SELECT scope_name, CASE WHEN bool_or(main_net IS NULL) THEN 'not_finite' WHEN count(*) > count(DISTINCT trade_date) THEN 'duplicate' WHEN count(DISTINCT source) > 1 THEN 'mixed_source' WHEN bool_or(coalesce(status, 'unknown') = 'unknown') THEN 'calendar_unverifiable'
+WHEN bool_or(status = 'closed') THEN 'closed_session' WHEN bool_or(observed_on > DATE '2024-01-31') THEN 'late_observation' WHEN count(DISTINCT o) < max(o) - min(o) + 1 THEN 'gap' END AS fault FROM q LEFT JOIN od USING (trade_date) GROUP BY 1""")
 def a34_flow_quality(spark, d):
-    return FL.flow_quality(table(spark, d, "flows"), table(spark, d, "flows").select("trade_date"))
+    """Scope 0 keeps closed days, 1 lacks a session, 2 has two sources, 4 was observed late."""
+    own = spark.sql(f"WITH {_MARKED.replace('weekday_of(', 'weekday(')} FROM q", flows=table(spark, d, "flows"))
+    return FL.flow_quality(own, calendar(spark), F.lit("2024-01-31").cast("date"))
 
 
 WAY = "CASE WHEN sum20 IS NULL OR positive IS NULL THEN NULL WHEN sum20 > 0 AND positive >= 0.65 THEN 'persistent_reported_inflow' WHEN sum20 < 0 AND positive <= 0.35 THEN 'persistent_reported_outflow' ELSE 'mixed_reported_flow' END"
@@ -318,16 +338,7 @@ WAY = "CASE WHEN sum20 IS NULL OR positive IS NULL THEN NULL WHEN sum20 > 0 AND
 
 @query("a35_flow_direction", f"WITH {FLOWS}\nSELECT scope_name, trade_date, {WAY} AS direction FROM fm")
 def a35_flow_direction(spark, d):
-    return FL.flow_direction(FL.flow_metrics(table(spark, d, "flows")))
-
-
-CALENDAR = "cal AS (SELECT CAST(d AS DATE) AS trade_date, CASE WHEN d = DATE '2024-01-31' THEN 'unknown' WHEN d = DATE '2024-01-01' OR isodow(d) > 5 THEN 'closed' ELSE 'open' END AS status FROM range(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 1 DAY) t(d))"
-
-
-def calendar(spark):
-    from barline.sources.calendar import build_calendar
-
-    return build_calendar(spark, "2024-01-01", "2024-01-31", closed=["2024-01-01"], unknown=["2024-01-31"])
+    return FL.flow_direction(FL.flow_metrics(table(spark, d, "flows"), calendar(spark)))
 
 
 @query("s11_build_calendar", f"WITH {CALENDAR}\nSELECT c.trade_date, status, count(f.trade_date) AS scopes FROM cal c LEFT JOIN {{flows}} f USING (trade_date) GROUP BY ALL")
@@ -341,9 +352,6 @@ def j12_calendar_gaps(spark, d):
     return J.calendar_gaps(weeks, table(spark, d, "bars"))
 
 
-B.renamed("j12_calendar_gaps_all", "j12_calendar_gaps")
-
-
 @query("j13_calendar_conflicts", f"WITH {CALENDAR}, o AS (SELECT DISTINCT trade_date, 'open' AS status FROM {{flows}})\nSELECT trade_date, coalesce(c.status, 'unknown') AS a, coalesce(o.status, 'unknown') AS b, CASE WHEN coalesce(c.status, 'unknown') = 'unknown' OR o.status IS NULL THEN 'unknown' ELSE 'conflict' END AS kind FROM cal c FULL JOIN o USING (trade_date) WHERE coalesce(c.status, 'unknown') <> coalesce(o.status, 'unknown')")
 def j13_calendar_conflicts(spark, d):
     observed = table(spark, d, "flows").select("trade_date", F.lit("open").alias("status")).distinct()
@@ -359,12 +367,12 @@ def w22_w23_staleness(spark, d):
 _STALE = "st AS (SELECT scope_name, last, CASE WHEN NOT coalesce(bool_or(status = 'unknown'), false) THEN count(*) FILTER (status = 'open') END AS stale FROM (SELECT scope_name, max(trade_date) AS last FROM {flows} WHERE trade_date <= DATE '2024-01-24' OR scope_name <> '1' GROUP BY 1) LEFT JOIN cal ON trade_date > last AND trade_date <= DATE '2024-01-30' GROUP BY ALL)"
 
 
-@query("a35_flow_report", f"WITH {FLOWS}, {CALENDAR}, {_STALE}\nSELECT scope_name, trade_date, stale, CASE WHEN sum20 IS NOT NULL AND stale = 0 AND scope_name <> '3' THEN 'ready' WHEN sum20 IS NOT NULL AND stale > 0 THEN 'stale' ELSE 'insufficient_history' END AS availability, CASE WHEN stale = 0 AND scope_name <> '3' THEN {WAY} END AS direction FROM fm JOIN st USING (scope_name) WHERE trade_date = last")
+@query("a35_flow_report", f"WITH {FLOWS}, {_STALE}\nSELECT scope_name, trade_date, stale, CASE WHEN sum20 IS NOT NULL AND stale = 0 AND scope_name <> '3' THEN 'ready' WHEN sum20 IS NOT NULL AND stale > 0 THEN 'stale' ELSE 'insufficient_history' END AS availability, CASE WHEN stale = 0 AND scope_name <> '3' THEN {WAY} END AS direction FROM fm JOIN st USING (scope_name) WHERE trade_date = last")
 def a35_flow_report(spark, d):
     """Scope 1 ends early, the source of scope 3 is not trusted."""
     own = table(spark, d, "flows")
     stale = FL.staleness(own.where("trade_date <= DATE '2024-01-24' or scope_name <> '1'"), calendar(spark), F.lit("2024-01-30").cast("date"))
-    return FL.flow_report(FL.flow_metrics(own), stale, F.col("scope_name") != "3")
+    return FL.flow_report(FL.flow_metrics(own, calendar(spark)), stale, F.col("scope_name") != "3")
 
 
 @query("f14_market_clock", """WITH own AS (SELECT event_id, CAST(ts AS TIMESTAMP) + INTERVAL 8 HOUR AS t FROM events), cal AS (SELECT CAST(d AS DATE) AS trade_date, CASE WHEN year(d) <> 2024 THEN 'unknown' WHEN d = DATE '2024-01-01' OR isodow(d) > 5 THEN 'closed' ELSE 'open' END AS status FROM range(DATE '2023-12-01', DATE '2025-01-11', INTERVAL 1 DAY) t(d)),

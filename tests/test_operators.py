@@ -155,12 +155,36 @@ def test_symbols(spark):
     assert [r[0] for r in df.select(P.normalize_symbol(F.col("s"))).collect()] == ["sh.600001", "sz.000001", None, None]
 
 
-def test_flow_windows_need_every_day(spark):
+def test_flow_windows_need_every_open_session(spark):
     rows = [("all", dt.date(2024, 1, 1) + dt.timedelta(days=i), 1.0, 0.5) for i in range(25) if i != 10]
     df = spark.createDataFrame(rows, "scope_name string, trade_date date, main_net double, super_net double")
-    got = [r for r in flows.flow_metrics(df).orderBy("trade_date").collect()]
+    days = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-02-20')) AS trade_date")
+    open_ = days.withColumn("status", F.lit("open"))
+    got = [r for r in flows.flow_metrics(df, open_).orderBy("trade_date").collect()]
     assert [r.sum5 for r in got[3:6]] == [None, 5.0, 5.0] and got[10].sum5 is None and all(r.sum20 is None for r in got)
-    assert flows.flow_quality(df, df.select("trade_date")).collect()[0].fault is None
+    assert got[-1].continuity == 0.95 and got[5].continuity == 0
+    weeks = days.withColumn("status", F.when(F.weekday("trade_date") > 4, "closed").when(F.col("trade_date") == F.lit("2024-01-11").cast("date"), "closed").otherwise("open"))
+    got = [r for r in flows.flow_metrics(df, weeks, 10).orderBy("trade_date").collect()]
+    assert [r.sum5 for r in got] == [None] * 4 + [5.0] * (len(got) - 4) and len(got) == 18  # a closed day breaks no window
+    assert got[-1].sum20 == 10.0 and got[-1].continuity == 1.0
+    assert flows.flow_metrics(df.limit(0), open_).count() == 0
+
+
+def test_flow_faults_in_order(spark):
+    days = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-01-20')) AS trade_date")
+    calendar = days.withColumn("status", F.when(F.weekday("trade_date") > 4, "closed").when(F.col("trade_date") == F.lit("2024-01-19").cast("date"), "unknown").otherwise("open"))
+    at = lambda k: dt.date(2024, 1, k)
+    rows = []
+    for scope, change in {"fine": {}, "inf": {4: (at(4), float("inf"), "a", at(4))}, "nan": {4: (at(4), float("nan"), "a", at(4))}, "null": {4: (at(4), None, "a", at(4))}, "twice": {3: (at(2), 1.0, "b", at(3))}, "mixed": {3: (at(3), 1.0, "b", at(30))}, "unknown": {5: (at(19), 1.0, "a", at(19))}, "unlisted": {5: (at(30), 1.0, "a", at(19))}, "closed": {5: (at(6), 1.0, "a", at(30))}, "late": {5: (at(5), 1.0, "a", at(30))}, "gap": {4: (at(8), 1.0, "a", at(8))}}.items():
+        rows += [(scope, *change.get(k, (at(k), 1.0, "a", at(k)))) for k in (2, 3, 4, 5)]
+    df = spark.createDataFrame(rows, "scope_name string, trade_date date, main_net double, source string, observed_on date")
+    got = {r.scope_name: r.fault for r in flows.flow_quality(df, calendar, F.lit("2024-01-20").cast("date")).collect()}
+    assert got == {"fine": None, "inf": "not_finite", "nan": "not_finite", "null": "not_finite", "twice": "duplicate", "mixed": "mixed_source", "unknown": "calendar_unverifiable", "unlisted": "calendar_unverifiable", "closed": "closed_session", "late": "late_observation", "gap": "gap"}
+    plain = {r.scope_name: r.fault for r in flows.flow_quality(df.drop("source", "observed_on"), calendar).collect()}
+    assert plain["mixed"] is None and plain["late"] is None and plain["closed"] == "closed_session"
+
+
+def test_rows_of_flows_are_rejected(spark):
     raw = spark.createDataFrame([("2024-01-01", "1.5"), ("2024-01-02", "x"), ("2024-01-02", "Infinity"), ("2024-01-02", "NaN"), ("2025-01-02", "1")], "trade_date string, main_net string")
     good, bad = flows.load_flows(raw, F.lit("2024-12-31").cast("date"), ["main_net"])
     assert [r.main_net for r in good.orderBy("trade_date").collect()] == [1.5, None] and bad.count() == 2
