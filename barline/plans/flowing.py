@@ -173,15 +173,32 @@ def a44_alert_summary(spark, d):
     return T.alert_summary(t4_alert_state(spark, d))
 
 
+_KINDS = "CASE event_type WHEN 'view' THEN 'acquire' WHEN 'purchase' THEN 'probe' WHEN 'signup' THEN 'probe' ELSE 'outcome' END"
+
+
 def _outcomes(spark, d):
-    return table(spark, d, "events").select(F.col("user_id").alias("endpoint"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"))
+    """Errors and clicks as outcomes, views as requests to probe, purchases as probes that succeed and signups as such that fail."""
+    return table(spark, d, "events").select(F.col("user_id").alias("endpoint"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.expr(_KINDS).alias("kind"), F.col("event_type").isin("error", "signup").alias("failed"))
 
 
-@query("t5_failure_state", """WITH e AS (SELECT user_id AS endpoint, event_id, ts, event_type = 'error' AS failed, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-s AS (SELECT *, k - coalesce(max(CASE WHEN NOT failed THEN k END) OVER (PARTITION BY endpoint ORDER BY k), 0) AS failures FROM e)
-SELECT endpoint, event_id, failures, CASE WHEN failures >= 3 THEN 'open' ELSE 'closed' END AS state FROM s""")
+@query("t5_failure_state", None)
 def t5_failure_state(spark, d):
-    return T.failure_state(_outcomes(spark, d)).select("endpoint", "event_id", "failures", "state")
+    """Events are hours apart, so the cool-down is 6 hours and a lease 24 here."""
+    return T.failure_state(_outcomes(spark, d), cool=6 * 3600, lease=24 * 3600).select("endpoint", "event_id", "failures", "state", "applied")
+
+
+ORACLE_SQL["t5_failure_state"] = f"""WITH RECURSIVE e AS (
+  SELECT user_id AS endpoint, event_id, epoch_us(ts) AS t, {_KINDS} AS kind, event_type IN ('error', 'signup') AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (
+  SELECT DISTINCT endpoint, 0::BIGINT AS k, NULL::BIGINT AS event_id, 'closed' AS state, 0::BIGINT AS failures, 0::BIGINT AS opened, 0::BIGINT AS until, false AS applied FROM e
+  UNION ALL
+  SELECT endpoint, k, event_id, CASE WHEN NOT move THEN was WHEN kind = 'acquire' THEN 'half_open' WHEN NOT failed THEN 'closed' WHEN kind = 'probe' OR failures >= 2 THEN 'open' ELSE 'closed' END,
+    CASE WHEN NOT move OR kind = 'acquire' THEN failures WHEN NOT failed THEN 0 WHEN kind = 'probe' THEN greatest(failures + 1, 3) ELSE failures + 1 END,
+    CASE WHEN move AND kind <> 'acquire' AND failed THEN t ELSE opened END, CASE WHEN move AND kind = 'acquire' THEN t + 86400000000 ELSE until END, move
+  FROM (
+    SELECT *, CASE kind WHEN 'acquire' THEN was = 'open' AND opened + 21600000000 <= t WHEN 'probe' THEN was = 'half_open' ELSE was = 'closed' END AS move
+    FROM (SELECT e.*, CASE WHEN s.state = 'half_open' AND s.until <= e.t THEN 'open' ELSE s.state END AS was, s.failures, s.opened, s.until FROM s JOIN e ON e.endpoint = s.endpoint AND e.k = s.k + 1)))
+SELECT endpoint, event_id, failures, state, applied FROM s WHERE k > 0"""
 
 
 @query("u1_user_indicator", f"WITH {B.EFF}\nSELECT symbol, trade_date, round(CASE WHEN row_number() OVER ({B.OVER}) > 3 THEN close - lag(close, 3) OVER ({B.OVER}) END + 1e-9, 6) AS momentum FROM eff")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -95,42 +97,112 @@ def alert_state(transitions: DataFrame) -> DataFrame:
     return transitions.groupBy("alert_id").applyInPandasWithState(step, _MOVED, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-_HEALTH = T.StructType([T.StructField("endpoint", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("failures", T.LongType()), T.StructField("state", T.StringType())])
-
-
-def _health(key, rows: pd.DataFrame, now: tuple, least: int, cool: float) -> tuple[pd.DataFrame, tuple]:
-    failures, opened = now
-    out = []
-    for event, ts, failed in rows.sort_values(["ts", "event_id"])[["event_id", "ts", "failed"]].itertuples(index=False):
-        at = ts.timestamp()
-        failures = failures + 1 if failed else 0
+_HEALTH = T.StructType(
+    [T.StructField("endpoint", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("failures", T.LongType()), T.StructField("state", T.StringType()), T.StructField("applied", T.BooleanType())]
+)
+
+
+class Circuit(NamedTuple):
+    """State of an endpoint; times in microseconds, ``owner`` holds the probe until ``until``."""
+
+    state: str = "closed"
+    failures: int = 0
+    opened: int = 0
+    until: int = 0
+    owner: str = ""
+
+
+class Circuits:
+    """The circuits of a pool's endpoints that are not closed without a failure, and the policy that moves them."""
+
+    def __init__(self, least: int, cool: float, lease: float, known: str = "{}"):
+        self.least, self.cool, self.lease = least, round(cool * 1e6), round(lease * 1e6)
+        self.known = {k: Circuit(*v) for k, v in json.loads(known).items()}
+
+    def told(self) -> str:
+        return json.dumps(self.known)
+
+    def step(self, endpoint, ts: int, kind: str | None, failed: bool, owner: str) -> tuple[int, str, bool]:
+        """Failures, state, and whether the event counted: probes whose lease has ended go back to open first."""
+        for k, x in self.known.items():
+            if x.state == "half_open" and x.until <= ts:
+                self.known[k] = x._replace(state="open", until=0, owner="")
+        key, now = str(endpoint), self.known.get(str(endpoint), Circuit())
+        after = self._moved(now, ts, kind or "outcome", bool(failed), owner)
+        if after == Circuit():
+            self.known.pop(key, None)
+        elif after is not None:
+            self.known[key] = after
+        shown = now if after is None else after
+        return shown.failures, shown.state, after is not None
+
+    def _moved(self, now: Circuit, ts: int, kind: str, failed: bool, owner: str) -> Circuit | None:
+        if kind == "acquire":
+            free = all(x.state != "half_open" for x in self.known.values())
+            return now._replace(state="half_open", until=ts + self.lease, owner=owner) if free and now.state == "open" and now.opened + self.cool <= ts else None
+        if kind == "probe":
+            if now.state != "half_open" or now.owner != owner:
+                return None
+            return Circuit("open", max(now.failures + 1, self.least), ts) if failed else Circuit()
+        if kind == "any" and now.state == "open":
+            return now._replace(failures=now.failures + 1) if failed else Circuit()
+        if kind not in ("outcome", "any") or now.state != "closed":
+            return None  # an outcome that comes late does not pass by the probe
         if not failed:
-            opened = -1.0
-        elif failures >= least and (opened < 0 or at - opened >= cool):  # opens, or its probe failed
-            opened = at
-        out.append((key, event, ts, failures, "open" if opened >= 0 else "closed"))
-    return pd.DataFrame(out, columns=[f.name for f in _HEALTH]), (failures, opened)
+            return Circuit()
+        return Circuit("open", now.failures + 1, ts) if now.failures + 1 >= self.least else Circuit("closed", now.failures + 1)
+
 
+def failure_state(outcomes: DataFrame, *, least: int = 3, cool: float = 900.0, lease: float = 120.0) -> DataFrame:
+    """State of an endpoint after each of its events (endpoint, event_id, ts, failed): failures, state, and whether the event counted.
 
-def failure_state(outcomes: DataFrame, *, least: int = 3, cool: float = 900.0) -> DataFrame:
-    """State of each endpoint after each of its outcomes (endpoint, event_id, ts, failed): open after ``least`` failures in a row, closed by a success.
+    ``kind`` tells outcomes, requests to probe (acquire) and outcomes of probes (probe) apart; null is an outcome. Without that
+    column any event of an open endpoint counts as a probe's: a success closes it, a failure is added. A closed endpoint opens at ``least`` failures in a row and a success resets them. From ``cool``
+    seconds after it opened on, a request makes it half_open, for ``lease`` seconds and for its ``owner`` (a column that may be
+    missing), if no other endpoint of its ``pool`` (by default the endpoint alone) is half-open. The owner's probe closes it,
+    or opens it anew; a lease that ends leaves it open. All other events change nothing: applied is false. Null ``failed``
+    counts as a success.
 
-    An open endpoint is probed after ``cool`` seconds; a failed probe opens it anew. On a table the failures in a row are
-    those since the last success, by windows. An outcome that is null counts as a success.
+    On a stream the state is kept between batches and rows of a batch are put in order of ts and event_id. On a table each
+    partition is read in that order, a batch at a time, and holds the circuits of one pool.
     """
+    has = lambda name, default: F.coalesce(c(name).cast("string"), F.lit(default)) if name in outcomes.columns else F.lit(default)
+    own = outcomes.select(
+        (c("pool") if "pool" in outcomes.columns else c("endpoint")).cast("string").alias("pool"),
+        c("endpoint").cast("long").alias("endpoint"),
+        c("event_id").cast("long").alias("event_id"),
+        c("ts").cast("timestamp").alias("ts"),
+        F.unix_micros(c("ts").cast("timestamp")).alias("at"),
+        (has("kind", "outcome") if "kind" in outcomes.columns else F.lit("any")).alias("kind"),
+        F.coalesce("failed", F.lit(False)).alias("failed"),
+        has("owner", "").alias("owner"),
+    )
+    names = ["endpoint", "at", "kind", "failed", "owner"]
     if not outcomes.isStreaming:
-        w = Window.partitionBy("endpoint").orderBy("ts", "event_id")
-        own = outcomes.select("endpoint", "event_id", "ts", F.coalesce("failed", F.lit(False)).alias("failed")).withColumn("_k", F.row_number().over(w))
-        since = F.max(F.when(~c("failed"), c("_k"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        own = own.withColumn("failures", (c("_k") - F.coalesce(since, F.lit(0))).cast("long"))
-        return own.select("endpoint", "event_id", "ts", "failures", F.when(c("failures") >= least, "open").otherwise("closed").alias("state"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, circuits = object(), None
+            for b in batches:
+                told = []
+                for pool, *event in zip(b.column("pool").to_pylist(), *(b.column(n).to_pylist() for n in names), strict=True):
+                    if pool != last:
+                        last, circuits = pool, Circuits(least, cool, lease)
+                    told.append(circuits.step(*event))
+                states = [pa.array([x[i] for x in told], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("endpoint", "event_id", "ts")), *states], _HEALTH.names)
+
+        return own.repartition("pool").sortWithinPartitions("pool", "at", "event_id").mapInArrow(run, _HEALTH)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out, now = _health(key[0], pd.concat(list(batches)), state.get if state.exists else (0, -1.0), least, cool)
-        state.update(now)
+        circuits = Circuits(least, cool, lease, *(state.get if state.exists else ()))
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        told = [circuits.step(*event) for event in rows[names].itertuples(index=False)]
+        state.update((circuits.told(),))
+        out = rows[["endpoint", "event_id", "ts"]].reset_index(drop=True)
+        out[["failures", "state", "applied"]] = pd.DataFrame(told, index=out.index)
         yield out
 
-    return outcomes.groupBy("endpoint").applyInPandasWithState(step, _HEALTH, "failures long, opened double", "append", GroupStateTimeout.NoTimeout)
+    return own.groupBy("pool").applyInPandasWithState(step, _HEALTH, "circuits string", "append", GroupStateTimeout.NoTimeout)
 
 
 def forward_factors(target: str, through: str) -> Callable[[DataFrame, int], None]:

@@ -1,6 +1,7 @@
 """Sources, sinks and streams on small files."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -77,6 +78,43 @@ def test_endpoint_states_on_a_stream_equal_windows(spark, tmp_path):
     assert got == one and {r[4] for r in one} == {"open", "closed"}
 
 
+EVENTS = "pool string, endpoint bigint, event_id bigint, ts timestamp, kind string, failed boolean, owner string"
+
+
+def health(spark, events, **policy):
+    """States after events given as (seconds, endpoint, kind, failed, owner), all of one pool."""
+    rows = [("p", e, i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), k, f, o) for i, (s, e, k, f, o) in enumerate(events)]
+    return [(r.failures, r.state, r.applied) for r in T.failure_state(spark.createDataFrame(rows, EVENTS), **policy).orderBy("event_id").collect()]
+
+
+def test_probes_half_open_one_endpoint_of_a_pool(spark):
+    policy = {"least": 1, "cool": 60, "lease": 10}
+    events = [
+        (0, 1, "outcome", True, ""), (0, 2, "outcome", True, ""), (59, 1, "acquire", None, "a"), (60, 1, "acquire", None, "a"), (61, 2, "acquire", None, "b"), (62, 1, "outcome", False, ""), (71, 1, "acquire", None, "b"),
+        (72, 1, "probe", False, "a"), (73, 1, "probe", False, "b"), (74, 1, "outcome", True, ""), (134, 1, "acquire", None, "c"), (135, 1, "probe", True, "c"), (194, 1, "acquire", None, "d"), (195, 1, "acquire", None, "d"), (206, 1, "probe", False, "d"), (206, 2, "acquire", None, "e"),
+    ]
+    assert health(spark, events, **policy) == [
+        (1, "open", True), (1, "open", True), (1, "open", False), (1, "half_open", True), (1, "open", False), (1, "half_open", False), (1, "half_open", True),
+        (1, "half_open", False), (0, "closed", True), (1, "open", True), (1, "half_open", True), (2, "open", True), (2, "open", False), (2, "half_open", True), (2, "open", False), (1, "half_open", True),
+    ]
+    late = {**policy, "cool": 61}
+    assert health(spark, events[:4], **late)[3] == (1, "open", False)
+
+
+def test_endpoint_states_on_a_stream_equal_the_table(spark, tmp_path):
+    rng = random.Random(1)
+    kinds = ["outcome", "outcome", "outcome", "acquire", "probe", None]
+    rows = [(f"p{e % 2}", e, i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), rng.choice(kinds), rng.random() < 0.7, rng.choice(["a", "b"])) for i in range(400) for e in [rng.randint(1, 5)]]
+    for k in range(4):  # a batch for each file
+        spark.createDataFrame(rows[100 * k : 100 * k + 100], EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    table = spark.read.parquet(f"{tmp_path}/in")
+    policy = {"cool": 1200.0, "lease": 900.0}
+    run(T.failure_state(spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), **policy), tmp_path)
+    got, one = (sorted(tuple(r) for r in x.collect()) for x in (spark.read.parquet(f"{tmp_path}/out"), T.failure_state(table, **policy)))
+    assert got == one and {r[4] for r in one} == {"open", "closed", "half_open"}
+    assert sorted(map(tuple, T.failure_state(table, cool=60.0, lease=900.0).collect())) != one
+
+
 def test_alerts_and_sessions_happen_once(spark, tmp_path):
     df = spark.createDataFrame([("r", 1, dt.date(2024, 1, 1), 5)] * 2, "rule string, symbol int, trade_date date, v int")
     sink = T.once_per_key(f"{tmp_path}/alerts", ["rule", "symbol", "trade_date"])
