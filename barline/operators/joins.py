@@ -84,26 +84,46 @@ def latest_revision(ledger: DataFrame, known_on: Column) -> DataFrame:
     return ledger.where(c("recorded_on") <= known_on).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def reconcile(left: DataFrame, right: DataFrame, *, tick: float = 0.011, relative: float = 0.001, volume_unit: float = 100, amount_unit: float = 1000) -> DataFrame:
-    """Per session how two sets of bars differ: rows on one side only, closes beyond a tick, volumes and amounts beyond a relative error.
-
-    The second set counts volume and amount in units. ``verdict``: unavailable without common rows, failed where a
-    close or more than 0.1 percent of volumes or amounts differ, else passed.
+def reconcile(left: DataFrame, right: DataFrame, *, tick: float = 0.011, relative: float = 0.001, points: float = 5.0, volume_unit: float = 100, amount_unit: float = 1000) -> DataFrame:
+    """Per session how two sets of bars differ, by count of each check, and the verdict.
+
+    Counts: rows on one side only; common rows without a factor of the session or of the symbol's session before (a first
+    session has none), which are compared no further; of the others those whose suspension differs, of whose five prices one
+    differs beyond ``tick``, whose volume or amount differs beyond the ``relative`` error, and whose adjusted return differs by
+    more than ``points`` basis points. The second set counts volume and amount in units. ``verdict``: unavailable without
+    common rows, with rows on one side only or without a factor; failed where a suspension, price or return or more than 0.1
+    percent of volumes or amounts differ; else passed.
     """
-    a = left.select("symbol", "trade_date", "close", "volume", "amount", F.lit(True).alias("_a"))
-    b = right.select("symbol", "trade_date", c("close").alias("close2"), (c("volume") * volume_unit).alias("volume2"), (c("amount") * amount_unit).alias("amount2"), F.lit(True).alias("_b"))
-    err = lambda x, y: F.abs(c(x) - c(y)) / F.greatest(F.abs(x), F.abs(y), F.lit(1.0))
-    both = c("_a").isNotNull() & c("_b").isNotNull()
-    own = a.join(b, ["symbol", "trade_date"], "full_outer").groupBy("trade_date").agg(
-        F.count_if(both).alias("common"),
-        F.count_if(c("_b").isNull()).alias("only_left"),
-        F.count_if(c("_a").isNull()).alias("only_right"),
-        F.count_if(both & (F.abs(c("close") - c("close2")) > tick)).alias("close_off"),
-        F.count_if(both & (err("volume", "volume2") > relative)).alias("volume_off"),
-        F.count_if(both & (err("amount", "amount2") > relative)).alias("amount_off"),
+    prices = ("open", "high", "low", "close", "preclose")
+    names = [*prices, "volume", "amount", "is_suspended", "factor", "before"]
+    by = Window.partitionBy("symbol").orderBy("trade_date")
+
+    def side(df: DataFrame, n: str) -> DataFrame:
+        own = df.withColumns({"factor": c("adjust_factor"), "before": F.lag("adjust_factor").over(by)})
+        return own.select("symbol", "trade_date", F.lit(True).alias(n), *[c(x).alias(f"{n}_{x}") for x in names])
+
+    b = right.withColumns({"volume": c("volume") * volume_unit, "amount": c("amount") * amount_unit})
+    both = side(left, "a").join(side(b, "b"), ["symbol", "trade_date"], "full_outer")
+    at = lambda n, x: c(f"{n}_{x}")
+    err = lambda x: F.abs(at("a", x) - at("b", x)) / F.greatest(F.abs(at("a", x)), F.abs(at("b", x)), F.lit(1.0))
+    earned = lambda n: at(n, "close") * at(n, "factor") / (at(n, "preclose") * at(n, "before")) - 1
+    common = c("a").isNotNull() & c("b").isNotNull()
+    known = F.forall(F.array(*[at(n, x).isNotNull() for n in "ab" for x in ("factor", "before")]), lambda x: x)
+    count = lambda x, name: F.count_if(common & known & x).alias(name)
+    own = both.groupBy("trade_date").agg(
+        F.count_if(common).alias("common"),
+        F.count_if(c("b").isNull()).alias("only_left"),
+        F.count_if(c("a").isNull()).alias("only_right"),
+        F.count_if(common & ~known).alias("no_factor"),
+        count(at("a", "is_suspended") != at("b", "is_suspended"), "suspension_off"),
+        count(F.exists(F.array(*[F.abs(at("a", x) - at("b", x)) > tick + 1e-12 for x in prices]), lambda x: x), "ohlc_off"),
+        count(err("volume") > relative, "volume_off"),
+        count(err("amount") > relative, "amount_off"),
+        count(F.when((at("a", "preclose") > 0) & (at("b", "preclose") > 0), F.abs(earned("a") - earned("b")) * 10000 > points).otherwise(False), "return_off"),
     )
     many = lambda x: c(x) > 0.001 * c("common")
-    verdict = F.when(c("common") == 0, "unavailable").when((c("close_off") > 0) | many("volume_off") | many("amount_off"), "failed").otherwise("passed")
+    lacking = (c("common") == 0) | (c("only_left") + c("only_right") + c("no_factor") > 0)
+    verdict = F.when(lacking, "unavailable").when((c("suspension_off") + c("ohlc_off") + c("return_off") > 0) | many("volume_off") | many("amount_off"), "failed").otherwise("passed")
     return own.withColumn("verdict", verdict)
 
 

@@ -30,11 +30,14 @@ def market_summary(bars: DataFrame, audits: DataFrame) -> DataFrame:
 
 
 def coverage(expected: DataFrame, loaded: DataFrame) -> DataFrame:
-    """Per session: expected and loaded symbols, their ratio, and the symbols that are missing."""
-    days = loaded.select("trade_date").distinct()
-    grid = expected.select("symbol").distinct().crossJoin(days)  # a universe by sessions: both small next to the bars
-    own = grid.join(loaded.select("symbol", "trade_date", F.lit(1).alias("_has")), ["symbol", "trade_date"], "left")
-    return own.groupBy("trade_date").agg(F.count("*").alias("expected"), F.count("_has").alias("loaded"), F.array_sort(F.collect_list(F.when(c("_has").isNull(), c("symbol")))).alias("failed")).withColumn("ratio", c("loaded") / c("expected"))
+    """Per session: expected and loaded symbols, their ratio, and the symbols that are missing (sorted; of a universe's size at most)."""
+    universe = expected.select("symbol").distinct()
+    have = loaded.select("trade_date", "symbol").join(universe.withColumn("_in", F.lit(True)), "symbol", "left")
+    own = have.groupBy("trade_date").agg(F.collect_set(F.when(c("_in"), c("symbol"))).alias("_have"))
+    whole = universe.agg(F.collect_set("symbol").alias("_all"))
+    own = own.crossJoin(F.broadcast(whole))  # one row
+    own = own.select("trade_date", F.size("_all").cast("long").alias("expected"), F.size("_have").cast("long").alias("loaded"), F.array_sort(F.array_except("_all", "_have")).alias("failed"))
+    return own.withColumn("ratio", c("loaded") / c("expected"))
 
 
 def publication_issues(bars: DataFrame, required: DataFrame, day: Column) -> DataFrame:

@@ -134,8 +134,14 @@ def targets(members: DataFrame) -> DataFrame:
     return members.groupBy("sector_id").agg(F.count_distinct("security_id").alias("target"))
 
 
+def _priced(own: DataFrame) -> DataFrame:
+    """With ``scaled_close``; frames without it are taken to have no adjustment."""
+    return own if "scaled_close" in own.columns else own.withColumn("scaled_close", c("close"))
+
+
 def metrics(own: DataFrame, target: DataFrame | None = None) -> DataFrame:
     """The raw measures of each sector and date; a measure counts with two members at least and, with ``target`` (of targets()), 80 percent of them."""
+    own = _priced(own)
     market = own.groupBy("trade_date").agg(*[F.avg(f"ret{n}").alias(f"_m{n}") for n in (5, 20, 60)])
     turnover = turnover_changes(own, (5,))
     row = Window.partitionBy("trade_date", "sector_id").orderBy(c("amount").desc(), "symbol")
@@ -176,6 +182,7 @@ def leaders(own: DataFrame, target: DataFrame | None = None) -> DataFrame:
     The benchmark is the mean of all members of the date. A test without a value fails; ``passed`` and ``failed`` are sorted.
     With ``target`` (of targets()) the confidence counts the share of the sector's members that have a bar.
     """
+    own = _priced(own)
     by, mean = Window.partitionBy("symbol").orderBy("trade_date"), Window.partitionBy("trade_date", "sector_id")
     market = own.groupBy("trade_date").agg(*[F.avg(f"ret{n}").alias(f"_m{n}") for n in (5, 20, 60)])  # a date's whole market never meets in one task
     own = own if "before20" in own.columns else own.withColumn("before20", W.full(20, F.avg("amount"), -1))
@@ -210,7 +217,7 @@ def ranking(own: DataFrame, target: DataFrame, *, minimum: float = MINIMUM_COVER
     A score counts with MINIMUM_MEMBERS members at least and the share ``minimum`` of the target. A sector with fewer priced
     members, or with any score that does not count, is not eligible: it has reasons, no total, and ranks last.
     """
-    own = written(own.select("symbol", "trade_date", "sector_id", "amount", "scaled_close", "ret1", "ret5", "ret20", "ret60", "ma20", "ma60", "before20"))  # read four times
+    own = written(_priced(own).select("symbol", "trade_date", "sector_id", "amount", "scaled_close", "ret1", "ret5", "ret20", "ret60", "ma20", "ma60", "before20"))  # read four times
     led = leadership(leaders(own))
     market = own.groupBy("trade_date").agg(*[F.avg(f"ret{n}").alias(f"_m{n}") for n in (1, 5, 20, 60)])
     row = Window.partitionBy("trade_date", "sector_id").orderBy(c("amount").desc(), "symbol")

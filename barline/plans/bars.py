@@ -199,9 +199,22 @@ def r4_scan_many(spark, d):
     return rules.scan_many(table(spark, d, "bars"), own)
 
 
-@query("r3_explain", None)
+_FIRST = lambda n, last=0: f"first(trade_date) OVER ({OVER} ROWS BETWEEN {n - 1 - last} PRECEDING AND {-last} PRECEDING)" if last else f"first(trade_date) OVER ({OVER} ROWS {n - 1} PRECEDING)"
+
+
+@query("r3_explain", f"""{_ACCEPT.split("o AS (SELECT")[0]}d AS (SELECT *, adjust_factor AS f, {_FIRST(6)} AS s6, {_FIRST(5)} AS s5, {_FIRST(20)} AS s20, {_FIRST(20, -1)} AS s20p, lag(trade_date) OVER ({OVER}) AS ended FROM c)
+SELECT symbol, trade_date, round(v + 1e-9, 6) AS ratio, CASE WHEN v IS NOT NULL THEN s6 END AS ratio_start, v > 1 AS ratio_matched, round(a / f + 1e-9, 6) AS short, CASE WHEN a IS NOT NULL THEN s5 END AS short_start,
+round(b / f + 1e-9, 6) AS long, CASE WHEN b IS NOT NULL THEN s20 END AS long_start, round(pb / f + 1e-9, 6) AS long_before, CASE WHEN pb IS NOT NULL THEN s20p END AS long_before_start, ended AS before_end,
+pa <= pb AND a > b AS crossed, v > 1 AND pa <= pb AND a > b AS matched FROM d""")
 def r3_explain(spark, d):
-    return rules.explain(table(spark, d, "bars"), rules.ACCEPTANCE)
+    t = F.col("tree")
+    own = rules.explain(table(spark, d, "bars"), rules.ACCEPTANCE)
+    ratio, cross = t.node1, t.node2
+    return own.select(
+        "symbol", "trade_date", r6(ratio.left.value).alias("ratio"), ratio.left.start.alias("ratio_start"), ratio.matched.alias("ratio_matched"), r6(cross.left.value).alias("short"), cross.left.start.alias("short_start"),
+        r6(cross.right.value).alias("long"), cross.right.start.alias("long_start"), r6(cross.right.previous.value).alias("long_before"), cross.right.previous.start.alias("long_before_start"), cross.right.previous.end.alias("before_end"),
+        cross.matched.alias("crossed"), t.matched.alias("matched"),
+    )
 
 
 @query("a43_scan_summary", _ACCEPT + "SELECT trade_date, count(*) FILTER (outcome = 'matched') AS matched, count(*) FILTER (outcome = 'not_matched') AS not_matched, count(*) FILTER (outcome = 'insufficient') AS insufficient, CASE WHEN count(*) FILTER (outcome = 'insufficient') = count(*) THEN 'error' WHEN count(*) FILTER (outcome = 'insufficient') > 0 THEN 'partial' ELSE 'completed' END AS state FROM o GROUP BY trade_date")

@@ -75,10 +75,14 @@ def j9_latest_revision(spark, d):
     return J.latest_revision(table(spark, d, "ledger"), DAYC()).select("portfolio", "as_of", "revision")
 
 
-_RECON = """r AS (SELECT coalesce(a.trade_date, b.trade_date) AS trade_date, count(*) FILTER (a.symbol IS NOT NULL AND b.symbol IS NOT NULL) AS common, count(*) FILTER (b.symbol IS NULL) AS only_left, count(*) FILTER (a.symbol IS NULL) AS only_right,
-count(*) FILTER (abs(a.close - b.close) > 0.011) AS close_off, count(*) FILTER (abs(a.volume - b.volume * 100) / greatest(abs(a.volume), abs(b.volume * 100), 1) > 0.001) AS volume_off, count(*) FILTER (abs(a.amount - b.amount * 1000) / greatest(abs(a.amount), abs(b.amount * 1000), 1) > 0.001) AS amount_off
-FROM {bars} a FULL JOIN {bars_alt} b ON a.symbol = b.symbol AND a.trade_date = b.trade_date GROUP BY 1),
-v AS (SELECT *, CASE WHEN common = 0 THEN 'unavailable' WHEN close_off > 0 OR volume_off > 0.001 * common OR amount_off > 0.001 * common THEN 'failed' ELSE 'passed' END AS verdict FROM r)"""
+_OFF = " OR ".join(f"abs(a.{x} - b.{x}) > 0.011 + 1e-12" for x in ("open", "high", "low", "close", "preclose"))
+_RECON = f"""fa AS (SELECT *, lag(adjust_factor) OVER (PARTITION BY symbol ORDER BY trade_date) AS pf FROM {{bars}}), fb AS (SELECT *, lag(adjust_factor) OVER (PARTITION BY symbol ORDER BY trade_date) AS pf FROM {{bars_alt}}),
+p AS (SELECT coalesce(a.trade_date, b.trade_date) AS trade_date, a.symbol IS NOT NULL AS l, b.symbol IS NOT NULL AS r, a.symbol IS NOT NULL AND b.symbol IS NOT NULL AND (a.adjust_factor IS NULL OR b.adjust_factor IS NULL OR a.pf IS NULL OR b.pf IS NULL) AS nf,
+a.is_suspended <> b.is_suspended AS su, ({_OFF}) AS oh, abs(a.volume - b.volume * 100) / greatest(abs(a.volume), abs(b.volume * 100), 1) > 0.001 AS vo, abs(a.amount - b.amount * 1000) / greatest(abs(a.amount), abs(b.amount * 1000), 1) > 0.001 AS am,
+abs((a.close * a.adjust_factor) / (a.preclose * a.pf) - (b.close * b.adjust_factor) / (b.preclose * b.pf)) * 10000 > 5 AS re FROM fa a FULL JOIN fb b ON a.symbol = b.symbol AND a.trade_date = b.trade_date),
+r AS (SELECT trade_date, count(*) FILTER (l AND r) AS common, count(*) FILTER (NOT r) AS only_left, count(*) FILTER (NOT l) AS only_right, count(*) FILTER (nf) AS no_factor,
+{', '.join(f"count(*) FILTER (NOT nf AND {k}) AS {n}_off" for k, n in (("su", "suspension"), ("oh", "ohlc"), ("vo", "volume"), ("am", "amount"), ("re", "return")))} FROM p GROUP BY 1),
+v AS (SELECT *, CASE WHEN common = 0 OR only_left + only_right + no_factor > 0 THEN 'unavailable' WHEN suspension_off + ohlc_off + return_off > 0 OR volume_off > 0.001 * common OR amount_off > 0.001 * common THEN 'failed' ELSE 'passed' END AS verdict FROM r)"""
 
 
 @query("j10_reconcile", f"WITH {_RECON}\nSELECT * FROM v")
@@ -104,9 +108,10 @@ def j16_conflicting_history(spark, d):
     return J.conflicting_history(m.where("generation = 1"), m.where("generation = 3"), ["security_id"], ["sector_id"])
 
 
-@query("j17_orphan_members", "SELECT generation, security_id FROM {memberships} WHERE security_id NOT IN (SELECT symbol FROM {bars} WHERE year(trade_date) = 1995 AND is_suspended)")
+@query("j17_orphan_members", "SELECT generation, security_id FROM {memberships} WHERE security_id NOT IN (SELECT symbol FROM {bars} WHERE adjust_factor IS NULL)")
 def j17_orphan_members(spark, d):
-    master = table(spark, d, "bars").where("year(trade_date) = 1995 and is_suspended").select(F.col("symbol").alias("security_id"))
+    """The master here knows the symbols that ever lacked a factor."""
+    master = table(spark, d, "bars").where("adjust_factor is null").select(F.col("symbol").alias("security_id"))
     return J.orphan_members(table(spark, d, "memberships"), master).select("generation", "security_id")
 
 

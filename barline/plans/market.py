@@ -346,9 +346,10 @@ def s11_build_calendar(spark, d):
     return calendar(spark).join(table(spark, d, "flows").select("trade_date", "scope_name"), "trade_date", "left").groupBy("trade_date", "status").agg(F.count("scope_name").alias("scopes"))
 
 
-@query("j12_calendar_gaps", "WITH w AS (SELECT CAST(d AS DATE) AS trade_date FROM range(DATE '1995-01-02', DATE '2001-10-30', INTERVAL 7 DAY) t(d))\nSELECT trade_date FROM w WHERE trade_date NOT IN (SELECT trade_date FROM {bars})")
+@query("j12_calendar_gaps", "WITH w AS (SELECT CAST(d AS DATE) AS trade_date FROM range(DATE '1994-12-05', DATE '2001-12-30', INTERVAL 7 DAY) t(d))\nSELECT trade_date FROM w WHERE trade_date NOT IN (SELECT trade_date FROM {bars})")
 def j12_calendar_gaps(spark, d):
-    weeks = spark.sql("SELECT explode(sequence(DATE '1995-01-02', DATE '2001-10-29', INTERVAL 7 DAYS)) AS trade_date, 'open' AS status")
+    """The calendar starts before and ends after the bars."""
+    weeks = spark.sql("SELECT explode(sequence(DATE '1994-12-05', DATE '2001-12-29', INTERVAL 7 DAYS)) AS trade_date, 'open' AS status")
     return J.calendar_gaps(weeks, table(spark, d, "bars"))
 
 
