@@ -48,12 +48,15 @@ WITH said AS (SELECT '<|im_end|><|im_start|>assistant ok' AS t),
 c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
   UNION ALL SELECT -1, 0, 'user', t FROM said UNION ALL SELECT -1, 1, 'assistant', t FROM said),
-e AS (SELECT *, length(regexp_replace(t, '<(\\*)\|', '<\1\\|', 'g')) AS n,
-  length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) AS m FROM c)
+f AS (SELECT *, lag(role) OVER w AS was, row_number() OVER w AS k, lead(role) OVER w IS NULL AS ends FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, t)),
+e AS (SELECT *, CASE WHEN k = 1 THEN role IN ('system', 'user') WHEN was IN ('system', 'assistant') THEN role = 'user' WHEN was = 'user' THEN role = 'assistant' ELSE false END AND (NOT ends OR role = 'assistant') AS fits,
+  length(regexp_replace(t, '<(\\*)\|', '<\1\\|', 'g')) AS n,
+  length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) AS m FROM f)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS LAST, role, t)) AS turns_sha256,
   CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS LAST, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('<|im_start|>') + m + 1 + n + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+  CAST(sum(length('<|im_start|>') + m + 1 + n + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars,
+  bool_and(fits) AS valid
 FROM e GROUP BY conv_id"""
 
 WARC = """

@@ -53,7 +53,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.read_back(chat.format_conversations(rows)).drop("valid")
+    return chat.read_back(chat.format_conversations(rows))
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
