@@ -111,10 +111,14 @@ def latest_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame
     return best.select(*key, "_r.*")
 
 
-def upsert(target: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Last write wins: rows of ``incoming`` replace those of ``target`` with their key."""
+def upsert(target: DataFrame, incoming: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """Last write wins: rows of ``incoming`` replace those of ``target`` with their key.
+
+    Of several rows of one side and key the greatest by ``order`` stays, by default the greatest by all other columns.
+    """
+    last = [F.desc_nulls_last(x) for x in order or [x for x in target.columns if x not in key]]
     both = target.withColumn("_batch", F.lit(0)).unionByName(incoming.withColumn("_batch", F.lit(1)))
-    return both.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_batch")))).where("_n = 1").drop("_n", "_batch")
+    return both.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_batch"), *last))).where("_n = 1").drop("_n", "_batch")
 
 
 def audit_partition(df: DataFrame, schema, source: str) -> DataFrame:
@@ -163,10 +167,30 @@ def expected_universe(members: DataFrame, required: DataFrame, indexes: DataFram
     return main.withColumn("layer", F.lit("main")).unionByName(extra.withColumn("layer", F.lit("required"))).unionByName(indexes.select((-c("symbol") - 1).cast("bigint").alias("symbol")).distinct().withColumn("layer", F.lit("index")))
 
 
-def qualification_window(days: DataFrame, n: int = 20) -> DataFrame:
-    """Whether the ``n`` sessions up to each date all passed."""
-    w = Window.orderBy("trade_date").rowsBetween(1 - n, 0)  # a row for each session
-    return days.withColumn("qualified", (F.count("*").over(w) == n) & F.bool_and(c("verdict") == "passed").over(w))
+def qualification_window(days: DataFrame, calendar: DataFrame | None = None, n: int = 20) -> DataFrame:
+    """Whether a source qualifies at each expected session: the ``n`` expected sessions up to it all observed, passed, and under one version.
+
+    ``days`` has trade_date, verdict and, where versions count, version; expected are the open sessions of ``calendar``, by
+    default the observed ones. ``reason`` is the first that holds: incomplete (a session was not observed), rejected (one did
+    not pass), order (a day that is no expected session was observed between them), version; null and ``consecutive`` = n
+    where the source qualifies, else 0.
+    """
+    sessions = (calendar.where(c("status") == "open") if calendar is not None else days).select("trade_date").distinct().withColumn("_open", F.lit(True))
+    version = c("version").cast("string") if "version" in days.columns else F.lit("")
+    seen = days.select("trade_date", "verdict", version.alias("_version"), F.lit(True).alias("_seen"))
+    by = Window.orderBy("trade_date")  # a row for each day
+    own = sessions.join(seen, "trade_date", "full_outer").withColumn("_k", F.count("_open").over(by))
+    own = own.withColumn("_o", F.when(c("_open"), 2 * c("_k")).otherwise(2 * c("_k") + 1))  # odd: a day between two sessions
+    w = Window.orderBy("_o").rangeBetween(2 - 2 * n, 0)
+    on = c("_open") & c("_seen")
+    reason = (
+        F.when(F.count_if(on).over(w) < n, "incomplete")
+        .when(F.count_if(on & ~F.coalesce(c("verdict") == "passed", F.lit(False))).over(w) > 0, "rejected")
+        .when(F.count_if(c("_open").isNull()).over(w) > 0, "order")
+        .when(F.min(F.when(on, c("_version"))).over(w) != F.max(F.when(on, c("_version"))).over(w), "version")
+    )
+    own = own.withColumn("reason", reason).where("_open")
+    return own.select("trade_date", c("reason").isNull().alias("qualified"), "reason", F.when(c("reason").isNull(), n).otherwise(0).alias("consecutive"))
 
 
 def reliability_window(audits: DataFrame, n: int = 20) -> DataFrame:

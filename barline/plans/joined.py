@@ -182,9 +182,21 @@ def a45_latest_per_key(spark, d):
     return Q.latest_per_key(table(spark, d, "flows").select("scope_name", "trade_date", "main_net"), ["scope_name"], ["trade_date"])
 
 
-@query("a46_qualification_window", f"WITH {_RECON}\nSELECT trade_date, count(*) OVER w = 20 AND bool_and(verdict = 'passed') OVER w AS qualified FROM v WINDOW w AS (ORDER BY trade_date ROWS 19 PRECEDING)")
+_W46 = "OVER (ORDER BY o RANGE BETWEEN 19 PRECEDING AND CURRENT ROW)"
+
+
+@query("a46_qualification_window", f"""WITH cal AS (SELECT CAST(d AS DATE) AS trade_date FROM range(DATE '1995-01-02', DATE '2001-10-30', INTERVAL 7 DAY) t(d) WHERE d <> DATE '1997-06-02'),
+obs AS (SELECT trade_date, 2 * loaded >= requested AS ok, CAST(year(trade_date) AS VARCHAR) AS version FROM {{audits}} WHERE trade_date <> DATE '1996-03-04'),
+j AS (SELECT coalesce(cal.trade_date, obs.trade_date) AS trade_date, cal.trade_date IS NOT NULL AS expected, obs.trade_date IS NOT NULL AS seen, ok, version FROM cal FULL JOIN obs ON cal.trade_date = obs.trade_date),
+k AS (SELECT *, count(*) FILTER (expected) OVER (ORDER BY trade_date) + CASE WHEN expected THEN 0.0 ELSE 0.5 END AS o FROM j),
+r AS (SELECT trade_date, expected, CASE WHEN count(*) FILTER (expected AND seen) {_W46} < 20 THEN 'incomplete' WHEN count(*) FILTER (expected AND seen AND NOT ok) {_W46} > 0 THEN 'rejected' WHEN count(*) FILTER (NOT expected) {_W46} > 0 THEN 'order'
+WHEN min(CASE WHEN expected AND seen THEN version END) {_W46} <> max(CASE WHEN expected AND seen THEN version END) {_W46} THEN 'version' END AS reason FROM k)
+SELECT trade_date, reason IS NULL AS qualified, reason, CAST(CASE WHEN reason IS NULL THEN 20 ELSE 0 END AS INTEGER) AS consecutive FROM r WHERE expected""")
 def a46_qualification_window(spark, d):
-    return Q.qualification_window(J.reconcile(table(spark, d, "bars"), table(spark, d, "bars_alt"))).select("trade_date", "qualified")
+    """A session passes with half of its symbols; a version lasts a year; one session was not observed, one observed day is no session."""
+    weeks = spark.sql("SELECT explode(sequence(DATE '1995-01-02', DATE '2001-10-29', INTERVAL 7 DAYS)) AS trade_date").where("trade_date <> DATE '1997-06-02'")
+    days = table(spark, d, "audits").where("trade_date <> DATE '1996-03-04'").select("trade_date", F.expr("CASE WHEN 2 * loaded >= requested THEN 'passed' ELSE 'failed' END AS verdict"), F.year("trade_date").alias("version"))
+    return Q.qualification_window(days, weeks.withColumn("status", F.lit("open")))
 
 
 @query("a48_reliability_window", "SELECT trade_date, round(avg(CASE WHEN loaded / requested >= 0.9 THEN 1.0 ELSE 0.0 END) OVER w + 1e-9, 6) AS on_time, round(min(loaded / requested) OVER w + 1e-9, 6) AS worst FROM {audits} WINDOW w AS (ORDER BY trade_date ROWS 19 PRECEDING)")

@@ -57,3 +57,22 @@ def test_coverage_lists_what_a_session_lacks(spark):
     loaded = spark.createDataFrame([(1, START), (1, START), (3, START), (9, START), (9, START + DAY)], "symbol int, trade_date date")
     got = {r.trade_date: (r.expected, r.loaded, r.failed, r.ratio) for r in quality.coverage(spark.createDataFrame([(1,), (2,), (3,), (3,)], "symbol int"), loaded).collect()}
     assert got == {START: (3, 2, [2], pytest.approx(2 / 3)), START + DAY: (3, 0, [1, 2, 3], 0)}
+
+
+def test_a_source_qualifies_over_expected_sessions(spark):
+    at = lambda k: START + dt.timedelta(days=k)
+    calendar = spark.createDataFrame([(at(k), "closed" if k in (2, 9) else "open") for k in range(24)], "trade_date date, status string")
+    rows = [(at(k), "failed" if k == 12 else "passed", 1 if k < 18 else 2) for k in range(24) if k not in (2, 5)]  # 9 is observed, though closed
+    got = {(r.trade_date - START).days: r.reason for r in quality.qualification_window(spark.createDataFrame(rows, "trade_date date, verdict string, version int"), calendar, 3).collect()}
+    expected = {0: "incomplete", 1: "incomplete", 3: None, 4: None, 5: "incomplete", 6: "incomplete", 7: "incomplete", 8: None, 10: "order", 11: "order", 12: "rejected", 13: "rejected", 14: "rejected", 15: None, 16: None, 17: None, 18: "version", 19: "version", 20: None, 21: None, 22: None, 23: None}
+    assert got == expected
+    plain = quality.qualification_window(spark.createDataFrame([r[:2] for r in rows], "trade_date date, verdict string"), n=3).where("qualified")
+    assert {r.consecutive for r in plain.collect()} == {3}
+    assert quality.qualification_window(spark.createDataFrame([], "trade_date date, verdict string")).count() == 0
+
+
+def test_the_last_of_a_batch_wins(spark):
+    kind = "k int, at int, v string"
+    target, new = spark.createDataFrame([(1, 9, "old"), (2, 9, "kept")], kind), spark.createDataFrame([(1, 1, "b"), (1, 2, "a"), (1, 2, None)], kind)
+    assert sorted(map(tuple, quality.upsert(target, new, ["k"], ["at", "v"]).collect())) == [(1, 2, "a"), (2, 9, "kept")]
+    assert sorted(map(tuple, quality.upsert(target, new, ["k"]).collect())) == [(1, 2, "a"), (2, 9, "kept")]
