@@ -62,11 +62,9 @@ FROM e GROUP BY conv_id"""
 WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest FROM p),
-m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS holder FROM d)
-SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN holder END AS refers_to
-FROM m"""
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS holder FROM d),
+v AS (SELECT *, payload_bytes >= 1000 AND holder IS NOT NULL AND page_id IS DISTINCT FROM holder AS again FROM m)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN holder END AS refers_to FROM v"""
 
 
 FILTER_AUDIT = r"""

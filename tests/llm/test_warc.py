@@ -42,3 +42,19 @@ def test_files_are_the_same_each_time_and_payloads_come_back(spark):
 
 def test_no_pages(spark):
     assert archive_pages(frame(spark, [])).collect() == []
+
+
+def test_null_ids_and_repeats_agree_with_the_sql(spark):
+    import duckdb
+
+    from barline.llm import oracles
+
+    long, other = "x" * 1500, "y" * 1500
+    rows = [(1, "u", long), (None, "u", long), (2, None, long), (2, "u", long), (None, "u", other), (None, "v", other), (3, "u", "short"), (None, "u", "short"), (4, "u", None), (5, "u", None)]
+    got = archive_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = con.execute(oracles.WARC).fetchall()
+    names = [x[0] for x in con.description]
+    assert sorted([tuple(r[n] for n in names) for r in got], key=str) == sorted(want, key=str)
