@@ -64,6 +64,9 @@ WITH o AS (
 SELECT portfolio, as_of, revision, o_orderkey, ordered + CAST(revision AS INTEGER) AS recorded_on, CASE WHEN c_acctbal > 0 THEN CAST(c_acctbal AS DECIMAL(18, 2)) END AS cash,
   CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(o_totalprice AS DECIMAL(18, 2)) END AS manual_nav
 FROM o JOIN {customer} ON portfolio = c_custkey""",
+    "holdings": """
+SELECT portfolio, as_of, revision, l_suppkey AS symbol, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS quantity
+FROM {ledger} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY portfolio, as_of, revision, l_suppkey""",
     "positions": """
 WITH p AS (SELECT portfolio, o_orderkey, row_number() OVER (PARTITION BY portfolio ORDER BY as_of DESC, revision DESC) AS n FROM {ledger})
 SELECT portfolio, l_suppkey AS symbol, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS quantity, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS cost

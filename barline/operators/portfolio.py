@@ -95,15 +95,16 @@ def guardrails(measures: DataFrame, limits: dict[str, float] | None = None) -> D
     return own.withColumn("state", limit_state(c("value"), limit))
 
 
-def target_band(exposures: DataFrame, state: DataFrame) -> DataFrame:
-    """The band of exposure that the market's state (one row or none) allows, and whether each portfolio's gross ratio lies in it.
+def target_band(exposures: DataFrame, state: DataFrame, on: str | None = None) -> DataFrame:
+    """The band of exposure that the market's state (one row or none; with ``on``, one a date of that column) allows, and whether each portfolio's gross ratio lies in it.
 
     ``state`` has strategic and tactical, and may have degraded, confidence and full_scope; a degraded state, a confidence
-    below 0.5 and a narrow scope each widen the band and are told in ``reasons``, sorted.
+    below 0.5 and a narrow scope each widen the band and are told in ``reasons``, sorted. With ``on``, degraded and full_scope
+    are kept.
     """
     has = lambda name, default: c(name) if name in state.columns else F.lit(default)
-    one = state.select("strategic", "tactical", has("degraded", False).alias("_degraded"), has("confidence", 1.0).alias("_confidence"), has("full_scope", True).alias("_full")).limit(1)
-    own = exposures.join(F.broadcast(one), F.lit(True), "left")
+    one = state.select(*([on] if on else []), "strategic", "tactical", has("degraded", False).alias("_degraded"), has("confidence", 1.0).alias("_confidence"), has("full_scope", True).alias("_full"))
+    own = exposures.join(F.broadcast(one), on, "left") if on else exposures.join(F.broadcast(one.limit(1)), F.lit(True), "left")
     key = F.concat_ws(" ", "strategic", "tactical")
     base = [F.element_at(F.create_map(*[F.lit(x) for k, v in BANDS.items() for x in (" ".join(k), v[i])]), key) for i in (0, 1)]
     known = c("strategic").isNotNull()
@@ -118,4 +119,6 @@ def target_band(exposures: DataFrame, state: DataFrame) -> DataFrame:
         "band_status": F.when(~known, "unavailable").when(wide, "degraded").otherwise("ready"), "within_band": (c("gross") >= c("lower")) & (c("gross") <= c("upper")),
         "reasons": F.when(known, F.array_sort(F.array_compact(reasons))).otherwise(F.array(F.lit("market_regime_unavailable"))),
     })
+    if on:
+        own = own.withColumns({"degraded": c("_degraded"), "full_scope": c("_full")})
     return own.drop("_degraded", "_confidence", "_full")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("bars", "joined", "market", "flowing")
+_MODULES = ("bars", "joined", "market", "flowing", "portfolios")
 
 
 def _joined(name: str) -> dict:
