@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline.functions.predicates import publication_issue
+
 c = F.col
+#: Boards whose stocks are in scope.
+BOARDS = ("chinext", "main", "star")
 
 
 def breadth(bars: DataFrame) -> DataFrame:
@@ -22,11 +26,36 @@ def turnover(bars: DataFrame) -> DataFrame:
     return bars.groupBy("trade_date").agg(F.sum(F.when(c("is_trading"), c("amount").cast("decimal(18,2)"))).cast("double").alias("amount"), F.count_if("is_trading").alias("rows"))
 
 
-def market_summary(bars: DataFrame, audits: DataFrame) -> DataFrame:
-    """Breadth, turnover and completeness of each session with a status."""
-    own = breadth(bars).join(turnover(bars), "trade_date").join(audits, "trade_date", "left")
-    share = c("loaded") / c("requested")
-    return own.withColumn("coverage", share).withColumn("status", F.when(share >= 0.95, "complete").when(share > 0, "partial").otherwise("missing"))
+def market_summary(bars: DataFrame, refreshes: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """What each refresh (trade_date, status, requested, loaded, failed) says of its session: completeness, freshness, breadth, turnover, indexes.
+
+    ``expected`` (trade_date, expected_on) names the session that should have been there when the refresh was looked at; where there is
+    none, freshness is not evaluated and a ready refresh counts as partial. A failed refresh (status error) tells nothing of its bars.
+    Breadth and turnover are those of stocks that are not suspended; a stock without a percent is eligible only. ``indexes`` are the
+    session's index rows by symbol (a market has a bounded number of them). Nulls in counts count as 0; of repeated refreshes each has a row.
+    """
+    live, stock = ~c("is_suspended"), c("security_type") == "stock"
+    n = lambda x: F.count_if(stock & x)
+    point = F.struct("symbol", "close", "pct_change", "is_suspended")
+    own = bars.groupBy("trade_date").agg(
+        n(live & (c("pct_change") > 0)).alias("advancing"), n(live & (c("pct_change") < 0)).alias("declining"), n(live & (c("pct_change") == 0)).alias("unchanged"),
+        n(c("is_suspended")).alias("suspended"), n(live).alias("eligible"), F.sum(F.when(stock & live, c("amount").cast("decimal(18,2)"))).cast("double").alias("amount"),
+        F.array_sort(F.collect_list(F.when(c("security_type") == "index", point))).alias("indexes"),
+    )
+    error = c("refresh_status") == "error"
+    out = refreshes.select("trade_date", c("status").alias("refresh_status"), *[F.coalesce(x, F.lit(0)).alias(x) for x in ("requested", "loaded", "failed")]).join(own, "trade_date", "left")
+    out = out.join(expected.select("trade_date", "expected_on"), "trade_date", "left") if expected is not None else out.withColumn("expected_on", F.lit(None).cast("date"))
+    counts = ("advancing", "declining", "unchanged", "suspended", "eligible")
+    out = out.withColumns({x: F.when(error, 0).otherwise(F.coalesce(c(x), F.lit(0))) for x in counts} | {"loaded": F.when(error, 0).otherwise(c("loaded"))})
+    none = F.array().cast(own.schema["indexes"].dataType)
+    out = out.withColumns({"amount": F.when(~error, c("amount")), "indexes": F.when(error | c("indexes").isNull(), none).otherwise(c("indexes")), "expected_on": F.when(~error, c("expected_on"))})
+    lag = F.when(c("expected_on").isNotNull(), F.greatest(F.datediff("expected_on", "trade_date"), F.lit(0)))
+    out = out.withColumns({"coverage": F.coalesce(F.try_divide(c("loaded").cast("double"), c("requested").cast("double")), F.lit(0.0)), "lag_days": lag, "is_fresh": c("trade_date") >= c("expected_on")})
+    known = c("expected_on").isNotNull()
+    status = F.when(error, "error").when(known & ~c("is_fresh"), "stale").when(~known & (c("refresh_status") == "ready"), "partial").otherwise(c("refresh_status"))
+    told = F.when(error, F.array(F.lit("refresh_error"))).otherwise(F.array_compact(F.array(
+        F.when(~known, "freshness_not_evaluated"), F.when(~known, "calendar_unavailable"), F.when(~c("is_fresh"), "data_older_than_expected"), F.when(c("failed") > 0, "incomplete_symbol_coverage"))))
+    return out.withColumns({"is_complete": (c("coverage") >= 1) & (c("failed") == 0) & ~error, "status": status, "issues": told}).drop("refresh_status")
 
 
 def coverage(expected: DataFrame, loaded: DataFrame) -> DataFrame:
@@ -40,15 +69,23 @@ def coverage(expected: DataFrame, loaded: DataFrame) -> DataFrame:
     return own.withColumn("ratio", c("loaded") / c("expected"))
 
 
-def publication_issues(bars: DataFrame, required: DataFrame, day: Column) -> DataFrame:
-    """(kind, symbol) of everything that keeps a session from being published."""
+def publication_issues(bars: DataFrame, expected: DataFrame, day: Column, indexes: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
+    """(kind, symbol, detail) of everything that keeps a session from being published, each once.
+
+    Symbols of ``expected``, ``indexes`` and ``users`` that have no bar on the day; stocks that trade without a factor; rows whose
+    quality forbids it, with the reason as ``detail``. Null symbols are asked for by nobody.
+    """
     today = bars.where(c("trade_date") == day)
-    kinds = [
-        required.join(today, "symbol", "left_anti").select(F.lit("missing_symbol").alias("kind"), "symbol"),
-        today.where(c("adjust_factor").isNull()).select(F.lit("missing_factor").alias("kind"), "symbol"),
-        today.where(c("quality_status") != "ready").select(F.lit("quality").alias("kind"), "symbol"),
-    ]
-    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    lacks = lambda kind, asked: asked.select("symbol").where("symbol is not null").join(today.select("symbol"), "symbol", "left_anti").select(F.lit(kind).alias("kind"), "symbol", F.lit(None).cast("string").alias("detail"))
+    asked = {"missing_symbol": expected, "required_index_missing": indexes, "required_symbol_missing": users}
+    kinds = [lacks(kind, x) for kind, x in asked.items() if x is not None]
+    bare = (c("security_type") == "stock") & ~c("is_suspended") & c("adjust_factor").isNull()
+    kinds.append(today.where(bare).select(F.lit("missing_adjust_factor").alias("kind"), "symbol", F.lit(None).cast("string").alias("detail")))
+    kinds.append(today.select(F.lit("invalid_publication_bar_quality").alias("kind"), "symbol", publication_issue().alias("detail")).where("detail is not null"))
+    out = kinds[0]
+    for x in kinds[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
 
 
 def session_gates(bars: DataFrame, least: int) -> DataFrame:
@@ -73,9 +110,24 @@ def classification_coverage(members: DataFrame, traded: DataFrame) -> DataFrame:
     return out.withColumn("ratio", c("mapped") / c("eligible")).withColumn("status", F.when(c("ratio") >= 0.95, "ok").otherwise("degraded"))
 
 
-def market_scope(bars: DataFrame) -> DataFrame:
-    """Boards and exchanges that each session covers."""
-    return bars.groupBy("trade_date").agg(F.array_join(F.array_sort(F.collect_set("board")), ",").alias("boards"), F.array_join(F.array_sort(F.collect_set("exchange")), ",").alias("exchanges"), F.bool_or("is_trading").alias("priced"))
+def market_scope(bars: DataFrame, indexes: list) -> DataFrame:
+    """Per session: exchanges and boards that its stocks cover, boards and index series (``indexes``) that are expected but missing, stocks, and how far their prices are audited.
+
+    ``price_status`` is over stocks of the boards in scope: not_audited where the quality of one is not ready, partial where one does
+    not trade, else verified. Lists are sorted; they hold boards and expected series only, so their sizes are bounded.
+    """
+    stock = c("security_type") == "stock"
+    scope = stock & c("exchange").isin("sh", "sz") & c("board").isin(*BOARDS)
+    audited = c("quality_status") == "ready"
+    seen = lambda x: F.array_sort(F.collect_set(x))
+    own = bars.groupBy("trade_date").agg(
+        seen(F.when(stock, c("exchange"))).alias("exchanges"), seen(F.when(stock, c("board"))).alias("boards"), F.count_distinct(F.when(stock, c("symbol"))).alias("universe"),
+        seen(F.when(c("symbol").isin(*indexes) & (c("security_type") == "index"), c("symbol"))).alias("indexes"),
+        F.coalesce(F.bool_or(F.when(scope, ~F.coalesce(audited, F.lit(False)))), F.lit(False)).alias("_open"), F.coalesce(F.bool_or(F.when(scope, ~c("is_trading"))), F.lit(False)).alias("_shut"),
+    )
+    lists = {"missing_boards": F.array_except(F.array(*map(F.lit, BOARDS)), "boards"), "missing_indexes": F.array_sort(F.array_except(F.array(*map(F.lit, indexes)).cast(own.schema["indexes"].dataType), "indexes"))}
+    status = F.when(c("_open"), "not_audited").when(c("_shut"), "partial").otherwise("verified")
+    return own.withColumns(lists | {"index_ratio": F.size("indexes") / len(indexes), "price_status": status}).drop("_open", "_shut")
 
 
 def content_digest(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:

@@ -168,9 +168,14 @@ def t4_alert_state(spark, d):
     return T.alert_state(own)
 
 
-@query("a44_alert_summary", f"{_STATES}, l AS (SELECT arg_max(state, seq) AS state FROM r WHERE k > 0 GROUP BY alert_id)\nSELECT count(*) FILTER (state = 'triggered') AS open, array_to_string(list_sort(list_distinct(list(state))), ',') AS states, CASE WHEN count(*) FILTER (state = 'triggered') > 0 THEN 'attention' ELSE 'quiet' END AS overall FROM l")
+@query("a44_alert_summary", f"""{_STATES}, l AS (SELECT arg_max(state, seq) AS state, max(seq) AS seq FROM r WHERE k > 0 GROUP BY alert_id),
+i AS (SELECT DISTINCT event_type FROM l JOIN events ON event_id = seq WHERE state IN ('suppressed', 'error'))
+SELECT CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) FILTER (state IN ('suppressed', 'error')) > 0 THEN 'partial' ELSE 'ready' END AS status, count(*) FILTER (state = 'triggered') AS unacknowledged,
+count(*) AS alerts, (SELECT coalesce(string_agg('after_' || event_type, ',' ORDER BY event_type), '') FROM i) AS issues FROM l""")
 def a44_alert_summary(spark, d):
-    return T.alert_summary(t4_alert_state(spark, d))
+    """The issue of a move is named by its event's type."""
+    why = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.array(F.concat(F.lit("after_"), "event_type")).alias("issues"))
+    return T.alert_summary(t4_alert_state(spark, d).join(why, "seq", "left")).withColumn("issues", F.array_join("issues", ","))
 
 
 _KINDS = "CASE event_type WHEN 'view' THEN 'acquire' WHEN 'purchase' THEN 'probe' WHEN 'signup' THEN 'probe' ELSE 'outcome' END"

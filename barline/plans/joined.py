@@ -125,9 +125,43 @@ def a2_turnover(spark, d):
     return Q.turnover(table(spark, d, "bars"))
 
 
-@query("a3_market_summary", f"SELECT b.trade_date, count(*) FILTER ({LIVE} AND pct_change > 0) AS advancing, count(*) FILTER ({LIVE}) AS eligible, CASE WHEN max(loaded) / max(requested) >= 0.95 THEN 'complete' WHEN max(loaded) > 0 THEN 'partial' ELSE 'missing' END AS status FROM {{bars}} b JOIN {{audits}} a ON a.trade_date = b.trade_date GROUP BY 1")
+#: The reason of P7 as SQL.
+PUBLICATION = """CASE WHEN quality_status <> 'ready' THEN 'quality' WHEN is_suspended AND volume > 0 THEN 'suspended_activity' WHEN adjust_factor IS NULL THEN 'missing_factor'
+  WHEN NOT (high >= greatest(open, high, low, close) AND low <= least(open, high, low, close) AND least(open, high, low, close) > 0) THEN 'ohlc' END"""
+#: Index series beside the stocks; their symbols are below 0. The last region's series never comes.
+_WITH_INDEX = """wi AS (SELECT symbol, trade_date, security_type, exchange, board, close, pct_change, amount, adjust_factor, is_trading, is_suspended, quality_status FROM {bars}
+UNION ALL SELECT -1 - symbol, trade_date, 'index', NULL, NULL, close, NULL, NULL, NULL, true, false, 'ready' FROM {index_bars} WHERE symbol < 4)"""
+INDEXES = [-1, -2, -3, -4, -5]
+
+
+def with_indexes(spark, d):
+    own = table(spark, d, "bars").select("symbol", "trade_date", "security_type", "exchange", "board", "close", "pct_change", "amount", "adjust_factor", "is_trading", "is_suspended", "quality_status")
+    series = table(spark, d, "index_bars").where("symbol < 4").selectExpr("-1 - symbol as symbol", "trade_date", "'index' as security_type", "close", "true as is_trading", "false as is_suspended", "'ready' as quality_status")
+    return own.unionByName(series.withColumn("symbol", F.col("symbol").cast(own.schema["symbol"].dataType)), allowMissingColumns=True)
+
+
+@query("a3_market_summary", f"""WITH {_WITH_INDEX},
+rf AS (SELECT trade_date, requested, failed, CASE WHEN day(trade_date) <= 3 THEN 'error' WHEN failed > 0 THEN 'partial' ELSE 'ready' END AS st, loaded AS l,
+  CASE month(trade_date) WHEN 12 THEN NULL WHEN 6 THEN trade_date + 7 ELSE trade_date END AS ex FROM {{audits}}),
+sm AS (SELECT trade_date, count(*) FILTER (security_type = 'stock' AND NOT is_suspended AND pct_change > 0) AS advancing, count(*) FILTER (security_type = 'stock' AND NOT is_suspended AND pct_change < 0) AS declining,
+  count(*) FILTER (security_type = 'stock' AND NOT is_suspended AND pct_change = 0) AS unchanged, count(*) FILTER (security_type = 'stock' AND is_suspended) AS suspended,
+  count(*) FILTER (security_type = 'stock' AND NOT is_suspended) AS eligible, CAST(sum(CASE WHEN security_type = 'stock' AND NOT is_suspended THEN CAST(amount AS DECIMAL(18, 2)) END) AS DOUBLE) AS amount,
+  string_agg(symbol || ':' || CAST(floor(close + 1e-9) AS BIGINT), ',' ORDER BY symbol) FILTER (security_type = 'index') AS indexes FROM wi GROUP BY 1)
+SELECT trade_date, CASE WHEN st = 'error' THEN 'error' WHEN trade_date < ex THEN 'stale' WHEN ex IS NULL AND st = 'ready' THEN 'partial' ELSE st END AS status,
+requested, CASE WHEN st = 'error' THEN 0 ELSE l END AS loaded, failed, round(CASE WHEN st = 'error' THEN 0 ELSE l / requested END + 1e-9, 6) AS coverage,
+st <> 'error' AND l >= requested AND failed = 0 AS is_complete, CASE WHEN st <> 'error' THEN CAST(ex AS DATE) END AS expected_on, CASE WHEN st <> 'error' THEN CAST(date_diff('day', trade_date, ex) AS INTEGER) END AS lag_days, CASE WHEN st <> 'error' THEN trade_date >= ex END AS is_fresh,
+CASE WHEN st = 'error' THEN 0 ELSE advancing END AS advancing, CASE WHEN st = 'error' THEN 0 ELSE declining END AS declining, CASE WHEN st = 'error' THEN 0 ELSE unchanged END AS unchanged,
+CASE WHEN st = 'error' THEN 0 ELSE suspended END AS suspended, CASE WHEN st = 'error' THEN 0 ELSE eligible END AS eligible, CASE WHEN st <> 'error' THEN amount END AS amount,
+CASE WHEN st = 'error' THEN '' ELSE coalesce(indexes, '') END AS indexes, CASE WHEN st = 'error' THEN 'refresh_error' ELSE concat_ws(',', CASE WHEN ex IS NULL THEN 'freshness_not_evaluated,calendar_unavailable' END,
+CASE WHEN trade_date < ex THEN 'data_older_than_expected' END, CASE WHEN failed > 0 THEN 'incomplete_symbol_coverage' END) END AS issues FROM rf JOIN sm USING (trade_date)""")
 def a3_market_summary(spark, d):
-    return Q.market_summary(table(spark, d, "bars"), table(spark, d, "audits")).select("trade_date", "advancing", "eligible", "status")
+    """Refreshes of the first three days of a month failed; in December the calendar is unknown, in June a session has gone by since."""
+    month = F.month("trade_date")
+    status = F.when(F.dayofmonth("trade_date") <= 3, "error").when(F.col("failed") > 0, "partial").otherwise("ready")
+    refreshes = table(spark, d, "audits").withColumn("status", status)
+    expected = refreshes.select("trade_date", F.when(month == 6, F.date_add("trade_date", 7)).when(month != 12, F.col("trade_date")).alias("expected_on"))
+    own = Q.market_summary(with_indexes(spark, d), refreshes, expected).withColumns({"coverage": r6("coverage"), "issues": F.array_join("issues", ",")})
+    return own.withColumn("indexes", F.array_join(F.transform("indexes", lambda x: F.concat_ws(":", x["symbol"], F.floor(x["close"] + 1e-9))), ","))
 
 
 @query("a4_coverage", "WITH g AS (SELECT s_suppkey AS symbol, trade_date FROM supplier, (SELECT DISTINCT trade_date FROM {bars}))\nSELECT trade_date, count(*) AS expected, count(b.symbol) AS loaded, count(b.symbol) / count(*) AS ratio, coalesce(array_to_string(list_sort(list(g.symbol) FILTER (b.symbol IS NULL)), ','), '') AS failed FROM g LEFT JOIN {bars} b USING (symbol, trade_date) GROUP BY 1")
@@ -136,9 +170,20 @@ def a4_coverage(spark, d):
     return own.withColumn("failed", F.array_join(F.col("failed").cast("array<string>"), ","))
 
 
-@query("a5_publication_issues", f"WITH t AS (SELECT * FROM {{bars}} WHERE trade_date = {D})\nSELECT 'missing_symbol' AS kind, s_suppkey AS symbol FROM supplier WHERE s_suppkey NOT IN (SELECT symbol FROM t) UNION ALL SELECT 'missing_factor', symbol FROM t WHERE adjust_factor IS NULL UNION ALL SELECT 'quality', symbol FROM t WHERE quality_status <> 'ready'")
+@query("a5_publication_issues", f"""WITH t AS (SELECT * FROM {{bars}} WHERE trade_date = {D}), x AS (SELECT -1 - symbol AS symbol FROM {{index_bars}} WHERE symbol < 4 AND trade_date = {D})
+SELECT 'missing_symbol' AS kind, CAST(s_suppkey AS BIGINT) AS symbol, NULL::VARCHAR AS detail FROM supplier WHERE s_suppkey NOT IN (SELECT symbol FROM t)
+UNION ALL SELECT 'required_index_missing', -1 - r_regionkey, NULL FROM region WHERE -1 - r_regionkey NOT IN (SELECT symbol FROM x)
+UNION ALL SELECT DISTINCT 'required_symbol_missing', symbol, NULL FROM {{positions}} WHERE symbol NOT IN (SELECT symbol FROM t)
+UNION ALL SELECT 'missing_adjust_factor', symbol, NULL FROM t WHERE adjust_factor IS NULL AND NOT is_suspended
+UNION ALL SELECT 'invalid_publication_bar_quality', symbol, why FROM (SELECT symbol, {PUBLICATION} AS why FROM t) WHERE why IS NOT NULL""")
 def a5_publication_issues(spark, d):
-    return Q.publication_issues(table(spark, d, "bars"), table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol")), DAYC())
+    """Every supplier is expected, every region's index and every held symbol required."""
+    bars = table(spark, d, "bars")
+    series = table(spark, d, "index_bars").where("symbol < 4").selectExpr("cast(-1 - symbol as bigint) as symbol", "trade_date", "'index' as security_type", "close as open", "close as high", "close as low", "close", "false as is_suspended", "'ready' as quality_status", "1.0D as adjust_factor", "0.0D as volume")
+    both = bars.withColumn("symbol", F.col("symbol").cast("bigint")).unionByName(series, allowMissingColumns=True)
+    expected = table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("symbol"))
+    indexes = table(spark, d, "region").select((-1 - F.col("r_regionkey")).cast("bigint").alias("symbol"))
+    return Q.publication_issues(both, expected, DAYC(), indexes, table(spark, d, "positions").select(F.col("symbol").cast("bigint").alias("symbol")))
 
 
 @query("a6_session_gates", "WITH g AS (SELECT trade_date, count(*) >= 50 AS universe, count(*) = count(DISTINCT symbol) AS \"unique\", bool_and(close > 0) AS prices, bool_and(adjust_factor IS NOT NULL) AS factors, count(*) FILTER (is_suspended) * 4 <= count(*) AS suspension FROM {bars} GROUP BY 1)\nUNPIVOT g ON universe, \"unique\", prices, factors, suspension INTO NAME gate VALUE passed")
@@ -162,9 +207,16 @@ def a9_sector_sizes(spark, d):
     return table(spark, d, "memberships").groupBy("generation", "sector_id").agg(F.count("*").alias("members"))
 
 
-@query("a10_market_scope", "SELECT trade_date, string_agg(DISTINCT board, ',' ORDER BY board) AS boards, string_agg(DISTINCT exchange, ',' ORDER BY exchange) AS exchanges, bool_or(is_trading) AS priced FROM {bars} GROUP BY 1")
+@query("a10_market_scope", f"""WITH {_WITH_INDEX}, g AS (SELECT trade_date, list_sort(list(DISTINCT exchange) FILTER (security_type = 'stock')) AS ex, list_sort(list(DISTINCT board) FILTER (security_type = 'stock')) AS bo,
+  count(DISTINCT symbol) FILTER (security_type = 'stock') AS universe, list_sort(coalesce(list(DISTINCT symbol) FILTER (security_type = 'index'), [])) AS ix,
+  bool_or(security_type = 'stock' AND quality_status <> 'ready') AS op, bool_or(security_type = 'stock' AND NOT is_trading) AS sh FROM wi GROUP BY 1)
+SELECT trade_date, array_to_string(ex, ',') AS exchanges, array_to_string(bo, ',') AS boards, universe, array_to_string(ix, ',') AS indexes,
+array_to_string(list_filter(['chinext', 'main', 'star'], lambda x: NOT list_contains(bo, x)), ',') AS missing_boards, array_to_string(list_filter([-5, -4, -3, -2, -1], lambda x: NOT list_contains(ix, x)), ',') AS missing_indexes,
+len(ix) / 5 AS index_ratio, CASE WHEN op THEN 'not_audited' WHEN sh THEN 'partial' ELSE 'verified' END AS price_status FROM g""")
 def a10_market_scope(spark, d):
-    return Q.market_scope(table(spark, d, "bars"))
+    own = Q.market_scope(with_indexes(spark, d), INDEXES)
+    lists = ("exchanges", "boards", "indexes", "missing_boards", "missing_indexes")
+    return own.withColumns({x: F.array_join(F.col(x).cast("array<string>"), ",") for x in lists})
 
 
 @query("a16_content_digest", None)

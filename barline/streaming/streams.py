@@ -242,7 +242,16 @@ def on_new_session(tasks: dict[str, Callable[[DataFrame], DataFrame]], path: str
 
 
 def alert_summary(moves: DataFrame) -> DataFrame:
-    """Alerts by their last state, and the overall state."""
-    last = moves.groupBy("alert_id").agg(F.max_by("state", "seq").alias("state"))
-    n = last.agg(F.count_if(c("state").isin("triggered", "escalated")).alias("open"), F.array_join(F.array_sort(F.collect_set("state")), ",").alias("states"))
-    return n.withColumn("overall", F.when(c("open") > 0, "attention").otherwise("quiet"))
+    """Alerts by their last state (A44): how many wait to be acknowledged, what is wrong with suppressed and failed ones, and the overall status.
+
+    ``moves`` has alert_id, seq and state, and may have ``issues``, an array; the sorted distinct issues of the last move of each
+    suppressed or failed alert are told. Empty without alerts, partial with a suppressed or failed one, else ready. One row always.
+    """
+    issues = c("issues") if "issues" in moves.columns else F.array().cast("array<string>")
+    last = moves.groupBy("alert_id").agg(F.max(F.struct("seq", "state", issues.alias("issues"))).alias("_m")).select("_m.*")
+    bad = c("state").isin("suppressed", "error")
+    # A row each, so that no list of issues gathers more than the distinct ones.
+    told = last.where(bad).select(F.explode("issues").alias("issue")).where("issue is not null").distinct().agg(F.array_sort(F.collect_list("issue")).alias("issues"))
+    n = last.agg(F.count_if(c("state") == "triggered").alias("unacknowledged"), F.count_if(bad).alias("_bad"), F.count("*").alias("alerts"))
+    status = F.when(c("alerts") == 0, "empty").when(c("_bad") > 0, "partial").otherwise("ready")
+    return n.crossJoin(F.broadcast(told)).select(status.alias("status"), "unacknowledged", "alerts", "issues")  # a row each
