@@ -279,8 +279,8 @@ def _stream_of(spark, own, path):
 @query("t2_stream_factors", "SELECT symbol, effective_date, back_factor FROM {factors}")
 def t2_stream_factors(spark, d):
     path, own = fresh_path(spark, "factors"), table(spark, d, "factors").select("symbol", "effective_date", "back_factor")
-    _run(_stream_of(spark, own, f"{path}-in"), path, T.forward_factors(path, f"{path}-through"))
-    return spark.read.schema(own.schema).parquet(path)
+    _run(_stream_of(spark, own, f"{path}-in"), path, T.forward_factors(path, f"{path}-through", f"{path}-journal"))
+    return spark.read.schema(own.schema).parquet(path).select(*own.columns)
 
 
 @query("t3_stream_alerts", "SELECT 'rise' AS rule, symbol, trade_date FROM {bars} WHERE pct_change > 5")

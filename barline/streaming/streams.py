@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -33,16 +33,56 @@ def stream_alerts(signals: DataFrame, *, lateness: str = "3 days") -> DataFrame:
     return own.dropDuplicatesWithinWatermark(["rule", "symbol", "trade_date"])
 
 
-def once_per_key(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that appends only rows whose key the sink doesn't hold yet; a batch that runs again adds nothing."""
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a path holds what a finished job wrote."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own)
 
-    def write(batch: DataFrame, _: int) -> None:
+
+def _mark(spark: SparkSession, path: str) -> None:
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(own, True).close()
+
+
+def _months(df: DataFrame, day: str) -> list[int]:
+    """The months (199801 and the like) that a batch has rows of, which the calendar bounds; null days are of month 0."""
+    return [r[0] for r in df.select(_month(day).alias("m")).distinct().collect()]
+
+
+def _month(day: str) -> Column:
+    return F.coalesce(F.year(day) * 100 + F.month(day), F.lit(0))
+
+
+def _of_months(spark: SparkSession, path: str, kind: T.StructType, months: list[int]) -> DataFrame:
+    """The rows of some months only; a folder that only empty batches wrote has none."""
+    return spark.read.schema(T.StructType([*kind.fields, T.StructField("month_of", T.IntegerType())])).parquet(path).where(c("month_of").isin(months))
+
+
+def once_per_key(path: str, key: list[str], day: str | None = None, journal: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink that appends only rows whose key the sink doesn't hold yet; a batch that runs again adds nothing.
+
+    ``day`` names a date column of the key: the sink is laid out by its month (column ``month_of``), and a batch reads the months that it
+    has rows of and no other. ``journal`` is a folder of this query's own (as its checkpoint is) that keeps the numbers of finished batches,
+    so that one which is sent again reads nothing. A batch that was killed between its rows and its number is checked by keys again.
+    Of rows of one key in a batch any one is kept; keys with nulls are never held, so they are appended each time.
+    """
+    if day is not None and day not in key:
+        raise ValueError(f"{day} must be part of the key: a key whose rows lie in two months would be held twice")
+
+    def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
+        if journal is not None and _there(spark, f"{journal}/{n}"):
+            return
         fresh = batch.dropDuplicates(key)
-        path_ = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if path_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path_):
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(path), key, "left_anti").select(*batch.columns)
-        fresh.write.mode("append").parquet(path)
+        if _there(spark, path):
+            held = spark.read.schema(batch.schema).parquet(path) if day is None else _of_months(spark, path, batch.schema, _months(batch, day))
+            fresh = fresh.join(held.select(*key), key, "left_anti").select(*batch.columns)
+        if day is None:
+            fresh.write.mode("append").parquet(path)
+        else:
+            fresh.withColumn("month_of", _month(day)).write.mode("append").partitionBy("month_of").parquet(path)
+        if journal is not None:
+            _mark(spark, f"{journal}/{n}")
 
     return write
 
@@ -205,38 +245,57 @@ def failure_state(outcomes: DataFrame, *, least: int = 3, cool: float = 900.0, l
     return own.groupBy("pool").applyInPandasWithState(step, _HEALTH, "circuits string", "append", GroupStateTimeout.NoTimeout)
 
 
-def forward_factors(target: str, through: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink of factor events: appends new (symbol, effective_date) rows and moves the through-date forward only."""
-    add = once_per_key(target, ["symbol", "effective_date"])
+def forward_factors(target: str, through: str, journal: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink of factor events: appends new (symbol, effective_date) rows and moves the through-date forward only.
+
+    The through-date is the later of its last value and the batch's; only where the last one is missing is the target read for it.
+    """
+    add = once_per_key(target, ["symbol", "effective_date"], "effective_date", journal)
 
     def write(batch: DataFrame, n: int) -> None:
-        add(batch, n)
         spark = batch.sparkSession
-        spark.read.schema(batch.schema).parquet(target).agg(F.max("effective_date").alias("through_date")).write.mode("overwrite").parquet(through)
+        last = batch.agg(F.max("effective_date").alias("through_date"))
+        if _there(spark, f"{through}/_SUCCESS"):
+            before = spark.read.schema(last.schema).parquet(through).first()
+            before = before and before[0]
+        else:
+            before = spark.read.schema(batch.schema).parquet(target).agg(F.max("effective_date")).first()[0] if _there(spark, target) else None
+        add(batch, n)
+        day = last.first()[0]
+        if before is None or (day is not None and day > before) or not _there(spark, f"{through}/_SUCCESS"):
+            both = [x for x in (before, day) if x is not None]
+            spark.createDataFrame([(max(both, default=None),)], last.schema).coalesce(1).write.mode("overwrite").parquet(through)
 
     return write
 
 
 def on_new_session(tasks: dict[str, Callable[[DataFrame], DataFrame]], path: str, log: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` that runs each task once per session; one that fails is logged and doesn't stop the others."""
+    """A ``foreachBatch`` that runs each task once per session; one that fails is logged and doesn't stop the others.
+
+    The log is laid out by month; a batch reads its own months of it, once for all tasks. Sessions without a date are left alone.
+    """
+    kind = T.StructType([T.StructField("task", T.StringType()), T.StructField("trade_date", T.DateType()), T.StructField("state", T.StringType())])
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        days = batch.select("trade_date").distinct()
+        days = batch.where("trade_date is not null").select("trade_date").distinct()
+        asked = {r[0] for r in days.collect()}  # a day each: bounded by the calendar
+        done = set()
+        if asked and _there(spark, log):
+            own = _of_months(spark, log, kind, _months(days, "trade_date")).where("state = 'done'")
+            done = {tuple(r) for r in own.join(F.broadcast(days), "trade_date", "left_semi").select("task", "trade_date").distinct().collect()}
         for name, task in tasks.items():
-            done = spark.createDataFrame([], "task string, trade_date date, state string")
-            path_ = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
-            if path_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path_):
-                done = spark.read.schema(done.schema).parquet(log).where((c("task") == name) & (c("state") == "done"))
-            open_ = days.join(done, "trade_date", "left_anti")
-            if open_.isEmpty():
+            open_ = sorted(x for x in asked if (name, x) not in done)
+            if not open_:
                 continue
+            todo = spark.createDataFrame([(x,) for x in open_], "trade_date date")
             try:
-                task(batch.join(open_, "trade_date", "left_semi")).write.mode("append").parquet(f"{path}/{name}")
+                task(batch.join(F.broadcast(todo), "trade_date", "left_semi")).write.mode("append").parquet(f"{path}/{name}")
                 state = "done"
             except Exception:  # noqa: BLE001 - the log tells; the other tasks go on
                 state = "failed"
-            open_.select(F.lit(name).alias("task"), "trade_date", F.lit(state).alias("state")).write.mode("append").parquet(log)
+            told = todo.select(F.lit(name).alias("task"), "trade_date", F.lit(state).alias("state"), _month("trade_date").alias("month_of"))
+            told.coalesce(1).write.mode("append").partitionBy("month_of").parquet(log)
 
     return run
 

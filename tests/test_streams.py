@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from barline.sources import bars as SB
@@ -141,6 +142,43 @@ def test_factors_move_forward_only(spark, tmp_path):
     assert sorted(r.back_factor for r in spark.read.parquet(f"{tmp_path}/f").collect()) == [1.1, 1.2]
 
 
+def test_sinks_read_the_months_of_their_batch_and_no_others(spark, tmp_path):
+    kind = "symbol int, effective_date date, back_factor double"
+    day = dt.date
+    path, journal = f"{tmp_path}/f", f"{tmp_path}/journal"
+    batch = lambda *x: spark.createDataFrame(list(x), kind)
+    held = lambda: sorted(tuple(r) for r in spark.read.schema(kind).parquet(path).select("symbol", "effective_date", "back_factor").collect())
+    sink = T.once_per_key(path, ["symbol", "effective_date"], "effective_date", journal)
+    first = [(1, day(2024, 1, 5), 1.1), (1, day(2024, 2, 5), 1.2)]
+    sink(batch(*first), 0)
+    (tmp_path / "journal" / "0").unlink()  # killed between its rows and its number
+    sink(batch(*first), 0)
+    assert held() == first and (tmp_path / "journal" / "0").exists()
+    for f in (tmp_path / "f" / "month_of=202401").glob("*.parquet"):  # a batch that read January would fail
+        f.write_bytes(b"no parquet")
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    sink(batch((1, day(2024, 2, 5), 9.9), (2, day(2024, 2, 5), 1.3), (1, day(2024, 3, 1), 1.4)), 1)
+    sink(batch((1, day(2024, 1, 5), 9.9)), 1)  # a number that is done reads nothing
+    with pytest.raises(Exception, match="(?i)parquet"):
+        sink(batch((1, day(2024, 1, 5), 9.9)), 2)
+    own = spark.read.schema(kind).parquet(path).where("month_of > 202401").select("symbol", "back_factor").collect()
+    assert sorted(map(tuple, own)) == [(1, 1.2), (1, 1.4), (2, 1.3)]
+    with pytest.raises(ValueError, match="part of the key"):
+        T.once_per_key(path, ["symbol"], "effective_date")
+
+
+def test_through_dates_outlive_a_lost_file(spark, tmp_path):
+    kind = "symbol int, effective_date date, back_factor double"
+    write = T.forward_factors(f"{tmp_path}/f", f"{tmp_path}/through")
+    last = lambda: spark.read.parquet(f"{tmp_path}/through").collect()[0][0]
+    write(spark.createDataFrame([], kind), 0)
+    assert last() is None
+    write(spark.createDataFrame([(1, dt.date(2024, 3, 5), 1.1)], kind), 1)
+    (tmp_path / "through" / "_SUCCESS").unlink()  # an overwrite that did not end
+    write(spark.createDataFrame([(1, dt.date(2024, 1, 2), 1.2)], kind), 2)
+    assert last() == dt.date(2024, 3, 5)
+
+
 def test_partitions_are_replaced_and_manifests_name_files(spark, tmp_path):
     df = bars(spark, [1.0, 2.0, 3.0, 4.0, 5.0])  # January and February
     SB.write_bars(df, f"{tmp_path}/bars")
