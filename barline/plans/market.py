@@ -466,9 +466,19 @@ def a40_guardrails(spark, d):
     return PF.guardrails(exposures(spark, d))
 
 
-@query("a41_target_band", None)
+BANDS = """bd(strategic, tactical, lo, hi) AS (VALUES ('bull', 'risk_on', 0.60, 0.85), ('bull', 'neutral', 0.50, 0.75), ('bull', 'risk_off', 0.35, 0.60), ('range', 'risk_on', 0.45, 0.70), ('range', 'neutral', 0.35, 0.60),
+  ('range', 'risk_off', 0.20, 0.45), ('bear', 'risk_on', 0.25, 0.50), ('bear', 'neutral', 0.15, 0.40), ('bear', 'risk_off', 0.05, 0.25))"""
+
+
+@query("a41_target_band", f"""WITH {EXPOSURE}, {BANDS}, rg AS ({regime_sql(RISK)}),
+st AS (SELECT strategic, tactical, CAST(lo AS DOUBLE) AS base_lower, CAST(hi AS DOUBLE) AS base_upper, CAST(greatest(lo - 0.10, 0) AS DOUBLE) AS lower, CAST(least(hi + 0.10, 1) AS DOUBLE) AS upper
+  FROM rg JOIN bd USING (strategic, tactical) WHERE trade_date = {D})
+SELECT portfolio, nav, basis, gross, largest, complete, strategic, tactical, base_lower, base_upper, lower, upper, CASE WHEN strategic IS NULL THEN 'unavailable' ELSE 'degraded' END AS band_status, gross >= lower AND gross <= upper AS within_band,
+CASE WHEN strategic IS NULL THEN 'market_regime_unavailable' ELSE 'degraded_market_regime_band_widened,low_regime_confidence_band_widened,market_regime:' || strategic || ',narrow_market_scope_band_widened,tactical_state:' || tactical END AS reasons
+FROM ex LEFT JOIN st ON true""")
 def a41_target_band(spark, d):
-    return PF.target_band(exposures(spark, d), state(spark, d))
+    own = PF.target_band(exposures(spark, d), state(spark, d))
+    return own.withColumns({"nav": F.col("nav").cast("double"), "reasons": F.array_join("reasons", ",")})
 
 
 @query("a42_portfolio_risk", None)
