@@ -62,12 +62,10 @@ def j7_members_with_prices(spark, d):
 _VALUED = f"v AS (SELECT portfolio, p.symbol, quantity, cost, CASE WHEN b.symbol IS NULL THEN 'missing' WHEN is_suspended THEN 'suspended' WHEN quality_status <> 'ready' THEN 'bad_quality' END AS reason, b.close AS c FROM {{positions}} p LEFT JOIN {{bars}} b ON p.symbol = b.symbol AND b.trade_date = {D})"
 
 
-@query("j8_value_positions", f"WITH {_VALUED}\nSELECT portfolio, symbol, reason, CAST(cost AS DOUBLE) AS cost, round(CASE WHEN reason IS NULL THEN c END * CAST(quantity AS DOUBLE) + 1e-9, 0) AS value FROM v")
+@query("j8_value_positions", f"WITH {_VALUED}\nSELECT portfolio, symbol, reason, CAST(cost AS DOUBLE) AS cost, CAST(CASE WHEN reason IS NULL THEN CAST(c AS DECIMAL(18, 2)) * quantity END AS DOUBLE) AS value FROM v")
 def j8_value_positions(spark, d):
     own = J.value_positions(table(spark, d, "positions"), table(spark, d, "bars"), DAYC())
-    close = table(spark, d, "bars").where(F.col("trade_date") == DAYC()).select("symbol", F.col("close").alias("_c"))
-    own = own.join(close, "symbol", "left")
-    return own.select("portfolio", "symbol", "reason", F.col("cost").cast("double").alias("cost"), F.round(F.when(F.col("reason").isNull(), F.col("_c") * F.col("quantity").cast("double")) + 1e-9, 0).alias("value"))
+    return own.select("portfolio", "symbol", "reason", F.col("cost").cast("double").alias("cost"), F.col("value").cast("double").alias("value"))
 
 
 @query("j9_latest_revision", f"SELECT portfolio, as_of, max(revision) AS revision FROM {{ledger}} WHERE recorded_on <= {D} GROUP BY ALL")
