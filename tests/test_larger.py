@@ -1,11 +1,17 @@
 """Rows that only larger tables have, and steps whose cost must not outgrow their input."""
 
 import datetime as dt
+import re
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
+from barline import fixtures as X
 from barline.operators import joins as J
+from barline.operators import sector as S
+from barline.operators import windows as W
+from barline.plans import market
 
 DAY = dt.date(1998, 6, 1)
 
@@ -17,3 +23,51 @@ def test_closes_next_to_half_a_cent_are_rounded_as_doubles(spark):
     own = {r["symbol"]: (r["close"], r["value"]) for r in J.value_positions(held, bars, F.lit(DAY)).collect()}
     # 2332.055 * 100 is just below a half, 1323.505 * 100 is one.
     assert [str(own[s][0]) for s, _ in closes] == ["2332.05", "1323.51", "0.13", "1.00", "10.00"] and own[1][1] == Decimal("23320.5")
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bars_are_those_of_their_sql_from_one_layout(spark):
+    own = X.table(spark, SMALL, "bars")
+    told = spark.sql(X.SQL["bars"], factors=X.table(spark, SMALL, "factors"), lineitem=X.table(spark, SMALL, "lineitem"))
+    assert own.columns == told.columns and [f.dataType for f in own.schema] == [f.dataType for f in told.schema]
+    assert sorted(map(str, own.collect())) == sorted(map(str, told.collect()))
+    once = plan(own.select("symbol", "trade_date", "close"))
+    assert once.count("FileScan") == 1 and once.count("Exchange") == 1
+
+
+def test_long_frames_are_put_together_from_short_ones(spark):
+    values = [float((7 * i) % 11) if i % 5 else None for i in range(200)]
+    own = spark.createDataFrame([(1, DAY + dt.timedelta(days=i), x) for i, x in enumerate(values)], "symbol long, trade_date date, close double")
+    tests = {f"{f.__name__}{n}_{-last}": (f, n, last) for f in (W.full_mean, W.full_max, W.full_min) for n in (1, 5, 7, 14, 20, 59, 60, 120) for last in (0, -1)}
+    got = own.select("trade_date", *[f(n, "close", last).alias(k) for k, (f, n, last) in tests.items()])
+    assert max(int(x) for x in re.findall(r"RowFrame, -(\d+), currentrow", plan(got))) <= 5
+    rows = [r.asDict() for r in got.orderBy("trade_date").collect()]
+    for k, (f, n, last) in tests.items():
+        value = {"full_mean": lambda v: sum(v) / len(v), "full_max": max, "full_min": min}[f.__name__]
+        for i, r in enumerate(rows):
+            part = values[max(i + last - n + 1, 0) : i + last + 1]
+            part = [x for x in part if x is not None] if len(part) == n else []
+            assert r[k] == (pytest.approx(value(part)) if part else None), (k, i)
+
+
+def test_the_state_of_the_market_reads_bars_that_are_made_once(spark):
+    assert "lineitem" not in plan(market.history(spark, SMALL)) and "lineitem" not in plan(market.a32_replay_regime(spark, SMALL))
+
+
+def test_measures_of_sectors_keep_their_members_and_move_no_row_of_a_past_session(spark):
+    own = market.members(spark, SMALL)
+    for df in (S.metrics(own), S.ranking(own, market.targets(spark, SMALL), minimum=0.5).select("members"), S.leaders(own)):
+        assert "lineitem" not in plan(df) and "LeftSemi" not in plan(df)
+
+
+def test_members_without_a_sector_are_one(spark):
+    rows = [(s, DAY + dt.timedelta(days=7 * i), None if s < 4 else 1, 100.0 + s, 10.0 + s, 0.01 * s, None, None, None, None, None, None) for s in range(1, 7) for i in range(9)]
+    own = spark.createDataFrame(rows, "symbol long, trade_date date, sector_id int, amount double, scaled_close double, ret1 double, ret5 double, ret20 double, ret60 double, ma20 double, ma60 double, before20 double")
+    assert {(r["sector_id"], r["members"], round(r["top3_share"], 6)) for r in S.metrics(own).collect()} == {(None, 3, 1.0), (1, 3, 1.0)}
+    assert {(r["sector_id"], round(r["deviation"], 6)) for r in S.leaders(own).where("symbol in (1, 4)").collect()} == {(None, 0.01), (1, 0.01)}
