@@ -11,7 +11,7 @@ from barline import fixtures as X
 from barline.operators import joins as J
 from barline.operators import sector as S
 from barline.operators import windows as W
-from barline.plans import market
+from barline.plans import joined, market
 
 DAY = dt.date(1998, 6, 1)
 
@@ -71,3 +71,13 @@ def test_members_without_a_sector_are_one(spark):
     own = spark.createDataFrame(rows, "symbol long, trade_date date, sector_id int, amount double, scaled_close double, ret1 double, ret5 double, ret20 double, ret60 double, ma20 double, ma60 double, before20 double")
     assert {(r["sector_id"], r["members"], round(r["top3_share"], 6)) for r in S.metrics(own).collect()} == {(None, 3, 1.0), (1, 3, 1.0)}
     assert {(r["sector_id"], round(r["deviation"], 6)) for r in S.leaders(own).where("symbol in (1, 4)").collect()} == {(None, 0.01), (1, 0.01)}
+
+
+def test_watched_symbols_and_targets_do_not_pair_customers_with_suppliers_first(spark):
+    pairs = X.table(spark, SMALL, "watchlists")
+    followers, lists = joined.watchlists(spark, SMALL)
+    assert sorted(followers.join(lists, "list").select("portfolio", "symbol").collect()) == sorted(pairs.select("portfolio", "symbol").collect())
+    assert {r[0] for r in joined.watched(spark, SMALL).collect()} == {r[0] for r in pairs.select("symbol").distinct().collect()}
+    assert "customer" in plan(joined.watched(spark, SMALL)) and "LeftSemi" in plan(joined.e1_required_symbols(spark, SMALL))
+    signals = spark.createDataFrame([(s, DAY, "matched") for s in range(0, 10, 2)], "symbol long, trade_date date, outcome string")
+    assert sorted(J.list_targets(followers, lists, signals).select("portfolio", "symbol").collect()) == sorted(J.rule_targets(pairs, signals).select("portfolio", "symbol").collect())
