@@ -46,13 +46,13 @@ def on_sessions(intervals: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def quotes(bars: DataFrame, members: DataFrame, sessions: DataFrame, delay: int) -> DataFrame:
-    """Price, ATR and sector of each symbol and session: a row where there is a bar or a member.
+    """Price (a double yet), ATR and sector of each symbol and session: a row where there is a bar or a member.
 
     A bar that came later than ``delay`` days after its session takes part in nothing, nor in later ATRs. The sector is that of the
     generation visible at the session's cutoff; of a security's rows in it that hold on the day, the greatest sector.
     """
     known = bars.where(c("ingested_at") <= F.date_add("trade_date", delay))
-    price = F.when(risk_price_valid(), c("close").cast("decimal(24,12)"))
+    price = F.when(risk_price_valid(), c("close"))
     prices = known.select("symbol", "trade_date", price.alias("price"))
     ranges = W.atr(W.effective_bars(known)).select("symbol", "trade_date", "atr")
     seen = members.where("promoted and snapshot_date is not null and observed_on is not null").select("snapshot_date", "observed_on", "generation").distinct()
@@ -76,7 +76,7 @@ def positions_through_time(ledger: DataFrame, holdings: DataFrame, bars: DataFra
     snapshots = ledger.select(*SNAPSHOT, "recorded_on", "cash", "manual_nav").where("as_of is not null and recorded_on is not null")
     held = in_force(snapshots, c("portfolio"), ["as_of", "revision"], F.greatest("as_of", F.date_sub("recorded_on", delay)))
     own = on_sessions(held.drop("recorded_on").join(holdings.select(*SNAPSHOT, "symbol", "quantity"), list(SNAPSHOT), "left"), sessions)
-    own = own.join(quotes(bars, members, sessions, delay), ["symbol", "trade_date"], "left")
+    own = own.join(quotes(bars, members, sessions, delay), ["symbol", "trade_date"], "left").withColumn("price", c("price").cast("decimal(24,12)"))
     return own.withColumn("value", c("price") * c("quantity"))
 
 
@@ -95,6 +95,46 @@ def session_totals(positions: DataFrame) -> DataFrame:
     )
 
 
+def totals_through_time(ledger: DataFrame, holdings: DataFrame, bars: DataFrame, members: DataFrame, delay: int = 0) -> DataFrame:
+    """The ``session_totals`` of ``positions_through_time`` without a row for each position and session between tasks.
+
+    A position meets its symbol's quotes by years and takes those of its days along as short lists, so what moves is a row for each
+    position, snapshot and year, once, to its portfolio; there the lists are opened, summed and kept in that layout. A row for each
+    snapshot lists all of its sessions, of which positions without a quote are told by their number.
+    """
+    sessions = bars.select("trade_date").distinct()
+    snapshots = ledger.select(*SNAPSHOT, "recorded_on", "cash", "manual_nav").where("as_of is not null and recorded_on is not null")
+    held = in_force(snapshots, c("portfolio"), ["as_of", "revision"], F.greatest("as_of", F.date_sub("recorded_on", delay))).drop("recorded_on")
+    last = sessions.agg(F.max("trade_date").alias("_last"))  # one row
+    held = held.join(F.broadcast(last), F.lit(True)).where("since <= _last").withColumn("until", F.coalesce("until", F.date_add("_last", 1))).drop("_last")
+    years = F.explode(F.sequence(F.year("since"), F.year(F.date_sub("until", 1))))
+    inside = lambda day: (day >= c("since")) & (day < c("until"))
+    point = F.struct("trade_date", "price", "atr", "sector_id")
+    told = quotes(bars, members, sessions, delay).groupBy("symbol", F.year("trade_date").alias("_year")).agg(F.collect_list(point).alias("_q"))
+    own = held.drop("cash", "manual_nav").join(holdings.select(*SNAPSHOT, "symbol", "quantity"), list(SNAPSHOT)).select("portfolio", "since", "until", "symbol", "quantity", years.alias("_year"))
+    own = own.join(told, ["symbol", "_year"]).withColumn("_q", F.filter("_q", lambda x: inside(x["trade_date"])))
+    lists = {f"_{x}": c(f"_q.{x}") for x in ("trade_date", "price", "atr", "sector_id")}
+    own = own.select("portfolio", "quantity", *[x.alias(n) for n, x in lists.items()])
+    n = holdings.groupBy(*SNAPSHOT).agg(F.count("symbol").alias("positions"))
+    heads = held.join(n, list(SNAPSHOT), "left").withColumn("positions", F.coalesce("positions", F.lit(0).cast("bigint"))).withColumn("_year", years)
+    days = sessions.groupBy(F.year("trade_date").alias("_year")).agg(F.collect_list("trade_date").alias("_trade_date"))  # a row a year
+    heads = heads.join(F.broadcast(days), "_year").withColumn("_trade_date", F.filter("_trade_date", inside)).drop("_year", "since", "until")
+    both = own.unionByName(heads, allowMissingColumns=True).repartition("portfolio")
+    zipped = F.arrays_zip(*[F.coalesce(c(x), F.array().cast(both.schema[x].dataType)).alias(x[1:]) for x in lists])
+    own = both.select("portfolio", "as_of", "revision", "cash", "manual_nav", "positions", "quantity", F.explode(zipped).alias("_p")).select("*", "_p.*").drop("_p")
+    own = own.withColumn("value", c("price").cast("decimal(24,12)") * c("quantity"))
+    first = ("as_of", "revision", "cash", "manual_nav", "positions")
+    own = own.groupBy("portfolio", "trade_date", "sector_id").agg(
+        F.sum("value").alias("v"), F.max("value").alias("top"), F.count("value").alias("valued"), F.count("atr").alias("ranged"), F.count("sector_id").alias("mapped"),
+        F.sum(c("quantity").cast("double") * c("atr")).alias("risk"), *[F.max(x).alias(x) for x in first],
+    )
+    own = own.groupBy("portfolio", "trade_date").agg(
+        *[F.max(x).alias(x) for x in first], F.sum("valued").alias("valued"), F.sum("ranged").alias("ranged"), F.sum("mapped").alias("mapped"),
+        F.sum("v").alias("gross_value"), F.max("top").alias("largest_value"), F.max("v").alias("sector_value"), F.coalesce(F.sum("risk"), F.lit(0.0)).alias("risk"),
+    )
+    return own.withColumns({"unpriced": c("positions") - c("valued"), "unranged": c("positions") - c("ranged")}).drop("valued", "ranged")
+
+
 def measures(totals: DataFrame) -> DataFrame:
     """NAV (as stated, else cash and positions; positive or none) and what it rests on, weights and risk over it; each only where all of its inputs are there."""
     complete = c("unpriced") == 0
@@ -135,7 +175,7 @@ def portfolio_risk_history(ledger: DataFrame, holdings: DataFrame, bars: DataFra
     of the session allows (``states``: a row a session), and what is missing or doubtful. A session's row uses only what was dated by it
     and known ``delay`` days after it. Empty tables give no rows; of repeated ledger rows one counts, repeated holdings each count.
     """
-    own = with_drawdown(measures(session_totals(positions_through_time(ledger, holdings, bars, members, delay))))
+    own = with_drawdown(measures(totals_through_time(ledger, holdings, bars, members, delay)))
     own = own.withColumns({f"{n}_state": limit_state(c(n), limit) for n, limit in LIMITS.items()})
     own = target_band(own, states, "trade_date")
     stated = c("manual_nav").isNotNull()

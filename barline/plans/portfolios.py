@@ -89,7 +89,7 @@ missing_codes AS missing, issue_codes AS issues, CASE WHEN missing_codes = '' AN
 def a42_portfolio_risk_history(spark, d):
     """Every portfolio of the ledger on every session."""
     bars = written(table(spark, d, "bars"))
-    states = R.history(bars, table(spark, d, "index_bars")).withColumns({"degraded": F.lit(True), "full_scope": F.lit(False)})
+    states = R.history(bars, written(table(spark, d, "index_bars", bars=bars))).withColumns({"degraded": F.lit(True), "full_scope": F.lit(False)})
     own = V.portfolio_risk_history(table(spark, d, "ledger"), table(spark, d, "holdings"), bars, table(spark, d, "memberships"), states, DELAY)
     own = own.withColumn("stated_nav", F.round(F.coalesce("manual_nav", "derived_nav").cast("double") + 1e-6))
     own = own.select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barline import fixtures as X
 from barline.operators import joins as J
 from barline.operators import sector as S
+from barline.operators import valuation as V
 from barline.operators import windows as W
 from barline.plans import joined, market
 
@@ -81,3 +82,9 @@ def test_watched_symbols_and_targets_do_not_pair_customers_with_suppliers_first(
     assert "customer" in plan(joined.watched(spark, SMALL)) and "LeftSemi" in plan(joined.e1_required_symbols(spark, SMALL))
     signals = spark.createDataFrame([(s, DAY, "matched") for s in range(0, 10, 2)], "symbol long, trade_date date, outcome string")
     assert sorted(J.list_targets(followers, lists, signals).select("portfolio", "symbol").collect()) == sorted(J.rule_targets(pairs, signals).select("portfolio", "symbol").collect())
+
+
+def test_positions_through_time_move_by_portfolio_only(spark):
+    bars = X.table(spark, SMALL, "bars")
+    own = V.measures(V.totals_through_time(X.table(spark, SMALL, "ledger"), X.table(spark, SMALL, "holdings"), bars, X.table(spark, SMALL, "memberships"), 7))
+    assert not re.search(r"hashpartitioning\(portfolio#\w+, trade_date", plan(V.with_drawdown(own)))
