@@ -12,7 +12,7 @@ from barline.operators import joins as J
 from barline.operators import sector as S
 from barline.operators import valuation as V
 from barline.operators import windows as W
-from barline.plans import joined, market
+from barline.plans import flowing, joined, market
 
 DAY = dt.date(1998, 6, 1)
 
@@ -88,3 +88,17 @@ def test_positions_through_time_move_by_portfolio_only(spark):
     bars = X.table(spark, SMALL, "bars")
     own = V.measures(V.totals_through_time(X.table(spark, SMALL, "ledger"), X.table(spark, SMALL, "holdings"), bars, X.table(spark, SMALL, "memberships"), 7))
     assert not re.search(r"hashpartitioning\(portfolio#\w+, trade_date", plan(V.with_drawdown(own)))
+
+
+def test_bars_with_factors_are_laid_out_and_sorted_once(spark):
+    own = plan(X.table(spark, SMALL, "bars").select("symbol", "trade_date", "pct_change", "adjust_factor"))
+    # Lines and factors move by symbol together; the other exchange is that of the few lines which bring factors.
+    assert own.count("Exchange") == 2 and own.count(" Sort ") == 1 and own.count("hashpartitioning(symbol") == 0
+
+
+def test_rows_of_a_stream_are_made_once_and_filed_twice(spark, tmp_path):
+    made = spark.range(20).withColumn("x", F.expr("uuid()"))
+    own = flowing._stream_of(spark, made, str(tmp_path / "in"))
+    assert own.isStreaming and own.columns == made.columns
+    filed = spark.read.schema(made.schema).parquet(str(tmp_path / "in"))
+    assert filed.count() == 40 and filed.distinct().count() == 20
