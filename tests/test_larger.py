@@ -102,3 +102,13 @@ def test_rows_of_a_stream_are_made_once_and_filed_twice(spark, tmp_path):
     assert own.isStreaming and own.columns == made.columns
     filed = spark.read.schema(made.schema).parquet(str(tmp_path / "in"))
     assert filed.count() == 40 and filed.distinct().count() == 20
+
+
+def test_what_replaces_a_year_is_made_of_its_files(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(flowing, "table", lambda s, d, name, **k: made.append(name) or X.table(s, d, name, **k))
+    got = sorted(flowing.s14_replace_partitions(spark, SMALL).collect())
+    assert made == ["bars"]
+    bars = X.table(spark, SMALL, "bars")
+    told = bars.where("year(trade_date) <> 1998").select("symbol", "trade_date", "close").union(bars.where("year(trade_date) = 1998 and not is_suspended").selectExpr("symbol", "trade_date", "-close"))
+    assert got == sorted(told.collect())
