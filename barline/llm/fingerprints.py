@@ -71,13 +71,13 @@ def _grams(text: Column) -> Column:
 def _chosen(text: Column) -> Column:
     """The chosen hashes with their places of a text without white space."""
 
-    def smallest(g: Column, steps: list[int]) -> Column:
-        """Of each number and those ``steps`` places on, the smallest; places beyond the end do not count."""
-        return _let(g, lambda h: F.transform(h, lambda x, i: F.least(x, *[F.get(h, i + k) for k in steps])))
+    def smallest(g: Column, on: int) -> Column:
+        """Of each number and that ``on`` places on, the smaller; places beyond the end are null and do not count."""
+        return _let(g, lambda h: F.zip_with(h, F.slice(h, on + 1, F.size(h)), lambda x, y: F.least(x, y)))
 
     g = _grams(text)
-    for steps in _grown(WINDOW):
-        g = smallest(g, steps)
+    for on in _grown(WINDOW):
+        g = smallest(g, on)
     least = _let(g, lambda m: F.array_distinct(F.slice(m, 1, F.greatest(F.size(m) - WINDOW + 1, F.least(F.size(m), F.lit(1))))))
     place = lambda x: F.lit(_PLACES - 1) - x.bitwiseAND(F.lit(_PLACES - 1))
     return F.transform(least, lambda x: place(x) * F.lit(_PLACES) + F.shiftright(x, 31))
@@ -88,12 +88,12 @@ def winnowed(text: Column) -> Column:
     return _let(bare(F.coalesce(text, F.lit(""))), _chosen)
 
 
-def _grown(window: int) -> list[list[int]]:
-    """Steps by which windows of one grow to ``window``: by up to four times, then by what is missing."""
+def _grown(window: int) -> list[int]:
+    """Steps by which windows of one grow to ``window``: twice as large each time, then by what is missing."""
     steps, size = [], 1
     while size < window:
-        steps.append([min(k * size, window - size) for k in (1, 2, 3) if (k - 1) * size < window - size])
-        size += steps[-1][-1]
+        steps.append(min(size, window - size))
+        size += steps[-1]
     return steps
 
 

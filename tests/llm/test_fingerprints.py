@@ -96,3 +96,9 @@ def test_spliced_equals_a_pass_of_its_own(docs):
     more = lambda x: FP.winnowed(F.concat(x, F.lit(line[5000:5300])))
     odd = df.where(FP.spliced(F.col("a"), more(F.col("a")), F.col("b"), more(F.col("b"))) != FP.winnowed(F.concat("a", "b")))
     assert odd.count() == 0
+
+
+def test_windows_grow_by_pairs():
+    for window in (1, 2, 3, 5, 48, 50):
+        steps = FP._grown(window)
+        assert 1 + sum(steps) == window and all(k <= 1 + sum(steps[:i]) for i, k in enumerate(steps))
