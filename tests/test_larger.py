@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barline import fixtures as X
 from barline.operators import joins as J
+from barline.operators import recursive as R
 from barline.operators import sector as S
 from barline.operators import valuation as V
 from barline.operators import windows as W
@@ -146,3 +147,41 @@ def test_rows_of_one_set_only_and_gaps_are_reconciled_as_by_a_join(spark):
     got = [tuple(r)[1:5] + (r["ohlc_off"], r["return_off"], r["verdict"]) for r in own.collect()]
     # Week 1: symbol 2 lacks a factor. Week 2: a null symbol meets none; 2 lacks the one before. Week 3: 1 differs by price and return, the latter against each set's own session before.
     assert got == [(1, 0, 1, 1, 0, 0, "unavailable"), (1, 1, 1, 1, 0, 0, "unavailable"), (1, 1, 2, 1, 0, 0, "unavailable"), (2, 1, 0, 0, 1, 1, "unavailable")]
+
+
+def test_means_that_share_sums_are_those_made_alone(spark):
+    values = [1000 / (1 + (7 * i) % 11) if i % 5 else None for i in range(300)] + [None] * 8
+    own = spark.createDataFrame([(1, DAY + dt.timedelta(days=i), x) for i, x in enumerate(values)], "symbol long, trade_date date, close double")
+    sizes = (1, 5, 6, 7, 10, 14, 20, 59, 60, 120, 250)
+    got = W.with_means(own, {f"m{n}": n for n in sizes})
+    assert got.columns == [*own.columns, *[f"m{n}" for n in sizes]]
+    assert got.drop("close").orderBy("trade_date").collect() == own.select("symbol", "trade_date", *[W.full_mean(n, "close").alias(f"m{n}") for n in sizes]).orderBy("trade_date").collect()
+
+
+def test_the_panel_sorts_its_bars_once_for_means_and_once_for_all_that_recurs(spark):
+    own = plan(R.indicator_panel(spark.createDataFrame([(1, DAY, 1.0)], "symbol long, trade_date date, close double")))
+    # Sums of 2 to 5 rows, then those put together from them; sums in blocks and what came before, for the first means and for the signal.
+    assert own.count(" Sort [") == 2 and own.count("Exchange") == 1 and own.count(" Window [") <= 9
+    assert max(int(x) for x in re.findall(r"RowFrame, -(\d+), currentrow", own)) <= 5
+
+
+def _looped(values, n, start):
+    seen = [x for x in values[max(start - n + 1, 0) : start + 1] if x is not None]
+    y, out = sum(seen) / len(seen), [None] * start
+    for i in range(start, len(values)):
+        y = y if i == start else y * (1 - 2 / (n + 1)) + (values[i] or 0.0) * 2 / (n + 1)
+        out.append(y)
+    return out
+
+
+@pytest.mark.parametrize("powers", [800, 40])
+def test_seeds_may_lie_in_any_block_and_slow_means_outlast_blocks_of_fast_ones(spark, monkeypatch, powers):
+    monkeypatch.setattr(R, "POWERS", powers)  # 40: blocks of 165 rows for 12, 25 for 2, 3465 for 250
+    values = [None if i in (3, 175) else 10.0 + (7 * i) % 13 for i in range(320)]
+    own = spark.createDataFrame([(1, DAY + dt.timedelta(days=i), x) for i, x in enumerate(values)], "symbol long, trade_date date, close double")
+    wanted = {"a": (12, 11), "b": (12, 170), "c": (2, 1), "d": (250, 249), "e": (1, 0)}
+    got = R.with_recurrences(own, {k: R.ema_of("close", *x) for k, x in wanted.items()})
+    assert got.columns == [*own.columns, *got.columns[3:]] and set(got.columns[3:]) == set(wanted)
+    rows = got.orderBy("trade_date").collect()
+    for k, x in wanted.items():
+        assert [r[k] for r in rows] == [w if w is None else pytest.approx(w, abs=1e-9) for w in _looped(values, *x)], k
