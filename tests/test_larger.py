@@ -185,3 +185,20 @@ def test_seeds_may_lie_in_any_block_and_slow_means_outlast_blocks_of_fast_ones(s
     rows = got.orderBy("trade_date").collect()
     for k, x in wanted.items():
         assert [r[k] for r in rows] == [w if w is None else pytest.approx(w, abs=1e-9) for w in _looped(values, *x)], k
+
+
+def test_targets_of_long_lists_come_follower_by_follower_and_hold_no_side_whole(spark, monkeypatch):
+    monkeypatch.setattr(J, "TOLD", 3, raising=False)
+    monkeypatch.setattr(J, "TOLD_TO", 2, raising=False)
+    followers = spark.createDataFrame([(p, p % 3 if p % 7 else None) for p in range(60)] + [(5, 2), (None, 1)], "portfolio long, list int")
+    lists = spark.createDataFrame([(s % 3, s) for s in range(40)] + [(None, 3), (0, 4)], "list int, symbol long")
+    signals = spark.createDataFrame([(s, DAY, "matched" if s % 5 else None) for s in range(0, 40, 2)] + [(6, DAY, "again")], "symbol long, trade_date date, outcome string")
+    own = J.list_targets(followers, lists, signals)
+    assert "Broadcast" not in plan(own).split("SortMergeJoin [list")[0] and "SortMergeJoin [list" in plan(own)
+    told = J.rule_targets(followers.join(lists, "list").drop("list"), signals).select("portfolio", "symbol", "trade_date", "outcome")
+    assert own.columns == told.columns and sorted(map(str, own.collect())) == sorted(map(str, told.collect()))
+    monkeypatch.undo()
+    many, one = (spark.range(k).selectExpr("1 AS list", f"id AS {x}") for k, x in ((320, "symbol"), (20, "portfolio")))
+    rows = J.list_targets(one, many, many.select("symbol", F.lit("matched").alias("outcome"))).collect()
+    # A follower goes on for an array of about 20 symbols; signal by signal, every row has another.
+    assert len(rows) == 6400 and sum(a["portfolio"] != b["portfolio"] for a, b in zip(rows, rows[1:], strict=False)) < 640
