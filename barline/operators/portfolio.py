@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,7 +112,7 @@ def target_band(exposures: DataFrame, state: DataFrame, on: str | None = None) -
     base = [F.element_at(F.create_map(*[F.lit(x) for k, v in BANDS.items() for x in (" ".join(k), v[i])]), key) for i in (0, 1)]
     known = c("strategic").isNotNull()
     doubts = {"degraded_market_regime_band_widened": c("_degraded"), "low_regime_confidence_band_widened": c("_confidence") < 0.5, "narrow_market_scope_band_widened": ~c("_full")}
-    wide = F.exists(F.array(*doubts.values()), lambda x: x)
+    wide = reduce(operator.or_, doubts.values())
     slack = F.when(wide, F.lit(WIDENING)).otherwise(0.0)
     reasons = F.array(F.concat(F.lit("market_regime:"), "strategic"), F.concat(F.lit("tactical_state:"), "tactical"), *[F.when(x, n) for n, x in doubts.items()])
     own = own.withColumns({"base_lower": F.when(known, base[0]), "base_upper": F.when(known, base[1])})

@@ -15,6 +15,8 @@ c = F.col
 NAV_TOLERANCE = 0.01
 #: What a session's snapshot is told by.
 SNAPSHOT = ("portfolio", "as_of", "revision")
+#: What prices times quantities come to, and what two of them are added as, so that no place is lost.
+VALUE, TERM = "decimal(38,9)", "decimal(37,9)"
 
 
 def in_force(rows: DataFrame, by: Column, order: list[str], since: Column) -> DataFrame:
@@ -95,52 +97,130 @@ def session_totals(positions: DataFrame) -> DataFrame:
     )
 
 
-def totals_through_time(ledger: DataFrame, holdings: DataFrame, bars: DataFrame, members: DataFrame, delay: int = 0) -> DataFrame:
-    """The ``session_totals`` of ``positions_through_time`` without a row for each position and session between tasks.
+def _spans(ledger: DataFrame, holdings: DataFrame, bars: DataFrame, members: DataFrame, delay: int) -> DataFrame:
+    """A row for each snapshot in force and year of sessions: its sessions (``_days``) and positions (``_rows``, by sector, with prices and ATRs listed in the order of the sessions).
 
-    A position meets its symbol's quotes by years and takes those of its days along as short lists, so what moves is a row for each
-    position, snapshot and year, once, to its portfolio; there the lists are opened, summed and kept in that layout. A row for each
-    snapshot lists all of its sessions, of which positions without a quote are told by their number.
+    A position meets its symbol's quotes by years and takes those of its sessions along, so what moves is a row for each position,
+    snapshot and year, once, to its portfolio. One whose sector changes within the year comes once for each, with the others' sessions blank.
     """
-    sessions = bars.select("trade_date").distinct()
+    sessions = bars.select("trade_date").where("trade_date is not null").distinct()
+    days = sessions.groupBy(F.year("trade_date").alias("_year")).agg(F.sort_array(F.collect_list("trade_date")).alias("_all"))  # a row a year
     snapshots = ledger.select(*SNAPSHOT, "recorded_on", "cash", "manual_nav").where("as_of is not null and recorded_on is not null")
     held = in_force(snapshots, c("portfolio"), ["as_of", "revision"], F.greatest("as_of", F.date_sub("recorded_on", delay))).drop("recorded_on")
     last = sessions.agg(F.max("trade_date").alias("_last"))  # one row
     held = held.join(F.broadcast(last), F.lit(True)).where("since <= _last").withColumn("until", F.coalesce("until", F.date_add("_last", 1))).drop("_last")
-    years = F.explode(F.sequence(F.year("since"), F.year(F.date_sub("until", 1))))
-    inside = lambda day: (day >= c("since")) & (day < c("until"))
-    point = F.struct("trade_date", "price", "atr", "sector_id")
-    told = quotes(bars, members, sessions, delay).groupBy("symbol", F.year("trade_date").alias("_year")).agg(F.collect_list(point).alias("_q"))
-    own = held.drop("cash", "manual_nav").join(holdings.select(*SNAPSHOT, "symbol", "quantity"), list(SNAPSHOT)).select("portfolio", "since", "until", "symbol", "quantity", years.alias("_year"))
-    own = own.join(told, ["symbol", "_year"]).withColumn("_q", F.filter("_q", lambda x: inside(x["trade_date"])))
-    lists = {f"_{x}": c(f"_q.{x}") for x in ("trade_date", "price", "atr", "sector_id")}
-    own = own.select("portfolio", "quantity", *[x.alias(n) for n, x in lists.items()])
-    n = holdings.groupBy(*SNAPSHOT).agg(F.count("symbol").alias("positions"))
-    heads = held.join(n, list(SNAPSHOT), "left").withColumn("positions", F.coalesce("positions", F.lit(0).cast("bigint"))).withColumn("_year", years)
-    days = sessions.groupBy(F.year("trade_date").alias("_year")).agg(F.collect_list("trade_date").alias("_trade_date"))  # a row a year
-    heads = heads.join(F.broadcast(days), "_year").withColumn("_trade_date", F.filter("_trade_date", inside)).drop("_year", "since", "until")
-    both = own.unionByName(heads, allowMissingColumns=True).repartition("portfolio")
-    zipped = F.arrays_zip(*[F.coalesce(c(x), F.array().cast(both.schema[x].dataType)).alias(x[1:]) for x in lists])
-    own = both.select("portfolio", "as_of", "revision", "cash", "manual_nav", "positions", "quantity", F.explode(zipped).alias("_p")).select("*", "_p.*").drop("_p")
-    own = own.withColumn("value", c("price").cast("decimal(24,12)") * c("quantity"))
-    first = ("as_of", "revision", "cash", "manual_nav", "positions")
-    own = own.groupBy("portfolio", "trade_date", "sector_id").agg(
-        F.sum("value").alias("v"), F.max("value").alias("top"), F.count("value").alias("valued"), F.count("atr").alias("ranged"), F.count("sector_id").alias("mapped"),
-        F.sum(c("quantity").cast("double") * c("atr")).alias("risk"), *[F.max(x).alias(x) for x in first],
-    )
-    own = own.groupBy("portfolio", "trade_date").agg(
-        *[F.max(x).alias(x) for x in first], F.sum("valued").alias("valued"), F.sum("ranged").alias("ranged"), F.sum("mapped").alias("mapped"),
-        F.sum("v").alias("gross_value"), F.max("top").alias("largest_value"), F.max("v").alias("sector_value"), F.coalesce(F.sum("risk"), F.lit(0.0)).alias("risk"),
-    )
-    return own.withColumns({"unpriced": c("positions") - c("valued"), "unranged": c("positions") - c("ranged")}).drop("valued", "ranged")
+    heads = held.withColumn("_year", F.explode(F.sequence(F.year("since"), F.year(F.date_sub("until", 1))))).join(F.broadcast(days), "_year")
+    heads = heads.withColumn("_days", F.filter("_all", lambda day: (day >= c("since")) & (day < c("until")))).where(F.size("_days") > 0)
+    spans = heads.select(*SNAPSHOT, "since", "_year", F.array_position("_all", c("_days")[0]).alias("_from"), F.size("_days").alias("_n"))
+    told = quotes(bars, members, sessions, delay).where("trade_date is not null").groupBy("symbol", F.year("trade_date").alias("_year"))
+    told = told.agg(F.collect_list("trade_date").alias("_on"), F.collect_list(F.struct("price", "atr", "sector_id")).alias("_q")).join(F.broadcast(days), "_year")
+    told = told.withColumn("_q", F.transform("_all", lambda day: F.get("_q", (F.array_position("_on", day) - 1).cast("int")))).select("symbol", "_year", *[c(f"_q.{x}").alias(x) for x in ("price", "atr", "sector_id")])
+    own = spans.join(holdings.select(*SNAPSHOT, "symbol", "quantity").where("symbol is not null"), list(SNAPSHOT)).join(told, ["symbol", "_year"], "left")
+    own = own.withColumns({x: F.slice(x, c("_from"), c("_n")) for x in ("price", "atr", "sector_id")})
+    nowhere = F.array(F.lit(None).cast(told.schema["sector_id"].dataType.elementType))
+    own = own.withColumn("_sectors", F.array_distinct(F.coalesce("sector_id", nowhere)))
+    own = own.select("portfolio", "since", "_year", "quantity", "price", "atr", "sector_id", F.size("_sectors").alias("_k"), F.posexplode("_sectors").alias("_nth", "_sector"))
+    here = F.when(c("_k") > 1, F.transform("sector_id", lambda x: x.eqNullSafe(c("_sector"))))
+    blank = lambda x: F.when(c("_here").isNull(), c(x)).otherwise(F.zip_with(x, "_here", lambda v, there: F.when(there, v)))
+    own = own.withColumn("_here", here).withColumns({x: blank(x) for x in ("price", "atr")})
+    own = own.select("portfolio", "since", "_year", "_nth", "_sector", "quantity", "price", "atr", "_here")
+    both = own.unionByName(heads.select("portfolio", "since", "_year", F.struct("as_of", "revision", "cash", "manual_nav", "_days").alias("_head")), allowMissingColumns=True).repartition("portfolio")
+    row = F.struct(c("_sector").alias("sector"), c("_nth").alias("nth"), "quantity", "price", "atr", c("_here").alias("here"))
+    own = both.withColumn("_row", F.when(c("_head").isNull(), row)).groupBy("portfolio", "since", "_year")
+    own = own.agg(F.first("_head", True).alias("_head"), F.sort_array(F.collect_list("_row")).alias("_rows"), F.count_if(c("_nth") == 0).alias("positions"))
+    return own.select("portfolio", "since", "_year", "_head.*", "_rows", "positions")
+
+
+def _nav(x: dict[str, Column]) -> dict[str, Column]:
+    """NAV as derived from cash and positions, as stated or derived, and where it is positive; ``x`` has complete, cash, manual_nav and gross_value."""
+    derived = x["cash"] + F.when(x["complete"], F.coalesce(x["gross_value"], F.lit(0).cast(VALUE)))
+    either = F.coalesce(x["manual_nav"], derived)
+    return {"derived_nav": derived, "_nav": either, "nav": F.when(either > 0, either)}
+
+
+def _valued(spans: DataFrame) -> DataFrame:
+    """The spans with how many of their positions have a value, an ATR and a sector on each session, what they come to on those where all have a value, and NAVs; nothing is moved or sorted.
+
+    Positions are counted a whole list at a time; only the sessions on which every one has a value are gone through position by position, and so by sector.
+    """
+    kind = spans.schema["_rows"].dataType.elementType
+    null = lambda kind: F.lit(None).cast(kind)
+    plus = lambda a, b: F.coalesce((a + b).cast(TERM), a, b)
+    none = F.transform("_days", lambda _: F.lit(0))
+    # Lists may be null, where a symbol has no quotes in the year; those count as empty ones, which zip_with fills with nulls.
+    counted = lambda x, has: F.aggregate("_rows", none, lambda acc, r: F.when(has(r), F.zip_with(acc, r[x], lambda k, v: k + F.when(v.isNull(), 0).otherwise(1))).otherwise(acc))
+    priced = lambda r: r["price"].isNotNull() & r["quantity"].isNotNull()
+    mapped = F.size(F.filter("_rows", lambda r: r["sector"].isNotNull() & r["here"].isNull()))
+    part = F.aggregate("_rows", none, lambda acc, r: F.when(r["sector"].isNotNull() & r["here"].isNotNull(), F.zip_with(acc, r["here"], lambda k, x: k + F.when(x, 1).otherwise(0))).otherwise(acc))
+    own = spans.withColumns({"_valued": counted("price", priced), "_ranged": counted("atr", lambda r: r["atr"].isNotNull()), "_mapped": mapped, "_part": part})
+    start = F.struct(null(kind["sector"].dataType).alias("sector"), *[null(TERM).alias(x) for x in ("own", "best", "all", "top")], F.lit(0.0).alias("risk"))
+
+    def step(acc: Column, r: Column) -> Column:
+        same, v = acc["sector"].eqNullSafe(r["sector"]), r["value"]
+        own, best = F.when(same, plus(acc["own"], v)).otherwise(v), F.when(same, acc["best"]).otherwise(F.greatest(acc["best"], acc["own"]))
+        risk = acc["risk"] + F.coalesce(r["risk"], F.lit(0.0))
+        return F.struct(r["sector"].alias("sector"), own.alias("own"), best.alias("best"), plus(acc["all"], v).alias("all"), F.greatest(acc["top"], v).alias("top"), risk.alias("risk"))
+
+    def done(acc: Column) -> Column:
+        best = F.greatest(acc["best"], acc["own"])
+        return F.struct(*[x.cast(VALUE).alias(n) for n, x in (("gross_value", acc["all"]), ("largest_value", acc["top"]), ("sector_value", best))], acc["risk"].alias("risk"))
+
+    def session(n: Column, i: Column) -> Column:
+        at = lambda r, x: F.get(r[x], i)
+        one = lambda r: F.struct(r["sector"].alias("sector"), (at(r, "price").cast("decimal(24,12)") * r["quantity"]).cast(TERM).alias("value"), (r["quantity"].cast("double") * at(r, "atr")).alias("risk"))
+        return F.when(n == c("positions"), F.aggregate(F.transform("_rows", one), start, step, done))
+
+    own = own.withColumn("_totals", F.transform("_valued", session)).drop("_rows")
+    # A session without all of its values has no totals, and a derived NAV neither; one without positions has all of none.
+    nav = lambda a, n: _nav({"complete": n == c("positions"), "cash": c("cash"), "manual_nav": c("manual_nav"), "gross_value": a["gross_value"]})["nav"].cast("double")
+    return own.withColumn("_navs", F.zip_with("_totals", "_valued", nav))
+
+
+def _fallen(spans: DataFrame) -> DataFrame:
+    """The valued spans with, for each of their sessions, the fall from the peak of all sessions so far (``_falls``), the last one there is (``_last``) and the NAVs seen (``_seen``), the latter two within the span, and with what earlier spans bring along."""
+    w = Window.partitionBy("portfolio").orderBy("since", "_year").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    own = spans.withColumn("_n", F.size(F.filter("_navs", lambda x: x.isNotNull())).cast("bigint")).withColumn("_top", F.array_max("_navs"))
+    own = own.withColumns({"_peak": F.max("_top").over(w), "_seen_before": F.coalesce(F.sum("_n").over(w), zero), "_before": F.coalesce(F.sum(F.size("_days")).over(w), zero)})
+    own = own.withColumn("_falls", F.transform("_navs", lambda x, i: x / F.greatest(c("_peak"), F.array_max(F.slice("_navs", F.lit(1), i + 1))) - 1))
+    end = lambda x: F.get(x, F.size(x) - 1)
+    own = own.withColumns({
+        "_last": F.aggregate("_falls", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(x, end(acc))))),
+        "_seen": F.aggregate("_navs", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(end(acc), zero) + F.when(x.isNull(), 0).otherwise(1)))),
+        "_worst": F.array_min("_falls"),
+    })
+    own = own.withColumn("_end", end(c("_last")))
+    return own.withColumns({"_last_before": F.last("_end", True).over(w), "_worst_before": F.min("_worst").over(w)}).drop("_n", "_top", "_peak", "_end", "_worst", "_navs")
+
+
+def _by_session(spans: DataFrame, falls: bool) -> DataFrame:
+    """A row for each session of the valued spans."""
+    own = spans.select("*", F.posexplode("_days").alias("_i", "trade_date"))
+    at = lambda x: c(x)[c("_i")]
+    columns = {x: at("_totals")[x] for x in ("gross_value", "largest_value", "sector_value")} | {"risk": F.coalesce(at("_totals")["risk"], F.lit(0.0)), "mapped": (c("_mapped") + at("_part")).cast("bigint")}
+    columns |= {"unpriced": c("positions") - at("_valued"), "unranged": c("positions") - at("_ranged")}
+    if falls:
+        seen = c("_seen_before") + at("_seen")
+        columns |= {
+            "observations": seen, "unavailable": c("_before") + c("_i") + 1 - seen, "current_drawdown": F.coalesce(at("_last"), "_last_before"),
+            "max_drawdown": F.least("_worst_before", F.array_min(F.slice("_falls", F.lit(1), c("_i") + 1))),
+        }
+    return own.select("portfolio", "trade_date", "as_of", "revision", "cash", "manual_nav", "positions", *[x.alias(n) for n, x in columns.items()])
+
+
+def totals_through_time(ledger: DataFrame, holdings: DataFrame, bars: DataFrame, members: DataFrame, delay: int = 0) -> DataFrame:
+    """As ``session_totals`` of ``positions_through_time`` without a row for each position and session: those of a snapshot and year are summed in its own row, which then is told by sessions.
+
+    Values and risk are there where every position has a value; else values are null and the risk is 0, as nothing rests on them.
+    """
+    return _by_session(_valued(_spans(ledger, holdings, bars, members, delay)), False)
 
 
 def measures(totals: DataFrame) -> DataFrame:
     """NAV (as stated, else cash and positions; positive or none) and what it rests on, weights and risk over it; each only where all of its inputs are there."""
     complete = c("unpriced") == 0
     own = totals.withColumns({x: F.when(complete, F.coalesce(c(x), F.lit(0).cast(totals.schema[x].dataType))) for x in ("gross_value", "largest_value", "sector_value")})
-    own = own.withColumn("derived_nav", c("cash") + c("gross_value")).withColumn("_nav", F.coalesce("manual_nav", "derived_nav"))
-    own = own.withColumn("nav", F.when(c("_nav") > 0, c("_nav")))
+    own = own.withColumns(_nav({x: c(x) for x in ("cash", "manual_nav", "gross_value")} | {"complete": complete}))
     over_nav = lambda x: ratio(c(x).cast("double"), c("nav").cast("double"))
     mapping = F.when(c("positions") > 0, c("mapped") / c("positions")).otherwise(1.0)
     basis = F.when(c("nav").isNull(), "unavailable").when(c("manual_nav").isNotNull(), "manual_nav").otherwise("derived_nav")
@@ -165,7 +245,7 @@ def with_drawdown(own: DataFrame) -> DataFrame:
 
 
 def _told(codes: dict[str, Column]) -> Column:
-    return F.array_sort(F.array_compact(F.array(*[F.when(x, name) for name, x in codes.items()])))
+    return F.array_compact(F.array(*[F.when(x, name) for name, x in sorted(codes.items())]))
 
 
 def portfolio_risk_history(ledger: DataFrame, holdings: DataFrame, bars: DataFrame, members: DataFrame, states: DataFrame, delay: int = 0) -> DataFrame:
@@ -175,7 +255,8 @@ def portfolio_risk_history(ledger: DataFrame, holdings: DataFrame, bars: DataFra
     of the session allows (``states``: a row a session), and what is missing or doubtful. A session's row uses only what was dated by it
     and known ``delay`` days after it. Empty tables give no rows; of repeated ledger rows one counts, repeated holdings each count.
     """
-    own = with_drawdown(measures(totals_through_time(ledger, holdings, bars, members, delay)))
+    own = measures(_by_session(_fallen(_valued(_spans(ledger, holdings, bars, members, delay))), True))
+    own = own.withColumn("drawdown", F.when(c("unavailable") == 0, -c("max_drawdown")))
     own = own.withColumns({f"{n}_state": limit_state(c(n), limit) for n, limit in LIMITS.items()})
     own = target_band(own, states, "trade_date")
     stated = c("manual_nav").isNotNull()

@@ -123,3 +123,30 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = risk(spark, [row, row, (1, None, 1, START, Decimal(1), None), (1, START, 2, None, Decimal(1), None), (2, START, 1, START, Decimal(7), Decimal(9))], [], own)
     assert {(k[0], r.revision, r.nav) for k, r in got.items()} == {(1, 1, 7), (2, 1, 9)} and len(got) == 6
     assert "manual_nav_differs_from_derived_nav" in got[2, START].issues and got[2, START].basis == "manual_nav"
+
+
+def test_spans_come_to_what_positions_come_to_session_by_session(spark):
+    own = market(spark, 70, (1, 2, 3, 4))
+    day = lambda i: START + 7 * i * DAY
+    # Sectors come, change with a generation inside a year and end; symbol 9 has no quotes at all, 4 has no sector.
+    members = [(1, day(0), day(0), True, s, day(2 * s), day(40) if s == 2 else None, 1 + s % 2) for s in (1, 2, 3)] + [(2, day(25), day(30), True, s, None, None, 1) for s in (1, 2, 3)]
+    rng = random.Random(7)
+    ledger, held = [], []
+    for p in range(8):
+        for i in range(0, 70, 9 + p):
+            ledger.append((p, day(i), 1, day(i), Decimal(rng.randint(-50, 500)), rng.choice([None, None, Decimal(300)])))
+            held += [(p, day(i), 1, s, Decimal(rng.randint(1, 30)) * rng.choice([1, 1, -1])) for s in rng.choice([[1], [1, 2], [1, 2, 3], [3, 3, 1], [1, 2, 3, 4], [2, 9], []])]
+    ledger, held, members = (spark.createDataFrame(x, k) for x, k in ((ledger, LEDGER), (held, HOLDINGS), (members, MEMBERS)))
+    names = ("positions", "unpriced", "unranged", "nav", "basis", "gross", "largest", "sector_largest", "mapping_ratio", "atr_ratio")
+    tables = (ledger, held, own, members, 0)
+    read = lambda df: {(r.portfolio, r.trade_date): [round(float(r[x]), 6) if isinstance(r[x], (float, Decimal)) else r[x] for x in names] for r in df.collect()}
+    got, want = read(V.measures(V.totals_through_time(*tables))), read(V.measures(V.session_totals(V.positions_through_time(*tables))))
+    assert got == want and len(want) == 8 * 70
+    for x in ("sector_largest", "atr_ratio"):
+        assert len({r[names.index(x)] for r in want.values()}) > 20
+    assert {r[names.index("mapping_ratio")] for r in want.values()} >= {0.0, 0.5, 1.0}
+    states = spark.createDataFrame([], STATES)
+    plan = V.portfolio_risk_history(*tables[:4], states)._jdf.queryExecution().executedPlan().toString()
+    # No session is a row before its values are there: none is summed, sorted or kept in a window.
+    after = plan.split("Exchange hashpartitioning(portfolio")[0]
+    assert "Window" in after and not any("trade_date" in line for line in after.splitlines() if any(x in line for x in ("Aggregate(", "Sort [", "Window [")))
